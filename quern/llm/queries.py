@@ -1,0 +1,26 @@
+"""The queries over the shared tables, and SQL for those that SQL can express."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import quality_rules
+
+    return quality_rules(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Query] = {
+    "op2_quality_rules": op2_quality_rules,
+}
+
+ORACLES: dict[str, str] = {}
