@@ -103,3 +103,16 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 yield pa.RecordBatch.from_arrays([ids, *map(pa.array, columns.values())], names=["doc_id", *columns])
 
     return docs.select(docs[id_col].cast("long"), docs[text_col]).mapInArrow(rows, SCHEMA)
+
+
+def passing(docs: DataFrame, text_col: str = "text", min_repeat: int = MIN_REPEAT_BYTES, max_covered: float = MAX_COVERED, max_repeat: int = MAX_REPEAT_BYTES) -> DataFrame:
+    """The rows of `docs` that the rules keep, as they are."""
+    place = docs.columns.index(text_col)
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi, data, offsets in tb.text_blocks(batch.column(place), SORT_BLOCK):
+                kept = measured(data, offsets, min_repeat, max_covered, max_repeat)["kept"]
+                yield batch.slice(lo, hi - lo).filter(pa.array(kept))
+
+    return docs.mapInArrow(rows, docs.schema)

@@ -22,7 +22,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from . import textbytes as tb
 from .components import connected_components
@@ -81,6 +81,20 @@ def with_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     return docs.select(docs[id_col].cast("long"), docs[text_col]).mapInArrow(rows, "doc_id long, fp long")
 
 
+def _with_column(docs: DataFrame, text_col: str) -> DataFrame:
+    """`docs` with its fingerprints in `_q_fp`."""
+    schema = T.StructType([*docs.schema.fields, T.StructField("_q_fp", T.LongType())])
+    place = docs.columns.index(text_col)
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi, data, offsets in tb.text_blocks(batch.column(place)):
+                columns = batch.slice(lo, hi - lo).columns
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(fingerprints(data, offsets).view(np.int64))], names=schema.names)
+
+    return docs.mapInArrow(rows, schema)
+
+
 def _linked(a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
     """Count filter, then the check: at least 8 - most equal positional bytes, at most `most` different bits."""
     apart = a ^ b
@@ -158,12 +172,30 @@ def near_links(distinct: DataFrame, most: int = MAX_BITS) -> DataFrame:
     return index.repartition("key").sortWithinPartitions("key").mapInArrow(lambda batches: _posting_links(batches, most), "a long, b long")
 
 
+def _named(distinct: DataFrame, most: int) -> DataFrame:
+    """(fp, first, root) for each distinct fingerprint; equal roots are connected."""
+    roots = connected_components(near_links(distinct.select("fp"), most))
+    return distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = MAX_BITS) -> DataFrame:
     """(doc_id, fp, component_id) for each row of `docs`; component_id is the smallest id reachable over links."""
     marked = written(with_fingerprints(docs, id_col, text_col), "fingerprints")
     distinct = marked.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    roots = connected_components(near_links(distinct.select("fp"), most))
-    named = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    named = _named(distinct, most)
     least = named.groupBy("root").agg(F.min("first").alias("component_id"))
     named = named.select("fp", "root").join(least, "root").select("fp", "component_id")
     return marked.join(named, "fp").select("doc_id", "fp", "component_id")
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = MAX_BITS) -> DataFrame:
+    """`docs` with one row of each component, that of the smallest id; null ids come last."""
+    key = F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1))
+    marked = written(_with_column(docs, text_col), "fingerprinted").withColumn("_q_key", key)
+    distinct = marked.groupBy(F.col("_q_fp").alias("fp")).agg(F.min("_q_key").alias("first"))
+    kept = _named(distinct, most).groupBy("root").agg(F.min(F.struct("first", "fp")).alias("x")).select("x.first", "x.fp")
+    found = marked.join(kept, (F.col("_q_fp") == kept["fp"]) & (F.col("_q_key") == kept["first"]), "left_semi")
+    # Rows of one fingerprint that share an id are one document.
+    if marked.groupBy("_q_fp", "_q_key").count().where("count > 1").limit(1).count():
+        found = found.dropDuplicates(["_q_fp", "_q_key"])
+    return found.select(*docs.columns)

@@ -85,3 +85,38 @@ def long_prefixes(data: np.ndarray, offsets: np.ndarray, order: np.ndarray, boun
         low, high = np.where(same, middle, low), np.where(same, high, middle - 1)
     lcp[at + 1] = low
     return lcp
+
+
+def bounded_order(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Positions of `data` sorted by the suffix up to the end of its string, equal suffixes by position.
+
+    For many short strings that are laid end to end: the rounds end with the longest string.
+    """
+    n = len(data)
+    sizes = np.diff(offsets)
+    left = np.repeat(offsets[1:], sizes) - np.arange(n)
+    padded = np.zeros(n + 8, np.uint8)
+    padded[:n] = np.where(data == 0, _END, data)
+    key = np.zeros(n, np.uint64)
+    for k in range(8):
+        key = (key << np.uint64(8)) | np.where(left > k, padded[k : k + n], 0).astype(np.uint64)
+    order = np.argsort(key, kind="stable")
+    rank = np.empty(n, np.int64)
+    known, longest = 8, int(sizes.max(initial=0))
+    at, key = np.arange(n), key[order]
+    while True:
+        fresh = np.ones(len(at), bool)
+        fresh[1:] = key[1:] != key[:-1]
+        rank[order[at]] = at[np.maximum.accumulate(np.where(fresh, np.arange(len(at)), 0))]
+        alone = fresh.copy()
+        alone[:-1] &= fresh[1:]
+        at = at[~alone]
+        if known >= longest or not len(at):
+            return order
+        pos = order[at]
+        second = np.where(left[pos] > known, rank[np.minimum(pos + known, n - 1)] + 1, 0)
+        key = rank[pos].astype(np.uint64) * np.uint64(n + 1) + second.astype(np.uint64)
+        by = np.argsort(key, kind="stable")
+        key = key[by]
+        order[at] = pos[by]
+        known *= 2
