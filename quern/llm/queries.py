@@ -27,6 +27,14 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .chat_format import conversation_turns, pairs_by_number, pairs_by_opening, preference_rows
+
+    conversations = table(spark, sf_dir, "conversations")
+    turns = conversation_turns(conversations)
+    return preference_rows(conversations, pairs_by_opening(turns).union(pairs_by_number(turns)).distinct())
+
+
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .secret_scan import secret_report
 
@@ -48,6 +56,12 @@ def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op9_content_defined_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .chunks import chunk_dedup
+
+    return chunk_dedup(table(spark, sf_dir, "documents"))
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import packed
 
@@ -57,9 +71,11 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_suffix_array_dedup": op1_suffix_array_dedup,
     "op2_quality_rules": op2_quality_rules,
+    "op3_chat_formatting": op3_chat_formatting,
     "op4_secret_scan": op4_secret_scan,
     "op7_benchmark_decontamination": op7_benchmark_decontamination,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
+    "op9_content_defined_chunks": op9_content_defined_chunks,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
 
@@ -87,6 +103,23 @@ kept AS (SELECT doc_id, string_agg(substr(h, 2 * x + 1, coalesce(2 * (y - x), le
 sums AS (SELECT doc_id, sum(b - a) AS n, count(*) AS c FROM spans GROUP BY doc_id)
 SELECT doc_id, length(h) // 2 AS n_bytes, coalesce(n, 0)::BIGINT AS n_removed, coalesce(c, 0) AS n_spans, sha256(unhex(coalesce(t, h))) AS kept_sha256
 FROM d LEFT JOIN kept USING (doc_id) LEFT JOIN sums USING (doc_id)""",
+    "op3_chat_formatting": """
+WITH t AS (SELECT coalesce(conv_id, -9223372036854775808) AS conv, coalesce(turn, 9223372036854775807) AS turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations),
+opening AS (SELECT conv, min({'turn': turn, 'role': role, 'text': text}) AS x FROM t GROUP BY conv),
+pairs AS (SELECT * FROM (SELECT min(conv) OVER (PARTITION BY x.role, x.text) AS chosen, conv AS rejected FROM opening) WHERE chosen <> rejected
+    UNION SELECT a.conv, b.conv FROM opening a JOIN opening b ON b.conv = a.conv + 1 WHERE a.conv % 2 = 0),
+bag AS (SELECT conv, turn, list({'role': role, 'text': text} ORDER BY role, text) AS said FROM t GROUP BY conv, turn),
+sides AS (SELECT chosen, rejected, turn, said AS a, NULL AS b FROM pairs JOIN bag ON conv = chosen
+    UNION ALL SELECT chosen, rejected, turn, NULL, said FROM pairs JOIN bag ON conv = rejected),
+both_sides AS (SELECT chosen, rejected, turn, max(a) AS a, max(b) AS b FROM sides GROUP BY chosen, rejected, turn),
+split AS (SELECT chosen, rejected, min(turn) FILTER (a IS DISTINCT FROM b) AS place FROM both_sides GROUP BY chosen, rejected),
+parts AS (SELECT chosen, rejected, CASE WHEN place IS NULL OR turn < place THEN 'prompt' ELSE 'chosen' END AS part, turn, role, text FROM split JOIN t ON conv = chosen
+    UNION ALL SELECT chosen, rejected, 'rejected', turn, role, text FROM split JOIN t ON conv = rejected WHERE turn >= place)
+SELECT nullif(chosen, -9223372036854775808) AS chosen_id, nullif(rejected, -9223372036854775808) AS rejected_id, part, nullif(turn, 9223372036854775807) AS turn, role,
+    '<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10) AS rendered,
+    CASE WHEN part <> 'prompt' AND role = 'assistant' THEN length(role) + 5 ELSE 0 END::BIGINT AS trained_from,
+    CASE WHEN part <> 'prompt' AND role = 'assistant' THEN length(role) + 5 + length(text) + 8 ELSE 0 END::BIGINT AS trained_to
+FROM parts""",
     "op4_secret_scan": f"""
 WITH docs AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 found AS ({_places_sql()}),
