@@ -47,6 +47,12 @@ def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scores(table(spark, sf_dir, "documents"))
 
 
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_extract import extract_main_text
+
+    return extract_main_text(table(spark, sf_dir, "pages"))
+
+
 def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontaminate import contamination
 
@@ -80,6 +86,7 @@ QUERIES: dict[str, Query] = {
     "op3_chat_formatting": op3_chat_formatting,
     "op4_secret_scan": op4_secret_scan,
     "op5_lm_scoring": op5_lm_scoring,
+    "op6_html_extraction": op6_html_extraction,
     "op7_benchmark_decontamination": op7_benchmark_decontamination,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
     "op9_content_defined_chunks": op9_content_defined_chunks,
