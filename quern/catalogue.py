@@ -1,6 +1,346 @@
-"""All queries of the C-source engine by name, with SQL for the same results."""
+"""All queries of the C-source engine by name, with SQL for the same results.
+
+The shared tables hold no C source, so each query renders its units from their columns and the
+SQL computes the same facts from the columns alone, without any parsing.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+
+from .operators import code, declarations, preprocessor
+from .plans.program import Program
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _units(df: DataFrame, unit: str, src: str) -> Program:
+    return Program(df.selectExpr(f"{unit} AS unit_id", f"{src} AS src"))
+
+
+@query("""
+SELECT tname, cnt FROM (VALUES ('KW_INT'), ('ID'), ('PUNC_ASSIGN'), ('LIT_INT'), ('PUNC_SEMI')) t(tname), (SELECT count(*) AS cnt FROM part)""")
+def lex_token_counts(spark, sf_dir):
+    """Token counts of one declaration a part."""
+    p = _units(_table(spark, sf_dir, "part"), "p_partkey", "concat('int v', p_partkey, ' = ', p_size, ';')")
+    return p.raw_tokens.groupBy("tname").agg(F.count("*").alias("cnt"))
+
+
+@query("""
+SELECT o_orderkey AS unit_id, k AS literal, CASE k WHEN 0 THEN (o_orderkey % 100000 + 1)::VARCHAR || 'UL' ELSE '0x' || lower(to_hex(o_orderkey)) END AS value
+FROM orders, (VALUES (0), (1)) t(k)""")
+def lex_int_literals(spark, sf_dir):
+    """Decimal and hexadecimal literals keep their spelling, suffix and all."""
+    p = _units(_table(spark, sf_dir, "orders"), "o_orderkey", "concat('long a = ', o_orderkey % 100000 + 1, 'UL, b = 0x', lower(hex(o_orderkey)), ';')")
+    found = code.literals(p.raw_marked).where("literal_kind = 'LIT_INT'")
+    nth = F.row_number().over(Window.partitionBy("unit_id").orderBy("tok_ix")) - 1
+    return found.select("unit_id", nth.alias("literal"), "value")
+
+
+@query("SELECT n_nationkey AS unit_id, n_name AS name, length(n_name) + 2 AS width FROM nation")
+def lex_strings(spark, sf_dir):
+    """String literals give back what was put in."""
+    p = _units(_table(spark, sf_dir, "nation"), "n_nationkey", """concat('char *n = "', n_name, '";')""")
+    return p.raw_tokens.where("tname = 'LIT_STRING'").select("unit_id", F.expr("substring(src, 2, length(src) - 2)").alias("name"), (F.col("end") - F.col("start")).alias("width"))
+
+
+@query("""
+SELECT c_custkey AS unit_id, 'TRIVIA_BLOCK_COMMENT' AS tname, '/* ' || c_mktsegment || ' */' AS src, 'int' AS before FROM customer
+UNION ALL SELECT c_custkey, 'TRIVIA_LINE_COMMENT', '// ' || c_custkey, 'y' FROM customer""")
+def lex_comments(spark, sf_dir):
+    """Comments hang on the token that follows them."""
+    p = _units(_table(spark, sf_dir, "customer"), "c_custkey", "concat('/* ', c_mktsegment, ' */ int x, // ', c_custkey, '\\n y;')")
+    return p.raw_tokens.select("unit_id", F.col("src").alias("before"), F.explode("leading").alias("t")).select("unit_id", "t.tname", "t.src", "before")
+
+
+@query("""
+SELECT p_partkey AS unit_id, length(p_brand) + 11 AS start, length(p_brand) + 12 + length(p_partkey::VARCHAR) AS stop, 2 AS line, 7 AS col FROM part""")
+def lex_spans(spark, sf_dir):
+    """Offsets, lines and columns of an identifier after a comment line."""
+    p = _units(_table(spark, sf_dir, "part"), "p_partkey", "concat('/*', p_brand, '*/\\n', 'short v', p_partkey, ';')")
+    return p.raw_tokens.where("tname = 'ID'").select("unit_id", "start", F.col("end").alias("stop"), "line", "col")
+
+
+@query("SELECT s_suppkey AS unit_id, 'KW_INT' AS first_name, 'ID' AS second_name, 'int_' || s_suppkey AS second_src FROM supplier")
+def keyword_vs_ident(spark, sf_dir):
+    """A keyword inside a longer word is no keyword."""
+    p = _units(_table(spark, sf_dir, "supplier"), "s_suppkey", "concat('int int_', s_suppkey, ';')")
+    t = p.raw_tokens.groupBy("unit_id").agg(F.max(F.when(F.col("tok_ix") == 0, F.col("tname"))).alias("first_name"), F.max(F.when(F.col("tok_ix") == 1, F.col("tname"))).alias("second_name"), F.max(F.when(F.col("tok_ix") == 1, F.col("src"))).alias("second_src"))
+    return t.select("unit_id", "first_name", "second_name", "second_src")
+
+
+@query("""
+SELECT tname, n * cnt AS cnt FROM (VALUES ('PUNC_LSHIFT_ASSIGN', 1), ('PUNC_ARROW', 1), ('PUNC_ELLIPSIS', 1), ('PUNC_PLUS_PLUS', 1), ('PUNC_PLUS', 1), ('PUNC_SEMI', 4), ('PUNC_LBRACKET_ALT', 1)) t(tname, n), (SELECT count(*) AS cnt FROM lineitem)""")
+def punct_counts(spark, sf_dir):
+    """The longest punctuator wins."""
+    p = _units(_table(spark, sf_dir, "lineitem"), "concat(l_orderkey, '-', l_linenumber)", "concat('a', l_orderkey, ' <<= b; c->d; e ... ; f+++g <: ;')")
+    return p.raw_tokens.where("tname LIKE 'PUNC%'").groupBy("tname").agg(F.count("*").alias("cnt"))
+
+
+@query("""
+SELECT p_partkey AS unit_id, 'M' || p_partkey AS macro_name, CASE WHEN p_size % 2 = 0 THEN 'function-like' ELSE 'object-like' END AS macro_kind,
+CASE WHEN p_size % 2 = 0 THEN 'a,b' ELSE '' END AS params, p_size % 2 = 0 AS macro_variadic, CASE WHEN p_size % 2 = 0 THEN '( a + ' || p_size || ' )' ELSE p_size::VARCHAR END AS macro_body FROM part""")
+def pp_define(spark, sf_dir):
+    """Object-like and function-like macros, parameters, variadics, bodies."""
+    src = "concat('#define M', p_partkey, if(p_size % 2 = 0, '(a, b, ...) (a + ', ' '), p_size, if(p_size % 2 = 0, ')', ''), '\\nint x;\\n')"
+    found = preprocessor.defines(_units(_table(spark, sf_dir, "part"), "p_partkey", src).directives)
+    return found.select("unit_id", "macro_name", "macro_kind", F.array_join("macro_params", ",").alias("params"), "macro_variadic", "macro_body")
+
+
+_EVENT_OPS = "CASE WHEN event_id % 3 = 0 THEN 'define' WHEN event_id % 3 = 1 THEN 'undef' ELSE 'use' END"
+
+
+@query(f"""
+WITH e AS (SELECT user_id, event_id, 'N' || (event_id % 5) AS name, {_EVENT_OPS} AS op FROM events),
+l AS (SELECT *, last_value(CASE WHEN op <> 'use' THEN op END IGNORE NULLS) OVER (PARTITION BY user_id, name ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS op_before FROM e)
+SELECT user_id AS unit_id, name, count(*) AS uses, count(*) FILTER (op_before = 'define') AS macro_uses FROM l WHERE op = 'use' GROUP BY user_id, name""")
+def macro_asof(spark, sf_dir):
+    """A name is a macro from its define to its undef: an as-of lookup over the lines of each unit."""
+    name = "concat('N', event_id % 5)"
+    line = f"CASE {_EVENT_OPS} WHEN 'define' THEN concat('#define ', {name}, ' 1\\n') WHEN 'undef' THEN concat('#undef ', {name}, '\\n') ELSE concat('int v = ', {name}, ';\\n') END"
+    lines = _table(spark, sf_dir, "events").selectExpr("user_id", "event_id", f"{line} AS line")
+    src = lines.groupBy("user_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("event_id", "line"))), lambda x: x["line"]), "").alias("src"))
+    p = Program(src.select(F.col("user_id").alias("unit_id"), "src"))
+    uses = preprocessor.macro_uses(p.raw_tokens, p.directives).where("name <> 'v'")
+    return uses.groupBy("unit_id", "name").agg(F.count("*").alias("uses"), F.count_if("is_macro").alias("macro_uses"))
+
+
+@query("""
+SELECT s_suppkey AS unit_id, k AS line, CASE k WHEN 1 THEN 'include' ELSE 'include_next' END AS include_form, CASE k WHEN 1 THEN 'system' ELSE 'local' END AS header_kind,
+CASE k WHEN 1 THEN 'sys/s' || s_suppkey || '.h' ELSE 'n' || s_nationkey || '.h' END AS header_name FROM supplier, (VALUES (1), (2)) t(k)""")
+def pp_include(spark, sf_dir):
+    """Header names of both forms, never taken apart into operators."""
+    src = """concat('#include <sys/s', s_suppkey, '.h>\\n# include_next "n', s_nationkey, '.h"\\nint a = b < c;\\n')"""
+    found = preprocessor.includes(_units(_table(spark, sf_dir, "supplier"), "s_suppkey", src).directives)
+    return found.select("unit_id", "line", "include_form", "header_kind", "header_name")
+
+
+@query("""
+SELECT kind, directive, cnt FROM (VALUES ('pragma_directive', 'pragma'), ('error_directive', 'error'), ('warning_directive', 'warning'), ('line_directive', 'line'), ('unknown_directive', 'ident')) t(kind, directive), (SELECT count(*) AS cnt FROM nation)""")
+def pp_simple_directives(spark, sf_dir):
+    src = """concat('#pragma once\\n#error "', n_name, '"\\n#warning w\\n#line 7\\n#ident x\\nint y;')"""
+    p = _units(_table(spark, sf_dir, "nation"), "n_nationkey", src)
+    return p.directives.groupBy("kind", "directive").agg(F.count("*").alias("cnt"))
+
+
+@query("""
+WITH r AS (SELECT n_regionkey AS unit_id, count(*) AS n FROM nation GROUP BY 1)
+SELECT unit_id, 'ifdef' AS branch_kind, 1 AS depth, 'R' || unit_id AS condition, 1 AS n_decls FROM r
+UNION ALL SELECT unit_id, 'else', 1, '', n + 1 FROM r
+UNION ALL SELECT n_regionkey, 'if', 2, 'N' || n_nationkey || ' > 1', 1 FROM nation
+UNION ALL SELECT n_regionkey, 'elif', 2, '2', 2 FROM nation""")
+def cond_groups(spark, sf_dir):
+    """Nested groups: one a region, one a nation inside its #else branch; a declaration follows each inner #endif."""
+    inner = "concat('#if N', n_nationkey, ' > 1\\nint a;\\n#elif 2\\nint b; int c;\\n#endif\\nint d;\\n')"
+    rows = _table(spark, sf_dir, "nation").selectExpr("n_regionkey", f"{inner} AS part").groupBy("n_regionkey").agg(F.array_join(F.collect_list("part"), "").alias("parts"))
+    src = "concat('#endif\\n#ifdef R', n_regionkey, '\\nint z;\\n#else\\n', parts, 'int e;\\n#endif\\n#if open\\nint f;\\n')"
+    p = Program(rows.selectExpr("n_regionkey AS unit_id", f"{src} AS src"))
+    return p.conditional_branches.select("unit_id", "branch_kind", "depth", "condition", "n_decls")
+
+
+@query("""
+SELECT p_partkey AS unit_id, 2 + p_size % 3 AS n_types, 1 AS n_before FROM part""")
+def typedef_scope(spark, sf_dir):
+    """A typedef name is a type from the end of its declaration on."""
+    src = "concat('int T', p_partkey, '_f(void);\\nlong T', p_partkey, ';\\ntypedef int T', p_partkey, ';\\n', repeat(concat('T', p_partkey, ' x;\\n'), int(2 + p_size % 3)))"
+    p = _units(_table(spark, sf_dir, "part"), "p_partkey", src)
+    own = p.tokens.where("src = concat('T', unit_id)")
+    counts = own.groupBy("unit_id").agg(F.count_if(F.col("tname") == "TYPEDEF_NAME").alias("n_types"), (F.count_if(F.col("tname") == "ID") - 1).alias("n_before"))
+    return counts.select("unit_id", "n_types", "n_before")
+
+
+@query("""
+SELECT s_suppkey AS unit_id, decl_kind, cnt FROM supplier, (VALUES ('directive', 1), ('declaration', 3), ('function_definition', 1)) t(decl_kind, cnt)""")
+def decl_kinds(spark, sf_dir):
+    src = "concat('#define A 1\\nint v', s_suppkey, ';\\nint f(int a) { int b = a; return b; }\\nstruct S { int m; } s;\\nint g(void);\\n')"
+    p = _units(_table(spark, sf_dir, "supplier"), "s_suppkey", src)
+    return p.declarations.groupBy("unit_id", "decl_kind").agg(F.count("*").alias("cnt"))
+
+
+@query("""
+SELECT l_orderkey AS unit_id, count(*) AS declarators, sum(l_linenumber)::BIGINT AS pointers FROM lineitem GROUP BY l_orderkey""")
+def declarator_lists(spark, sf_dir):
+    """One declaration an order, one declarator a line item, with as many stars as its number."""
+    rows = _table(spark, sf_dir, "lineitem").selectExpr("l_orderkey", "struct(l_linenumber, concat(repeat('*', l_linenumber), 'v', l_linenumber, ' = ', int(l_quantity)) AS d) AS x")
+    src = rows.groupBy("l_orderkey").agg(F.concat(F.lit("static int "), F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["d"]), ", "), F.lit(";")).alias("src"))
+    p = Program(src.select(F.col("l_orderkey").alias("unit_id"), "src"))
+    return declarations.symbols(p.raw_marked).groupBy("unit_id").agg(F.count("*").alias("declarators"), F.sum("pointer_depth").alias("pointers"))
+
+
+@query("""
+SELECT s_suppkey AS unit_id, name || s_suppkey AS name, shape FROM supplier, (VALUES ('o', 'object'), ('a', 'array'), ('f', 'function'), ('p', 'function_pointer')) t(name, shape)""")
+def decl_names(spark, sf_dir):
+    """Names and shapes of declarators, the function pointer's from inside its brackets."""
+    src = "concat('unsigned long o', s_suppkey, ' = 1, a', s_suppkey, '[4];\\nextern int f', s_suppkey, '(int x, char *y);\\nint (*p', s_suppkey, ')(int z) = 0;\\nstruct only { int m; };')"
+    p = _units(_table(spark, sf_dir, "supplier"), "s_suppkey", src)
+    return declarations.symbols(p.raw_marked).select("unit_id", "name", "shape")
+
+
+@query("""
+SELECT l_orderkey AS unit_id, 'O' || l_orderkey AS tag_name, 'm' || l_linenumber AS member_name, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) - 1 AS ordinal,
+CASE WHEN l_linenumber % 2 = 0 THEN (l_linenumber::BIGINT)::VARCHAR END AS bit_width FROM lineitem""")
+def struct_members(spark, sf_dir):
+    """A struct an order, a member a line item; even ones are bit-fields."""
+    rows = _table(spark, sf_dir, "lineitem").selectExpr("l_orderkey", "struct(l_linenumber, concat('unsigned m', l_linenumber, if(l_linenumber % 2 = 0, concat(' : ', l_linenumber), '[2]'), '; ') AS d) AS x")
+    src = rows.groupBy("l_orderkey").agg(F.concat(F.lit("struct O"), F.col("l_orderkey"), F.lit(" { "), F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["d"]), ""), F.lit("} one;")).alias("src"))
+    p = Program(src.select(F.col("l_orderkey").alias("unit_id"), "src"))
+    return declarations.members(p.raw_marked).select("unit_id", "tag_name", "member_name", "ordinal", "bit_width")
+
+
+@query("""
+SELECT n_regionkey AS unit_id, 'R' || n_regionkey AS tag_name, 'N' || n_nationkey AS name, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1 AS ordinal, n_nationkey % 2 = 0 AS has_value FROM nation""")
+def enum_members(spark, sf_dir):
+    rows = _table(spark, sf_dir, "nation").selectExpr("n_regionkey", "struct(n_nationkey, concat('N', n_nationkey, if(n_nationkey % 2 = 0, concat(' = (1, ', n_nationkey, ')'), '')) AS d) AS x")
+    src = rows.groupBy("n_regionkey").agg(F.concat(F.lit("enum R"), F.col("n_regionkey"), F.lit(" { "), F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["d"]), ", "), F.lit(" };")).alias("src"))
+    p = Program(src.select(F.col("n_regionkey").alias("unit_id"), "src"))
+    return declarations.enumerators(p.raw_marked).select("unit_id", "tag_name", "name", "ordinal", "has_value")
+
+
+@query("""
+WITH c AS (SELECT c_nationkey, c_custkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS ordinal FROM customer)
+SELECT c_nationkey AS unit_id, 'f' || c_nationkey AS function, ordinal, 'c' || c_custkey AS name, 'const char * c' || c_custkey AS text, false AS variadic FROM c
+UNION ALL SELECT c_nationkey, 'f' || c_nationkey, max(ordinal) + 1, NULL, '...', true FROM c GROUP BY c_nationkey""")
+def fn_params(spark, sf_dir):
+    """A function a nation, a parameter a customer, variadic."""
+    rows = _table(spark, sf_dir, "customer").selectExpr("c_nationkey", "struct(c_custkey, concat('const char *c', c_custkey) AS d) AS x")
+    src = rows.groupBy("c_nationkey").agg(F.concat(F.lit("int f"), F.col("c_nationkey"), F.lit("("), F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["d"]), ", "), F.lit(", ...);")).alias("src"))
+    p = Program(src.select(F.col("c_nationkey").alias("unit_id"), "src"))
+    return declarations.parameters(p.raw_marked).select("unit_id", "function", "ordinal", "name", "text", "variadic")
+
+
+@query("""
+SELECT s_nationkey AS unit_id, 'f' || s_nationkey AS caller, CASE WHEN s_suppkey % 2 = 0 THEN 'M' ELSE 's' || s_suppkey END AS callee, s_suppkey % 2 = 0 AS is_macro, s_suppkey % 3 AS n_args FROM supplier""")
+def call_graph(spark, sf_dir):
+    """Nations call their suppliers; even ones through a macro."""
+    args = "CASE s_suppkey % 3 WHEN 0 THEN '' WHEN 1 THEN '(a, b)' ELSE 'a, x[i, j]' END"
+    rows = _table(spark, sf_dir, "supplier").selectExpr("s_nationkey", f"concat('  ', if(s_suppkey % 2 = 0, 'M', concat('s', s_suppkey)), '(', {args}, ');\\n') AS d")
+    src = rows.groupBy("s_nationkey").agg(F.concat(F.lit("#define M(x) x\nvoid f"), F.col("s_nationkey"), F.lit("(int a) {\n"), F.array_join(F.collect_list("d"), ""), F.lit("}\n")).alias("src"))
+    p = Program(src.select(F.col("s_nationkey").alias("unit_id"), "src"))
+    return code.calls(p.marked).select("unit_id", "caller", "callee", "is_macro", "n_args")
+
+
+@query("""
+SELECT l_orderkey AS unit_id, l_linenumber::BIGINT AS n, op, 'binary_expression' AS kind FROM (SELECT l_orderkey, l_linenumber, CASE l_linenumber % 4 WHEN 0 THEN '+' WHEN 1 THEN '-' WHEN 2 THEN '<<' ELSE '&&' END AS op FROM lineitem)""")
+def root_operator(spark, sf_dir):
+    """The root of an initialiser's expression by precedence, brackets and grouping."""
+    value = "CASE l_linenumber % 4 WHEN 0 THEN '-a * b + c' WHEN 1 THEN 'a + b * c - d % (e == f)' WHEN 2 THEN 'a + b << c * d' ELSE 'a | b && c + (d || e)' END"
+    rows = _table(spark, sf_dir, "lineitem").selectExpr("l_orderkey AS unit_id", "l_linenumber", f"concat('int v', l_linenumber, ' = ', {value}, ';') AS d")
+    src = rows.groupBy("unit_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "d"))), lambda x: x["d"]), "\n").alias("src"))
+    p = Program(src)
+    names = declarations.symbols(p.raw_marked).select("unit_id", "decl_ix", F.expr("bigint(substring(name, 2))").alias("n"))
+    return code.root_operators(p.raw_marked).join(names, ["unit_id", "decl_ix"]).select("unit_id", "n", "op", "kind")
+
+
+@query("""
+SELECT op, kind, n * cnt AS cnt FROM (VALUES ('+', 'binary_expression', 1), ('*', 'binary_expression', 1), ('*', 'unary_expression', 1), ('-', 'unary_expression', 1), ('=', 'assignment_expression', 1), ('+=', 'assignment_expression', 1), ('++', 'postfix_unary_expression', 1), ('--', 'unary_expression', 1), ('?', 'conditional_expression', 1), ('->', 'member_expression', 1), ('<', 'binary_expression', 1)) t(op, kind, n), (SELECT count(*) AS cnt FROM part)""")
+def operator_counts(spark, sf_dir):
+    """Binary, prefix and postfix uses of the same signs are told apart."""
+    src = "concat('void f', p_partkey, '(void) { a = b + c * ', p_size, '; d += *p; e++; --g; h->i; x < -y ? j : k; }')"
+    p = _units(_table(spark, sf_dir, "part"), "p_partkey", src)
+    return code.operators(p.raw_marked).groupBy("op", "kind").agg(F.count("*").alias("cnt"))
+
+
+@query("""
+SELECT kind, n * cnt AS cnt FROM (VALUES ('if_statement', 2), ('while_statement', 1), ('do_statement', 1), ('for_statement', 1), ('switch_statement', 1), ('labeled_statement', 3), ('jump_statement', 4), ('compound_statement', 3), ('asm_statement', 1)) t(kind, n), (SELECT count(*) AS cnt FROM supplier)""")
+def stmt_counts(spark, sf_dir):
+    src = """concat('int f(void) { if (a) b(); else if (c) { d(); } while (e) g(); do { h(); } while (i); for (;;) break; switch (j) { case 1: k(); default: continue; } out: __asm__("nop"); goto out; return ', s_suppkey, '; }')"""
+    p = _units(_table(spark, sf_dir, "supplier"), "s_suppkey", src)
+    return code.statements(p.raw_marked).groupBy("kind").agg(F.count("*").alias("cnt"))
+
+
+@query("""
+SELECT o_orderkey AS unit_id, 'case' AS label_kind, '''' || o_orderstatus || '''' AS label_name FROM orders
+UNION ALL SELECT o_orderkey, 'default', NULL FROM orders UNION ALL SELECT o_orderkey, 'identifier', 'L' || o_orderkey FROM orders""")
+def case_labels(spark, sf_dir):
+    src = "concat('void f(void) { switch (s) { case ''', o_orderstatus, ''': g(); break; default: ; } L', o_orderkey, ': h(a ? b : c); }')"
+    p = _units(_table(spark, sf_dir, "orders"), "o_orderkey", src)
+    return code.labels(p.raw_marked).select("unit_id", "label_kind", "label_name")
+
+
+@query("""
+SELECT n_nationkey AS unit_id, jump_kind, CASE jump_kind WHEN 'goto' THEN 'L' || n_regionkey END AS label_name FROM nation, (VALUES ('return'), ('break'), ('continue'), ('goto')) t(jump_kind)""")
+def jump_targets(spark, sf_dir):
+    src = "concat('void f(void) { while (1) { break; continue; } goto L', n_regionkey, '; L', n_regionkey, ': return; }')"
+    p = _units(_table(spark, sf_dir, "nation"), "n_nationkey", src)
+    return code.jumps(p.raw_marked).select("unit_id", "jump_kind", "label_name")
+
+
+@query("""
+SELECT l_returnflag || l_linestatus || l_linenumber AS unit_id, CASE l_returnflag WHEN 'A' THEN 'gcc' WHEN 'N' THEN 'msvc' ELSE 'c23' END AS attribute_form, CASE WHEN l_returnflag NOT IN ('A', 'N') AND k = 1 THEN 'gnu' END AS attribute_prefix,
+CASE k WHEN 0 THEN 'first' ELSE 'a' || l_linenumber END AS attribute_name, k = 1 AS has_arguments, count(*) AS cnt FROM lineitem, (VALUES (0), (1)) t(k) GROUP BY ALL""")
+def attribute_forms(spark, sf_dir):
+    """Attributes of the three forms, with prefixes and arguments."""
+    body = "concat('first, ', if(l_returnflag IN ('A', 'N'), '', 'gnu::'), 'a', l_linenumber, '(1, x)')"
+    src = f"concat(CASE l_returnflag WHEN 'A' THEN concat('__attribute__((', {body}, '))') WHEN 'N' THEN concat('__declspec(', {body}, ')') ELSE concat('[[', {body}, ']]') END, ' int v;')"
+    rows = _table(spark, sf_dir, "lineitem").selectExpr("concat(l_returnflag, l_linestatus, l_linenumber) AS unit_id", f"{src} AS src").groupBy("unit_id", "src").agg(F.count("*").alias("cnt"))
+    found = code.attributes(Program(rows.select("unit_id", "src")).raw_marked)
+    return found.join(rows.select("unit_id", "cnt"), "unit_id").select("unit_id", "attribute_form", "attribute_prefix", "attribute_name", "has_arguments", "cnt")
+
+
+@query("""
+SELECT p_partkey AS unit_id, 'sizeof ( int ) == ' || p_size AS condition, CASE WHEN p_size % 2 = 0 THEN '"' || p_brand || ', (x)"' END AS message FROM part""")
+def static_assertions(spark, sf_dir):
+    src = """concat('_Static_assert(sizeof(int) == ', p_size, if(p_size % 2 = 0, concat(', "', p_brand, ', (x)"'), ''), ');')"""
+    p = _units(_table(spark, sf_dir, "part"), "p_partkey", src)
+    return code.static_asserts(p.raw_marked).select("unit_id", "condition", "message")
+
+
+@query("""
+WITH l AS (SELECT l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) - 1 AS ordinal FROM lineitem)
+SELECT l_orderkey AS unit_id, ordinal, CASE l_linenumber % 3 WHEN 0 THEN '[' || l_linenumber || ']' WHEN 1 THEN '.m' || l_linenumber END AS designator FROM l""")
+def initializer_lists(spark, sf_dir):
+    """Items and designators of a brace initialiser."""
+    item = "concat(CASE l_linenumber % 3 WHEN 0 THEN concat('[', l_linenumber, '] = ') WHEN 1 THEN concat('.m', l_linenumber, ' = ') ELSE '' END, 'f(1, ', l_linenumber, ')')"
+    rows = _table(spark, sf_dir, "lineitem").selectExpr("l_orderkey AS unit_id", f"struct(l_linenumber, {item} AS d) AS x")
+    src = rows.groupBy("unit_id").agg(F.concat(F.lit("struct S v = { "), F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["d"]), ", "), F.lit(" };")).alias("src"))
+    return code.initializer_items(Program(src).raw_marked).select("unit_id", "ordinal", "designator")
+
+
+@query("""
+SELECT n_nationkey AS unit_id, ordinal, association_kind, type_name FROM nation, (VALUES (1, 'type', 'int'), (2, 'type', 'const char *'), (3, 'default', 'default')) t(ordinal, association_kind, type_name)""")
+def generic_arms(spark, sf_dir):
+    p = _units(_table(spark, sf_dir, "nation"), "n_nationkey", "concat('int x = _Generic((v', n_nationkey, ', w), int: f(1, 2), const char *: g, default: ', n_regionkey, ');')")
+    return code.generic_associations(p.raw_marked).select("unit_id", "ordinal", "association_kind", "type_name")
+
+
+@query("""
+SELECT s_suppkey AS unit_id, 'volatile' AS qualifiers, '"mov %1, %0""\\n; ' || s_suppkey || '"' AS template, 3 AS n_sections FROM supplier""")
+def asm_templates(spark, sf_dir):
+    src = """concat('void f(void) { asm volatile ("mov %1, %0" "\\\\n; ', s_suppkey, '" : "=r"(a) : "r"(b ? c : d) : "cc"); x ? y : z; }')"""
+    p = _units(_table(spark, sf_dir, "supplier"), "s_suppkey", src)
+    return code.asm_blocks(p.raw_marked).select("unit_id", F.array_join("qualifiers", ",").alias("qualifiers"), "template", "n_sections")
+
+
+@query("""
+SELECT p_partkey AS unit_id, p_size % 4 = 0 AS ok, CASE p_size % 4 WHEN 1 THEN 'unterminated_comment' WHEN 2 THEN 'unterminated_string' WHEN 3 THEN 'unbalanced_brackets' END AS code FROM part""")
+def parse_status(spark, sf_dir):
+    """Bad input is data: the first error of each unit."""
+    src = """concat('int v', p_partkey, CASE p_size % 4 WHEN 0 THEN ' = (1);' WHEN 1 THEN '; /* open' WHEN 2 THEN ' = "open' ELSE ' = (1;' END)"""
+    return _units(_table(spark, sf_dir, "part"), "p_partkey", src).status.select("unit_id", "ok", "code")
+
+
+@query("""
+SELECT doc_id AS unit_id, sum(len(regexp_extract_all(text, '[0-9A-Za-z_$]+')))::BIGINT AS words FROM documents WHERE regexp_full_match(text, '[A-Za-z_ \\n.,]+') GROUP BY doc_id""")
+def lex_documents(spark, sf_dir):
+    """Words of plain documents, lexed as if they were source."""
+    docs = _table(spark, sf_dir, "documents").where(F.col("text").rlike(r"^[A-Za-z_ \n.,]+\z"))
+    p = Program(docs.select(F.col("doc_id").alias("unit_id"), F.col("text").alias("src")))
+    return p.lexemes.where("cls = 'word'").groupBy("unit_id").agg(F.count("*").alias("words"))
