@@ -32,7 +32,11 @@ from .suffixes import bounded_order
 WINDOW = 50
 ANCHOR = 10
 BLOCK = 16 << 20
-BUCKET_BYTES = 4 << 20
+BUCKET_BYTES = 12 << 20
+#: Compressed bytes of a bucket that are solved together.
+SHARE_BYTES = 1 << 20
+#: What is sorted at once; small enough for the cache.
+PART_BYTES = 1 << 19
 NO_ID = (1 << 63) - 1
 _LEVEL = 6
 
@@ -184,30 +188,29 @@ def repeated_intervals(data: np.ndarray, offsets: np.ndarray, size: int) -> tupl
     n = len(order)
     begin = np.zeros(n + 1, bool)
     begin[offsets[:-1]] = True
-    place = np.empty(n, np.int64)
-    place[order] = np.arange(n)
+    place = np.empty(n, np.int32)
+    place[order] = np.arange(n, dtype=np.int32)
     # The step of the transform: the row of the suffix that is one byte longer, none at the start of a string.
-    longer = np.where(begin[order], -1, place[order - 1])
+    longer = np.where(begin[order], np.int32(-1), place[order - 1])
     lead = data[order]
     # Round one: the rows of each byte, those of suffixes that are one byte long among them.
     edges = np.concatenate([np.flatnonzero(np.diff(lead.astype(np.int16), prepend=-1)), [n]])
     low, high = edges[:-1], edges[1:]
-    tag = np.full(n, -1)
+    rows, tag, seen = np.arange(n, dtype=np.int32), np.empty(n, np.int32), np.zeros(n, bool)
     for _ in range(1, size):
-        widths = high - low
-        rows = np.repeat(low - np.concatenate([[0], np.cumsum(widths)[:-1]]), widths) + np.arange(widths.sum())
         to = longer[rows]
         real = to >= 0
-        to = to[real]
-        tag[to] = np.repeat(np.arange(len(low)), widths)[real]
-        to = np.sort(to)
+        tag[to[real]] = np.repeat(np.arange(len(low), dtype=np.int32), high - low)[real]
+        seen[to[real]] = True
+        to = np.flatnonzero(seen).astype(np.int32)
+        seen[to] = False
         if not len(to):
             return order, to, to
-        new = np.concatenate([[True], (tag[to[1:]] != tag[to[:-1]]) | (to[1:] != to[:-1] + 1) | (lead[to[1:]] != lead[to[:-1]])])
-        at = np.flatnonzero(new)
-        low, high = to[at], np.append(to[at[1:] - 1], to[-1]) + 1
-        several = high - low > 1
-        low, high = low[several], high[several]
+        own, byte = tag[to], lead[to]
+        at = np.concatenate([[0], 1 + np.flatnonzero((own[1:] != own[:-1]) | (to[1:] != to[:-1] + 1) | (byte[1:] != byte[:-1])), [len(to)]])
+        several = np.diff(at) > 1
+        rows = to[np.repeat(several, np.diff(at))]
+        low, high = to[at[:-1][several]], to[at[1:][several] - 1] + 1
         if not len(low):
             return order, low, high
     return order, low, high
@@ -236,13 +239,7 @@ def _solved(ids, tags, starts, sizes, data, size: int, anchor: int):
     kind[by] = np.cumsum(new) - 1
     sample = by[new]  # a stretch of the smallest id for each kind
     late = ids > ids[sample][kind]
-    # Only kinds whose minimiser several ids have can share windows with others.
-    at = np.arange(len(data) - anchor + 1)
-    grams = tb.span_hash(tb.prefix_hash(data), at, at + anchor)
-    inner, edges = _gathered(grams, to[sample], to[sample] + size - anchor + 1)
-    low = np.minimum.reduceat(inner, edges[:-1])
-    _, group, count = np.unique(low, return_inverse=True, return_counts=True)
-    shared = np.flatnonzero(count[group] > 1)
+    shared, group = _candidates(data, to[sample], to[sample + 1], size, anchor)
     out = [(ids[late], tags[late], starts[late], starts[late] + sizes[late])]
     if len(shared):
         for part in _parts(shared, group, to[sample + 1] - to[sample]):
@@ -265,10 +262,41 @@ def _solved(ids, tags, starts, sizes, data, size: int, anchor: int):
     return _merged_spans(*(np.concatenate(x) for x in zip(*out, strict=True)))
 
 
+def _least_grams(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, anchor: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The minimiser of each string; the hashes of all its short substrings, and where each string's begin."""
+    at = np.arange(len(data) - anchor + 1)
+    grams, edges = _gathered(tb.span_hash(tb.prefix_hash(data), at, at + anchor), starts, ends - anchor + 1)
+    return np.minimum.reduceat(grams, edges[:-1]) if len(starts) else grams, grams, edges
+
+
+def _candidates(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, size: int, anchor: int) -> tuple[np.ndarray, np.ndarray]:
+    """The strings that may share a window with another, and a number for each string's minimiser.
+
+    A window reaches at least `side` bytes beyond the minimiser on its left or on its right, so
+    strings that share one have those bytes, and the minimiser, in common.
+    """
+    side = (size - anchor + 1) // 2
+    sums = tb.prefix_hash(data)
+    low, grams, edges = _least_grams(data, starts, ends, anchor)
+    least = np.flatnonzero(grams == np.repeat(low, np.diff(edges)))
+    string = np.searchsorted(edges, least, "right") - 1
+    place = starts[string] + least - edges[string]
+    some = np.bincount(string, minlength=len(starts)) > 1  # where the minimiser occurs again, any place may be the one
+    first = np.concatenate([[True], string[1:] != string[:-1]])
+    place = place[first]
+    for begin, end in ((place - side, place + anchor), (place, place + anchor + side)):
+        own = np.flatnonzero((begin >= starts) & (end <= ends))
+        _, where, count = np.unique(tb.span_hash(sums, begin[own], end[own]), return_inverse=True, return_counts=True)
+        some[own[count[where] > 1]] = True
+    group = np.unique(low, return_inverse=True)[1]
+    several = np.bincount(group[some], minlength=group.max(initial=0) + 1)[group] > 1
+    return np.flatnonzero(some & several), group
+
+
 def _parts(shared: np.ndarray, group: np.ndarray, sizes: np.ndarray) -> Iterator[np.ndarray]:
-    """`shared` in parts of whole minimiser groups, of about half a bucket each."""
+    """`shared` in parts of whole minimiser groups, of about PART_BYTES each."""
     shared = shared[np.argsort(group[shared], kind="stable")]
-    filled = np.cumsum(sizes[shared]) // (BUCKET_BYTES // 2)
+    filled = np.cumsum(sizes[shared]) // PART_BYTES
     last = np.flatnonzero(np.diff(group[shared], append=-1))
     part = np.repeat(filled[last], np.diff(last, prepend=-1))
     edges = np.flatnonzero(np.diff(part, prepend=-1, append=-1))
@@ -280,10 +308,21 @@ def _settled(batches: Iterator[pa.RecordBatch], size: int, anchor: int) -> Itera
     """Rows come sorted by bucket; spans that are settled already pass through."""
     spread = zstandard.ZstdDecompressor()
 
-    def done(blocks: list[bytes]) -> pa.RecordBatch:
-        columns = [np.concatenate(x) for x in zip(*(_unpacked(spread.decompress(b)) for b in blocks), strict=True)]
-        ids, tags, starts, ends = _solved(*columns, size, anchor)
-        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(tags, pa.int64()), pa.array(starts, pa.int32()), pa.array(ends - starts, pa.int32())], names=["doc_id", "tag", "start", "size"])
+    def done(blocks: list[bytes]) -> Iterator[pa.RecordBatch]:
+        # A bucket is solved in shares, by minimiser, so that its working arrays stay small.
+        shares: list[list] = [[] for _ in range(1 + sum(map(len, blocks)) // SHARE_BYTES)]
+        for block in blocks:
+            ids, tags, starts, sizes, data = _unpacked(spread.decompress(block))
+            to = np.concatenate([[0], np.cumsum(sizes)])
+            share = (tb.mix(_least_grams(data, to[:-1], to[1:], anchor)[0]) % np.uint64(len(shares))).astype(np.int64)
+            for k, held in enumerate(shares):
+                own = np.flatnonzero(share == k)
+                held.append((ids[own], tags[own], starts[own], sizes[own], _gathered(data, to[own], to[own + 1])[0]))
+        while shares:
+            columns = [np.concatenate(x) for x in zip(*shares.pop(), strict=True)]
+            if len(columns[0]):
+                ids, tags, starts, ends = _solved(*columns, size, anchor)
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(tags, pa.int64()), pa.array(starts, pa.int32()), pa.array(ends - starts, pa.int32())], names=["doc_id", "tag", "start", "size"])
 
     now, held = -1, []
     for batch in batches:
@@ -292,12 +331,12 @@ def _settled(batches: Iterator[pa.RecordBatch], size: int, anchor: int) -> Itera
         for bucket, block in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
             if bucket >= 0:
                 if bucket != now and held:
-                    yield done(held)
+                    yield from done(held)
                     held = []
                 now = bucket
                 held.append(block.as_py())
     if held:
-        yield done(held)
+        yield from done(held)
 
 
 def _report(batches: Iterator[pa.RecordBatch], keep_text: bool) -> Iterator[pa.RecordBatch]:

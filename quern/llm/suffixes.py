@@ -94,16 +94,17 @@ def bounded_order(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """
     n = len(data)
     sizes = np.diff(offsets)
-    left = np.repeat(offsets[1:], sizes) - np.arange(n)
-    padded = np.zeros(n + 8, np.uint8)
-    padded[:n] = np.where(data == 0, _END, data)
-    key = np.zeros(n, np.uint64)
-    for k in range(8):
-        key = (key << np.uint64(8)) | np.where(left > k, padded[k : k + n], 0).astype(np.uint64)
-    order = np.argsort(key, kind="stable")
-    rank = np.empty(n, np.int64)
+    left = (np.repeat(offsets[1:], sizes) - np.arange(n)).astype(np.int32)
+    key = np.zeros(n + 8, np.uint64)
+    key[:n] = np.where(data == 0, _END, data)
+    # Eight bytes in one number, by doubling; what lies past the end of the string is cleared.
+    for span in (1, 2, 4):
+        key[:-span] = (key[:-span] << np.uint64(8 * span)) | key[span:]
+    key = key[:n] & (~np.uint64(0) << (8 * np.maximum(8 - left, 0)).astype(np.uint64))
+    order = np.argsort(key).astype(np.int32)
+    rank = np.empty(n, np.int32)
     known, longest = 8, int(sizes.max(initial=0))
-    at, key = np.arange(n), key[order]
+    at, key = np.arange(n, dtype=np.int32), key[order]
     while True:
         fresh = np.ones(len(at), bool)
         fresh[1:] = key[1:] != key[:-1]
@@ -111,12 +112,13 @@ def bounded_order(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         alone = fresh.copy()
         alone[:-1] &= fresh[1:]
         at = at[~alone]
+        pos = order[at]
         if known >= longest or not len(at):
+            order[at] = pos[np.lexsort((pos, rank[pos]))]
             return order
-        pos = order[at]
         second = np.where(left[pos] > known, rank[np.minimum(pos + known, n - 1)] + 1, 0)
         key = rank[pos].astype(np.uint64) * np.uint64(n + 1) + second.astype(np.uint64)
-        by = np.argsort(key, kind="stable")
+        by = np.argsort(key)
         key = key[by]
         order[at] = pos[by]
         known *= 2
