@@ -8,11 +8,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 def read_units(spark: SparkSession, path: str, pattern: str = "*.{c,h}") -> DataFrame:
     """(unit_id, src) of the files under `path`; line ends are left as they are."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)
-    return files.select(F.col("path").alias("unit_id"), F.decode("content", F.lit("UTF-8")).alias("src"))
+    return files.select(F.col("path").alias("unit_id"), F.decode("content", "UTF-8").alias("src"))
 
 
 def units_from(df: DataFrame, id_col: str, src_col: str) -> DataFrame:
-    """Units from any table with a source column; sources that are not valid UTF-8 are left out of no table: they get replacement characters."""
+    """Units from any table with a source column; a null source counts as empty."""
     return df.select(df[id_col].alias("unit_id"), F.coalesce(df[src_col], F.lit("")).alias("src"))
 
 
