@@ -19,6 +19,8 @@ from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from .store import written
+
 
 class Rule(NamedTuple):
     kind: str
@@ -124,20 +126,21 @@ def secret_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     paths = docs.select("doc_id", blob_id(docs["text"]).alias("blob"))
     spans = F.coalesce("spans", F.array().cast("array<struct<start:bigint,rank:int,end:bigint,kind:string>>"))
     counts = [_count(k).alias(f"n_{r.kind}") for k, r in enumerate(rules[:n_base])]
-    return paths.join(by_blob(findings), "blob", "left").withColumn("spans", spans).select(
+    # Written, so that the join back has an exchange of its own, which Spark can split where one blob has very many paths.
+    return paths.join(written(by_blob(findings), "findings"), "blob", "left").withColumn("spans", spans).select(
         "doc_id", *counts, F.sha2(_text_of(F.filter("spans", lambda s: s["rank"] < n_base)), 256).alias("base_sha256"), _text_of(F.col("spans")).alias("spans"), "blob"
     )
 
 
 def redacted(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """`docs` with every finding in its text replaced by a mark; overlapping findings get one."""
-    findings = scanned(unseen(docs.select(docs[text_col].alias("text")), None, rules), rules)
+    findings = written(scanned(unseen(docs.select(docs[text_col].alias("text")), None, rules), rules), "findings")
     before = Window.partitionBy("blob").orderBy("start", "end", "rank").rowsBetween(Window.unboundedPreceding, -1)
     # What lies between the findings: from the furthest end so far to each later start.
     gaps = findings.withColumn("from", F.coalesce(F.max("end").over(before), F.lit(0).cast("long"))).where((F.col("start") > F.col("from")) | (F.col("from") == 0))
     gaps = gaps.groupBy("blob").agg(F.array_sort(F.collect_list(F.struct("from", "start"))).alias("gaps"))
     last = findings.groupBy("blob").agg(F.max("end").alias("last"))
-    cuts = gaps.join(last, "blob").select(F.col("blob").alias("_q_blob"), F.col("gaps").alias("_q_gaps"), F.col("last").alias("_q_last"))
+    cuts = written(gaps.join(last, "blob").select(F.col("blob").alias("_q_blob"), F.col("gaps").alias("_q_gaps"), F.col("last").alias("_q_last")), "cuts")  # an exchange of its own, as above
     text = docs[text_col]
     kept = F.transform("_q_gaps", lambda g: F.substring(text, (g["from"] + 1).cast("int"), (g["start"] - g["from"]).cast("int")))
     whole = F.array_join(F.array_append(kept, F.substring(text, (F.col("_q_last") + 1).cast("int"), F.length(text))), REDACTED)

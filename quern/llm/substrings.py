@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
@@ -326,7 +327,7 @@ def _settled(batches: Iterator[pa.RecordBatch], size: int, anchor: int) -> Itera
 
     now, held = -1, []
     for batch in batches:
-        passing = batch.filter(pa.compute.less(batch.column(0), 0))
+        passing = batch.filter(pc.less(batch.column(0), 0))
         yield passing.select(["doc_id", "tag", "start", "size"])
         for bucket, block in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
             if bucket >= 0:
