@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from .operators import code, declarations, preprocessor
+from .operators import code, declarations, preprocessor, spans
 from .plans.program import Program
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -344,3 +344,58 @@ def lex_documents(spark, sf_dir):
     docs = _table(spark, sf_dir, "documents").where(F.col("text").rlike(r"^[A-Za-z_ \n.,]+\z"))
     p = Program(docs.select(F.col("doc_id").alias("unit_id"), F.col("text").alias("src")))
     return p.lexemes.where("cls = 'word'").groupBy("unit_id").agg(F.count("*").alias("words"))
+
+
+@query("""
+SELECT o_orderkey AS unit_id, word, place, CASE word WHEN 'if' THEN 'f ( a ) > ' || (o_custkey) WHEN 'while' THEN 'a' WHEN 'switch' THEN 's' ELSE CASE place WHEN 0 THEN 'int i = 0' WHEN 1 THEN 'i < ' || o_custkey ELSE 'i ++' END END AS text
+FROM orders, (VALUES ('if', 0), ('while', 0), ('switch', 0), ('for', 0), ('for', 1), ('for', 2)) t(word, place)""")
+def branch_conditions(spark, sf_dir):
+    """Conditions of branches and loops, and the three parts of a for."""
+    src = "concat('void f(void) { if (f(a) > ', o_custkey, ') g((b), c); while (a) ; switch (s) { } for (int i = 0; i < ', o_custkey, '; i++) h(i); }')"
+    p = _units(_table(spark, sf_dir, "orders"), "o_orderkey", src)
+    return spans.conditions(p.raw_marked).select("unit_id", "word", "place", "text")
+
+
+@query("""
+SELECT p_partkey AS unit_id, kind, CASE kind WHEN 'cast' THEN 'T' || p_partkey || ' *' WHEN 'compound_literal' THEN 'struct S' WHEN 'operand of sizeof' THEN 'int [ ' || p_size || ' ]' ELSE 'double' END AS type_name
+FROM part, (VALUES ('cast'), ('compound_literal'), ('operand of sizeof'), ('operand of _Alignof')) t(kind)""")
+def type_name_uses(spark, sf_dir):
+    """Casts, compound literals, sizeof and _Alignof of types; brackets around values are none."""
+    src = "concat('typedef int T', p_partkey, ';\nvoid f(int z) { a = (T', p_partkey, ' *) b; c = (d) + e; g = (struct S) { 1 }; h = sizeof(int[', p_size, ']) + sizeof(i) + _Alignof(double); }')"
+    p = _units(_table(spark, sf_dir, "part"), "p_partkey", src)
+    return spans.type_names(p.marked).select("unit_id", "kind", "type_name")
+
+
+@query("""
+SELECT l_orderkey AS unit_id, 'a' || l_linenumber AS name, ordinal, CASE ordinal WHEN 0 THEN l_linenumber || ' + 1' ELSE '' END AS size FROM lineitem, (VALUES (0), (1)) t(ordinal)""")
+def array_bounds(spark, sf_dir):
+    """Sizes of arrays, in order, empty brackets too."""
+    rows = _table(spark, sf_dir, "lineitem").selectExpr("l_orderkey AS unit_id", "struct(l_linenumber, concat('a', l_linenumber, '[', l_linenumber, ' + 1][] = { b[0] }') AS d) AS x")
+    src = rows.groupBy("unit_id").agg(F.concat(F.lit("int "), F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["d"]), ", "), F.lit(", plain;")).alias("src"))
+    return spans.array_sizes(Program(src).raw_marked).select("unit_id", "name", "ordinal", "size")
+
+
+@query("""
+SELECT s_suppkey AS unit_id, ordinal, word, role FROM supplier, (VALUES (0, 'static', 'storage'), (1, 'const', 'qualifier'), (2, 'unsigned', 'type'), (3, 'long', 'type')) t(ordinal, word, role)
+UNION ALL SELECT s_suppkey, 0, 'struct', 'type' FROM supplier UNION ALL SELECT s_suppkey, 1, 'S' || s_suppkey, 'tag' FROM supplier""")
+def specifier_words(spark, sf_dir):
+    """Storage, qualifiers and types before the declarators, tags among them."""
+    p = _units(_table(spark, sf_dir, "supplier"), "s_suppkey", "concat('static const unsigned long a', s_suppkey, ' = sizeof(int), *const b;\nstruct S', s_suppkey, ' c;')")
+    return spans.specifiers(p.raw_marked).select("unit_id", "ordinal", "word", "role")
+
+
+@query("""
+SELECT n_nationkey AS unit_id, object, op, member_name FROM nation, (VALUES ('a', '.', 'x'), (']', '->', 'y'), ('y', '.', 'z'), (')', '.', 'w')) t(object, op, member_name)""")
+def member_accesses(spark, sf_dir):
+    p = _units(_table(spark, sf_dir, "nation"), "n_nationkey", "concat('void f(void) { a.x = b[', n_nationkey, ']->y.z + g(1).w - .5; } struct S s = { .m = 1 };')")
+    return spans.member_uses(p.raw_marked).select("unit_id", "object", "op", "member_name")
+
+
+@query("""
+SELECT s_suppkey AS unit_id, section, ordinal, constraint_text AS "constraint", CASE WHEN v = 'n' THEN 'x [ ' || s_suppkey || ' ]' ELSE v END AS value
+FROM supplier, (VALUES (1, 0, '"=r"', 'a'), (1, 1, '"=m"', '* p'), (2, 0, '"r"', 'n'), (3, 0, '"cc"', ''), (3, 1, '"memory"', '')) t(section, ordinal, constraint_text, v)""")
+def asm_operand_list(spark, sf_dir):
+    """Outputs, inputs and clobbers of an asm statement."""
+    src = """concat('void f(void) { __asm__ volatile ("nop" : "=r" (a), "=m" (*p) : "r" (x[', s_suppkey, ']) : "cc", "memory"); g(b, c); }')"""
+    p = _units(_table(spark, sf_dir, "supplier"), "s_suppkey", src)
+    return spans.asm_operands(p.raw_marked).select("unit_id", "section", "ordinal", "constraint", "value")

@@ -6,7 +6,7 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators import code, declarations, lexing, preprocessor
+from ..operators import code, declarations, lexing, preprocessor, spans
 
 ENGINE = {"name": "quern", "version": "0.1.0", "language": "C23"}
 
@@ -66,6 +66,8 @@ class Program:
             "c_functions": code.functions(raw), "c_statements": code.statements(raw), "c_jumps": code.jumps(raw), "c_labels": code.labels(raw), "c_calls": code.calls(full),
             "c_operators": code.operators(raw), "c_literals": code.literals(raw), "c_attributes": code.attributes(raw), "c_static_asserts": code.static_asserts(raw),
             "c_initializer_items": code.initializer_items(raw), "c_generic_associations": code.generic_associations(raw), "c_asm": code.asm_blocks(raw),
+            "c_conditions": spans.conditions(raw), "c_type_names": spans.type_names(full), "c_array_sizes": spans.array_sizes(raw), "c_specifiers": spans.specifiers(full),
+            "c_member_uses": spans.member_uses(raw), "c_asm_operands": spans.asm_operands(raw),
         }
 
     def register(self) -> None:
