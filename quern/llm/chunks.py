@@ -3,9 +3,13 @@
 The gear hash of a place is the sum of table values of the bytes before it, each shifted by its
 distance, modulo 2^64; a chunk may end where its top bits are zero. It depends on the last 64 bytes
 alone, so an insertion moves no boundary beyond the next one. All places of a block are hashed at
-once, by doubling the number of bytes that a sum covers. Chunks are named by a digest; the first
-holder of each, by document and place, keeps it. A run of chunks that others hold first is removed
-when it is at least `least` bytes long, so that a short common phrase alone costs a text nothing.
+once, by doubling the number of bytes that a sum covers. Chunks are named by a digest; the smallest
+document that holds one keeps it. A run of chunks that smaller documents hold is removed when it is
+at least `least` bytes long, so that a short common phrase alone costs a text nothing.
+
+Copies within a block of texts are settled before the shuffle, so one very common chunk is a row a
+block. What is left is dealt and sorted by digest and streams past: the first row of a digest names
+its holder, and no group is gathered.
 
 Cases: a null text counts as empty and has no chunks; a null id counts as larger than all others;
 rows with equal ids and texts are one document, and rows with equal ids never cost each other
@@ -22,14 +26,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import textbytes as tb
-from .store import written
+from .removal import NO_ID, tagged, without_spans
 
-MASK_BITS = 6
-MIN_CHUNK = 32
+MASK_BITS = 5
+MIN_CHUNK = 16
 MAX_CHUNK = 1024
-LEAST = 160
+LEAST = 96
+BLOCK = 16 << 20
 _REACH = 64
-NO_ID = (1 << 63) - 1
 #: One 64-bit value for each byte.
 GEAR = tb.mix(np.arange(256, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03) + np.uint64(1))
 
@@ -67,56 +71,74 @@ def chunk_ends(data: np.ndarray, offsets: np.ndarray, bits: int = MASK_BITS, lea
     return np.array(starts, np.int64), np.array(ends, np.int64)
 
 
-def chunks(docs: DataFrame, bits: int = MASK_BITS, least: int = MIN_CHUNK, most: int = MAX_CHUNK) -> DataFrame:
-    """(doc_id, tag, start, size, digest) of every chunk of `docs` (doc_id, tag, text); the digest is two longs."""
+_NAMES = ["key", "tag", "start", "size", "d0", "d1"]
+
+
+def _batch(columns: tuple[np.ndarray, ...], settled: bool) -> pa.RecordBatch:
+    own = [pa.array(c) for c in columns]
+    return pa.RecordBatch.from_arrays([*own, pa.array(np.full(len(columns[0]), settled))], names=[*_NAMES, "settled"])
+
+
+def _dealt(batches: Iterator[pa.RecordBatch], bits: int, least: int, most: int) -> Iterator[pa.RecordBatch]:
+    """Chunks of (key, tag, text) rows; those that a smaller key of the same block holds are settled."""
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo, hi, data, offsets in tb.text_blocks(batch.column(2)):
-                starts, ends = chunk_ends(data, offsets, bits, least, most)
+    def flush(held: list) -> Iterator[pa.RecordBatch]:
+        columns = tuple(np.concatenate(c) for c in zip(*held, strict=True))
+        key, d0, d1 = columns[0], columns[4], columns[5]
+        by = np.lexsort((key, d1, d0))
+        new = np.concatenate([[True], (d0[by][1:] != d0[by][:-1]) | (d1[by][1:] != d1[by][:-1])])
+        holder = np.empty_like(key)
+        holder[by] = key[by][np.flatnonzero(new)[np.cumsum(new) - 1]]
+        for late in (True, False):
+            own = (key > holder) == late
+            yield _batch(tuple(c[own] for c in columns), late)
+
+    held, amount = [], 0
+    for batch in batches:
+        keys, tags = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        for lo, hi, data, offsets in tb.text_blocks(batch.column(2)):
+            starts, ends = chunk_ends(data, offsets, bits, least, most)
+            if len(starts):
                 raw = data.tobytes()
                 digests = b"".join(hashlib.blake2b(raw[a:b], digest_size=16).digest() for a, b in zip(starts.tolist(), ends.tolist(), strict=True))
                 words = np.frombuffer(digests, "<i8").reshape(-1, 2)
                 text = np.searchsorted(offsets, starts, "right") - 1
-                take = pa.array(lo + text)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(take), batch.column(1).take(take), pa.array((starts - offsets[text]).astype(np.int32)), pa.array((ends - starts).astype(np.int32)), pa.array(words[:, 0].copy()), pa.array(words[:, 1].copy())],
-                    names=["doc_id", "tag", "start", "size", "d0", "d1"],
-                )
-
-    return docs.select("doc_id", "tag", "text").mapInArrow(rows, "doc_id long, tag long, start int, size int, d0 long, d1 long")
-
-
-def _report(batches: Iterator[pa.RecordBatch], least: int, keep_text: bool) -> Iterator[pa.RecordBatch]:
+                held.append((keys[lo:hi][text], tags[lo:hi][text], (starts - offsets[text]).astype(np.int32), (ends - starts).astype(np.int32), words[:, 0].copy(), words[:, 1].copy()))
+            amount += len(data)
+            if amount >= BLOCK and held:
+                yield from flush(held)
+                held, amount = [], 0
+    if held:
+        yield from flush(held)
+
+
+def _late(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by digest and key: all that follow the first of their digest with a larger key, and what is settled."""
+    last: tuple = (None, None, None)
     for batch in batches:
-        rows = []
-        for doc_id, text, late in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
-            raw = text.as_py() or b""
-            spans: list[list[int]] = []
-            for start, end in sorted((s["start"], s["start"] + s["size"]) for s in late or ()):
-                if spans and spans[-1][1] >= start:
-                    spans[-1][1] = max(end, spans[-1][1])
-                else:
-                    spans.append([start, end])
-            spans = [s for s in spans if s[1] - s[0] >= least]
-            edges = [0, *(x for s in spans for x in s), len(raw)]
-            kept = b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
-            rows.append((doc_id, len(raw), len(raw) - len(kept), len(spans), hashlib.sha256(kept).hexdigest(), *([kept.decode("utf-8", "ignore")] if keep_text else [])))
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-        columns = list(zip(*rows, strict=True)) or [()] * (5 + keep_text)
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=False)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"][: len(columns)])
+        key, d0, d1 = (batch.column(k).to_numpy() for k in (0, 4, 5))
+        settled = batch.column(6).to_numpy(zero_copy_only=False)
+        if not len(key):
+            continue
+        # Settled rows have no digest to compare: they stand apart by their flag, after which the sort puts them.
+        new = np.concatenate([[(d0[0], d1[0], settled[0]) != last[:3]], (d0[1:] != d0[:-1]) | (d1[1:] != d1[:-1]) | (settled[1:] != settled[:-1])])
+        group = np.cumsum(new) - 1
+        firsts = key[new]
+        holder = np.where(group >= 0, firsts[np.maximum(group, 0)] if len(firsts) else key, last[3] if len(last) > 3 else 0)
+        late = settled | (key > holder)
+        yield pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(late)) for k in range(4)], names=_NAMES[:4])
+        last = (d0[-1], d1[-1], settled[-1], holder[-1])
+
+
+def known_chunks(docs: DataFrame, bits: int = MASK_BITS, least: int = MIN_CHUNK, most: int = MAX_CHUNK) -> DataFrame:
+    """(key, tag, start, size) of every chunk of `docs` (key, tag, text) that a row with a smaller key holds too."""
+    rows = docs.select("key", "tag", "text").mapInArrow(lambda b: _dealt(b, bits, least, most), "key long, tag long, start int, size int, d0 long, d1 long, settled boolean")
+    by = F.when(F.col("settled"), F.xxhash64("key")).otherwise(F.col("d0"))
+    return rows.repartition(by).sortWithinPartitions("settled", "d0", "d1", "key").mapInArrow(_late, "key long, tag long, start int, size int")
 
 
 def chunk_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = MASK_BITS, min_chunk: int = MIN_CHUNK, max_chunk: int = MAX_CHUNK, least: int = LEAST, keep_text: bool = False) -> DataFrame:
     """What is left of each row of `docs` without the runs of chunks that smaller ids hold."""
-    docs = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
-    several = docs.groupBy("doc_id").count().where("count > 1").limit(1).count()
-    docs = docs.withColumn("tag", F.pmod(F.xxhash64("text"), F.lit(1 << 32)) if several else F.lit(0).cast("long"))
-    key = F.coalesce("doc_id", F.lit(NO_ID))
-    pieces = written(chunks(docs, bits, min_chunk, max_chunk).withColumn("key", key).drop("doc_id"), "chunks")
-    first = pieces.groupBy("d0", "d1").agg(F.min("key").alias("holder"), F.count("*").alias("n")).where("n > 1").drop("n")
-    late = pieces.join(first, ["d0", "d1"]).where("key > holder")
-    spans = late.groupBy("key", "tag").agg(F.collect_list(F.struct("start", "size")).alias("spans")).withColumnsRenamed({"key": "_key", "tag": "_tag"})
-    joined = docs.join(spans, (key == F.col("_key")) & (F.col("tag") == F.col("_tag")), "left")
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string" * keep_text
-    return joined.select("doc_id", F.col("text").cast("binary"), "spans").mapInArrow(lambda b: _report(b, least, keep_text), schema)
+    docs = tagged(docs, id_col, text_col)
+    late = known_chunks(docs.withColumn("key", F.coalesce("doc_id", F.lit(NO_ID))), bits, min_chunk, max_chunk)
+    return without_spans(docs, late, least, keep_text)

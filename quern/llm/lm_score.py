@@ -34,9 +34,9 @@ from pyspark.sql import DataFrame, functions as F
 from . import textbytes as tb
 from .store import written
 
-GROUP_BYTES = 8 << 20
-COUNT_BYTES = 32 << 20
-SHARD_BYTES = 16 << 20
+GROUP_BYTES = 4 << 20
+COUNT_BYTES = 16 << 20
+SHARD_BYTES = 8 << 20
 MAX_FILTER_BYTES = 64 << 20
 HELD_OUT_OF = 10
 MU = 50.0

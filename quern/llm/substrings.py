@@ -18,7 +18,6 @@ read; an empty table gives no rows.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,6 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame, functions as F
 
 from . import textbytes as tb
+from .removal import NO_ID, tagged, without_spans
 from .suffixes import bounded_order
 
 WINDOW = 50
@@ -38,7 +38,6 @@ BUCKET_BYTES = 12 << 20
 SHARE_BYTES = 1 << 20
 #: What is sorted at once; small enough for the cache.
 PART_BYTES = 1 << 19
-NO_ID = (1 << 63) - 1
 _LEVEL = 6
 
 
@@ -323,12 +322,12 @@ def _settled(batches: Iterator[pa.RecordBatch], size: int, anchor: int) -> Itera
             columns = [np.concatenate(x) for x in zip(*shares.pop(), strict=True)]
             if len(columns[0]):
                 ids, tags, starts, ends = _solved(*columns, size, anchor)
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(tags, pa.int64()), pa.array(starts, pa.int32()), pa.array(ends - starts, pa.int32())], names=["doc_id", "tag", "start", "size"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(tags, pa.int64()), pa.array(starts, pa.int32()), pa.array(ends - starts, pa.int32())], names=["key", "tag", "start", "size"])
 
     now, held = -1, []
     for batch in batches:
         passing = batch.filter(pc.less(batch.column(0), 0))
-        yield passing.select(["doc_id", "tag", "start", "size"])
+        yield passing.select(["doc_id", "tag", "start", "size"]).rename_columns(["key", "tag", "start", "size"])
         for bucket, block in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
             if bucket >= 0:
                 if bucket != now and held:
@@ -340,48 +339,18 @@ def _settled(batches: Iterator[pa.RecordBatch], size: int, anchor: int) -> Itera
         yield from done(held)
 
 
-def _report(batches: Iterator[pa.RecordBatch], keep_text: bool) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        rows = []
-        for doc_id, text, spans in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
-            raw = text.as_py() or b""
-            parts, at, removed, n_spans = [], 0, 0, 0
-            reach = -1
-            for span in sorted((s["start"], s["start"] + s["size"]) for s in spans or ()):
-                n_spans += span[0] > reach
-                if span[0] > at:
-                    parts.append(raw[at : span[0]])
-                removed += max(span[1] - max(at, span[0]), 0)
-                at = max(at, span[1])
-                reach = max(reach, span[1])
-            parts.append(raw[at:])
-            kept = b"".join(parts)
-            rows.append((doc_id, len(raw), removed, n_spans, hashlib.sha256(kept).hexdigest(), *([kept.decode("utf-8", "replace")] if keep_text else [])))
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-        columns = list(zip(*rows, strict=True)) or [()] * (5 + keep_text)
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=False)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"][: len(columns)])
-
-
 def removable_spans(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
-    """(doc_id, tag, start, size) byte spans of `docs` (doc_id, tag, text) whose windows also start in a row with a smaller id."""
+    """(key, tag, start, size) byte spans of `docs` (doc_id, tag, text) whose windows also start in a row with a smaller id."""
     amount = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = 1 + 4 * amount // BUCKET_BYTES
     blocks = docs.select("doc_id", "tag", "text").mapInArrow(lambda b: _dealt(b, window, anchor, buckets), _MAPPED)
     # Settled spans are dealt by their document, blocks by their bucket.
     key = F.when(F.col("bucket") >= 0, F.col("bucket").cast("long")).otherwise(F.xxhash64("doc_id"))
     dealt = blocks.repartition(key).sortWithinPartitions("bucket")
-    return dealt.mapInArrow(lambda b: _settled(b, window, anchor), "doc_id long, tag long, start int, size int")
+    return dealt.mapInArrow(lambda b: _settled(b, window, anchor), "key long, tag long, start int, size int")
 
 
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, anchor: int = ANCHOR, keep_text: bool = False) -> DataFrame:
     """What is left of each row of `docs` without the windows that a smaller id also has."""
-    docs = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
-    # Rows that share an id but not a text are told apart by a hash of the text.
-    several = docs.groupBy("doc_id").count().where("count > 1").limit(1).count()
-    docs = docs.withColumn("tag", F.pmod(F.xxhash64("text"), F.lit(1 << 32)) if several else F.lit(0).cast("long"))
-    spans = removable_spans(docs, window, anchor).groupBy("doc_id", "tag").agg(F.collect_list(F.struct("start", "size")).alias("spans"))
-    key = F.coalesce("doc_id", F.lit(NO_ID))
-    spans = spans.withColumnsRenamed({"doc_id": "_key", "tag": "_tag"})
-    joined = docs.join(spans, (key == F.col("_key")) & (F.col("tag") == F.col("_tag")), "left")
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string" * keep_text
-    return joined.select("doc_id", F.col("text").cast("binary"), "spans").mapInArrow(lambda b: _report(b, keep_text), schema)
+    docs = tagged(docs, id_col, text_col)
+    return without_spans(docs, removable_spans(docs, window, anchor), keep_text=keep_text)
