@@ -34,8 +34,12 @@ WINDOW = 50
 ANCHOR = 10
 BLOCK = 16 << 20
 BUCKET_BYTES = 12 << 20
+#: Bytes of texts whose minimisers are found at once.
+HASHED_BYTES = 1 << 19
+#: Spans that are gathered at once.
+GATHERED = 1 << 13
 #: Compressed bytes of a bucket that are solved together.
-SHARE_BYTES = 1 << 20
+SHARE_BYTES = 1 << 19
 #: What is sorted at once; small enough for the cache.
 PART_BYTES = 1 << 19
 _LEVEL = 6
@@ -85,10 +89,15 @@ def _stretches(data: np.ndarray, offsets: np.ndarray, size: int, anchor: int) ->
 
 
 def _gathered(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The spans laid end to end, and their offsets."""
+    """The spans laid end to end, and their offsets; a part at a time, as places take more memory than bytes."""
     sizes = ends - starts
     to = np.concatenate([[0], np.cumsum(sizes)])
-    return data[np.repeat(starts - to[:-1], sizes) + np.arange(to[-1])], to
+    out = np.empty(to[-1], data.dtype)
+    for a in range(0, len(sizes), GATHERED):
+        part = slice(a, a + GATHERED)
+        lo, hi = to[a], to[min(a + GATHERED, len(sizes))]
+        out[lo:hi] = data[np.repeat(starts[part] - to[:-1][part], sizes[part]) + np.arange(lo, hi)]
+    return out, to
 
 
 def _packed(squeeze, ids: np.ndarray, tags: np.ndarray, starts: np.ndarray, sizes: np.ndarray, data: np.ndarray) -> bytes:
@@ -169,7 +178,7 @@ def _dealt(batches: Iterator[pa.RecordBatch], size: int, anchor: int, buckets: i
     for batch in batches:
         ids = batch.column(0).fill_null(NO_ID).to_numpy()
         tags = batch.column(1).to_numpy()
-        for lo, hi, data, offsets in tb.text_blocks(batch.column(2)):
+        for lo, hi, data, offsets in tb.text_blocks(batch.column(2), HASHED_BYTES):
             starts, ends, text, low = _stretches(data, offsets, size, anchor)
             if len(starts):
                 whole = tb.span_hash(tb.prefix_hash(data), starts, ends)
