@@ -1,23 +1,28 @@
-"""Main text of web pages by wrapper induction: trees of pages of one host are aligned by simple tree matching.
-
-Each page is aligned with two reference pages of its host, the first and the last by page_id. What
-is equal in both trees at aligned places is template; slots that vary are content. Marked-up
-furniture (navigation, forms, scripts, and elements whose class or id says menu, advert, comments
-and the like) is never content. Where a page marks its article or main part, the text comes from
-there, and a template node costs it nothing but furniture without paragraphs of its own; elsewhere
-all slots that vary are taken, without blocks that are mostly links.
-
-A host may hold a third of all pages: pages are dealt by host and, for hosts with many pages, by a
-salt; the references travel to each salt once, ahead of the pages, and pages stream past them.
-
-Cases: null html is an empty text, a null url a host of its own; a page that equals its reference
-is not aligned with it; pages that are alone on their host have no template; repeated rows give
-repeated results; broken markup is read as far as it goes; other columns are not read; an empty
-table gives no rows.
+"""Main text of web pages by wrapper induction: what the pages of a host share at the same places is template.
+
+Each page is cut into lines, the texts of its blocks. A line is signed by the chain of tags above it
+and its text; the pages of a host that have a signature are counted, all of them, and the share of
+pages tells template from content. Pages of a host with the same main
+part, or the same lines where none is marked, count as one. A line is
+template when half of the host's pages have it, and at least three (both, where a host has two);
+inside an article or main part two pages are no evidence. Inline elements belong to their line, and
+no part of a line is ever template by itself.
+
+Marked-up furniture (navigation, forms, scripts, and elements whose class or id says menu, advert,
+comments and the like) is never content. Where a page marks its article or main part, the text comes
+from there; elsewhere all lines that vary are taken, without those that are mostly links.
+
+Signatures are counted in two steps, by page and by host, each with sums made before the shuffle. A
+host may hold a third of all pages: its template travels to each of its salts, and pages stream past.
+
+Cases: null html is an empty text, a null url a host of its own; pages that are alone on their host
+have no template; repeated rows give repeated results; broken markup is read as far as it goes; other
+columns are not read; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
 from collections.abc import Iterator
@@ -25,10 +30,13 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from .store import written
+
 HEAVY_ROWS = 2000
 HEAVY_SHARE = 1000
 MAX_DEPTH = 200
-MAX_CELLS = 10_000
+#: Pages that must share a line, where the host has as many.
+LEAST_PAGES = 3
 
 _MARKUP = re.compile(r"""<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S)
 _CUE = re.compile(r"""\b(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
@@ -47,13 +55,19 @@ _CLOSES = {**{t: ("p",) for t in _BLOCK}, "li": ("li", "p"), "dt": ("dt", "dd",
 _STOPS = {"li": ("ul", "ol"), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "dt": ("dl",), "dd": ("dl",)}
 
 
+def _named(above: bytes, text: str) -> bytes:
+    return hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=8, key=above).digest()
+
+
 class Node:
-    __slots__ = ("tag", "cues", "parts", "digest", "size", "constant")
+    __slots__ = ("tag", "cues", "parts", "path", "constant")
 
-    def __init__(self, tag: str, cues: frozenset[str] = frozenset()):
+    def __init__(self, tag: str, cues: frozenset[str] = frozenset(), above: bytes = b""):
         self.tag, self.cues = tag, cues
         self.parts: list = []  # strings and nodes in page order
-        self.digest, self.size, self.constant = 0, 1, 0
+        #: Names the chain of block tags down to this node.
+        self.path = _named(above, tag) if tag in _BLOCK else above
+        self.constant = 0
 
     def nodes(self) -> list[Node]:
         return [x for x in self.parts if type(x) is Node]
@@ -86,12 +100,11 @@ def parse(source: str) -> Node:
             end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(source, at)
             at = end.end() if end else len(source)
             continue
-        node = Node(tag, _cues(match[3]))
+        node = Node(tag, _cues(match[3]), stack[-1].path)
         stack[-1].parts.append(node)
         if tag not in _VOID and not match[3].endswith("/") and len(stack) < MAX_DEPTH:
             stack.append(node)
     stack[-1].parts.append(source[at:])
-    _digest(root)
     return root
 
 
@@ -109,91 +122,10 @@ def _close(stack: list[Node], tags: tuple[str, ...], stops: tuple[str, ...]) ->
         del stack[found:]
 
 
-def _digest(root: Node) -> None:
-    order = [root]
-    for node in order:
-        order += node.nodes()
-    for node in reversed(order):
-        node.digest = hash((node.tag, *[x.digest if type(x) is Node else " ".join(x.split()) for x in node.parts]))
-        node.size = 1 + sum(x.size for x in node.parts if type(x) is Node)
-
-
-def _matching(a: Node, b: Node) -> int:
-    """Size of the largest simple tree matching."""
-    if a.tag != b.tag:
-        return 0
-    if a.digest == b.digest:
-        return 2 * a.size
-    return 1 + (_aligned(a.nodes(), b.nodes())[0] if a.size > 1 and b.size > 1 else 0)
-
-
-def _aligned(left: list[Node], right: list[Node]) -> tuple[int, list[tuple[Node, Node]]]:
-    """The best matching of two sequences of children in order, and its pairs."""
-    if len(left) * len(right) > MAX_CELLS:
-        return _aligned_by_digest(left, right)
-    best = [[0] * (len(right) + 1)]
-    weight = []
-    for a in left:
-        above, row, own = best[-1], [0], []
-        for k, b in enumerate(right):
-            w = _matching(a, b) if a.tag == b.tag else 0
-            own.append(w)
-            row.append(max(row[k], above[k + 1], above[k] + w))
-        best.append(row)
-        weight.append(own)
-    pairs, i, k = [], len(left), len(right)
-    while i and k:
-        if weight[i - 1][k - 1] and best[i][k] == best[i - 1][k - 1] + weight[i - 1][k - 1]:
-            i, k = i - 1, k - 1
-            pairs.append((left[i], right[k]))
-        elif best[i][k] == best[i - 1][k]:
-            i -= 1
-        else:
-            k -= 1
-    return best[-1][-1], pairs
-
-
-def _aligned_by_digest(left: list[Node], right: list[Node]) -> tuple[int, list[tuple[Node, Node]]]:
-    """For very long sequences: equal children in order, each with the next equal one."""
-    places: dict[int, list[int]] = {}
-    for k in range(len(right) - 1, -1, -1):
-        places.setdefault(right[k].digest, []).append(k)
-    pairs, last = [], -1
-    for a in left:
-        own = places.get(a.digest, [])
-        while own and own[-1] <= last:
-            own.pop()
-        if own:
-            last = own.pop()
-            pairs.append((a, right[last]))
-    return sum(2 * a.size for a, _ in pairs), pairs
-
-
-def mark_template(page: Node, other: Node) -> None:
-    """Counts up `constant` on each node of `page` that is equal in `other` at its aligned place."""
-    todo = [(page, other)]
-    while todo:
-        a, b = todo.pop()
-        if a.digest == b.digest:
-            a.constant += 1
-        else:
-            todo += _aligned(a.nodes(), b.nodes())[1]
-
-
 def _is_furniture(node: Node, inside: bool) -> bool:
     return node.tag in _FURNITURE or node.tag == "header" and not inside or bool(node.cues)
 
 
-def _has_content(node: Node) -> bool:
-    todo = [node]
-    while todo:
-        one = todo.pop()
-        if one.tag in _CONTENT:
-            return True
-        todo += one.nodes()
-    return False
-
-
 def _main_parts(page: Node) -> list[Node]:
     """The outermost article and main elements outside furniture."""
     found, todo = [], [page]
@@ -206,70 +138,110 @@ def _main_parts(page: Node) -> list[Node]:
     return found
 
 
-def _blocks(root: Node, inside: bool, peers: int) -> Iterator[tuple[str, int]]:
-    """(text, characters in links) of each block under `root`, in page order."""
+def _lines(root: Node, inside: bool, without: list[Node] = ()) -> Iterator[tuple[bytes, str, int]]:
+    """(path, text, characters in links) of each line under `root`, in page order; nodes of `without` are left out."""
     pieces: list[str] = []
     linked = 0
+    path = root.path
 
-    def done() -> tuple[str, int]:
+    def done() -> Iterator[tuple[bytes, str, int]]:
         nonlocal linked
-        text, n = " ".join(html.unescape("".join(pieces)).split()), linked
+        if text := " ".join(html.unescape("".join(pieces)).split()):
+            yield path, text, linked
         pieces.clear()
         linked = 0
-        return text, n
 
+    left_out = set(map(id, without))
     todo: list[tuple[object, bool]] = [(root, False)]
     while todo:
         one, in_link = todo.pop()
-        if one is None:
-            yield done()
+        if type(one) is bytes:
+            yield from done()
+            path = one
         elif type(one) is str:
             pieces.append(one)
             linked += len(one) if in_link else 0
-        elif one is not root and _is_furniture(one, inside) or peers and one.constant >= peers and one is not root and not (inside and _has_content(one)):
+        elif one is not root and _is_furniture(one, inside):
             continue
+        elif id(one) in left_out:
+            yield from done()
         else:
             link = in_link or one.tag == "a"
             if one.tag == "br":
                 pieces.append(" ")
             if one.tag in _BLOCK:
-                yield done()
-                todo.append((None, False))
+                yield from done()
+                todo.append((path, False))
+                path = one.path
             todo += [(x, link) for x in reversed(one.parts)]
-    yield done()
+    yield from done()
+
 
+def _signature(path: bytes, text: str) -> int:
+    return int.from_bytes(_named(path, text), "little", signed=True)
 
-def main_text(page: Node, others: list[Node]) -> str:
-    """The blocks of the main text, one a line."""
-    others = [o for o in others if o.digest != page.digest]
-    for other in others:
-        mark_template(page, other)
+
+def signatures(page: Node) -> tuple[set[int], set[int]]:
+    """The signatures of the lines of a page's main parts, and of what is around them."""
     parts = _main_parts(page)
-    lines = [text for part in parts for text, _ in _blocks(part, True, len(others)) if text]
-    if not lines:
-        lines = [text for text, linked in _blocks(page, False, len(others)) if text and 2 * linked <= len(text)]
+    return {_signature(path, text) for part in parts for path, text, _ in _lines(part, True)}, {_signature(path, text) for path, text, _ in _lines(page, False, parts)}
+
+
+def mark_template(page: Node, other: Node) -> None:
+    """Counts up `constant` on each node of `page` all of whose lines are template by `other`: the case of a host with two pages."""
+    known, todo = set().union(*signatures(other)), page.nodes()
+    while todo:
+        node = todo.pop()
+        own = [_signature(path, text) for path, text, _ in _lines(node, False)]
+        node.constant += bool(own) and known.issuperset(own)
+        todo += node.nodes()
+
+
+def main_text(page: Node, template: frozenset[int] = frozenset(), n_pages: int = 1) -> str:
+    """The lines of the main text; template: the signatures that `n_pages` pages of the host share."""
+    whole = [(_signature(path, text), text) for part in _main_parts(page) for path, text, _ in _lines(part, True)]
+    lines = [text for sign, text in whole if n_pages < LEAST_PAGES or sign not in template]
+    if whole and not lines:  # nothing tells this article from others: it stays
+        lines = [text for _, text in whole]
+    if not whole:
+        lines = [text for path, text, linked in _lines(page, False) if 2 * linked <= len(text) and _signature(path, text) not in template]
     return "\n".join(lines)
 
 
+def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(host, page, signatures) of each page with lines; `page` is equal where all lines of the main parts are, or of a page without them."""
+    for batch in batches:
+        hosts, pages, signs = [], [], []
+        for host, source in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            main, around = signatures(parse(source or ""))
+            if main or around:
+                hosts.append(host)
+                pages.append(hash(tuple(sorted(main or around))))  # of integers: the same in every process
+                signs.append(sorted(main | around))
+        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(pages, pa.int64()), pa.array(signs, pa.list_(pa.int64()))], names=["host", "page", "signs"])
+
+
 def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by host, salt and kind: references (0) before the pages (1) that need them."""
-    now, others = None, []
     for batch in batches:
         rows = []
-        for host, salt, kind, page_id, url, source in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if (host, salt) != now:
-                now, others = (host, salt), []
-            page = parse(source or "")
-            if kind == 0:
-                if all(page.digest != o.digest for o in others):
-                    others.append(page)
-            else:
-                text = main_text(page, others)
-                rows.append((page_id, url, text, len(text)))
+        for page_id, url, source, n_pages, template in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            text = main_text(parse(source or ""), frozenset(template or ()), n_pages or 1)
+            rows.append((page_id, url, text, len(text)))
         columns = list(zip(*rows, strict=True)) or [()] * 4
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.string(), pa.string(), pa.int64()), strict=True)], names=["page_id", "url", "text", "n_chars"])
 
 
+def templates(pages: DataFrame) -> DataFrame:
+    """(host, n_pages, template) of each host of `pages` (host, html) with several pages that differ: the signatures that enough of them have."""
+    signed = pages.select("host", "html").mapInArrow(_signed, "host string, page long, signs array<long>")
+    signed = written(signed.groupBy("host", "page").agg(F.min("signs").alias("signs")), "signatures")
+    several = signed.groupBy("host").agg(F.count("*").alias("n_pages")).where("n_pages > 1")
+    shared = signed.select("host", F.explode("signs").alias("sign")).groupBy("host", "sign").agg(F.count("*").alias("n")).where("n > 1")
+    least = F.greatest(F.ceil(F.col("n_pages") / 2), F.least("n_pages", F.lit(LEAST_PAGES).cast("long")))
+    # At most twice as many signatures of a host as its pages have lines on average.
+    return several.join(shared, "host", "left").groupBy("host", "n_pages").agg(F.collect_list(F.when(F.col("n") >= least, F.col("sign"))).alias("template"))
+
+
 def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(page_id, url, text, n_chars) for each row of `pages`."""
     host = F.lower(F.regexp_extract(F.coalesce(pages[url_col], F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#]*)", 1))
@@ -279,10 +251,7 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
     most = max(HEAVY_ROWS, total // HEAVY_SHARE)
     heavy = pages.groupBy("host").count().where(F.col("count") > most).select("host", (1 + F.floor(F.col("count") / F.lit(HEAVY_ROWS))).alias("salts"))
     salts = F.coalesce("salts", F.lit(1).cast("long"))
-    one = F.struct("page_id", "html")
-    first = pages.groupBy("host").agg(F.array(F.min(one), F.max(one)).alias("own")).join(F.broadcast(heavy), "host", "left")
-    first = first.select("host", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1)).alias("salt"), "own").select("host", "salt", F.explode("own").alias("x"))
-    references = first.select("host", "salt", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("page_id"), F.lit(None).cast("string").alias("url"), "x.html")
-    dealt = pages.join(F.broadcast(heavy), "host", "left").select("host", F.pmod(F.xxhash64("page_id", "url"), salts).alias("salt"), F.lit(1).alias("kind"), "page_id", "url", "html")
-    rows = references.union(dealt).repartition("host", "salt").sortWithinPartitions("host", "salt", "kind")
-    return rows.mapInArrow(_extracted, "page_id long, url string, text string, n_chars long")
+    # Written, so that its size is known: a small table is broadcast and pages are not dealt at all.
+    own = written(templates(pages).join(F.broadcast(heavy), "host", "left").select("host", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1)).alias("salt"), "n_pages", "template"), "templates")
+    dealt = pages.join(F.broadcast(heavy), "host", "left").select("host", F.pmod(F.xxhash64("page_id", "url"), salts).alias("salt"), "page_id", "url", "html")
+    return dealt.join(own, ["host", "salt"], "left").select("page_id", "url", "html", "n_pages", "template").mapInArrow(_extracted, "page_id long, url string, text string, n_chars long")

@@ -167,6 +167,22 @@ def test_tree_matching_finds_the_template():
     assert [n.constant for n in own] == [1, 1, 0, 1]
 
 
+def _texts_of(spark, pages):
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    return {r["page_id"]: r["text"] for r in extract_main_text(df).collect()}
+
+
+def test_template_inside_articles_is_told_by_all_pages(spark):
+    page = "<article><h1>Title {0}</h1><p>Body {0} of it</p>{1}<p>Join our list today</p></article>"
+    # The first and the last page lack the notice that most others have.
+    pages = [(k, f"http://h.example/{k}", page.format(k, "<div><p>Prices rise soon</p></div>" if 0 < k < 9 else "")) for k in range(10)]
+    pages += [(20 + k, f"http://two.example/{k}", page.format(k, "")) for k in range(2)] + [(30 + k, f"http://copies.example/{k}", f"<div>Around {k}</div>" + page.format(1, "")) for k in range(5)]
+    got = _texts_of(spark, pages)
+    assert all(got[k] == f"Title {k}\nBody {k} of it" for k in range(10))
+    assert all(got[20 + k] == f"Title {k}\nBody {k} of it\nJoin our list today" for k in range(2))
+    assert all(got[30 + k] == "Title 1\nBody 1 of it\nJoin our list today" for k in range(5))
+
+
 def test_preference_rows_against_plain_python(spark):
     rng = random.Random(8)
     convs = {k: [(n, "user" if n % 2 == 0 else "assistant", rng.choice(["hi", "yo"]) if n else "start") for n in range(rng.randrange(1, 5))] for k in range(12)}
