@@ -183,6 +183,12 @@ def test_template_inside_articles_is_told_by_all_pages(spark):
     assert all(got[30 + k] == "Title 1\nBody 1 of it\nJoin our list today" for k in range(5))
 
 
+def test_inline_elements_and_breaks_stay_in_their_line(spark):
+    page = "<article><h1>Title {0}</h1><p>See <b>Note</b> for <a href=/x>Paris</a> {0}<p>one {0}<br>two <em>three</em></article>"
+    got = _texts_of(spark, [(k, f"http://i.example/{k}", page.format(k)) for k in range(5)])
+    assert all(got[k] == f"Title {k}\nSee Note for Paris {k}\none {k} two three" for k in range(5))
+
+
 def test_preference_rows_against_plain_python(spark):
     rng = random.Random(8)
     convs = {k: [(n, "user" if n % 2 == 0 else "assistant", rng.choice(["hi", "yo"]) if n else "start") for n in range(rng.randrange(1, 5))] for k in range(12)}
