@@ -8,9 +8,11 @@ template when half of the host's pages have it, and at least three (both, where
 inside an article or main part two pages are no evidence. Inline elements belong to their line, and
 no part of a line is ever template by itself.
 
-Marked-up furniture (navigation, forms, scripts, and elements whose class or id says menu, advert,
-comments and the like) is never content. Where a page marks its article or main part, the text comes
-from there; elsewhere all lines that vary are taken, without those that are mostly links.
+Marked-up furniture (navigation, forms, scripts) is never content. A class, id or role that says menu,
+advert, comments and the like is evidence only with another: lines that the host shares, or mostly
+links; on a page that is alone on its host it counts by itself, but not for articles, sections,
+tables and paragraphs. Where a page marks its article or main part, the text comes from there;
+elsewhere all lines that vary are taken, without those that are mostly links.
 
 Signatures are counted in two steps, by page and by host, each with sums made before the shuffle. A
 host may hold a third of all pages: its template travels to each of its salts, and pages stream past.
@@ -39,17 +41,19 @@ MAX_DEPTH = 200
 LEAST_PAGES = 3
 
 _MARKUP = re.compile(r"""<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S)
-_CUE = re.compile(r"""\b(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
+_CUE = re.compile(r"""(?<![^\s"'])(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 _PART = re.compile(r"[a-z]+")
 #: Elements without an end tag, elements whose content is no markup, furniture by tag, and block elements.
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_RAW = frozenset("script style textarea title noscript template iframe xmp noembed noframes svg math".split())
+_RAW = frozenset("script style textarea title noscript template iframe xmp noembed noframes".split())
 _FURNITURE = frozenset("head nav footer aside form button select dialog menu object video audio canvas map fieldset".split()) | _RAW
 _CONTENT = frozenset("p h1 h2 h3 h4 h5 h6 li blockquote pre td th figcaption dd dt".split())
 _BLOCK = _CONTENT | frozenset("html body div article section main header footer nav aside ul ol table thead tbody tfoot tr figure dl hr form address details summary center fieldset".split())
 _CUES = frozenset(
     "ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion menu navbar navigation nav topnav sidebar footer copyright cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe signup comment comments disqus replies respond share sharing social breadcrumb breadcrumbs related recommended recommendations widget login search pagination pager toolbar masthead contentinfo complementary".split()
 )
+#: Elements that a cue alone never makes furniture.
+_TEXT = _CONTENT | frozenset("article main section table".split())
 #: Start tags that end an open element of the same group.
 _CLOSES = {**{t: ("p",) for t in _BLOCK}, "li": ("li", "p"), "dt": ("dt", "dd", "p"), "dd": ("dt", "dd", "p"), "tr": ("td", "th", "tr", "p"), "td": ("td", "th", "p"), "th": ("td", "th", "p"), "option": ("option",)}
 _STOPS = {"li": ("ul", "ol"), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "dt": ("dl",), "dd": ("dl",)}
@@ -74,7 +78,11 @@ class Node:
 
 
 def _cues(attributes: str) -> frozenset[str]:
-    return frozenset(w for value in _CUE.findall(attributes) for w in _PART.findall(value.lower()) if w in _CUES) if "=" in attributes else frozenset()
+    """The names in class, id and role that are made up of cue words and nothing else."""
+    if "=" not in attributes:
+        return frozenset()
+    names = (n for value in _CUE.findall(attributes) for n in value.strip("\"'").lower().split())
+    return frozenset(n for n in names if (words := _PART.findall(n)) and _CUES.issuperset(words))
 
 
 def parse(source: str) -> Node:
@@ -122,23 +130,42 @@ def _close(stack: list[Node], tags: tuple[str, ...], stops: tuple[str, ...]) ->
         del stack[found:]
 
 
-def _is_furniture(node: Node, inside: bool) -> bool:
-    return node.tag in _FURNITURE or node.tag == "header" and not inside or bool(node.cues)
+def _mostly_links(node: Node) -> bool:
+    size = linked = 0
+    todo: list[tuple[object, bool]] = [(node, False)]
+    while todo:
+        one, in_link = todo.pop()
+        if type(one) is str:
+            n = len("".join(one.split()))
+            size += n
+            linked += n if in_link else 0
+        else:
+            todo += [(x, in_link or one.tag == "a") for x in one.parts]
+    return 2 * linked > size
+
+
+def _is_furniture(node: Node, inside: bool, alone: bool) -> bool:
+    """By tag, or by a cue that goes with links; only `alone`, where no other page tells template, by the cue of an element that is no text."""
+    if node.tag in _FURNITURE or node.tag == "header" and not inside:
+        return True
+    return bool(node.cues) and node.tag not in ("article", "main") and (alone and node.tag not in _TEXT or _mostly_links(node))
 
 
 def _main_parts(page: Node) -> list[Node]:
-    """The outermost article and main elements outside furniture."""
-    found, todo = [], [page]
+    """The outermost article and main elements: those outside marked-up furniture, or all where no other has text."""
+    clear, other, todo = [], [], [(page, False)]
     while todo:
-        node = todo.pop()
-        if node.tag in ("article", "main") and not node.cues:
-            found.append(node)
-        elif node is page or not _is_furniture(node, False):
-            todo += reversed(node.nodes())
-    return found
+        node, marked = todo.pop()
+        if node is not page:
+            marked = marked or node.tag in _FURNITURE or node.tag == "header" or bool(node.cues) and node.tag != "main"
+        if node.tag in ("article", "main"):
+            (other if marked else clear).append(node)
+        else:
+            todo += [(x, marked) for x in reversed(node.nodes())]
+    return clear if any(True for part in clear for _ in _lines(part, True)) else clear + other
 
 
-def _lines(root: Node, inside: bool, without: list[Node] = ()) -> Iterator[tuple[bytes, str, int]]:
+def _lines(root: Node, inside: bool, without: list[Node] = (), alone: bool = False) -> Iterator[tuple[bytes, str, int]]:
     """(path, text, characters in links) of each line under `root`, in page order; nodes of `without` are left out."""
     pieces: list[str] = []
     linked = 0
@@ -161,10 +188,10 @@ def _lines(root: Node, inside: bool, without: list[Node] = ()) -> Iterator[tuple
         elif type(one) is str:
             pieces.append(one)
             linked += len(one) if in_link else 0
-        elif one is not root and _is_furniture(one, inside):
-            continue
         elif id(one) in left_out:
             yield from done()
+        elif one is not root and _is_furniture(one, inside, alone):
+            continue
         else:
             link = in_link or one.tag == "a"
             if one.tag == "br":
@@ -199,12 +226,14 @@ def mark_template(page: Node, other: Node) -> None:
 
 def main_text(page: Node, template: frozenset[int] = frozenset(), n_pages: int = 1) -> str:
     """The lines of the main text; template: the signatures that `n_pages` pages of the host share."""
-    whole = [(_signature(path, text), text) for part in _main_parts(page) for path, text, _ in _lines(part, True)]
+    alone = n_pages == 1
+    parts = _main_parts(page)
+    whole = [(_signature(path, text), text) for part in parts for path, text, _ in _lines(part, True, alone=alone)]
     lines = [text for sign, text in whole if n_pages < LEAST_PAGES or sign not in template]
     if whole and not lines:  # nothing tells this article from others: it stays
         lines = [text for _, text in whole]
     if not whole:
-        lines = [text for path, text, linked in _lines(page, False) if 2 * linked <= len(text) and _signature(path, text) not in template]
+        lines = [text for path, text, linked in _lines(page, False, alone=alone) if 2 * linked <= len(text) and _signature(path, text) not in template]
     return "\n".join(lines)
 
 

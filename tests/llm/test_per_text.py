@@ -189,6 +189,21 @@ def test_inline_elements_and_breaks_stay_in_their_line(spark):
     assert all(got[k] == f"Title {k}\nSee Note for Paris {k}\none {k} two three" for k in range(5))
 
 
+def test_cue_words_take_no_article(spark):
+    body = "<p>Words {0} of it</p><p class=notice>Noted {0}</p><table id=related><tr><td>cell {0}</table><svg><text>label {0}</text></svg><p>x<math><mi>y{0}</mi></math>"
+    want = "Words {0} of it\nNoted {0}\ncell {0}\nlabel {0}\nxy{0}"
+    shells = [
+        '<div class="layout-with-sidebar"><article class="post tag-search category-related has-comments" id="share-price">{}</article></div>',
+        '<div class="comments-open"><article data-id=search data-role="menu">{}</article></div>',
+        '<div class="sidebar"><main role="main" class="search">{}</main></div>', '<form id="login"><div class=modal><article class=widget>{}</article></div></form>',
+    ]
+    pages = [(10 * n + k, f"http://{n}.example/{k}", shell.format(body.format(k))) for n, shell in enumerate(shells) for k in range(4)]
+    pages += [(90, "http://alone.example/", shells[0].format(body.format(0))), (91, "http://teasers.example/", "<article>" + body.format(1) + "<div class='related share'>More <a href=/>of our many stories</a></div></article><aside><article>Teaser</article></aside>")]
+    got = _texts_of(spark, pages)
+    assert all(got[10 * n + k] == want.format(k) for n in range(len(shells)) for k in range(4))
+    assert got[90] == want.format(0) and got[91] == want.format(1)
+
+
 def test_preference_rows_against_plain_python(spark):
     rng = random.Random(8)
     convs = {k: [(n, "user" if n % 2 == 0 else "assistant", rng.choice(["hi", "yo"]) if n else "start") for n in range(rng.randrange(1, 5))] for k in range(12)}
