@@ -27,6 +27,8 @@ from __future__ import annotations
 import hashlib
 import html
 import re
+from bisect import bisect_right
+from collections import defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -36,7 +38,6 @@ from .store import written
 
 HEAVY_ROWS = 2000
 HEAVY_SHARE = 1000
-MAX_DEPTH = 200
 #: Pages that must share a line, where the host has as many.
 LEAST_PAGES = 3
 
@@ -85,11 +86,37 @@ def _cues(attributes: str) -> frozenset[str]:
     return frozenset(n for n in names if (words := _PART.findall(n)) and _CUES.issuperset(words))
 
 
+class _Open:
+    """The open elements, innermost last, with the places of each tag."""
+
+    def __init__(self, root: Node):
+        self.stack, self.places = [root], defaultdict(list)
+
+    def push(self, node: Node) -> None:
+        self.places[node.tag].append(len(self.stack))
+        self.stack.append(node)
+
+    def close(self, tags: tuple[str, ...], stops: tuple[str, ...]) -> None:
+        """Ends the innermost open element of `tags`, and all in it; with `stops`, the outermost that no element of them holds apart."""
+        own = [self.places[t] for t in tags if self.places.get(t)]
+        if not own:
+            return
+        if stops:
+            floor = max((p[-1] for t in stops if (p := self.places.get(t))), default=0)
+            found = min((p[k] for p in own if (k := bisect_right(p, floor)) < len(p)), default=None)
+        else:
+            found = max(p[-1] for p in own)
+        if found is not None:
+            for node in self.stack[found:]:
+                self.places[node.tag].pop()
+            del self.stack[found:]
+
+
 def parse(source: str) -> Node:
-    """The tree of a page; elements beyond MAX_DEPTH are read as part of the one that holds them."""
+    """The tree of a page, however deep."""
     root = Node("html")
-    stack, at = [root], 0
-    find = _MARKUP.search
+    opened, at = _Open(root), 0
+    stack, find = opened.stack, _MARKUP.search
     while match := find(source, at):
         if match.start() > at:
             stack[-1].parts.append(source[at : match.start()])
@@ -98,38 +125,24 @@ def parse(source: str) -> Node:
             continue
         tag = match[2].lower()
         if match[1]:
-            _close(stack, (tag,), ())
+            opened.close((tag,), ())
             continue
         if tag in ("html", "body"):
             continue
         if tag in _CLOSES:
-            _close(stack, _CLOSES[tag], _STOPS.get(tag, ()))
+            opened.close(_CLOSES[tag], _STOPS.get(tag, ()))
         if tag in _RAW:
             end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(source, at)
             at = end.end() if end else len(source)
             continue
         node = Node(tag, _cues(match[3]), stack[-1].path)
         stack[-1].parts.append(node)
-        if tag not in _VOID and not match[3].endswith("/") and len(stack) < MAX_DEPTH:
-            stack.append(node)
+        if tag not in _VOID and not match[3].endswith("/"):
+            opened.push(node)
     stack[-1].parts.append(source[at:])
     return root
 
 
-def _close(stack: list[Node], tags: tuple[str, ...], stops: tuple[str, ...]) -> None:
-    """Ends the innermost open element of `tags`, and all in it, unless an element of `stops` is between."""
-    found = None
-    for k in range(len(stack) - 1, 0, -1):
-        if stack[k].tag in stops:
-            break
-        if stack[k].tag in tags:
-            found = k
-            if not stops:
-                break
-    if found is not None:
-        del stack[found:]
-
-
 def _mostly_links(node: Node) -> bool:
     size = linked = 0
     todo: list[tuple[object, bool]] = [(node, False)]

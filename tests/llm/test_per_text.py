@@ -204,6 +204,17 @@ def test_cue_words_take_no_article(spark):
     assert got[90] == want.format(0) and got[91] == want.format(1)
 
 
+def test_no_depth_and_no_length_switches_the_result(spark):
+    deep = "<main><article><p>start {0}</p><div>" + "<span>" * 300 + "<div><div>in {0}</div></div><div>more {0}</div></div><p>rest {0}</p></article></main>"
+    long = "<article>" + "".join(f"<p>part {k} of {{0}}</p>" + "<p>Read on, dear reader</p>" * (k == 70) for k in range(300)) + "<p>The end {0}</p></article>"
+    pages = [(10 * n + k, f"http://{n}.example/{k}", page.format(k)) for n, page in enumerate((deep, long)) for k in range(4)]
+    pages += [(90, "http://d.example/", "<article>" + "<div>" * 30_000 + "x" + "<li>y" * 3000 + "</article>after")]
+    got = _texts_of(spark, pages)
+    assert all(got[k] == f"start {k}\nin {k}\nmore {k}\nrest {k}" for k in range(4))
+    assert all(got[10 + k].split("\n") == [*(f"part {n} of {k}" for n in range(300)), f"The end {k}"] for k in range(4))
+    assert got[90] == "x\n" + "\n".join("y" * 3000)
+
+
 def test_preference_rows_against_plain_python(spark):
     rng = random.Random(8)
     convs = {k: [(n, "user" if n % 2 == 0 else "assistant", rng.choice(["hi", "yo"]) if n else "start") for n in range(rng.randrange(1, 5))] for k in range(12)}
