@@ -4,8 +4,9 @@ The gear hash of a place is the sum of table values of the bytes before it, each
 distance, modulo 2^64; a chunk may end where its top bits are zero. It depends on the last 64 bytes
 alone, so an insertion moves no boundary beyond the next one. All places of a block are hashed at
 once, by doubling the number of bytes that a sum covers. Chunks are named by a digest; the smallest
-document that holds one keeps it. A run of chunks that smaller documents hold is removed when it is
-at least `least` bytes long, so that a short common phrase alone costs a text nothing.
+document that holds one keeps it, at the first place where it has it. A run of chunks that are held
+elsewhere is removed when it is at least `least` bytes long or covers the whole text, so that a short
+common phrase alone costs a text nothing and an exact copy of any length goes.
 
 Copies within a block of texts are settled before the shuffle, so one very common chunk is a row a
 block. What is left is dealt and sorted by digest and streams past: the first row of a digest names
@@ -80,17 +81,20 @@ def _batch(columns: tuple[np.ndarray, ...], settled: bool) -> pa.RecordBatch:
 
 
 def _dealt(batches: Iterator[pa.RecordBatch], bits: int, least: int, most: int) -> Iterator[pa.RecordBatch]:
-    """Chunks of (key, tag, text) rows; those that a smaller key of the same block holds are settled."""
+    """Chunks of (key, tag, text) rows; those that a smaller key of the same block, or the same text before, holds are settled."""
 
     def flush(held: list) -> Iterator[pa.RecordBatch]:
         columns = tuple(np.concatenate(c) for c in zip(*held, strict=True))
-        key, d0, d1 = columns[0], columns[4], columns[5]
-        by = np.lexsort((key, d1, d0))
+        key, tag, start, _, d0, d1 = columns
+        by = np.lexsort((start, tag, key, d1, d0))
         new = np.concatenate([[True], (d0[by][1:] != d0[by][:-1]) | (d1[by][1:] != d1[by][:-1])])
-        holder = np.empty_like(key)
+        new_text = new | np.concatenate([[True], (key[by][1:] != key[by][:-1]) | (tag[by][1:] != tag[by][:-1])])
+        holder, first = np.empty_like(key), np.empty_like(start)
         holder[by] = key[by][np.flatnonzero(new)[np.cumsum(new) - 1]]
+        first[by] = start[by][np.flatnonzero(new_text)[np.cumsum(new_text) - 1]]
+        settled = (key > holder) | (start > first)
         for late in (True, False):
-            own = (key > holder) == late
+            own = settled == late
             yield _batch(tuple(c[own] for c in columns), late)
 
     held, amount = [], 0
@@ -113,32 +117,37 @@ def _dealt(batches: Iterator[pa.RecordBatch], bits: int, least: int, most: int)
 
 
 def _late(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by digest and key: all that follow the first of their digest with a larger key, and what is settled."""
-    last: tuple = (None, None, None)
+    """Rows come sorted by digest, key, tag and start: all that a smaller key or an earlier place of their text holds, and what is settled."""
+    last: tuple = (None, None, None, 0, 0, None, None)
     for batch in batches:
-        key, d0, d1 = (batch.column(k).to_numpy() for k in (0, 4, 5))
-        settled = batch.column(6).to_numpy(zero_copy_only=False)
-        if not len(key):
+        if not batch.num_rows:
             continue
+        key, tag, start, _, d0, d1 = (batch.column(k).to_numpy() for k in range(6))
+        settled = batch.column(6).to_numpy(zero_copy_only=False)
         # Settled rows have no digest to compare: they stand apart by their flag, after which the sort puts them.
         new = np.concatenate([[(d0[0], d1[0], settled[0]) != last[:3]], (d0[1:] != d0[:-1]) | (d1[1:] != d1[:-1]) | (settled[1:] != settled[:-1])])
-        group = np.cumsum(new) - 1
-        firsts = key[new]
-        holder = np.where(group >= 0, firsts[np.maximum(group, 0)] if len(firsts) else key, last[3] if len(last) > 3 else 0)
-        late = settled | (key > holder)
+        new_text = new | np.concatenate([[(key[0], tag[0]) != last[5:]], (key[1:] != key[:-1]) | (tag[1:] != tag[:-1])])
+        holder = _firsts(key, new, last[3])
+        first = _firsts(start, new_text, last[4])
+        late = settled | (key > holder) | (start > first)
         yield pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(late)) for k in range(4)], names=_NAMES[:4])
-        last = (d0[-1], d1[-1], settled[-1], holder[-1])
+        last = (d0[-1], d1[-1], settled[-1], holder[-1], first[-1], key[-1], tag[-1])
+
+
+def _firsts(values: np.ndarray, new: np.ndarray, before: int) -> np.ndarray:
+    """The first value of the group of each row; `before` for rows whose group began in an earlier batch."""
+    return np.concatenate([[before], values[new]]).astype(values.dtype)[np.cumsum(new)]
 
 
 def known_chunks(docs: DataFrame, bits: int = MASK_BITS, least: int = MIN_CHUNK, most: int = MAX_CHUNK) -> DataFrame:
-    """(key, tag, start, size) of every chunk of `docs` (key, tag, text) that a row with a smaller key holds too."""
+    """(key, tag, start, size) of every chunk of `docs` (key, tag, text) that a row with a smaller key, or the same text at an earlier place, holds too."""
     rows = docs.select("key", "tag", "text").mapInArrow(lambda b: _dealt(b, bits, least, most), "key long, tag long, start int, size int, d0 long, d1 long, settled boolean")
     by = F.when(F.col("settled"), F.xxhash64("key")).otherwise(F.col("d0"))
-    return rows.repartition(by).sortWithinPartitions("settled", "d0", "d1", "key").mapInArrow(_late, "key long, tag long, start int, size int")
+    return rows.repartition(by).sortWithinPartitions("settled", "d0", "d1", "key", "tag", "start").mapInArrow(_late, "key long, tag long, start int, size int")
 
 
 def chunk_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = MASK_BITS, min_chunk: int = MIN_CHUNK, max_chunk: int = MAX_CHUNK, least: int = LEAST, keep_text: bool = False) -> DataFrame:
-    """What is left of each row of `docs` without the runs of chunks that smaller ids hold."""
+    """What is left of each row of `docs` without the runs of chunks that smaller ids, or earlier places of the text, hold."""
     docs = tagged(docs, id_col, text_col)
     late = known_chunks(docs.withColumn("key", F.coalesce("doc_id", F.lit(NO_ID))), bits, min_chunk, max_chunk)
     return without_spans(docs, late, least, keep_text)

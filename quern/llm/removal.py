@@ -38,7 +38,7 @@ def _report(batches: Iterator[pa.RecordBatch], least: int, keep_text: bool) -> I
                     spans[-1][1] = max(end, spans[-1][1])
                 else:
                     spans.append([start, end])
-            spans = [s for s in spans if s[1] - s[0] >= least]
+            spans = [s for s in spans if s[1] - s[0] >= min(least, len(raw))]
             edges = [0, *(x for s in spans for x in s), len(raw)]
             kept = b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
             rows.append((doc_id, len(raw), len(raw) - len(kept), len(spans), hashlib.sha256(kept).hexdigest(), *([kept.decode("utf-8", "replace")] if keep_text else [])))
@@ -50,7 +50,8 @@ def _report(batches: Iterator[pa.RecordBatch], least: int, keep_text: bool) -> I
 def without_spans(docs: DataFrame, spans: DataFrame, least: int = 1, keep_text: bool = False) -> DataFrame:
     """A row for each of `docs` (doc_id, tag, text): sizes, the runs removed, and a digest of what is kept.
 
-    spans: (key, tag, start, size) in bytes, key being the id or NO_ID; runs under `least` bytes stay.
+    spans: (key, tag, start, size) in bytes, key being the id or NO_ID; runs under `least` bytes stay,
+    but for one that is the whole text.
     Texts travel to their spans compressed.
     """
     own = spans.groupBy("key", "tag").agg(F.collect_list(F.struct("start", "size")).alias("spans")).withColumnsRenamed({"key": "_key", "tag": "_tag"})

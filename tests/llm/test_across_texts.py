@@ -127,6 +127,20 @@ def test_chunks_resist_insertions(spark):
     assert all(r["n_bytes"] == len((dict(rows)[i] or "").encode()) for i, r in got.items())
 
 
+def test_chunks_of_short_copies_and_repeats_within_a_text(spark):
+    rng = random.Random(9)
+    short, passage = "a short text of few words", S.prose(rng, 200)
+    twice = passage + " -- " + passage
+    rows = [(1, short), (2, short), (3, short), (4, S.prose(rng, 30) + " " + short + " " + S.prose(rng, 30)), (5, "x"), (6, "x"), (7, twice), (7, twice), (8, None), (None, short)]
+    got = {}
+    for r in K.chunk_dedup(S.documents(spark, rows), keep_text=True).collect():
+        got.setdefault(r["doc_id"], set()).add((r["kept_text"], r["n_removed"]))
+    assert got[1] == {(short, 0)} and got[2] == got[3] == got[None] == {("", len(short))} and got[4] == {(rows[3][1], 0)}
+    assert got[5] == {("x", 0)} and got[6] == {("", 1)} and got[8] == {("", 0)}
+    ((kept, gone),) = got[7]
+    assert len(kept) + gone == len(twice) and kept.startswith(passage) and gone > 0.6 * len(passage)
+
+
 def _tokens(text):
     return [*S.words(S.lower(text or "")), None]
 
