@@ -41,7 +41,14 @@ MORE_RULES = (
     Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{20,}"),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{10,}[.][A-Za-z0-9_-]{10,}[.][A-Za-z0-9_-]{10,}"),
-    Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
+    # The header; then all up to the END line, or else header fields and what looks like base64 lines, the short last one with them.
+    Rule(
+        "pem",
+        r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----"
+        r"(?:[^-]*(?:-{1,4}[^-]+){0,100}-----END [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----"
+        r"|(?:[ \t\r\n]*[A-Za-z-]+: [^\r\n]*[\r\n]+){0,100}(?:[A-Za-z0-9+/=\\ \t\r\n]*[A-Za-z0-9+/=]{20,})?(?:[ \t]*(?:\r?\n|\\n)[ \t]*[A-Za-z0-9+/]+={0,2}[ \t]*(?:[\r\n]|\\|\z))?)",
+        version=2,
+    ),
 )
 RULES = BASE_RULES + MORE_RULES
 REDACTED = "[SECRET]"
