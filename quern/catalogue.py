@@ -399,3 +399,16 @@ def asm_operand_list(spark, sf_dir):
     src = """concat('void f(void) { __asm__ volatile ("nop" : "=r" (a), "=m" (*p) : "r" (x[', s_suppkey, ']) : "cc", "memory"); g(b, c); }')"""
     p = _units(_table(spark, sf_dir, "supplier"), "s_suppkey", src)
     return spans.asm_operands(p.raw_marked).select("unit_id", "section", "ordinal", "constraint", "value")
+
+
+def lex_whole_documents(spark, sf_dir):
+    """Every document lexed whole, whatever its characters: how many lexemes of each kind, and the characters they cover."""
+    docs = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("unit_id"), F.col("text").alias("src"))
+    kinds = {"words": ["word"], "numbers": ["int", "float"], "literals": ["string", "char"], "punctuators": ["punctuator"], "comments": ["block_comment", "line_comment", "open_comment"], "errors": ["error"]}
+    counts = [F.count("*").alias("lexemes"), F.sum(F.length("src")).alias("chars"), *[F.count_if(F.col("cls").isin(c)).alias(n) for n, c in kinds.items()]]
+    found = Program(docs).lexemes.groupBy("unit_id").agg(*counts)
+    return docs.select("unit_id").join(found, "unit_id", "left").na.fill(0, ["lexemes", "chars", *kinds])
+
+
+#: Queries that no SQL can give, as the lexemes need lookbehind and back references; the tests hold them against brute force.
+WITHOUT_SQL = {"lex_whole_documents": lex_whole_documents}

@@ -135,3 +135,35 @@ def test_preprocessor_defines_keep_parameters(spark):
     p = program(spark, "#define LOG(fmt, ...) printf(fmt, __VA_ARGS__)\n#define EMPTY\n#define PAIR (1, 2)\n")
     got = names(preprocessor.defines(p.directives).orderBy("tok_ix"), "macro_name", "macro_kind", "macro_params", "macro_variadic", "macro_body")
     assert got == [("LOG", "function-like", ["fmt"], True, "printf ( fmt , __VA_ARGS__ )"), ("EMPTY", "object-like", [], False, ""), ("PAIR", "object-like", [], False, "( 1 , 2 )")]
+
+
+def _lexed(text):
+    """A lexer by hand: (kind, lexeme) in order."""
+    import re
+
+    tries = [
+        ("line_cont", r"\\(\r\n|\n|\r)"), ("comments", r"/\*.*?\*/"), ("comments", r"/\*.*"), ("comments", r"//[^\n\r]*"), ("newline", r"\r\n|\n|\r"), ("space", r"[ \t\x0b\f]+"),
+        ("literals", r'(u8|u|U|L)?R"([^(]*)\(.*?\)\2"'), ("literals", r'(u8|u|U|L)?"([^"\\\n\r]|\\.)*"'), ("literals", r"(u8|u|U|L)?'([^'\\\n\r]|\\.)*'"),
+        ("numbers", r"[0-9]+\.[0-9]*|\.[0-9]+|0[0-7]*|[1-9][0-9']*"), ("words", r"[A-Za-z_$][A-Za-z0-9_$]*"), ("punctuators", r"\.\.\.|->|<<|>>|<=|&&|==|\+\+|[]()\[{};,.?:=+*/%&|^~!<>#@\\-]"),
+    ]
+    at, out = 0, []
+    while at < len(text):
+        kind, m = next(((k, m) for k, p in tries if (m := re.compile(p, re.S).match(text, at))), ("errors", None))
+        out.append((kind, m[0] if m else text[at]))
+        at += len(out[-1][1])
+    return out
+
+
+def test_whole_documents_against_a_lexer_by_hand(spark, tmp_path):
+    from quern import catalogue
+
+    texts = ["plain words_only, of it.", 'été "quoted text" costs 12 or 3.5 (see [7])', "it's one\nand isn't 'x'", "a /* open", "/* c */ b // line\r\n'c' \\\n x->y ... \U0001f600 漢字", "", None, '"unended\n', "007 0x $a #b", "x" * 50_000 + " \"" + "q 1 é " * 20_000 + '" end', "'" + "q " * 30_000, 'R"d(a "b)d" u8"z"']
+    texts = [t and t.replace("0x ", "") for t in texts]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["unit_id"]: r.asDict() for r in catalogue.WITHOUT_SQL["lex_whole_documents"](spark, str(tmp_path)).collect()}
+    assert len(got) == len(texts)
+    for k, t in enumerate(texts):
+        want = _lexed(t or "")
+        assert (got[k]["lexemes"], got[k]["chars"]) == (len(want), len(t or ""))
+        for kind in ("words", "numbers", "literals", "punctuators", "comments", "errors"):
+            assert got[k][kind] == sum(x == kind for x, _ in want), (k, kind)
