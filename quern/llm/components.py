@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from .store import written
+from .store import dropped, written
 
 
 def connected_components(links: DataFrame) -> DataFrame:
@@ -17,7 +17,7 @@ def connected_components(links: DataFrame) -> DataFrame:
     Nulls and links from a node to itself are dropped: they connect nothing.
     """
     links = links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    links = written(links, "links")
+    links = held = written(links, "links")
     before = None
     while True:
         # Larger neighbours of each node move to its smallest neighbour, or to itself.
@@ -28,6 +28,8 @@ def connected_components(links: DataFrame) -> DataFrame:
         small = large.groupBy("a").agg(F.min("b").alias("m"))
         links = large.join(small, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct(F.col("a"), F.col("m").alias("b")))).alias("x")).select("x.*").where("a <> b").distinct()
         links = written(links, "links")
+        dropped(held)
+        held = links
         now = links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
             return links.select(F.col("a").alias("node"), F.col("b").alias("root")).union(links.select(F.col("b"), F.col("b")).distinct())

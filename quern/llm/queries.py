@@ -36,9 +36,12 @@ def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .secret_scan import secret_report
+    from .secret_scan import in_two_commits, report, scan_commit
 
-    return secret_report(table(spark, sf_dir, "documents")).drop("blob")
+    docs, ledger, findings = table(spark, sf_dir, "documents"), None, None
+    for commit in in_two_commits(docs):
+        ledger, findings = scan_commit(commit, ledger, findings)
+    return report(docs, findings).drop("blob")
 
 
 def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import zstandard
@@ -26,6 +26,29 @@ def _squeezed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), texts], names=["doc_id", "tag", "squeezed"])
 
 
+def _recoded(df: DataFrame, column: str, coder: Callable[[], Callable[[bytes], bytes]]) -> DataFrame:
+    """`df` with each value of a binary column recoded; nulls stay null."""
+    place, schema = df.columns.index(column), df.schema
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        recode = coder()
+        for batch in batches:
+            values = pa.array([None if x is None else recode(x) for x in batch.column(place).to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([values if k == place else c for k, c in enumerate(batch.columns)], names=schema.names)
+
+    return df.mapInArrow(rows, schema)
+
+
+def squeezed(docs: DataFrame, text_col: str) -> DataFrame:
+    """`docs` with its texts as compressed bytes, to travel."""
+    return _recoded(docs.withColumn(text_col, F.col(text_col).cast("binary")), text_col, lambda: zstandard.ZstdCompressor(level=3).compress)
+
+
+def spread(docs: DataFrame, text_col: str) -> DataFrame:
+    """The texts of squeezed() as they were."""
+    return _recoded(docs, text_col, lambda: zstandard.ZstdDecompressor().decompress).withColumn(text_col, F.col(text_col).cast("string"))
+
+
 def _report(batches: Iterator[pa.RecordBatch], least: int, keep_text: bool) -> Iterator[pa.RecordBatch]:
     spread = zstandard.ZstdDecompressor()
     for batch in batches:

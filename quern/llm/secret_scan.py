@@ -1,20 +1,25 @@
 """Secret scans with an incremental ledger of content-addressed blobs; DataFrame functions only.
 
-Every historical version of every path is named by the SHA-256 of its text. The ledger holds the
-(blob, rule, rule version) triples that were scanned; only triples that are not in it are scanned,
-each once, however many paths and versions carry the blob. Findings are kept by blob and joined
-back to all paths.
+Every historical version of every path is named by the SHA-256 of its text. The ledger holds a row
+for each blob and scan, with the (rule, version) pairs that the scan covered. Of a new batch of
+versions only the pairs that the ledger lacks are scanned, once for each blob, however many paths
+carry it. Findings are kept by blob, rule and rule version, those of older rule versions no longer
+count, and what counts is joined back to all paths.
 
 Matches are leftmost and do not overlap within a rule. Their places come from the lengths of what
 split() leaves between them, summed over a window of one blob and rule, so a text with very many
-matches costs no more than its length.
+matches costs no more than its length. No rule looks at a character more than a few times: a text of
+megabytes costs a thousand times one of kilobytes.
 
 Cases: a null text counts as empty; a null id or path is a value like any other; repeated rows give
-repeated results; an empty table gives none.
+repeated results; an empty table gives none; other columns are not read by the report and stay in
+redacted rows.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -40,7 +45,8 @@ BASE_RULES = (
 MORE_RULES = (
     Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{20,}"),
-    Rule("jwt", r"eyJ[A-Za-z0-9_-]{10,}[.][A-Za-z0-9_-]{10,}[.][A-Za-z0-9_-]{10,}"),
+    # What begins like one and is none takes all its characters, so that no run is read twice.
+    Rule("jwt", r"(eyJ[A-Za-z0-9_-]{10,}[.][A-Za-z0-9_-]{10,}[.][A-Za-z0-9_-]{10,})|eyJ[A-Za-z0-9_.-]*", 1, 1, version=2),
     # The header; then all up to the END line, or else header fields and what looks like base64 lines, the short last one with them.
     Rule(
         "pem",
@@ -52,28 +58,48 @@ MORE_RULES = (
 )
 RULES = BASE_RULES + MORE_RULES
 REDACTED = "[SECRET]"
+#: Ids of so many blobs are broadcast at most: 2 MB.
+BROADCAST_BLOBS = 20_000
+#: Shares that the copies of one blob are dealt to.
+COPY_SHARES = 256
+#: Code points of a page of a text that is cut.
+PAGE = 1024
 
 
 def blob_id(text: Column) -> Column:
-    return F.sha2(F.coalesce(text, F.lit("")), 256)
+    # Never null, and said so: a filter on it would keep equal exchanges apart.
+    return F.coalesce(F.sha2(F.coalesce(text, F.lit("")), 256), F.lit(""))
 
 
-def _rule_table(spark, rules: tuple[Rule, ...]) -> DataFrame:
-    return spark.createDataFrame([(r.kind, r.version) for r in rules], "kind string, version int")
+def _combined(rows: DataFrame) -> DataFrame:
+    """One row for each blob; copies are merged before the exchange."""
+    return rows.groupBy("blob").agg(*[F.first(c).alias(c) for c in rows.columns if c != "blob"])
+
+
+def _covered(ledger: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+    """(blob, done): the rules of which the ledger has the present version."""
+    scans = ledger.select("blob", F.explode("rules").alias("x"))
+    present = [(F.col("x.kind") == r.kind) & (F.col("x.version") == r.version) for r in rules]
+    return scans.where(reduce(or_, present, F.lit(False))).groupBy("blob").agg(F.collect_set("x.kind").alias("done"))
 
 
 def unseen(versions: DataFrame, ledger: DataFrame | None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """(blob, text, kinds): each distinct blob of `versions` (text) with the rules that the ledger lacks for it."""
+    """(blob, text, kinds): each distinct blob of `versions` (text) with the rules that the ledger lacks for it.
+
+    The ledger is asked with blob ids alone. Where it leaves few blobs, they are broadcast and no
+    other text moves; beyond BROADCAST_BLOBS the texts are dealt by blob, each once.
+    """
     text = F.coalesce(versions["text"], F.lit(""))
-    blobs = versions.select(blob_id(text).alias("blob"), text.alias("text")).groupBy("blob").agg(F.first("text").alias("text"))
+    rows = versions.select(blob_id(text).alias("blob"), text.alias("text"))
     kinds = F.array(*[F.lit(r.kind) for r in rules])
     if ledger is None:
-        return blobs.withColumn("kinds", kinds)
-    wanted = {r.kind: r.version for r in rules}
-    known = ledger.where(F.lit(False) if not wanted else F.concat_ws("\x00", "kind", "version").isin([f"{k}\x00{v}" for k, v in wanted.items()]))
-    done = known.groupBy("blob").agg(F.collect_set("kind").alias("done"))
+        return _combined(rows).withColumn("kinds", kinds)
     left = F.array_except(kinds, F.coalesce("done", F.array().cast("array<string>")))
-    return blobs.join(done, "blob", "left").select("blob", "text", left.alias("kinds")).where(F.size("kinds") > 0)
+    missing = rows.select("blob").distinct().join(_covered(ledger, rules), "blob", "left").select("blob", left.alias("kinds")).where(F.size("kinds") > 0)
+    missing = written(missing, "unseen")
+    if missing.limit(BROADCAST_BLOBS + 1).count() <= BROADCAST_BLOBS:
+        return _combined(rows.join(F.broadcast(missing), "blob"))
+    return _combined(rows).join(missing.hint("shuffle_merge"), "blob")
 
 
 def _sizes(parts: Column, rank: int) -> Column:
@@ -85,8 +111,8 @@ def _count(rank: int) -> Column:
     return F.size(F.filter("spans", lambda s: s["rank"] == rank)).cast("long")
 
 
-def scanned(blobs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """(blob, kind, rank, start, end) of every finding; code points, end exclusive."""
+def scanned(blobs: DataFrame, rules: tuple[Rule, ...] = RULES, keys: tuple[str, ...] = ("blob",)) -> DataFrame:
+    """(*keys, kind, version, rank, start, end) of every finding in `blobs` (*keys, text, kinds); code points, end exclusive."""
     found = []
     for rank, rule in enumerate(rules):
         pattern = F.lit(rule.pattern)
@@ -97,18 +123,42 @@ def scanned(blobs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
         )
         found.append(F.when(F.array_contains("kinds", rule.kind) & F.col("text").rlike(rule.pattern), _sizes(parts, rank)))
     none = F.array().cast("array<struct<rank:int,nth:int,gap:bigint,size:bigint,value:int>>")
-    rows = blobs.select("blob", F.explode(F.concat(*[F.coalesce(x, none) for x in found])).alias("x")).select("blob", "x.*").where("size IS NOT NULL")
-    order = Window.partitionBy("blob", "rank").orderBy("nth")
+    rows = blobs.select(*keys, F.explode(F.concat(*[F.coalesce(x, none) for x in found])).alias("x")).select(*keys, "x.*").where("size IS NOT NULL")
+    order = Window.partitionBy(*keys, "rank").orderBy("nth")
     rows = rows.withColumn("end", F.sum(F.col("gap") + F.col("size")).over(order)).withColumn("start", F.col("end") - F.col("size"))
-    least = F.element_at(F.array(*[F.lit(r.least) for r in rules]), F.col("rank") + 1)
-    kind = F.element_at(F.array(*[F.lit(r.kind) for r in rules]), F.col("rank") + 1)
-    return rows.where(F.col("value") >= least).select("blob", kind.alias("kind"), "rank", "start", "end")
+    of_rule = lambda name: F.element_at(F.array(*[F.lit(getattr(r, name)) for r in rules]), F.col("rank") + 1)
+    return rows.where(F.col("value") >= of_rule("least")).select(*keys, of_rule("kind").alias("kind"), of_rule("version").alias("version"), "rank", "start", "end")
 
 
 def ledger_rows(blobs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The ledger entries for what unseen() gave out."""
     versions = F.create_map(*[F.lit(x) for r in rules for x in (r.kind, r.version)])
-    return blobs.select("blob", F.explode("kinds").alias("kind")).withColumn("version", versions[F.col("kind")])
+    return blobs.select("blob", F.transform("kinds", lambda k: F.struct(k.alias("kind"), versions[k].alias("version"))).alias("rules"))
+
+
+def current(findings: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """The findings of the present version of each rule, ranked as the rules are now."""
+    rank = F.create_map(*[F.lit(x) for k, r in enumerate(rules) for x in (f"{r.kind}:{r.version}", k)])[F.concat_ws(":", "kind", "version")]
+    return findings.withColumn("rank", rank).where("rank IS NOT NULL")
+
+
+def scan_commit(versions: DataFrame, ledger: DataFrame | None = None, findings: DataFrame | None = None, rules: tuple[Rule, ...] = RULES) -> tuple[DataFrame, DataFrame]:
+    """The ledger and the findings, as written tables, after the unseen pairs of `versions` (text) were scanned."""
+    blobs = unseen(versions, ledger, rules)
+    # Every scanned blob has a row, with its findings or none, so one pass writes both.
+    whole = blobs.select("blob", "kinds", "text")
+    found = written(scanned(whole, rules).groupBy("blob").agg(F.collect_list(F.struct("kind", "version", "rank", "start", "end")).alias("found")).join(ledger_rows(whole, rules), "blob", "right"), "scan")
+    new = found.select("blob", F.explode("found").alias("x")).select("blob", "x.*")
+    entries = found.select("blob", "rules")
+    return (entries if ledger is None else ledger.unionByName(entries)), (new if findings is None else findings.unionByName(new))
+
+
+def in_two_commits(docs: DataFrame, id_col: str = "doc_id") -> tuple[DataFrame, DataFrame]:
+    """A table as a history: the rows up to the middle of the range of ids, as they arrived first, and those beyond."""
+    place = F.col(id_col).cast("long")
+    middle = docs.agg((F.min(place) / 2 + F.max(place) / 2).cast("long")).first()[0]
+    later = F.coalesce(place > F.lit(middle), F.lit(False))
+    return docs.where(~later), docs.where(later)
 
 
 def by_blob(findings: DataFrame) -> DataFrame:
@@ -120,36 +170,56 @@ def _text_of(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def secret_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ledger: DataFrame | None = None, earlier: DataFrame | None = None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """Counts and spans for every row of `docs`.
-
-    ledger: what was scanned before; earlier: the findings of those scans, by blob.
-    """
-    docs = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
-    findings = scanned(unseen(docs, ledger, rules), rules)
-    if earlier is not None:
-        findings = findings.unionByName(earlier.select("blob", "kind", "rank", "start", "end"))
+def report(docs: DataFrame, findings: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """Counts and spans for every row of `docs`, all of whose blobs were scanned, from the findings that count."""
     n_base = len(BASE_RULES)
-    paths = docs.select("doc_id", blob_id(docs["text"]).alias("blob"))
+    paths = docs.select(docs[id_col].cast("long").alias("doc_id"), blob_id(docs[text_col]).alias("blob"))
     spans = F.coalesce("spans", F.array().cast("array<struct<start:bigint,rank:int,end:bigint,kind:string>>"))
     counts = [_count(k).alias(f"n_{r.kind}") for k, r in enumerate(rules[:n_base])]
     # Written, so that the join back has an exchange of its own, which Spark can split where one blob has very many paths.
-    return paths.join(written(by_blob(findings), "findings"), "blob", "left").withColumn("spans", spans).select(
+    return paths.join(written(by_blob(current(findings, rules)), "findings"), "blob", "left").withColumn("spans", spans).select(
         "doc_id", *counts, F.sha2(_text_of(F.filter("spans", lambda s: s["rank"] < n_base)), 256).alias("base_sha256"), _text_of(F.col("spans")).alias("spans"), "blob"
     )
 
 
+def secret_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ledger: DataFrame | None = None, earlier: DataFrame | None = None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """Counts and spans for every row of `docs`.
+
+    ledger: what was scanned before; earlier: the findings of those scans.
+    """
+    _, findings = scan_commit(docs.select(docs[text_col].alias("text")), ledger, earlier, rules)
+    return report(docs, findings, id_col, text_col, rules)
+
+
+def _piece(pages: Column, start: Column, end: Column) -> Column:
+    """The code points from `start` up to `end` of a text given in pages."""
+    first, last = F.floor(start / PAGE), F.floor(F.greatest(end - 1, start) / PAGE)
+    own = F.array_join(F.slice(pages, (first + 1).cast("int"), (last - first + 1).cast("int")), "")
+    return F.substring(own, (start % PAGE + 1).cast("int"), (end - start).cast("int"))
+
+
 def redacted(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """`docs` with every finding in its text replaced by a mark; overlapping findings get one."""
-    findings = written(scanned(unseen(docs.select(docs[text_col].alias("text")), None, rules), rules), "findings")
-    before = Window.partitionBy("blob").orderBy("start", "end", "rank").rowsBetween(Window.unboundedPreceding, -1)
+    """`docs` with every finding in its text replaced by a mark; overlapping findings get one.
+
+    Texts move once: rows are dealt by blob, the copies of one blob to at most COPY_SHARES shares;
+    in a share its blob is scanned once, and the findings meet the rows where they lie.
+    """
+    hashable = [docs[f.name] for f in docs.schema.fields if "map<" not in f.dataType.simpleString() and f.dataType.simpleString() != "variant"]
+    share = F.coalesce(F.pmod(F.xxhash64(*hashable), F.lit(COPY_SHARES)), F.lit(0).cast("long"))  # as blob_id()
+    keys = ("_q_blob", "_q_share")
+    dealt = docs.select(blob_id(docs[text_col]).alias("_q_blob"), share.alias("_q_share"), F.struct(*[docs[c] for c in docs.columns]).alias("_q_row")).repartition(*keys)
+    # first() of the whole row keeps the columns, and so the exchange, the same on both sides of the join below.
+    blobs = dealt.groupBy(*keys).agg(F.first("_q_row").alias("row")).select(*keys, F.coalesce(F.col("row")[text_col], F.lit("")).alias("text"), F.array(*[F.lit(r.kind) for r in rules]).alias("kinds"))
+    findings = scanned(blobs, rules, keys)
+    before = Window.partitionBy(*keys).orderBy("start", "end", "rank").rowsBetween(Window.unboundedPreceding, -1)
     # What lies between the findings: from the furthest end so far to each later start.
-    gaps = findings.withColumn("from", F.coalesce(F.max("end").over(before), F.lit(0).cast("long"))).where((F.col("start") > F.col("from")) | (F.col("from") == 0))
-    gaps = gaps.groupBy("blob").agg(F.array_sort(F.collect_list(F.struct("from", "start"))).alias("gaps"))
-    last = findings.groupBy("blob").agg(F.max("end").alias("last"))
-    cuts = written(gaps.join(last, "blob").select(F.col("blob").alias("_q_blob"), F.col("gaps").alias("_q_gaps"), F.col("last").alias("_q_last")), "cuts")  # an exchange of its own, as above
-    text = docs[text_col]
-    kept = F.transform("_q_gaps", lambda g: F.substring(text, (g["from"] + 1).cast("int"), (g["start"] - g["from"]).cast("int")))
-    whole = F.array_join(F.array_append(kept, F.substring(text, (F.col("_q_last") + 1).cast("int"), F.length(text))), REDACTED)
-    joined = docs.withColumn("_q_key", blob_id(text)).join(cuts, F.col("_q_key") == F.col("_q_blob"), "left")
-    return joined.select(*[F.when(F.col("_q_blob").isNull(), docs[c]).otherwise(whole).alias(c) if c == text_col else docs[c] for c in docs.columns])
+    gaps = findings.withColumn("from", F.coalesce(F.max("end").over(before), F.lit(0).cast("long")))
+    gap = F.when((F.col("start") > F.col("from")) | (F.col("from") == 0), F.struct("from", "start"))
+    cuts = gaps.groupBy(*keys).agg(F.array_sort(F.collect_list(gap)).alias("_q_gaps"), F.max("end").alias("_q_last"))
+    text = F.col("_q_row")[text_col]
+    joined = dealt.join(cuts.hint("shuffle_merge"), [*keys], "left")
+    # A piece is cut from the page or pages of the text that hold it, so that many findings in a long text cost no more than its length.
+    joined = joined.withColumn("_q_pages", F.when(F.col("_q_last").isNotNull(), F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PAGE}}}"), F.lit(0))))
+    kept = F.transform("_q_gaps", lambda g: _piece(F.col("_q_pages"), g["from"], g["start"]))
+    whole = F.array_join(F.array_append(kept, _piece(F.col("_q_pages"), F.col("_q_last"), F.length(text).cast("long"))), REDACTED)
+    return joined.select(*[(F.when(F.col("_q_last").isNull(), text).otherwise(whole) if c == text_col else F.col("_q_row")[c]).alias(c) for c in docs.columns])

@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from . import textbytes as tb
 from .components import connected_components
+from .removal import NO_ID, spread, squeezed
 from .store import written
 
 SHINGLE = 3
@@ -70,36 +71,25 @@ def fingerprints(data: np.ndarray, offsets: np.ndarray, shingle: int = SHINGLE)
     return out
 
 
-def with_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp) for each row; fp holds the 64 bits as a signed long."""
+def with_fingerprints(texts: DataFrame) -> DataFrame:
+    """`texts`, whose last column is the text, with `fp` in its place: the 64 bits as a signed long."""
+    schema = T.StructType([*texts.schema.fields[:-1], T.StructField("fp", T.LongType())])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi, data, offsets in tb.text_blocks(batch.column(1)):
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(fingerprints(data, offsets).view(np.int64))], names=["doc_id", "fp"])
+            for lo, hi, data, offsets in tb.text_blocks(batch.columns[-1]):
+                yield pa.RecordBatch.from_arrays([*batch.slice(lo, hi - lo).columns[:-1], pa.array(fingerprints(data, offsets).view(np.int64))], names=schema.names)
 
-    return docs.select(docs[id_col].cast("long"), docs[text_col]).mapInArrow(rows, "doc_id long, fp long")
-
-
-def _with_column(docs: DataFrame, text_col: str) -> DataFrame:
-    """`docs` with its fingerprints in `_q_fp`."""
-    schema = T.StructType([*docs.schema.fields, T.StructField("_q_fp", T.LongType())])
-    place = docs.columns.index(text_col)
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo, hi, data, offsets in tb.text_blocks(batch.column(place)):
-                columns = batch.slice(lo, hi - lo).columns
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(fingerprints(data, offsets).view(np.int64))], names=schema.names)
-
-    return docs.mapInArrow(rows, schema)
+    return texts.mapInArrow(rows, schema)
 
 
 def _linked(a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
-    """Count filter, then the check: at least 8 - most equal positional bytes, at most `most` different bits."""
+    """Which pairs are links: the shared positional bytes are tallied, and pairs with 8 - most of them are verified bit by bit."""
     apart = a ^ b
-    tally = (apart.view(np.uint8).reshape(-1, 8) == 0).sum(axis=1)
-    return (tally >= 8 - most) & (np.bitwise_count(apart) <= most)
+    enough = np.flatnonzero((apart.view(np.uint8).reshape(-1, 8) == 0).sum(axis=1) >= 8 - most)
+    out = np.zeros(len(apart), bool)
+    out[enough] = np.bitwise_count(apart[enough]) <= most
+    return out
 
 
 def _small_links(key: np.ndarray, fp: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -113,7 +103,7 @@ def _small_links(key: np.ndarray, fp: np.ndarray, most: int) -> Iterator[tuple[n
 
 
 def _forest(fp: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Links of a spanning forest of one long posting: each entry is reached once, then leaves the comparison."""
+    """Links of a spanning forest: each entry is reached once, then leaves the comparison."""
     rest = fp
     while len(rest) > 1:
         queue, rest = [rest[0]], rest[1:]
@@ -127,6 +117,34 @@ def _forest(fp: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]
                 rest = rest[~near]
 
 
+def _shared_bits(fp: np.ndarray) -> int:
+    """The bytes of a triple in which all entries agree; none where the hashes of two postings are equal by chance."""
+    apart = int(np.bitwise_or.reduce(fp ^ fp[0]))
+    same = {p for p in range(8) if not apart >> (8 * p) & 0xFF}
+    return next((sum(0xFF << (8 * p) for p in t) for t in TRIPLES if same.issuperset(t)), 0)
+
+
+def _long_links(fp: np.ndarray, most: int, fixed: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Links of one long posting whose entries share the `fixed` bits.
+
+    A link shares at least two of the five other bytes, so the posting is dealt once for each two
+    of them into parts that share five bytes. The entries of a part that is still long differ in 24
+    bits at most and are nearly all links of each other.
+    """
+    free = [p for p in range(8) if not fixed >> (8 * p) & 0xFF]
+    for two in combinations(free, 2):
+        mask = np.uint64(sum(0xFF << (8 * p) for p in two))
+        key = fp & mask
+        order = np.argsort(key, kind="stable")
+        key, own = key[order], fp[order]
+        edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
+        size = np.diff(edge)
+        short = np.repeat(size <= _SMALL_POSTING, size)
+        yield from _small_links(key[short], own[short], most)
+        for k in np.flatnonzero(size > _SMALL_POSTING):
+            yield from _forest(own[edge[k] : edge[k + 1]], most)
+
+
 def _posting_links(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
     """Rows come sorted by posting; the last posting of a batch may go on in the next."""
 
@@ -180,7 +198,7 @@ def _named(distinct: DataFrame, most: int) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = MAX_BITS) -> DataFrame:
     """(doc_id, fp, component_id) for each row of `docs`; component_id is the smallest id reachable over links."""
-    marked = written(with_fingerprints(docs, id_col, text_col), "fingerprints")
+    marked = written(with_fingerprints(docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col])), "fingerprints")
     distinct = marked.groupBy("fp").agg(F.min("doc_id").alias("first"))
     named = _named(distinct, most)
     least = named.groupBy("root").agg(F.min("first").alias("component_id"))
@@ -189,13 +207,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = MAX_BITS) -> DataFrame:
-    """`docs` with one row of each component, that of the smallest id; null ids come last."""
-    key = F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1))
-    marked = written(_with_column(docs, text_col), "fingerprinted").withColumn("_q_key", key)
-    distinct = marked.groupBy(F.col("_q_fp").alias("fp")).agg(F.min("_q_key").alias("first"))
-    kept = _named(distinct, most).groupBy("root").agg(F.min(F.struct("first", "fp")).alias("x")).select("x.first", "x.fp")
-    found = marked.join(kept, (F.col("_q_fp") == kept["fp"]) & (F.col("_q_key") == kept["first"]), "left_semi")
-    # Rows of one fingerprint that share an id are one document.
-    if marked.groupBy("_q_fp", "_q_key").count().where("count > 1").limit(1).count():
-        found = found.dropDuplicates(["_q_fp", "_q_key"])
-    return found.select(*docs.columns)
+    """`docs` with one row of each component, that of the smallest id; null ids come last.
+
+    Fingerprints are written with the id and a hash of the text, without texts; the decisions then
+    meet the texts in one exchange, in which texts travel compressed. Rows of the smallest id that
+    differ in their text: the one with the smallest hash stays. Rows that repeat are one row.
+    """
+    key, tag = F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)), F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    marked = written(with_fingerprints(docs.select(key.alias("_q_key"), tag.alias("_q_tag"), F.col(text_col))), "fingerprints")
+    distinct = marked.groupBy("fp").agg(F.min(F.struct("_q_key", "_q_tag")).alias("first"))
+    kept = written(_named(distinct, most).groupBy("root").agg(F.min("first").alias("x")).select("x.*"), "kept")
+    # Both sides are dealt, however small `kept` is, so that the texts of a task are never more than its share.
+    found = squeezed(docs.withColumn("_q_key", key).withColumn("_q_tag", tag), text_col).join(kept.hint("shuffle_merge"), ["_q_key", "_q_tag"], "left_semi")
+    if marked.groupBy("_q_key", "_q_tag").count().where("count > 1").limit(1).count():
+        found = found.dropDuplicates(["_q_key", "_q_tag"])
+    return spread(found.select(*docs.columns), text_col)
