@@ -28,11 +28,9 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .chat_format import conversation_turns, pairs_by_number, pairs_by_opening, preference_rows
+    from .chat_format import preference_rows
 
-    conversations = table(spark, sf_dir, "conversations")
-    turns = conversation_turns(conversations)
-    return preference_rows(conversations, pairs_by_opening(turns).union(pairs_by_number(turns)).distinct())
+    return preference_rows(table(spark, sf_dir, "conversations"))
 
 
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -122,17 +120,32 @@ SELECT doc_id, length(h) // 2 AS n_bytes, coalesce(n, 0)::BIGINT AS n_removed, c
 FROM d LEFT JOIN kept USING (doc_id) LEFT JOIN sums USING (doc_id)""",
     "op3_chat_formatting": """
 WITH t AS (SELECT coalesce(conv_id, -9223372036854775808) AS conv, coalesce(turn, 9223372036854775807) AS turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations),
-opening AS (SELECT conv, min({'turn': turn, 'role': role, 'text': text}) AS x FROM t GROUP BY conv),
-pairs AS (SELECT * FROM (SELECT min(conv) OVER (PARTITION BY x.role, x.text) AS chosen, conv AS rejected FROM opening) WHERE chosen <> rejected
-    UNION SELECT a.conv, b.conv FROM opening a JOIN opening b ON b.conv = a.conv + 1 WHERE a.conv % 2 = 0),
 bag AS (SELECT conv, turn, list({'role': role, 'text': text} ORDER BY role, text) AS said FROM t GROUP BY conv, turn),
-sides AS (SELECT chosen, rejected, turn, said AS a, NULL AS b FROM pairs JOIN bag ON conv = chosen
-    UNION ALL SELECT chosen, rejected, turn, NULL, said FROM pairs JOIN bag ON conv = rejected),
-both_sides AS (SELECT chosen, rejected, turn, max(a) AS a, max(b) AS b FROM sides GROUP BY chosen, rejected, turn),
-split AS (SELECT chosen, rejected, min(turn) FILTER (a IS DISTINCT FROM b) AS place FROM both_sides GROUP BY chosen, rejected),
-parts AS (SELECT chosen, rejected, CASE WHEN place IS NULL OR turn < place THEN 'prompt' ELSE 'chosen' END AS part, turn, role, text FROM split JOIN t ON conv = chosen
-    UNION ALL SELECT chosen, rejected, 'rejected', turn, role, text FROM split JOIN t ON conv = rejected WHERE turn >= place)
-SELECT nullif(chosen, -9223372036854775808) AS chosen_id, nullif(rejected, -9223372036854775808) AS rejected_id, part, nullif(turn, 9223372036854775807) AS turn, role,
+named AS (SELECT conv, turn, list({'turn': turn, 'said': said}) OVER (PARTITION BY conv ORDER BY turn) AS prefix FROM bag),
+whole AS (SELECT conv, max(turn) AS last_turn, arg_max(prefix, turn) AS whole FROM named GROUP BY conv),
+one AS (SELECT min(conv) AS conv FROM whole GROUP BY whole),
+own AS (SELECT named.* FROM named JOIN one USING (conv)),
+shared AS (SELECT prefix FROM own GROUP BY prefix HAVING count(*) > 1),
+deepest AS (SELECT conv, max(turn) AS turn, arg_max(prefix, turn) AS prefix FROM own JOIN shared USING (prefix) GROUP BY conv),
+able AS (SELECT conv, turn, prefix, substr(sha256(conv::VARCHAR), 1, 2) AS share FROM deepest JOIN whole USING (conv) WHERE turn < last_turn),
+dealt AS (SELECT *, (row_number() OVER (PARTITION BY prefix, share ORDER BY conv) - 1) // 2 AS nth FROM able),
+first_pairs AS (SELECT prefix, turn, min(conv) AS chosen, max(conv) AS rejected FROM dealt GROUP BY prefix, turn, share, nth),
+again AS (SELECT *, (row_number() OVER (PARTITION BY prefix ORDER BY chosen) - 1) // 2 AS nth FROM first_pairs WHERE chosen = rejected),
+pairs AS (SELECT chosen, rejected, turn AS split FROM first_pairs WHERE chosen <> rejected
+    UNION ALL SELECT * FROM (SELECT min(chosen) AS chosen, max(chosen) AS rejected, turn FROM again GROUP BY prefix, turn, nth) WHERE chosen <> rejected),
+alone AS (SELECT * FROM t WHERE conv NOT IN (SELECT chosen FROM pairs UNION ALL SELECT rejected FROM pairs)),
+ends AS (SELECT conv, min(turn) AS first_turn, max(turn) FILTER (role = 'assistant') AS branch FROM alone GROUP BY conv),
+answers AS (SELECT conv, turn, max(text) AS text, sha256(max(text)) AS answer FROM alone JOIN ends USING (conv) WHERE role = 'assistant' AND turn = branch GROUP BY conv, turn),
+distinct_answers AS (SELECT answer, min(conv) AS conv FROM answers GROUP BY answer),
+dealing AS (SELECT count(*) AS digits FROM range(16) r(k) WHERE (SELECT count(*) FROM distinct_answers) >= 5000 * power(16, k)),
+ring AS (SELECT answer, conv, coalesce(lead(conv) OVER w, first(conv) OVER w) AS rejected FROM distinct_answers, dealing
+    WINDOW w AS (PARTITION BY substr(answer, 1, digits::BIGINT) ORDER BY answer)),
+branched AS (SELECT ends.conv, branch, ring.rejected FROM ends JOIN answers USING (conv) JOIN ring USING (answer) WHERE first_turn < branch AND ring.conv <> ring.rejected),
+parts AS (SELECT chosen, rejected, 'prefix' AS pairing, CASE WHEN turn <= split THEN 'prompt' ELSE 'chosen' END AS part, turn, role, text FROM pairs JOIN t ON conv = chosen
+    UNION ALL SELECT chosen, rejected, 'prefix', 'rejected', turn, role, text FROM pairs JOIN t ON conv = rejected WHERE turn > split
+    UNION ALL SELECT conv, rejected, CASE WHEN branch IS NULL THEN 'none' ELSE 'branch' END, CASE WHEN branch IS NULL OR turn < branch THEN 'prompt' ELSE 'chosen' END, turn, role, text FROM alone LEFT JOIN branched USING (conv)
+    UNION ALL SELECT branched.conv, rejected, 'branch', 'rejected', turn, 'assistant', text FROM branched JOIN answers ON answers.conv = branched.rejected)
+SELECT nullif(chosen, -9223372036854775808) AS chosen_id, nullif(rejected, -9223372036854775808) AS rejected_id, pairing, part, nullif(turn, 9223372036854775807) AS turn, role,
     '<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10) AS rendered,
     CASE WHEN part <> 'prompt' AND role = 'assistant' THEN length(role) + 5 ELSE 0 END::BIGINT AS trained_from,
     CASE WHEN part <> 'prompt' AND role = 'assistant' THEN length(role) + 5 + length(text) + 8 ELSE 0 END::BIGINT AS trained_to

@@ -8,9 +8,9 @@ import re
 import numpy as np
 import pytest
 
-from quern.llm import html_extract, quality
+from quern.llm import chat_format, html_extract, quality
 from quern.llm import textbytes as tb
-from quern.llm.chat_format import conversation_turns, pairs_by_number, pairs_by_opening, preference_rows
+from quern.llm.chat_format import given_pairs, preference_rows, records
 from quern.llm.decontaminate import cleaned, contamination
 from quern.llm.html_extract import extract_main_text
 from quern.llm.secret_scan import RULES, Rule, blob_id, ledger_rows, redacted, scanned, secret_report, unseen
@@ -241,29 +241,81 @@ def test_no_depth_and_no_length_switches_the_result(spark):
     assert got[90] == "x\n" + "\n".join("y" * 3000)
 
 
-def test_preference_rows_against_plain_python(spark):
+def _conversations(spark, rows):
+    return spark.createDataFrame([(*r, "z", "y") for r in rows], "conv_id long, turn long, role string, text string, split string, part string")
+
+
+def _part(rows, name):
+    return sorted((r["turn"], r["role"], r["rendered"].split("\n", 1)[1][: -len("<|end|>\n")]) for r in rows if r["part"] == name)
+
+
+def _masks_hold(rows):
+    for r in rows:
+        text = r["rendered"][r["trained_from"] : r["trained_to"]]
+        assert bool(text) == (r["part"] != "prompt" and r["role"] == "assistant") and (not text or text.endswith("<|end|>\n") and "<|assistant" not in text)
+
+
+def test_given_pairs_against_plain_python(spark):
     rng = random.Random(8)
     convs = {k: [(n, "user" if n % 2 == 0 else "assistant", rng.choice(["hi", "yo"]) if n else "start") for n in range(rng.randrange(1, 5))] for k in range(12)}
     rows = [(k, n, r, t) for k, turns in convs.items() for n, r, t in turns]
     rows += [(20, 0, "user", "tie"), (20, 0, "user", "tie"), (21, 0, "user", "tie"), (None, 0, "user", "start"), (30, None, None, None), (31, None, None, None)]
-    df = spark.createDataFrame([(*r, "z") for r in rows], "conv_id long, turn long, role string, text string, split string")
-    turns = conversation_turns(df)
-    got = preference_rows(df, pairs_by_opening(turns).union(pairs_by_number(turns)).distinct()).collect()
+    pairs = [(c, c + 1) for c in (*range(0, 12, 2), 20, 30)] + [(None, 0)]
+    got = given_pairs(_conversations(spark, rows), spark.createDataFrame(pairs, "chosen long, rejected long")).collect()
     for c in range(0, 12, 2):
         a, b = convs[c], convs[c + 1]
         n = next((k for k in range(max(len(a), len(b))) if a[k : k + 1] != b[k : k + 1]), None)
         own = [r for r in got if (r["chosen_id"], r["rejected_id"]) == (c, c + 1)]
-        part = lambda p: sorted((r["turn"], r["role"], r["rendered"].split("\n")[1][: -len("<|end|>")]) for r in own if r["part"] == p)  # noqa: B023, E731
-        assert part("prompt") == (a if n is None else a[:n]) and part("chosen") == ([] if n is None else a[n:]) and part("rejected") == ([] if n is None else b[n:])
-        for r in own:
-            text = r["rendered"][r["trained_from"] : r["trained_to"]]
-            assert bool(text) == (r["part"] != "prompt" and r["role"] == "assistant") and (not text or text.endswith("<|end|>\n") and "<|assistant" not in text)
+        assert _part(own, "prompt") == (a if n is None else a[:n]) and _part(own, "chosen") == ([] if n is None else a[n:]) and _part(own, "rejected") == ([] if n is None else b[n:])
+    _masks_hold(got)
     assert {r["part"] for r in got if r["chosen_id"] == 20} == {"chosen", "rejected"}
     assert {(r["part"], r["turn"]) for r in got if r["chosen_id"] == 30} == {("prompt", None)}
     assert any(r["chosen_id"] is None for r in got)
     json.dumps([r.asDict() for r in got])
 
 
+@pytest.mark.parametrize("block", [2, 512])
+def test_preference_rows_pair_on_the_longest_prefix(spark, monkeypatch, block):
+    monkeypatch.setattr(chat_format, "BLOCK_TURNS", block)
+    rng = random.Random(8)
+    convs = {k: [(n, "user" if n % 2 == 0 else "assistant", rng.choice(["hi", "yo"]) + str(n % 3)) for n in range(rng.randrange(1, 8))] for k in range(60)}
+    convs |= {100: [(0, "user", "q"), (1, "assistant", "long " * 200_000)], 101: [(n, "user", "x") for n in range(5)], 102: [(0, "assistant", "alone")]}
+    rows = [(k, n, r, t) for k, turns in convs.items() for n, r, t in turns]
+    rows += [(None, 0, None, None), (None, None, "assistant", None), (110, 0, "user", "b"), (110, 0, "user", "a"), (110, 1, "assistant", "one"), (111, 0, "user", "a"), (111, 0, "user", "b"), (111, 1, "assistant", "two")]
+    df = _conversations(spark, rows)
+    got = preference_rows(df).collect()
+    _masks_hold(got)
+    by = {}
+    for r in got:
+        by.setdefault((r["pairing"], r["chosen_id"], r["rejected_id"]), []).append(r)
+    sides = [c for p, a, b in by for c in ((a, b) if p == "prefix" else (a,))]
+    assert len(sides) == len(set(sides)) and set(sides) == {*convs, None, 110, 111}
+    assert by["prefix", 110, 111] and {p for p, _, _ in by} == {"prefix", "branch", "none"} and len(_part(by["prefix", 110, 111], "prompt")) == 2
+    common = lambda a, b: next((k for k in range(max(len(a), len(b))) if a[k : k + 1] != b[k : k + 1]), len(a))
+    for (pairing, a, b), own in by.items():
+        if a not in convs:
+            continue
+        prompt, chosen, rejected = (_part(own, p) for p in ("prompt", "chosen", "rejected"))
+        assert prompt + chosen == convs[a] and prompt
+        if pairing == "prefix":
+            n = common(convs[a], convs[b])
+            assert prompt == convs[b][:n] and rejected == convs[b][n:] and chosen and rejected
+            others = [c for k, c in convs.items() if k not in (a, b)]
+            # No other conversation that differs shares more.
+            assert all(common(convs[a], c) <= n or c in (convs[a], convs[b]) for c in others)
+        elif pairing == "branch":
+            assert chosen[0][1] == "assistant" and all(r != "assistant" for _, r, _ in chosen[1:])
+            assert len(rejected) == 1 and rejected[0][1] == "assistant" and rejected[0][2] != chosen[0][2] and rejected[0] in convs.get(b, rejected)
+        else:
+            assert not chosen and not rejected and all(r != "assistant" for n, r, _ in convs[a] if n)
+    whole = {(r["pairing"], r["chosen_id"], r["rejected_id"]): r for r in records(preference_rows(df)).collect()}
+    assert whole.keys() == by.keys()
+    for key, r in whole.items():
+        for part in ("chosen", "rejected"):
+            says = [r[part][s["start"] : s["end"]] for s in r[f"{part}_trained"]]
+            assert sorted(says) == sorted(x["rendered"].split("\n", 1)[1] for x in by[key] if x["part"] == part and x["role"] == "assistant")
+
+
 def test_word_spans_stay_inside_texts():
     data = np.frombuffer(b"ab cd" + b"ef  g" + b"" + b" ", np.uint8)
     starts, ends, first = tb.word_spans(~tb.SPACE[data], np.array([0, 5, 10, 10, 11]))
