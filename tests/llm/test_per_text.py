@@ -10,6 +10,7 @@ import pytest
 
 from quern.llm import chat_format, html_extract, quality
 from quern.llm import textbytes as tb
+from quern.llm import tree_match as M
 from quern.llm.chat_format import given_pairs, preference_rows, records
 from quern.llm.decontaminate import cleaned, contamination
 from quern.llm.html_extract import extract_main_text
@@ -186,11 +187,73 @@ def test_page_text(spark):
     assert got[20, "http://c.example/"][0].split() == ["deep", "end"] and extract_main_text(df).count() == len(pages)
 
 
-def test_tree_matching_finds_the_template():
-    a, b = (html_extract.parse(PLAIN.format(f"one {k}", "x" * k)) for k in (1, 2))
-    html_extract.mark_template(a, b)
-    own = a.nodes()
-    assert [n.constant for n in own] == [1, 1, 0, 1]
+def _tree(rng, depth):
+    tag = rng.choice("ab") if depth < 3 else "r"
+    one = M.Block(tag)
+    if depth and rng.random() < 0.8:
+        one.kids = [_tree(rng, depth - 1) for _ in range(rng.randrange(0, 4))]
+    if not one.kids and rng.random() < 0.5:
+        one.tag, one.digest = M.LINE, rng.randrange(3)
+    return one
+
+
+def _best(a, b, of):
+    """The best sum over all ways to pair two lists in order."""
+    if not a or not b:
+        return 0
+    return max(_best(a[1:], b, of), _best(a, b[1:], of), of(a[0], b[0]) + _best(a[1:], b[1:], of) if of(a[0], b[0]) else 0)
+
+
+def _largest(x, y):
+    return 0 if x.tag != y.tag else 1 + _best(x.kids, y.kids, _largest)
+
+
+@pytest.mark.parametrize("cells", [1, 1 << 22])
+def test_tree_matching_against_brute_force(monkeypatch, cells):
+    monkeypatch.setattr(M, "CELLS", cells)
+    rng = random.Random(2)
+    for _ in range(150):
+        a, b = _tree(rng, 3), _tree(rng, 3)
+        M.settled(a), M.settled(b)
+        memo = {}
+        assert M.matching(a, b, memo) == _largest(a, b)
+        weight = lambda x, y: 2 * _largest(x, y) + (x.digest == y.digest) if x.tag == y.tag else 0
+        pairs = M.aligned(a.kids, b.kids, memo)
+        assert sum(weight(a.kids[i], b.kids[j]) for i, j in pairs) == _best(a.kids, b.kids, weight)
+        assert all(p[0] < q[0] and p[1] < q[1] for p, q in zip(pairs, pairs[1:]))
+        back = M.unflat(*json.loads(json.dumps(M.flat(a))))
+        assert (M.settled(back)[0].shape, back.digest) == (a.shape, a.digest)
+        union = M.merged([a, b])
+        assert M.matching(union, b, {}) >= b.size or a.tag != b.tag
+
+
+def test_wrapper_names_slots_and_the_template_decides(spark):
+    pages = [html_extract.slotted(PLAIN.format(f"one {k}", "x" * k), wrapper) for wrapper in [html_extract.wrapper_of([PLAIN.format("a", "b"), PLAIN.format("c", "d")])] for k in (1, 2)]
+    own = [[(slot, text) for slot, text, _ in html_extract._lines(p, False)] for p in pages]
+    assert [a[0] for a in own[0]] == [b[0] for b in own[1]] and [a == b for a, b in zip(*own)] == [True, True, False, False, True]
+    # Without article tags the template alone tells the frame from the text.
+    shared = html_extract.signatures(pages[0])[1] & html_extract.signatures(pages[1])[1]
+    assert html_extract.main_text(pages[0], frozenset(shared), 5) == "one 1\nx" and html_extract.main_text(pages[0], frozenset(), 5) != "one 1\nx"
+    # The same words count as template in one place and as text in another.
+    frame = "<div><div><p>Prices</p><p>of the day {0}</p></div><div><h2>Head {0}</h2><p>{1}</p></div></div>"
+    got = _texts_of(spark, [(k, f"http://s.example/{k}", frame.format(k, "Prices" if k == 3 else f"word {k}")) for k in range(8)])
+    assert got[3] == "of the day 3\nHead 3\nPrices" and got[2] == "of the day 2\nHead 2\nword 2"
+
+
+def test_ordinary_markup_loses_no_article(spark):
+    body = "<article><h1>Title {0}</h1><p>Body {0} of it</p></article>"
+    shells = [
+        "<html><head><title>T</title>{}</html>", "<html><head><title>T</title><body>{}</body></html>", '<div class="content has-sidebar">{}</div>', '<main class="no-sidebar">{}</main>',
+        '<div class="widget-area-off">{}</div>', "<form id=aspnet action=/x>{}<input name=q></form>", "<p title=it's class=x></p>{}",
+    ]
+    pages = [(10 * n + k, f"http://{n}.example/{k}", shell.format(body.format(k))) for n, shell in enumerate(shells) for k in range(4)]
+    plain = body.replace("article>", "div>")
+    pages += [(100 + 10 * n + k, f"http://plain{n}.example/{k}", shell.format(plain.format(k) + f"<p><a href=/x>A whole linked paragraph {k}</a></p><ul><li><a href=/y>More {k}</a></ul>")) for n, shell in enumerate(shells) for k in range(4)]
+    got = _texts_of(spark, pages)
+    for n in range(len(shells)):
+        assert all(got[10 * n + k] == f"Title {k}\nBody {k} of it" for k in range(4)), shells[n]
+        listed = "\nMore {}" if "<main" in shells[n] else ""  # what the page marks as its main part stays
+        assert all(got[100 + 10 * n + k] == f"Title {k}\nBody {k} of it\nA whole linked paragraph {k}" + listed.format(k) for k in range(4)), shells[n]
 
 
 def _texts_of(spark, pages):
