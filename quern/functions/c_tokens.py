@@ -67,7 +67,9 @@ _FLOAT = (
 )
 _INT = rf"(?:0[xX]{_HEX}|0[bB][01][01']*|0[0-7']*|[1-9][0-9']*)[uUlL]*[wWbBzZ]*[uUlL]*"
 _QUOTED = r"""(?:[^{q}\\\n\r]|\\[\s\S])*+{q}"""
-_AFTER_INCLUDE = r"(?<=(?:#|%:)[ \t]{0,20}(?:include|embed|include_next)[ \t]{0,20})"
+
+#: A sign before each header name, which mark_headers() puts in and unmarked() takes out; Unicode has no such character.
+MARK = "\uffff"
 
 #: Lexeme classes in the order in which they are tried; the last takes any other character.
 CLASSES = {
@@ -77,7 +79,7 @@ CLASSES = {
     "line_comment": r"//[^\n\r]*+",
     "newline": r"\r\n|\n|\r",
     "space": r"[ \t\x0B\f]++",
-    "header": rf"""{_AFTER_INCLUDE}(?:<[^>\n\r]*+>|"[^"\n\r]*+")""",
+    "header": rf"""{MARK}(?:<[^>\n\r]*+>|"[^"\n\r]*+")""",
     "raw_string": r"""(?:u8|u|U|L)?R"([^(]*+)\([\s\S]*?\)\1\"""",
     "string": r"(?:u8|u|U|L)?" + '"' + _QUOTED.format(q='"'),
     "char": r"(?:u8|u|U|L)?'" + _QUOTED.format(q="'"),
@@ -85,7 +87,7 @@ CLASSES = {
     "int": _INT,
     "word": r"[A-Za-z_$][A-Za-z0-9_$]*+",
     "punctuator": "|".join(re.escape(p) for p in PUNCTUATORS),
-    "error": r"[\s\S]",
+    "error": rf"{MARK}{MARK}|[\s\S]",
 }
 #: One match is one lexeme; together they cover every character.
 LEXEME = "|".join(f"(?:{p})" for p in CLASSES.values())
@@ -93,22 +95,34 @@ BLANK = ("space", "newline")
 TRIVIA = ("line_cont", "block_comment", "line_comment")
 
 
+def mark_headers(source: Column) -> Column:
+    """Source text with MARK before each header name, after any number of blanks; a MARK of its own is doubled."""
+    doubled = F.replace(source, F.lit(MARK), F.lit(MARK + MARK))
+    return F.regexp_replace(doubled, r"""((?:#|%:)[ \t]*+(?:include_next|include|embed)[ \t]*+)(?=<[^>\n\r]*+>|"[^"\n\r]*+")""", "$1" + MARK)
+
+
+def unmarked(lexeme: Column) -> Column:
+    """A lexeme of marked text as it was."""
+    return F.when(lexeme.contains(MARK), F.regexp_replace(lexeme, f"{MARK}({MARK}?)", "$1")).otherwise(lexeme)
+
+
 def class_of(lexeme: Column) -> Column:
-    """The class of a lexeme that LEXEME has cut out, from how it begins."""
-    starts = lambda p: lexeme.rlike(f"^(?:{p})")
+    """The class of a lexeme that LEXEME has cut out, from its first characters; numbers alone need an expression."""
+    first = F.substring(lexeme, 1, 1)
+    letter = first.rlike("[A-Za-z_$]")
+    quoted = lambda q: lexeme.contains(q)
     return (
-        F.when(starts(r"[A-Za-z_$][A-Za-z0-9_$]*$"), "word")
-        .when(starts(r"[ \t\x0B\f]"), "space")
-        .when(starts(r"[\r\n]"), "newline")
-        .when(starts(r"\\[\r\n]"), "line_cont")
-        .when(starts(r"/\*[\s\S]*\*/$") & (F.length(lexeme) > 3), "block_comment")
-        .when(starts(r"/\*"), "open_comment")
-        .when(starts("//"), "line_comment")
-        .when(starts(r'(?:u8|u|U|L)?R?"') & (F.length(lexeme) > 1), "string")
-        .when(starts(r"(?:u8|u|U|L)?'") & (F.length(lexeme) > 1), "char")
-        .when(starts(r"\.?[0-9]"), F.when(starts(f"(?:{_INT})$"), "int").otherwise("float"))
+        F.when(first.isin(*" \t\x0b\f"), "space")
+        .when(first.isin("\r", "\n"), "newline")
         .when(lexeme.isin(list(PUNCTUATORS)), "punctuator")
-        .when(starts("<.*>$"), "header")
+        .when(letter, F.when(quoted('"'), "string").when(quoted("'"), "char").otherwise("word"))
+        .when(lexeme.rlike(r"^\.?[0-9]"), F.when(lexeme.rlike(f"^(?:{_INT})$"), "int").otherwise("float"))
+        .when(lexeme.startswith("/*"), F.when(lexeme.endswith("*/") & (F.length(lexeme) > 3), "block_comment").otherwise("open_comment"))
+        .when(lexeme.startswith("//"), "line_comment")
+        .when(first == "\\", "line_cont")
+        .when((first == '"') & (F.length(lexeme) > 1), "string")
+        .when((first == "'") & (F.length(lexeme) > 1), "char")
+        .when((first == "<") & lexeme.endswith(">"), "header")
         .otherwise("error")
     )
 

@@ -27,8 +27,11 @@ def lexemes(units: DataFrame) -> DataFrame:
     """(unit_id, ix, src, cls, start, end, line, col); every character of every unit is in one lexeme.
 
     start and end count code points from 0; line and col count from 1. A null or empty source has none.
+    Two units of one unit_id are an error, as their lexemes would mix. A unit is one share of work.
     """
-    cut = units.repartition("unit_id").select("unit_id", F.posexplode(F.regexp_extract_all("src", F.lit(C.LEXEME), F.lit(0))).alias("ix", "src"))
+    cut = units.repartition("unit_id").select("unit_id", F.posexplode(F.regexp_extract_all(C.mark_headers(F.col("src")), F.lit(C.LEXEME), F.lit(0))).alias("ix", "src"))
+    cut = cut.withColumn("src", C.unmarked(F.col("src")))
+    cut = cut.withColumn("ix", F.when(F.lag("ix").over(_unit()) == F.col("ix"), F.raise_error(F.lit("unit_id names two units")).cast("int")).otherwise(F.col("ix")))
     lines = F.length("src") - F.length(F.replace("src", F.lit("\n"), F.lit("")))
     cut = cut.withColumns({"cls": C.class_of(F.col("src")), "size": F.length("src"), "_lines": lines})
     cut = cut.withColumns({"end": F.sum("size").over(_so_far()), "_line": F.sum("_lines").over(_so_far())})
@@ -86,7 +89,8 @@ def tokens(units: DataFrame) -> DataFrame:
 def parse_status(units: DataFrame) -> DataFrame:
     """(unit_id, ok, code, pos): the first lexical error or unbalanced bracket of each unit; bad input is data, not an exception."""
     found = tokens(units)
-    code = F.when(F.col("cls") == "open_comment", "unterminated_comment").when(F.col("cls") == "error", F.when(F.col("src") == '"', "unterminated_string").when(F.col("src") == "'", "unterminated_char").otherwise("unexpected_character"))
+    header = F.col("dir_id").isNotNull() & F.col("prev").isin("include", "include_next", "embed") & ((F.col("src") == "<") | (F.col("cls") == "error") & (F.col("src") == '"'))
+    code = F.when(header, "unterminated_header_name").when(F.col("cls") == "open_comment", "unterminated_comment").when(F.col("cls") == "error", F.when(F.col("src") == '"', "unterminated_string").when(F.col("src") == "'", "unterminated_char").otherwise("unexpected_character"))
     errors = found.where(code.isNotNull()).groupBy("unit_id").agg(F.min(F.struct(F.col("start").alias("pos"), code.alias("code"))).alias("error"))
     step = lambda a, b: F.sum(F.when(F.col("src") == a, 1).when(F.col("src") == b, -1).otherwise(0))
     code_tokens = found.where(F.col("dir_id").isNull())

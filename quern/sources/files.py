@@ -11,6 +11,12 @@ def read_units(spark: SparkSession, path: str, pattern: str = "*.{c,h}") -> Data
     return files.select(F.col("path").alias("unit_id"), F.decode("content", "UTF-8").alias("src"))
 
 
+def utf8_status(files: DataFrame, id_col: str = "path", content_col: str = "content") -> DataFrame:
+    """(unit_id, ok, code) of binary sources: invalid_utf8 where bytes are no UTF-8, which read_units() replaces by U+FFFD."""
+    ok = F.coalesce(F.is_valid_utf8(files[content_col].cast("string")), F.lit(True))
+    return files.select(files[id_col].alias("unit_id"), ok.alias("ok"), F.when(~ok, "invalid_utf8").alias("code"))
+
+
 def units_from(df: DataFrame, id_col: str, src_col: str) -> DataFrame:
     """Units from any table with a source column; a null source counts as empty."""
     return df.select(df[id_col].alias("unit_id"), F.coalesce(df[src_col], F.lit("")).alias("src"))
