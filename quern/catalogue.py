@@ -10,8 +10,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from .operators import code, declarations, preprocessor, spans
-from .plans.program import Program
+from .operators import code, declarations, inner, preprocessor, spans
+from .plans.program import Program, engine_info
+from .sources.files import utf8_status
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -119,7 +120,7 @@ def macro_asof(spark, sf_dir):
     lines = _table(spark, sf_dir, "events").selectExpr("user_id", "event_id", f"{line} AS line")
     src = lines.groupBy("user_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("event_id", "line"))), lambda x: x["line"]), "").alias("src"))
     p = Program(src.select(F.col("user_id").alias("unit_id"), "src"))
-    uses = preprocessor.macro_uses(p.raw_tokens, p.directives).where("name <> 'v'")
+    uses = preprocessor.macro_uses(p.kept_tokens, preprocessor.directives(p.kept_tokens)).where("name <> 'v'")
     return uses.groupBy("unit_id", "name").agg(F.count("*").alias("uses"), F.count_if("is_macro").alias("macro_uses"))
 
 
@@ -202,7 +203,7 @@ def struct_members(spark, sf_dir):
     rows = _table(spark, sf_dir, "lineitem").selectExpr("l_orderkey", "struct(l_linenumber, concat('unsigned m', l_linenumber, if(l_linenumber % 2 = 0, concat(' : ', l_linenumber), '[2]'), '; ') AS d) AS x")
     src = rows.groupBy("l_orderkey").agg(F.concat(F.lit("struct O"), F.col("l_orderkey"), F.lit(" { "), F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["d"]), ""), F.lit("} one;")).alias("src"))
     p = Program(src.select(F.col("l_orderkey").alias("unit_id"), "src"))
-    return declarations.members(p.raw_marked).select("unit_id", "tag_name", "member_name", "ordinal", "bit_width")
+    return declarations.members(p.kept).select("unit_id", "tag_name", "member_name", "ordinal", "bit_width")
 
 
 @query("""
@@ -211,7 +212,7 @@ def enum_members(spark, sf_dir):
     rows = _table(spark, sf_dir, "nation").selectExpr("n_regionkey", "struct(n_nationkey, concat('N', n_nationkey, if(n_nationkey % 2 = 0, concat(' = (1, ', n_nationkey, ')'), '')) AS d) AS x")
     src = rows.groupBy("n_regionkey").agg(F.concat(F.lit("enum R"), F.col("n_regionkey"), F.lit(" { "), F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["d"]), ", "), F.lit(" };")).alias("src"))
     p = Program(src.select(F.col("n_regionkey").alias("unit_id"), "src"))
-    return declarations.enumerators(p.raw_marked).select("unit_id", "tag_name", "name", "ordinal", "has_value")
+    return declarations.enumerators(p.kept).select("unit_id", "tag_name", "name", "ordinal", "has_value")
 
 
 @query("""
@@ -223,7 +224,7 @@ def fn_params(spark, sf_dir):
     rows = _table(spark, sf_dir, "customer").selectExpr("c_nationkey", "struct(c_custkey, concat('const char *c', c_custkey) AS d) AS x")
     src = rows.groupBy("c_nationkey").agg(F.concat(F.lit("int f"), F.col("c_nationkey"), F.lit("("), F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["d"]), ", "), F.lit(", ...);")).alias("src"))
     p = Program(src.select(F.col("c_nationkey").alias("unit_id"), "src"))
-    return declarations.parameters(p.raw_marked).select("unit_id", "function", "ordinal", "name", "text", "variadic")
+    return declarations.parameters(p.kept).select("unit_id", "function", "ordinal", "name", "text", "variadic")
 
 
 @query("""
@@ -234,7 +235,7 @@ def call_graph(spark, sf_dir):
     rows = _table(spark, sf_dir, "supplier").selectExpr("s_nationkey", f"concat('  ', if(s_suppkey % 2 = 0, 'M', concat('s', s_suppkey)), '(', {args}, ');\\n') AS d")
     src = rows.groupBy("s_nationkey").agg(F.concat(F.lit("#define M(x) x\nvoid f"), F.col("s_nationkey"), F.lit("(int a) {\n"), F.array_join(F.collect_list("d"), ""), F.lit("}\n")).alias("src"))
     p = Program(src.select(F.col("s_nationkey").alias("unit_id"), "src"))
-    return code.calls(p.marked).select("unit_id", "caller", "callee", "is_macro", "n_args")
+    return inner.calls(p.full).select("unit_id", "caller", "callee", "is_macro", "n_args")
 
 
 @query("""
@@ -245,8 +246,8 @@ def root_operator(spark, sf_dir):
     rows = _table(spark, sf_dir, "lineitem").selectExpr("l_orderkey AS unit_id", "l_linenumber", f"concat('int v', l_linenumber, ' = ', {value}, ';') AS d")
     src = rows.groupBy("unit_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "d"))), lambda x: x["d"]), "\n").alias("src"))
     p = Program(src)
-    names = declarations.symbols(p.raw_marked).select("unit_id", "decl_ix", F.expr("bigint(substring(name, 2))").alias("n"))
-    return code.root_operators(p.raw_marked).join(names, ["unit_id", "decl_ix"]).select("unit_id", "n", "op", "kind")
+    names = declarations.symbols(p.kept).select("unit_id", "decl_ix", F.expr("bigint(substring(name, 2))").alias("n"))
+    return code.root_operators(p.kept).join(names, ["unit_id", "decl_ix"]).select("unit_id", "n", "op", "kind")
 
 
 @query("""
@@ -300,7 +301,7 @@ SELECT p_partkey AS unit_id, 'sizeof ( int ) == ' || p_size AS condition, CASE W
 def static_assertions(spark, sf_dir):
     src = """concat('_Static_assert(sizeof(int) == ', p_size, if(p_size % 2 = 0, concat(', "', p_brand, ', (x)"'), ''), ');')"""
     p = _units(_table(spark, sf_dir, "part"), "p_partkey", src)
-    return code.static_asserts(p.raw_marked).select("unit_id", "condition", "message")
+    return inner.static_asserts(p.raw_marked).select("unit_id", "condition", "message")
 
 
 @query("""
@@ -372,7 +373,7 @@ def array_bounds(spark, sf_dir):
     """Sizes of arrays, in order, empty brackets too."""
     rows = _table(spark, sf_dir, "lineitem").selectExpr("l_orderkey AS unit_id", "struct(l_linenumber, concat('a', l_linenumber, '[', l_linenumber, ' + 1][] = { b[0] }') AS d) AS x")
     src = rows.groupBy("unit_id").agg(F.concat(F.lit("int "), F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["d"]), ", "), F.lit(", plain;")).alias("src"))
-    return spans.array_sizes(Program(src).raw_marked).select("unit_id", "name", "ordinal", "size")
+    return spans.array_sizes(Program(src).kept).select("unit_id", "name", "ordinal", "size")
 
 
 @query("""
@@ -381,7 +382,7 @@ UNION ALL SELECT s_suppkey, 0, 'struct', 'type' FROM supplier UNION ALL SELECT s
 def specifier_words(spark, sf_dir):
     """Storage, qualifiers and types before the declarators, tags among them."""
     p = _units(_table(spark, sf_dir, "supplier"), "s_suppkey", "concat('static const unsigned long a', s_suppkey, ' = sizeof(int), *const b;\nstruct S', s_suppkey, ' c;')")
-    return spans.specifiers(p.raw_marked).select("unit_id", "ordinal", "word", "role")
+    return spans.specifiers(p.kept).select("unit_id", "ordinal", "word", "role")
 
 
 @query("""
@@ -401,6 +402,224 @@ def asm_operand_list(spark, sf_dir):
     return spans.asm_operands(p.raw_marked).select("unit_id", "section", "ordinal", "constraint", "value")
 
 
+@query("""
+SELECT p_partkey AS unit_id, literal, src FROM (SELECT p_partkey, unnest([{'l': 0, 's': p_size || '.5e-3f'}, {'l': 1, 's': '.' || p_size}, {'l': 2, 's': '0x1.8p' || p_size}, {'l': 3, 's': p_size || '.'}]) AS x FROM part) t, LATERAL (SELECT x.l AS literal, x.s AS src)""")
+def lex_float_literals(spark, sf_dir):
+    """Floating literals in decimal and hexadecimal, with exponents and suffixes."""
+    src = "concat('double a = ', p_size, '.5e-3f, b = .', p_size, ', c = 0x1.8p', p_size, ', d = ', p_size, '.;')"
+    found = _units(_table(spark, sf_dir, "part"), "p_partkey", src).raw_tokens.where("tname = 'LIT_FLOAT'")
+    nth = F.row_number().over(Window.partitionBy("unit_id").orderBy("tok_ix")) - 1
+    return found.select("unit_id", nth.alias("literal"), "src")
+
+
+@query("""
+SELECT c_custkey AS unit_id, 'v' || c_custkey AS src, 2 AS line, 1 AS col, 'TRIVIA_LINE_CONT' AS trivia FROM customer""")
+def lex_line_conts(spark, sf_dir):
+    """A continued line is trivia of the token after it, which is on the next line."""
+    found = _units(_table(spark, sf_dir, "customer"), "c_custkey", "concat('int \\\\', '\\n', 'v', c_custkey, ';')").raw_tokens.where("size(leading) > 0")
+    return found.select("unit_id", "src", "line", "col", F.col("leading")[0]["tname"].alias("trivia"))
+
+
+@query("""
+SELECT s_suppkey AS unit_id, name, tname FROM supplier, (VALUES ('u32', 'TYPEDEF_NAME'), ('x', 'ID'), ('other', 'ID'), ('y', 'ID')) t(name, tname)""")
+def predefined_types(spark, sf_dir):
+    """Type names that are known before a unit begins."""
+    units = _table(spark, sf_dir, "supplier").selectExpr("s_suppkey AS unit_id", "'u32 x; other y;' AS src")
+    return Program(units, ["u32"]).tokens.where("tname IN ('ID', 'TYPEDEF_NAME')").select("unit_id", F.col("src").alias("name"), "tname")
+
+
+@query("SELECT 'quern' AS name, '0.1.0' AS version, 'C23' AS language")
+def engine_version(spark, sf_dir):
+    return engine_info(spark)
+
+
+@query("""
+SELECT c_custkey AS unit_id, c_custkey % 3 <> 0 AS ok, CASE WHEN c_custkey % 3 = 0 THEN 'invalid_utf8' END AS code FROM customer""")
+def utf8_codes(spark, sf_dir):
+    """Sources with bytes that are no UTF-8 are told."""
+    content = "if(c_custkey % 3 = 0, unhex('696E74FF'), cast(concat('int é', c_custkey) AS binary))"
+    return utf8_status(_table(spark, sf_dir, "customer").selectExpr("c_custkey AS path", f"{content} AS content"))
+
+
+@query("""
+SELECT s_suppkey AS unit_id, false AS ok, 'unterminated_header_name' AS code, 9 AS pos FROM supplier WHERE s_suppkey % 2 = 0
+UNION ALL SELECT s_suppkey, true, NULL, NULL FROM supplier WHERE s_suppkey % 2 = 1""")
+def header_status(spark, sf_dir):
+    """A header name without its end is an error; one after very many blanks is none."""
+    src = "concat('#include', if(s_suppkey % 2 = 0, ' ', repeat(' ', int(30 + s_suppkey))), '<a', s_suppkey, if(s_suppkey % 2 = 0, '\\n', '.h>\\n'))"
+    return _units(_table(spark, sf_dir, "supplier"), "s_suppkey", src).status.select("unit_id", "ok", "code", F.col("pos").cast("int").alias("pos"))
+
+
+@query("""
+SELECT s_suppkey AS unit_id, 'macro' AS header_kind, 'H ( ' || s_nationkey || ' )' AS header_name FROM supplier""")
+def header_macro_form(spark, sf_dir):
+    found = preprocessor.includes(_units(_table(spark, sf_dir, "supplier"), "s_suppkey", "concat('#include H(', s_nationkey, ')\\nint x;\\n')").directives)
+    return found.select("unit_id", "header_kind", "header_name")
+
+
+@query("""
+SELECT s_suppkey AS unit_id, name, decl_kind, shape, pointer_depth FROM supplier, (VALUES ('old', 'function_definition', 'function', 0), ('g', 'declaration', 'function', 0), ('h', 'declaration', 'function', 1), ('fp', 'declaration', 'function_pointer', 1), ('after', 'declaration', 'object', 0)) t(name, decl_kind, shape, pointer_depth)""")
+def old_style_definitions(spark, sf_dir):
+    """A definition with declared parameters is one declaration; brackets round a name alone make no pointer."""
+    src = "concat('int old(a, b) int a; char *b, c[', s_suppkey, ']; { return a; }\\nint (g)(int v); char *(h)(void); int (*fp)(int); int after;')"
+    p = _units(_table(spark, sf_dir, "supplier"), "s_suppkey", src)
+    return declarations.symbols(p.raw_marked).select("unit_id", "name", "decl_kind", "shape", F.col("pointer_depth").cast("int").alias("pointer_depth"))
+
+
+@query("""
+SELECT s_suppkey AS unit_id, name, ordinal, param FROM supplier, (VALUES ('old', 0, 'a'), ('old', 1, 'b'), ('proto', 0, 'x'), ('proto', 1, 'y')) t(name, ordinal, param)""")
+def identifier_lists(spark, sf_dir):
+    """Parameter names of old-style lists, in a definition and in a declaration."""
+    src = "concat('int old(a, b) int a; char *b; { return ', s_suppkey, '; }\\nint proto(x, y);')"
+    p = _units(_table(spark, sf_dir, "supplier"), "s_suppkey", src)
+    return declarations.parameters(p.kept).select("unit_id", F.col("function").alias("name"), F.col("ordinal").cast("int").alias("ordinal"), F.coalesce("name", "text").alias("param"))
+
+
+@query("""
+SELECT c_nationkey AS unit_id, 'v' || c_custkey AS name, CASE c_custkey % 3 WHEN 0 THEN 'array' WHEN 1 THEN 'object' ELSE 'function_pointer' END AS shape, CASE c_custkey % 3 WHEN 0 THEN 0 ELSE 1 END AS pointer_depth, CASE WHEN c_custkey % 3 = 1 THEN 'static' END AS storage FROM customer
+UNION ALL SELECT DISTINCT c_nationkey, 'i', 'object', 0, NULL FROM customer UNION ALL SELECT DISTINCT c_nationkey, 't', 'object', 0, NULL FROM customer""")
+def local_declarations(spark, sf_dir):
+    """Declarations in bodies and in the head of a for: a function a nation, a variable a customer."""
+    line = "CASE c_custkey % 3 WHEN 0 THEN concat('int v', c_custkey, '[3]; f(a, b);') WHEN 1 THEN concat('static char *v', c_custkey, ' = g(x, y); x * y;') ELSE concat('int (*v', c_custkey, ')(int w); if (x) { z = 1; }') END"
+    rows = _table(spark, sf_dir, "customer").selectExpr("c_nationkey AS unit_id", f"struct(c_custkey, {line} AS d) AS x")
+    src = rows.groupBy("unit_id").agg(F.concat(F.lit("typedef int T; void f(int q) { for (int i = 0; i < 3; i++) { T t; } "), F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["d"]), " "), F.lit(" }")).alias("src"))
+    return inner.local_symbols(Program(src).full).select("unit_id", "name", "shape", F.col("pointer_depth").cast("int").alias("pointer_depth"), "storage")
+
+
+@query("""
+SELECT s_suppkey AS unit_id, callee, callee_kind, n_args FROM supplier, (VALUES ('m', 'member', 1), (NULL, 'call', 1), (NULL, 'indirect', 2), (NULL, 'subscript', 1), ('g', 'name', 0)) t(callee, callee_kind, n_args)""")
+def indirect_calls(spark, sf_dir):
+    """Calls through members, results, pointers and arrays; a cast and a condition are none."""
+    src = "concat('void f(void) { q->m(6)(', s_suppkey, '); (*p)(1, 2); a[3](4); b = (int)(c); if (d) (e); while (g()) (h); }')"
+    return inner.calls(_units(_table(spark, sf_dir, "supplier"), "s_suppkey", src).full).select("unit_id", "callee", "callee_kind", F.col("n_args").cast("int").alias("n_args"))
+
+
+@query("""
+SELECT p_partkey AS unit_id, object, idx FROM (SELECT p_partkey, unnest([{'o': 'a', 'i': 'i + b [ ' || p_size || ' ]'}, {'o': 'b', 'i': p_size::VARCHAR}, {'o': ')', 'i': '0'}, {'o': ']', 'i': 'j , k'}]) AS x FROM part) t, LATERAL (SELECT x.o AS object, x.i AS idx)""")
+def subscript_uses(spark, sf_dir):
+    """Subscripts, nested and in a row; sizes of arrays and designators are none."""
+    src = "concat('void f(void) { int n[4], m[2][3]; x = a[i + b[', p_size, ']]; y = g(1)[0][j, k]; } int t[2] = { [1] = 5 };')"
+    return inner.subscripts(_units(_table(spark, sf_dir, "part"), "p_partkey", src).full).select("unit_id", "object", F.col("index").alias("idx"))
+
+
+@query("""
+SELECT l_orderkey AS unit_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) - 1 AS ordinal, CASE l_linenumber % 3 WHEN 0 THEN '[' || l_linenumber || '].m' WHEN 1 THEN '.a[' || l_linenumber || '].b' ELSE '[1...' || l_linenumber || ']' END AS designator FROM lineitem""")
+def chained_designators(spark, sf_dir):
+    """Designators of several steps, and of a range."""
+    item = "concat(CASE l_linenumber % 3 WHEN 0 THEN concat('[', l_linenumber, '].m') WHEN 1 THEN concat('.a[', l_linenumber, '].b') ELSE concat('[1 ... ', l_linenumber, ']') END, ' = ', l_linenumber)"
+    rows = _table(spark, sf_dir, "lineitem").selectExpr("l_orderkey AS unit_id", f"struct(l_linenumber, {item} AS d) AS x")
+    src = rows.groupBy("unit_id").agg(F.concat(F.lit("struct S v = { "), F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["d"]), ", "), F.lit(" };")).alias("src"))
+    return code.initializer_items(Program(src).raw_marked).select("unit_id", "ordinal", "designator")
+
+
+@query("""
+SELECT o_orderkey AS unit_id, label_name FROM (SELECT o_orderkey, unnest(['( A + ' || o_custkey || ' )', '1 ... ' || (o_custkey + 1), 'x ? y : ' || o_custkey]) AS label_name FROM orders)""")
+def case_values(spark, sf_dir):
+    """Whole values of case labels: expressions, ranges, conditionals."""
+    src = "concat('void f(void) { switch (s) { case (A + ', o_custkey, '): g(); case 1 ... ', o_custkey + 1, ': break; case x ? y : ', o_custkey, ': h(); } }')"
+    return code.labels(_units(_table(spark, sf_dir, "orders"), "o_orderkey", src).raw_marked).select("unit_id", "label_name")
+
+
+@query("""
+SELECT p_partkey AS unit_id, member_name, bit_width FROM (SELECT p_partkey, unnest([{'m': 'x', 'w': '1 + ' || p_size}, {'m': 'y', 'w': 'N'}, {'m': 'z', 'w': NULL}, {'m': 'w', 'w': '( 2 , 3 )'}]) AS x FROM part) t, LATERAL (SELECT x.m AS member_name, x.w AS bit_width)""")
+def bitfield_widths(spark, sf_dir):
+    """Widths of bit-fields are whole expressions."""
+    src = "concat('struct S { int x : 1+', p_size, ', y : N; char z[2]; int w : (2, 3); };')"
+    return declarations.members(_units(_table(spark, sf_dir, "part"), "p_partkey", src).kept).select("unit_id", "member_name", "bit_width")
+
+
+@query("""
+SELECT s_suppkey AS unit_id, 'E' || s_suppkey AS tag_name, CASE WHEN s_suppkey % 2 = 0 THEN 'unsigned char' END AS underlying, 2 AS n, 1 AS n_valued FROM supplier""")
+def enum_types(spark, sf_dir):
+    """The type of an enum, and enumerators with attributes."""
+    src = "concat('enum E', s_suppkey, if(s_suppkey % 2 = 0, ' : unsigned char', ''), ' { A __attribute__((deprecated)) = 1, B __attribute__((unused)) };')"
+    p = _units(_table(spark, sf_dir, "supplier"), "s_suppkey", src)
+    held = declarations.enumerators(p.kept).groupBy("unit_id", "tag_name").agg(F.count("*").alias("n"), F.count_if("has_value").alias("n_valued"))
+    return declarations.tags(p.kept).select("unit_id", "tag_name", "underlying").join(held, ["unit_id", "tag_name"])
+
+
+@query("""
+SELECT s_suppkey AS unit_id, section, operand_name, value FROM supplier, (VALUES (1, 'res', 'x'), (2, NULL, 'y'), (2, 'in', 'z [ 1 ]'), (4, NULL, 'out')) t(section, operand_name, value)""")
+def asm_names(spark, sf_dir):
+    """Names of asm operands, and labels that an asm goto may jump to."""
+    src = """concat('void f(void) { asm goto ("nop ', s_suppkey, '" : [res] "=r" (x) : "r" (y), [in] "r" (z[1]) : : out); out: ; }')"""
+    found = spans.asm_operands(_units(_table(spark, sf_dir, "supplier"), "s_suppkey", src).raw_marked)
+    return found.select("unit_id", F.col("section").cast("int").alias("section"), "operand_name", "value")
+
+
+@query("""
+SELECT p_partkey AS unit_id, attribute_name, arguments FROM (SELECT p_partkey, unnest([{'n': 'aligned', 'a': p_size::VARCHAR}, {'n': 'format', 'a': 'printf , 1 , ( 2 )'}, {'n': 'unused', 'a': NULL}]) AS x FROM part) t, LATERAL (SELECT x.n AS attribute_name, x.a AS arguments)""")
+def attribute_arguments(spark, sf_dir):
+    src = "concat('__attribute__((aligned(', p_size, '), format(printf, 1, (2)), unused)) int v;')"
+    return code.attributes(_units(_table(spark, sf_dir, "part"), "p_partkey", src).raw_marked).select("unit_id", "attribute_name", "arguments")
+
+
+@query("""
+SELECT p_partkey AS unit_id, depth, n::BIGINT AS n FROM part, (VALUES (0, 1), (1, 3)) t(depth, n)""")
+def comma_uses(spark, sf_dir):
+    """Commas that are operators: not those between arguments, declarators, or items of a list."""
+    src = "concat('void f(int p, int q) { int a, b[2] = { 1, 2 }; for (int i = 0, j = 1; i; i++, j--) g(a, b); (a, ', p_size, '); x = 1, y = 2; z = (S){ 3, 4 }; w = t[c, d]; }')"
+    found = inner.comma_operators(_units(_table(spark, sf_dir, "part"), "p_partkey", src).full)
+    return found.groupBy("unit_id", F.col("depth").cast("int").alias("depth")).agg(F.count("*").alias("n"))
+
+
+@query("""
+SELECT s_suppkey AS unit_id, word, n::BIGINT AS n FROM supplier, (VALUES ('a', 1), ('g', 3), ('(', 1), ('++', 1), (';', 1)) t(word, n)""")
+def expression_statements(spark, sf_dir):
+    """Statements that are expressions, after conditions, labels and braces too; an empty one counts."""
+    src = "concat('int f(void) { int v = 1; a = x ? y : ', s_suppkey, '; if (b) g(); else g(c); L: g(d); (*p)(1); for (i = 0; i; i++) ++j; ; return (S){ 1 }.m; }')"
+    found = inner.expression_statements(_units(_table(spark, sf_dir, "supplier"), "s_suppkey", src).full)
+    return found.groupBy("unit_id", F.col("first").alias("word")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT n_nationkey AS unit_id, 1 AS depth FROM nation UNION ALL SELECT n_nationkey, 2 FROM nation")
+def statement_expressions(spark, sf_dir):
+    src = "concat('void f(void) { a = ({ int t = ', n_regionkey, '; t; }); g(({ h(); })); { k(); } }')"
+    return inner.statement_expressions(_units(_table(spark, sf_dir, "nation"), "n_nationkey", src).raw_marked).select("unit_id", F.col("depth").cast("int").alias("depth"))
+
+
+@query("SELECT n_nationkey AS unit_id, '( v' || n_nationkey || ' , w )' AS control FROM nation")
+def generic_controls(spark, sf_dir):
+    src = "concat('int x = _Generic((v', n_nationkey, ', w), int: f(1, 2), default: ', n_regionkey, ');')"
+    return inner.generic_selections(_units(_table(spark, sf_dir, "nation"), "n_nationkey", src).raw_marked).select("unit_id", "control")
+
+
+@query("""
+SELECT s_suppkey AS unit_id, name, level, qualifiers FROM supplier, (VALUES ('p', 0, 'const'), ('p', 1, 'volatile restrict'), ('q', 0, '')) t(name, level, qualifiers)""")
+def pointer_qualifiers(spark, sf_dir):
+    """Qualifiers of each star, not those of the type."""
+    src = "concat('const int *const *volatile restrict p, *q, r', s_suppkey, ';')"
+    return inner.pointer_levels(_units(_table(spark, sf_dir, "supplier"), "s_suppkey", src).kept).select("unit_id", "name", F.col("level").cast("int").alias("level"), "qualifiers")
+
+
+@query("SELECT s_suppkey AS unit_id, word FROM supplier, (VALUES ('static'), ('const')) t(word)")
+def array_qualifiers(spark, sf_dir):
+    src = "concat('void f(int a[static const ', s_suppkey, '], int b[3]);')"
+    return inner.array_qualifiers(_units(_table(spark, sf_dir, "supplier"), "s_suppkey", src).raw_marked).select("unit_id", "word")
+
+
+@query("SELECT p_partkey AS unit_id, p_size || ' + 1' AS width FROM part")
+def bit_int_widths(spark, sf_dir):
+    src = "concat('unsigned _BitInt(', p_size, ' + 1) v;')"
+    return inner.bit_int_widths(_units(_table(spark, sf_dir, "part"), "p_partkey", src).raw_marked).select("unit_id", "width")
+
+
+@query("""
+SELECT p_partkey AS unit_id, literal_kind, value FROM (SELECT p_partkey, unnest([{'k': 'LIT_STRING', 'v': '"' || p_brand || '""b"'}, {'k': 'KW_TRUE', 'v': 'true'}, {'k': 'KW_NULLPTR', 'v': 'nullptr'}]) AS x FROM part) t, LATERAL (SELECT x.k AS literal_kind, x.v AS value)""")
+def string_atoms(spark, sf_dir):
+    """Strings that touch are one; constants are literals too."""
+    src = """concat('char *s = "', p_brand, '" /* c */ "b"; bool t = true; void *n = nullptr;')"""
+    return code.literals(_units(_table(spark, sf_dir, "part"), "p_partkey", src).raw_marked).select("unit_id", "literal_kind", "value")
+
+
+@query("""
+SELECT p_partkey AS unit_id, 'sizeof ( int ) == ' || p_size AS condition, '"in"' AS message, true AS in_body FROM part UNION ALL SELECT p_partkey, 'A', NULL, false FROM part""")
+def body_assertions(spark, sf_dir):
+    """Static assertions in a body and outside."""
+    src = """concat('_Static_assert(A); void f(void) { int x; _Static_assert(sizeof(int) == ', p_size, ', "in"); g(1, 2); }')"""
+    return inner.static_asserts(_units(_table(spark, sf_dir, "part"), "p_partkey", src).raw_marked).select("unit_id", "condition", "message", "in_body")
+
+
 def lex_whole_documents(spark, sf_dir):
     """Every document lexed whole, whatever its characters: how many lexemes of each kind, and the characters they cover."""
     docs = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("unit_id"), F.col("text").alias("src"))

@@ -39,24 +39,24 @@ def jumps(marked: DataFrame) -> DataFrame:
 
 
 def labels(marked: DataFrame) -> DataFrame:
-    """Labels: case (with its value), default, and named ones."""
-    own = marked.where("dir_id IS NULL").withColumn("_two", F.lead("src", 2).over(in_declaration())).where("in_body")
+    """Labels: case (with its whole value, of a range too), default, and named ones."""
+    own = marked.where("dir_id IS NULL AND in_body")
     named = (F.col("tname") == "ID") & (F.col("next") == ":") & F.col("prev").isin(";", "{", "}", ")", ":")
     kind = F.when(F.col("src") == "case", "case").when((F.col("src") == "default") & (F.col("next") == ":"), "default").when(named, "identifier")
-    value = F.when(kind == "case", F.col("next")).when(kind == "identifier", F.col("src"))
-    return own.withColumns({"label_kind": kind, "label_name": value}).where("label_kind IS NOT NULL").select("unit_id", "decl_ix", "tok_ix", "label_kind", "label_name")
-
-
-def calls(marked: DataFrame) -> DataFrame:
-    """(unit_id, caller, callee, is_macro, n_args) of each call by name in a function body or an initialiser."""
-    own = marked.where("dir_id IS NULL AND NOT in_attribute")
-    at = own.where((F.col("in_body") | F.col("in_value")) & F.col("tname").isin("ID", "MACRO_NAME") & (F.col("next") == "(")).select("unit_id", "decl_ix", F.col("tok_ix").alias("call_ix"), F.col("src").alias("callee"), (F.col("tname") == "MACRO_NAME").alias("is_macro"), (F.col("parens") + 1).alias("level"))
-    # Tokens directly in a bracket belong to the last bracket that was opened at their level.
-    level = Window.partitionBy("unit_id", "decl_ix", "level").orderBy("tok_ix").rowsBetween(Window.unboundedPreceding, 0)
-    inner = own.withColumn("level", F.col("parens") + F.col("src").isin("(", ")").cast("int")).withColumn("call_ix", F.last(F.when(F.col("src") == "(", F.col("tok_ix") - 1), ignorenulls=True).over(level))
-    sizes = inner.groupBy("unit_id", "decl_ix", "level", "call_ix").agg(F.sum(F.when((F.col("src") == ",") & (F.col("brackets") == 0), 1).otherwise(0)).alias("commas"), F.max((F.col("src") == "(") & (F.col("next") == ")")).alias("empty"))
-    rows = at.join(sizes, ["unit_id", "decl_ix", "level", "call_ix"], "left").join(functions(marked), ["unit_id", "decl_ix"], "left")
-    return rows.select("unit_id", F.col("function").alias("caller"), "callee", "is_macro", F.when(F.col("empty"), 0).otherwise(F.col("commas") + 1).cast("long").alias("n_args"))
+    own = own.withColumn("_kind", kind)
+    so_far = in_declaration().rowsBetween(Window.unboundedPreceding, 0)
+    own = own.withColumn("_head", F.last(F.when(F.col("_kind").isNotNull(), F.struct("tok_ix", "parens", "_kind")), ignorenulls=True).over(so_far))
+    # The colon that ends a value is the one without a question mark of its own.
+    step = F.when(F.col("parens") == F.col("_head.parens"), F.when(F.col("src") == ":", 1).when(F.col("src") == "?", -1).otherwise(0)).otherwise(0)
+    own = own.where("_head IS NOT NULL").withColumn("_ends", F.sum(step).over(Window.partitionBy("unit_id", "decl_ix", "_head.tok_ix").orderBy("tok_ix").rowsBetween(Window.unboundedPreceding, 0)))
+    done = F.max((F.col("_ends") > 0).cast("int")).over(Window.partitionBy("unit_id", "decl_ix", "_head.tok_ix").orderBy("tok_ix").rowsBetween(Window.unboundedPreceding, 0))
+    own = own.withColumn("_done", done).where(F.col("_kind").isNotNull() | (F.col("_head._kind") == "case") & (F.col("_done") == 0))
+    value = (F.col("_head._kind") == "case") & F.col("_kind").isNull()
+    rows = own.groupBy("unit_id", "decl_ix", F.col("_head.tok_ix").alias("tok_ix"), F.col("_head._kind").alias("label_kind")).agg(
+        F.array_sort(F.collect_list(F.when(value, F.struct("tok_ix", "src")))).alias("words"), F.max(F.when(F.col("_kind") == "identifier", F.col("src"))).alias("name")
+    )
+    name = F.when(F.col("label_kind") == "case", F.array_join(F.transform("words", lambda t: t["src"]), " ")).otherwise(F.col("name"))
+    return rows.select("unit_id", "decl_ix", "tok_ix", "label_kind", name.alias("label_name"))
 
 
 def _after_operand() -> Column:
@@ -65,7 +65,7 @@ def _after_operand() -> Column:
 
 
 def operators(marked: DataFrame) -> DataFrame:
-    """(unit_id, decl_ix, part, tok_ix, op, arity, kind, precedence, depth) of each operator in a body or an initialiser."""
+    """(unit_id, decl_ix, part, tok_ix, op, kind, precedence, depth) of each operator in a body or an initialiser, but commas: see comma_operators()."""
     own = marked.where("dir_id IS NULL AND NOT in_attribute").withColumn("_binary", _after_operand()).where("in_body OR in_value")
     strength = F.create_map(*[F.lit(x) for pair in C.PRECEDENCE.items() for x in pair])
     pure = F.col("src").isin("++", "--", "!", "~", "sizeof")
@@ -84,51 +84,49 @@ def root_operators(marked: DataFrame) -> DataFrame:
 
 
 def literals(marked: DataFrame) -> DataFrame:
-    """Literals outside directives; strings that touch are one literal of joined spelling."""
-    own = marked.where("dir_id IS NULL AND tname LIKE 'LIT_%'").withColumn("_first", ~((F.col("tname") == "LIT_STRING") & (F.col("prev_cls") == "string")))
+    """Literals and the constants true, false and nullptr outside directives; strings that touch are one literal of joined spelling."""
+    own = marked.where("dir_id IS NULL AND (tname LIKE 'LIT_%' OR tname IN ('KW_TRUE', 'KW_FALSE', 'KW_NULLPTR'))").withColumn("_first", ~((F.col("tname") == "LIT_STRING") & (F.col("prev_cls") == "string")))
     own = own.withColumn("_group", F.sum(F.col("_first").cast("int")).over(Window.partitionBy("unit_id").orderBy("tok_ix").rowsBetween(Window.unboundedPreceding, 0)))
     rows = own.groupBy("unit_id", "_group").agg(F.min("tok_ix").alias("tok_ix"), F.first("tname").alias("literal_kind"), F.array_sort(F.collect_list(F.struct("tok_ix", "src"))).alias("x"))
     return rows.select("unit_id", "tok_ix", "literal_kind", F.array_join(F.transform("x", lambda t: t["src"]), "").alias("value"))
 
 
 def attributes(marked: DataFrame) -> DataFrame:
-    """(unit_id, decl_ix, attribute_form, attribute_prefix, attribute_name, has_arguments) of each attribute."""
+    """(unit_id, decl_ix, tok_ix, attribute_form, attribute_prefix, attribute_name, has_arguments, arguments) of each attribute."""
     own = marked.where("in_attribute AND dir_id IS NULL")
-    first = F.first("src").over(Window.partitionBy("unit_id", "decl_ix", "attr_ix").orderBy("tok_ix"))
-    base = F.first("parens").over(Window.partitionBy("unit_id", "decl_ix", "attr_ix").orderBy("tok_ix"))
+    whole = Window.partitionBy("unit_id", "decl_ix", "attr_ix").orderBy("tok_ix")
+    first, base = F.first("src").over(whole), F.first("parens").over(whole)
     form = F.when(first.isin(*C.GCC_ATTRIBUTE), "gcc").when(first.isin(*C.MSVC_ATTRIBUTE), "msvc").otherwise("c23")
     own = own.withColumns({"attribute_form": form, "_depth": F.col("parens") - base, "_two": F.lag("src", 2).over(in_declaration()), "_three": F.lag("src", 3).over(in_declaration())})
     inside = F.when(form == "gcc", F.col("_depth") == 2).when(form == "msvc", F.col("_depth") == 1).otherwise(F.col("_depth") == 0)
     scoped = (F.col("prev") == ":") & (F.col("_two") == ":")
-    head = F.col("prev").isin("(", ",", "[") | scoped
-    named = own.withColumns({"_inside": inside, "_head": head, "_scoped": scoped}).where("_inside AND _head").where(F.col("tname").isin("ID", "TYPEDEF_NAME", "MACRO_NAME") | F.col("tname").startswith("KW_"))
-    named = named.where(~F.coalesce(F.col("next") == ":", F.lit(False)))
-    return named.select("unit_id", "decl_ix", "tok_ix", "attribute_form", F.when(F.col("_scoped"), F.col("_three")).alias("attribute_prefix"), F.col("src").alias("attribute_name"), (F.col("next") == "(").alias("has_arguments"))
-
-
-def static_asserts(marked: DataFrame) -> DataFrame:
-    """File-scope static assertions: condition text, and message where one is given."""
-    own = marked.where("dir_id IS NULL AND decl_kind = 'declaration'")
-    head = F.first("src").over(Window.partitionBy("unit_id", "decl_ix").orderBy("tok_ix"))
-    own = own.withColumn("_head", head).where(F.col("_head").isin(*C.ASSERT_WORDS)).where("parens > 0")
-    commas = F.sum(((F.col("src") == ",") & (F.col("parens") == 1)).cast("int")).over(Window.partitionBy("unit_id", "decl_ix").orderBy("tok_ix").rowsBetween(Window.unboundedPreceding, 0))
-    parts = own.withColumn("_part", commas).where(~((F.col("src") == ",") & (F.col("parens") == 1))).groupBy("unit_id", "decl_ix", "_part").agg(F.array_sort(F.collect_list(F.struct("tok_ix", "src"))).alias("x"))
-    text = parts.select("unit_id", "decl_ix", "_part", F.array_join(F.transform("x", lambda t: t["src"]), " ").alias("text"))
-    return text.groupBy("unit_id", "decl_ix").agg(F.max(F.when(F.col("_part") == 0, F.col("text"))).alias("condition"), F.max(F.when(F.col("_part") == 1, F.col("text"))).alias("message"))
+    name = F.col("tname").isin("ID", "TYPEDEF_NAME", "MACRO_NAME") | F.col("tname").startswith("KW_")
+    named = inside & (F.col("prev").isin("(", ",", "[") | scoped) & name & ~F.coalesce(F.col("next") == ":", F.lit(False))
+    own = own.withColumns({"_named": F.coalesce(named, F.lit(False)), "_scoped": scoped})
+    # What is deeper than a name, up to the next name, is in its brackets.
+    own = own.withColumn("_name", F.last(F.when(F.col("_named"), F.struct("tok_ix", "_depth")), ignorenulls=True).over(whole.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = own.where("_name IS NOT NULL").groupBy("unit_id", "decl_ix", F.col("_name.tok_ix").alias("tok_ix"), "attribute_form").agg(
+        F.max(F.when(F.col("_named"), F.struct(F.when(F.col("_scoped"), F.col("_three")).alias("prefix"), "src", (F.col("next") == "(").alias("has")))).alias("x"),
+        F.array_sort(F.collect_list(F.when(F.col("_depth") > F.col("_name._depth"), F.struct("tok_ix", "src")))).alias("words"),
+    )
+    text = F.when(F.col("x.has"), F.array_join(F.transform("words", lambda t: t["src"]), " "))
+    return rows.select("unit_id", "decl_ix", "tok_ix", "attribute_form", F.col("x.prefix").alias("attribute_prefix"), F.col("x.src").alias("attribute_name"), F.col("x.has").alias("has_arguments"), text.alias("arguments"))
 
 
 def initializer_items(marked: DataFrame) -> DataFrame:
-    """Items of brace initialisers at file scope: ordinal in their list, designator (.name or [index]) or null."""
+    """Items of brace initialisers at file scope: ordinal in their list, designator (.name and [index] in as many steps as it has) or null."""
     own = marked.where("dir_id IS NULL AND in_value AND NOT in_body")
-    level = Window.partitionBy("unit_id", "decl_ix", "part", "braces").orderBy("tok_ix")
+    so_far = Window.partitionBy("unit_id", "decl_ix", "part").orderBy("tok_ix").rowsBetween(Window.unboundedPreceding, 0)
     own = own.withColumn("_inner", F.col("braces") + (F.col("src") == "{").cast("int"))
     list_ix = F.last(F.when(F.col("src") == "{", F.col("tok_ix")), ignorenulls=True).over(Window.partitionBy("unit_id", "decl_ix", "part", "_inner").orderBy("tok_ix").rowsBetween(Window.unboundedPreceding, 0))
-    own = own.withColumns({"list_ix": list_ix, "_next2": F.lead("src", 2).over(in_declaration()), "_nth": F.lead("tok_ix").over(level)})
     begins = ((F.col("src") == "{") & (F.col("next") != "}")) | ((F.col("src") == ",") & (F.col("parens") == 0) & (F.col("brackets") == 0) & (F.col("next") != "}") & (F.col("braces") > 0))
-    designator = F.when(F.col("next") == ".", F.concat(F.lit("."), F.col("_next2"))).when(F.col("next") == "[", F.concat(F.lit("["), F.col("_next2"), F.lit("]")))
-    items = own.where(begins).withColumn("designator", designator)
+    own = own.withColumns({"list_ix": list_ix, "_begins": begins})
+    own = own.withColumn("_item", F.last(F.when(F.col("_begins"), F.struct("tok_ix", "next", "list_ix")), ignorenulls=True).over(so_far)).where("_item IS NOT NULL")
+    value = F.max(((F.col("src") == "=") & (F.col("parens") == 0) & (F.col("brackets") == 0)).cast("int")).over(Window.partitionBy("unit_id", "decl_ix", "part", "_item.tok_ix").orderBy("tok_ix").rowsBetween(Window.unboundedPreceding, 0))
+    own = own.withColumn("_step", F.col("_item.next").isin(".", "[") & (value == 0) & ~F.col("_begins"))
+    rows = own.where("_begins OR _step").groupBy("unit_id", "decl_ix", "part", F.col("_item.list_ix").alias("list_ix"), F.col("_item.tok_ix").alias("tok_ix")).agg(F.array_sort(F.collect_list(F.when(F.col("_step"), F.struct("tok_ix", "src")))).alias("words"))
     ordinal = F.row_number().over(Window.partitionBy("unit_id", "decl_ix", "part", "list_ix").orderBy("tok_ix")) - 1
-    return items.select("unit_id", "decl_ix", "part", "list_ix", ordinal.cast("long").alias("ordinal"), "designator")
+    return rows.select("unit_id", "decl_ix", "part", "list_ix", ordinal.cast("long").alias("ordinal"), F.when(F.size("words") > 0, F.array_join(F.transform("words", lambda t: t["src"]), "")).alias("designator"))
 
 
 def generic_associations(marked: DataFrame) -> DataFrame:

@@ -24,46 +24,67 @@ def _outside() -> Column:
     return (F.col("braces") == 0) & (F.col("parens") == 0) & (F.col("brackets") == 0)
 
 
-def with_declarations(tokens: DataFrame) -> DataFrame:
-    """Tokens with decl_ix, decl_kind, in_body (inside a function's braces), in_attribute, and part: the declarator's ordinal."""
+def _with_numbers(tokens: DataFrame) -> DataFrame:
+    """Tokens with decl_ix; _old marks parameters that are declared between a list and its body, _kr the brace of that body.
+
+    A closing bracket outside all others that a type or name follows may begin such parameters, and a
+    brace after a semicolon ends them, with no other brace or value between: all of it is one declaration.
+    """
     code = F.col("dir_id").isNull()
     begins = F.col("next").isin(*C.DECLARATION_STARTS) | F.col("next").isin("#", "%:") | F.col("next").isNull() | (F.lead("tname").over(in_unit()) == "TYPEDEF_NAME")
     ends = code & _outside() & ((F.col("src") == ";") | (F.col("src") == "}") & begins) | (F.col("tname") == "PP_NEWLINE") & (F.col("braces") == 0)
-    opens = (F.col("tname") == "PP_HASH") & (F.col("braces") == 0)
-    cut = tokens.withColumn("_new", (F.lag(ends, 1, True).over(in_unit()) | opens).cast("int"))
-    cut = cut.withColumn("decl_ix", F.sum("_new").over(in_unit().rowsBetween(Window.unboundedPreceding, 0)) - 1).drop("_new")
-    # The first brace that follows a closing parenthesis, with no = before it, opens a body.
-    first_assign = F.min(F.when(code & _outside() & (F.col("src") == "="), F.col("tok_ix"))).over(Window.partitionBy("unit_id", "decl_ix"))
-    body = F.min(F.when(code & _outside() & (F.col("src") == "{") & (F.col("prev") == ")"), F.col("tok_ix"))).over(Window.partitionBy("unit_id", "decl_ix"))
-    cut = cut.withColumns({"_assign": first_assign, "_body": F.when(first_assign.isNull() | (body < first_assign), body)})
-    is_line = F.first("tname").over(in_declaration().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)) == "PP_HASH"
-    cut = cut.withColumn("decl_kind", F.when(is_line, "directive").when(F.col("_body").isNotNull(), "function_definition").otherwise("declaration"))
-    cut = cut.withColumn("in_body", (F.col("tok_ix") > F.col("_body")) & (F.col("braces") > 0)).fillna({"in_body": False}).drop("_body", "_assign")
-    return _with_parts(_with_attributes(cut))
-
-
-def _with_attributes(cut: DataFrame) -> DataFrame:
-    """in_attribute: inside __attribute__((...)), __declspec(...) or [[...]], with the words that open it; attr_ix numbers them."""
-    bracket = (F.col("src") == "[") & (F.col("next") == "[") & (F.lead("start").over(in_unit()) == F.col("end")) & (F.col("brackets") == 0)
-    word = F.col("src").isin(*C.ATTRIBUTE_OPENERS)
-    cut = cut.withColumn("_opens", ((word | bracket) & F.col("dir_id").isNull()).cast("int"))
-    cut = cut.withColumn("attr_ix", F.sum("_opens").over(in_declaration().rowsBetween(Window.unboundedPreceding, 0)))
-    own = Window.partitionBy("unit_id", "decl_ix", "attr_ix").orderBy("tok_ix")
-    whole = own.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    level = lambda c: F.first(c).over(whole)
-    closer = F.when(level("src") == "[", (F.col("src") == "]") & (F.col("brackets") == level("brackets"))).otherwise((F.col("src") == ")") & (F.col("parens") == level("parens")))
-    cut = cut.withColumn("_stop", F.min(F.when(closer & (F.col("tok_ix") > level("tok_ix")), F.col("tok_ix"))).over(whole))
-    inside = (F.col("attr_ix") > 0) & (F.col("tok_ix") <= F.coalesce("_stop", "tok_ix"))
-    return cut.withColumn("in_attribute", inside).drop("_opens", "_stop")
-
-
-def _with_parts(cut: DataFrame) -> DataFrame:
-    """part: how many commas outside brackets precede a token in its declaration; in_value: after the = of its part."""
+    so_far, earlier = (in_unit().rowsBetween(Window.unboundedPreceding, k) for k in (0, -1))
+    new = F.lag(ends, 1, True).over(in_unit()) | (F.col("tname") == "PP_HASH") & (F.col("braces") == 0)
+    opens = code & (F.col("src") == ")") & _outside() & (F.col("next").isin(*C.TYPE_WORDS, *C.QUALIFIERS, "register") | F.lead("tname").over(in_unit()).isin("ID", "TYPEDEF_NAME"))
+    breaks = ~code | _outside() & F.col("src").isin("{", "}", "=")
+    cut = tokens.withColumns({"_new": new, "_opens": F.coalesce(opens, F.lit(False)), "_breaks": F.coalesce(breaks, F.lit(False))})
+    cut = cut.withColumn("decl_ix", F.sum(F.col("_new").cast("int")).over(so_far) - 1)
+    last = F.last(F.when(F.col("_opens"), F.struct("tok_ix", "decl_ix")), ignorenulls=True).over(earlier)
+    broken = F.last(F.when(F.col("_breaks"), F.col("tok_ix")), ignorenulls=True).over(earlier)
+    cut = cut.withColumns({"_list": last, "_broken": broken})
+    cut = cut.withColumn("_open", F.col("_list").isNotNull() & (F.coalesce("_broken", F.lit(-1).cast("long")) < F.col("_list.tok_ix")))
+    cut = cut.withColumn("_kr", code & _outside() & (F.col("src") == "{") & (F.col("prev") == ";") & F.col("_open"))
+    # What may belong together has one region; the declarations in it are put together where its brace shows that they do.
+    cut = cut.withColumn("_region", F.sum((F.col("_new") & ~F.col("_open")).cast("int")).over(so_far))
+    whole = Window.partitionBy("unit_id", "_region")
+    held = F.max(F.when(F.col("_kr"), F.struct(F.col("tok_ix").alias("brace"), F.col("_list.tok_ix").alias("list"), F.col("_list.decl_ix").alias("first"), F.col("decl_ix").alias("last")))).over(whole)
+    cut = cut.withColumn("_held", held)
+    inside = F.col("decl_ix").between(F.col("_held.first"), F.col("_held.last"))
+    old = F.coalesce((F.col("tok_ix") > F.col("_held.list")) & (F.col("tok_ix") < F.col("_held.brace")), F.lit(False))
+    return cut.withColumns({"_old": old, "decl_ix": F.when(inside, F.col("_held.first")).otherwise(F.col("decl_ix"))}).drop("_new", "_opens", "_breaks", "_list", "_broken", "_open", "_region", "_held")
+
+
+def with_declarations(tokens: DataFrame) -> DataFrame:
+    """Tokens with decl_ix, decl_kind, in_body (inside a function's braces, or among its old-style parameters), in_attribute, and part: the declarator's ordinal.
+
+    All but the numbers come from running values over one order of each declaration's tokens.
+    """
+    code = F.col("dir_id").isNull()
+    so_far, earlier = (in_declaration().rowsBetween(Window.unboundedPreceding, k) for k in (0, -1))
+    whole = in_declaration().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    cut = _with_numbers(tokens)
+    assign = code & _outside() & (F.col("src") == "=")
+    # The first brace that follows a closing parenthesis, or old-style parameters, with no = before it, opens a body.
+    opens = code & _outside() & (F.col("src") == "{") & ((F.col("prev") == ")") | F.col("_kr"))
+    cut = cut.withColumns({"_opens": opens, "_assigned": F.coalesce(F.max(assign.cast("int")).over(earlier), F.lit(0))})
+    body = F.min(F.when(F.col("_opens") & (F.col("_assigned") == 0), F.col("tok_ix"))).over(whole)
+    cut = cut.withColumns({"_body": body, "_first": F.first("tname").over(whole)})
+    inside = (F.col("tok_ix") > F.col("_body")) & (F.col("braces") > 0) | F.col("_old")
+    cut = cut.withColumns({
+        "decl_kind": F.when(F.col("_first") == "PP_HASH", "directive").when(F.col("_body").isNotNull(), "function_definition").otherwise("declaration"),
+        "in_body": F.coalesce(inside, F.lit(False)),
+    }).drop("_opens", "_assigned", "_body", "_first", "_kr", "_old")
+    # in_attribute: inside __attribute__((...)), __declspec(...) or [[...]], with the words that open it; attr_ix numbers them.
+    bracket = (F.col("src") == "[") & (F.col("next") == "[") & (F.lead("start").over(in_declaration()) == F.col("end")) & (F.col("brackets") == 0)
+    cut = cut.withColumn("_opens", F.coalesce((F.col("src").isin(*C.ATTRIBUTE_OPENERS) | bracket) & code, F.lit(False)))
+    cut = cut.withColumns({"attr_ix": F.sum(F.col("_opens").cast("int")).over(so_far), "_by": F.last(F.when(F.col("_opens"), F.struct("tok_ix", "src", "brackets", "parens")), ignorenulls=True).over(so_far)})
+    closes = F.when(F.col("_by.src") == "[", (F.col("src") == "]") & (F.col("brackets") == F.col("_by.brackets"))).otherwise((F.col("src") == ")") & (F.col("parens") == F.col("_by.parens")))
+    cut = cut.withColumn("_closed", F.last(F.when(closes & (F.col("tok_ix") > F.col("_by.tok_ix")), F.col("tok_ix")), ignorenulls=True).over(earlier))
+    cut = cut.withColumn("in_attribute", F.col("_by").isNotNull() & (F.coalesce("_closed", F.lit(-1).cast("long")) < F.col("_by.tok_ix"))).drop("_opens", "_by", "_closed")
+    # part: how many commas outside brackets precede a token in its declaration; in_value: after the = of its part.
     comma = (F.col("src") == ",") & _outside() & ~F.col("in_attribute")
-    cut = cut.withColumn("part", F.coalesce(F.sum(comma.cast("int")).over(in_declaration().rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    part = Window.partitionBy("unit_id", "decl_ix", "part").orderBy("tok_ix").rowsBetween(Window.unboundedPreceding, -1)
-    assign = ((F.col("src") == "=") & _outside()).cast("int")
-    return cut.withColumn("in_value", F.coalesce(F.max(assign).over(part) == 1, F.lit(False)))
+    latest = lambda c: F.coalesce(F.last(F.when(c, F.col("tok_ix")), ignorenulls=True).over(earlier), F.lit(-1).cast("long"))
+    return cut.withColumns({"part": F.coalesce(F.sum(comma.cast("int")).over(earlier), F.lit(0)), "in_value": latest((F.col("src") == "=") & _outside()) > latest(comma)})
 
 
 def declarations(marked: DataFrame) -> DataFrame:
@@ -80,16 +101,24 @@ def _is_name(follow: tuple[str, ...]) -> Column:
     return F.col("tname").isin("ID", "TYPEDEF_NAME", "MACRO_NAME") & ~F.coalesce(F.col("prev"), F.lit("")).isin("struct", "union", "enum", ".", "->", "goto") & F.coalesce(F.col("next"), F.lit(";")).isin(*follow)
 
 
+def _shape() -> Column:
+    """What a declarator declares, from x (its name), stars and what follows; brackets without a star in them change nothing."""
+    starred = F.exists("stars", lambda t: (t["parens"] == F.col("x.parens")) & (t["tok_ix"] < F.col("x.tok_ix"))) & (F.col("x.parens") > 0)
+    follow = F.when((F.col("x.parens") > 0) & (F.col("x.next") == ")"), F.col("x.next2")).otherwise(F.col("x.next"))
+    return F.when(starred, "function_pointer").when(follow == "(", "function").when(follow == "[", "array").otherwise("object")
+
+
 def symbols(marked: DataFrame) -> DataFrame:
     """(unit_id, decl_ix, part, name, tok_ix, ...) of every file-scope declarator: the first name that its part could declare."""
     follow = (";", ",", "=", "[", "(", ")", ":", "{", *C.ATTRIBUTE_OPENERS, *C.ASM_WORDS)
     own = marked.where("decl_kind <> 'directive' AND NOT in_attribute AND NOT in_value AND NOT in_body AND braces = 0 AND brackets = 0 AND dir_id IS NULL")
-    found = own.where(_is_name(follow)).groupBy("unit_id", "decl_ix", "part").agg(F.min(F.struct("tok_ix", "src", "next", "parens", "decl_kind")).alias("x"))
-    stars = own.where("src = '*'").groupBy("unit_id", "decl_ix", "part").agg(F.collect_list("tok_ix").alias("stars"))
-    rows = found.join(stars, ["unit_id", "decl_ix", "part"], "left")
-    pointers = F.size(F.filter(F.coalesce("stars", F.array().cast("array<bigint>")), lambda t: t < F.col("x.tok_ix")))
-    shape = F.when(F.col("x.parens") > 0, "function_pointer").when(F.col("x.next") == "(", "function").when(F.col("x.next") == "[", "array").otherwise("object")
-    return rows.select("unit_id", "decl_ix", "part", F.col("x.src").alias("name"), F.col("x.tok_ix").alias("tok_ix"), F.col("x.decl_kind").alias("decl_kind"), shape.alias("shape"), pointers.alias("pointer_depth"), F.col("x.parens").alias("_parens"))
+    own = own.withColumn("next2", F.lead("src", 2).over(in_declaration()))
+    rows = own.groupBy("unit_id", "decl_ix", "part").agg(
+        F.min(F.when(_is_name(follow), F.struct("tok_ix", "src", "next", "next2", "parens", "decl_kind"))).alias("x"),
+        F.collect_list(F.when(F.col("src") == "*", F.struct("tok_ix", "parens"))).alias("stars"),
+    ).where("x IS NOT NULL")
+    pointers = F.size(F.filter("stars", lambda t: t["tok_ix"] < F.col("x.tok_ix")))
+    return rows.select("unit_id", "decl_ix", "part", F.col("x.src").alias("name"), F.col("x.tok_ix").alias("tok_ix"), F.col("x.decl_kind").alias("decl_kind"), _shape().alias("shape"), pointers.alias("pointer_depth"), F.col("x.parens").alias("_parens"))
 
 
 def typedef_events(marked: DataFrame) -> DataFrame:
@@ -116,11 +145,32 @@ def _with_owner(marked: DataFrame, bracket: str, depth: str) -> DataFrame:
 
 
 def tags(marked: DataFrame) -> DataFrame:
-    """(unit_id, decl_ix, kind, tag_name, has_body, body_ix, tok_ix) of each struct, union and enum specifier."""
-    code = marked.where("dir_id IS NULL").withColumns({"_one": F.lead("tname").over(in_declaration()), "_two": F.lead("src", 2).over(in_declaration()), "_three": F.lead("src", 3).over(in_declaration()), "_at": F.lead("tok_ix").over(in_declaration()), "_at2": F.lead("tok_ix", 2).over(in_declaration())})
-    named = F.col("_one").isin("ID", "TYPEDEF_NAME", "MACRO_NAME")
-    body = F.when(F.col("next") == "{", F.col("_at")).when(named & (F.col("_two") == "{"), F.col("_at2"))
-    return code.where(F.col("src").isin("struct", "union", "enum")).select("unit_id", "decl_ix", F.concat("src", F.lit("_specifier")).alias("kind"), F.when(named, F.col("next")).alias("tag_name"), body.isNotNull().alias("has_body"), body.alias("body_ix"), "tok_ix")
+    """(unit_id, decl_ix, kind, tag_name, has_body, body_ix, tok_ix, in_body, underlying) of each struct, union and enum specifier.
+
+    underlying: the words between the colon and the brace of an enum that gives its type.
+    """
+    code = marked.where("dir_id IS NULL AND NOT in_attribute")
+    at = lambda n: F.lead(F.struct("src", "tname", "tok_ix"), n).over(in_declaration())
+    code = code.withColumns({"_1": at(1), "_2": at(2), "_3": at(3)})
+    named = F.col("_1.tname").isin("ID", "TYPEDEF_NAME", "MACRO_NAME")
+    code = code.withColumn("_colon", F.when((F.col("src") == "enum") & named & (F.col("_2.src") == ":"), F.col("_2.tok_ix")).when((F.col("src") == "enum") & (F.col("_1.src") == ":"), F.col("_1.tok_ix")))
+    # Of an enum with a colon: the words up to its brace.
+    head = F.last(F.when(F.col("src").isin("struct", "union", "enum"), F.struct("tok_ix", "_colon")), ignorenulls=True).over(in_declaration().rowsBetween(Window.unboundedPreceding, 0))
+    code = code.withColumn("_head", head)
+    own = Window.partitionBy("unit_id", "decl_ix", "_head.tok_ix").orderBy("tok_ix")
+    past = F.max(F.col("src").isin("{", ";", ",", ")").cast("int")).over(own.rowsBetween(Window.unboundedPreceding, 0))
+    code = code.withColumn("_typed", (F.col("tok_ix") > F.col("_head._colon")) & (past == 0))
+    rows = code.where(F.col("_head").isNotNull() & ((F.col("tok_ix") == F.col("_head.tok_ix")) | F.col("_typed") | (F.col("src") == "{"))).groupBy("unit_id", "decl_ix", F.col("_head.tok_ix").alias("tok_ix")).agg(
+        F.max(F.when(F.col("tok_ix") == F.col("_head.tok_ix"), F.struct("src", F.when(named, F.col("_1.src")).alias("tag_name"), F.when(F.col("_1.src") == "{", F.col("_1.tok_ix")).when(named & (F.col("_2.src") == "{"), F.col("_2.tok_ix")).alias("body_ix"), "_colon", "in_body"))).alias("x"),
+        F.array_sort(F.collect_list(F.when(F.col("_typed"), F.struct("tok_ix", "src")))).alias("words"),
+        F.min(F.when(F.col("src") == "{", F.col("tok_ix"))).alias("brace"),
+    )
+    typed = F.array_join(F.transform("words", lambda w: w["src"]), " ")
+    body = F.coalesce("x.body_ix", F.when(F.col("x._colon").isNotNull(), F.col("brace")))
+    return rows.select(
+        "unit_id", "decl_ix", F.concat("x.src", F.lit("_specifier")).alias("kind"), "x.tag_name", body.isNotNull().alias("has_body"), body.alias("body_ix"), "tok_ix", "x.in_body",
+        F.when(F.col("x._colon").isNotNull(), typed).alias("underlying"),
+    )
 
 
 def _ordinal() -> Column:
@@ -129,22 +179,30 @@ def _ordinal() -> Column:
 
 def members(marked: DataFrame) -> DataFrame:
     """Members of structs and unions: owner tag, name, ordinal, bit_width (text, null where it is no bit-field)."""
-    own = _with_owner(marked.where("dir_id IS NULL AND NOT in_attribute"), "{", "braces").withColumn("_width", F.when(F.col("next") == ":", F.lead("src", 2).over(in_declaration())))
-    held = tags(marked).where("has_body AND kind <> 'enum_specifier'").select("unit_id", "decl_ix", "kind", "tag_name", F.col("body_ix").alias("owner_ix"))
-    named = own.where(_is_name((";", ",", ":", "[", ")")) & (F.col("brackets") == 0)).join(held, ["unit_id", "decl_ix", "owner_ix"])
-    # A declarator in parentheses is the first name of its line; parameter names after it are not members.
-    line = Window.partitionBy("unit_id", "decl_ix", "owner_ix").orderBy("tok_ix")
+    own = _with_owner(marked.where("dir_id IS NULL AND NOT in_attribute"), "{", "braces")
+    is_member = _is_name((";", ",", ":", "[", ")")) & (F.col("brackets") == 0) & F.col("owner_ix").isNotNull()
+    field = Window.partitionBy("unit_id", "decl_ix", "owner_ix").orderBy("tok_ix")
+    # A width runs from the colon after a name to the comma or semicolon that ends the field.
+    own = own.withColumns({"_member": is_member, "_first": F.last(F.when(is_member & (F.col("next") == ":"), F.col("tok_ix")), ignorenulls=True).over(field.rowsBetween(Window.unboundedPreceding, -1))})
+    part = Window.partitionBy("unit_id", "decl_ix", "owner_ix", "_first").orderBy("tok_ix").rowsBetween(Window.unboundedPreceding, 0)
+    done = F.max((F.col("src").isin(";") | (F.col("src") == ",") & (F.col("parens") == 0)).cast("int")).over(part)
+    own = own.withColumn("_wide", F.col("_first").isNotNull() & (done == 0) & (F.col("tok_ix") > F.col("_first") + 1))
     inner = (F.col("parens") > 0) & (F.col("prev") != "*")
-    named = named.where(~inner).withColumn("ordinal", (F.row_number().over(line) - 1).cast("long"))
-    return named.select("unit_id", "decl_ix", "owner_ix", "kind", "tag_name", F.col("src").alias("member_name"), "ordinal", F.col("_width").alias("bit_width"))
+    # A name inside a width is none; a declarator in brackets is the first name of its line, and parameter names after it are no members.
+    rows = own.where(F.col("_wide") | F.col("_member") & ~inner).groupBy("unit_id", "decl_ix", "owner_ix", F.when(F.col("_wide"), F.col("_first")).otherwise(F.col("tok_ix")).alias("tok_ix")).agg(
+        F.max(F.when(~F.col("_wide"), F.col("src"))).alias("member_name"), F.array_sort(F.collect_list(F.when(F.col("_wide"), F.struct("tok_ix", "src")))).alias("words")
+    )
+    held = tags(marked).where("has_body AND kind <> 'enum_specifier'").select("unit_id", "decl_ix", "kind", "tag_name", F.col("body_ix").alias("owner_ix"))
+    width = F.when(F.size("words") > 0, F.array_join(F.transform("words", lambda w: w["src"]), " "))
+    return rows.join(held, ["unit_id", "decl_ix", "owner_ix"]).select("unit_id", "decl_ix", "owner_ix", "kind", "tag_name", "member_name", _ordinal().alias("ordinal"), width.alias("bit_width"))
 
 
 def enumerators(marked: DataFrame) -> DataFrame:
     """Enumerators: enum tag, name, ordinal, and whether a value is given."""
-    own = _with_owner(marked.where("dir_id IS NULL AND NOT in_attribute"), "{", "braces")
+    own = _with_owner(marked.where("dir_id IS NULL AND NOT in_attribute"), "{", "braces").withColumn("_follows", F.lead("src").over(in_declaration()))
     held = tags(marked).where("has_body AND kind = 'enum_specifier'").select("unit_id", "decl_ix", "tag_name", F.col("body_ix").alias("owner_ix"))
     named = own.where(F.col("tname").isin("ID", "TYPEDEF_NAME") & F.col("prev").isin("{", ",") & (F.col("parens") == 0)).join(held, ["unit_id", "decl_ix", "owner_ix"])
-    return named.select("unit_id", "decl_ix", "owner_ix", "tag_name", F.col("src").alias("name"), _ordinal().alias("ordinal"), (F.col("next") == "=").alias("has_value"))
+    return named.select("unit_id", "decl_ix", "owner_ix", "tag_name", F.col("src").alias("name"), _ordinal().alias("ordinal"), (F.col("_follows") == "=").alias("has_value"))
 
 
 def parameters(marked: DataFrame) -> DataFrame:

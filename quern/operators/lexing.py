@@ -27,11 +27,12 @@ def lexemes(units: DataFrame) -> DataFrame:
     """(unit_id, ix, src, cls, start, end, line, col); every character of every unit is in one lexeme.
 
     start and end count code points from 0; line and col count from 1. A null or empty source has none.
-    Two units of one unit_id are an error, as their lexemes would mix. A unit is one share of work.
+    Sources that share a unit_id are one unit, one after the other in order of their text. A unit is
+    one share of work.
     """
-    cut = units.repartition("unit_id").select("unit_id", F.posexplode(F.regexp_extract_all(C.mark_headers(F.col("src")), F.lit(C.LEXEME), F.lit(0))).alias("ix", "src"))
-    cut = cut.withColumn("src", C.unmarked(F.col("src")))
-    cut = cut.withColumn("ix", F.when(F.lag("ix").over(_unit()) == F.col("ix"), F.raise_error(F.lit("unit_id names two units")).cast("int")).otherwise(F.col("ix")))
+    nth = F.row_number().over(Window.partitionBy("unit_id").orderBy("src")) - 1
+    cut = units.select("unit_id", "src", nth.cast("long").alias("_nth")).select("unit_id", "_nth", F.posexplode(F.regexp_extract_all(C.mark_headers(F.col("src")), F.lit(C.LEXEME), F.lit(0))).alias("ix", "src"))
+    cut = cut.select("unit_id", (F.col("_nth") * (1 << 32) + F.col("ix")).alias("ix"), C.unmarked(F.col("src")).alias("src"))
     lines = F.length("src") - F.length(F.replace("src", F.lit("\n"), F.lit("")))
     cut = cut.withColumns({"cls": C.class_of(F.col("src")), "size": F.length("src"), "_lines": lines})
     cut = cut.withColumns({"end": F.sum("size").over(_so_far()), "_line": F.sum("_lines").over(_so_far())})
@@ -51,13 +52,12 @@ def _opens_directive() -> Column:
 def marked_lexemes(units: DataFrame) -> DataFrame:
     """Lexemes with tname and dir_id: the ordinal of the directive line that a lexeme belongs to, else null."""
     cut = lexemes(units).withColumn("_opens", _opens_directive())
-    cut = cut.withColumn("_nth", F.sum(F.col("_opens").cast("int")).over(_so_far()))
-    line = Window.partitionBy("unit_id", "_nth")
-    stop = F.min(F.when(F.col("cls") == "newline", F.col("ix"))).over(line)
-    inside = (F.col("_nth") > 0) & (stop.isNull() | (F.col("ix") <= stop))
+    # A line is open until a line end stands between its # and a lexeme.
+    cut = cut.withColumns({"_nth": F.sum(F.col("_opens").cast("int")).over(_so_far()), "_at": F.last(F.when(F.col("_opens"), F.col("ix")), ignorenulls=True).over(_so_far()), "_end": F.last(F.when(F.col("cls") == "newline", F.col("ix")), ignorenulls=True).over(_before())})
+    inside = F.col("_at").isNotNull() & (F.col("_end").isNull() | (F.col("_end") < F.col("_at")))
     name = F.when(F.col("_opens") & inside, "PP_HASH").when((F.col("cls") == "newline") & inside, "PP_NEWLINE").otherwise(C.token_name(F.col("src"), F.col("cls")))
     # A # that opens while a directive is open is an ordinary one.
-    return cut.select("*", F.when(inside, F.col("_nth")).alias("dir_id"), name.alias("tname")).drop("_opens", "_nth")
+    return cut.select("*", F.when(inside, F.col("_nth")).alias("dir_id"), name.alias("tname")).drop("_opens", "_nth", "_at", "_end")
 
 
 def _depth(opening: str, closing: str) -> Column:

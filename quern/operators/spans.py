@@ -85,6 +85,9 @@ def asm_operands(marked: DataFrame) -> DataFrame:
     part = Window.partitionBy("unit_id", "decl_ix", "_asm.tok_ix", "section").orderBy("tok_ix").rowsBetween(Window.unboundedPreceding, 0)
     own = own.withColumn("ordinal", F.sum(comma.cast("int")).over(part)).where(~colon & ~comma & (F.col("section") > 0))
     joined = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(c, F.struct("tok_ix", "src")))), lambda t: t["src"]), " ")
-    value = ~(direct & (F.col("cls") == "string")) & ~(F.col("src").isin("(", ")") & (F.col("parens") == F.col("_asm.parens") + 1))
-    rows = own.groupBy("unit_id", "decl_ix", F.col("_asm.tok_ix").alias("asm_ix"), "section", "ordinal").agg(F.max(F.when(direct & (F.col("cls") == "string"), F.col("src"))).alias("constraint"), joined(value).alias("value"))
+    # A name in square brackets stands before the constraint.
+    label = direct & (F.col("src").isin("[", "]") | (F.col("brackets") > 0))
+    value = ~(direct & (F.col("cls") == "string")) & ~(F.col("src").isin("(", ")") & direct) & ~label
+    name = F.max(F.when(label & ~F.col("src").isin("[", "]"), F.col("src"))).alias("operand_name")
+    rows = own.groupBy("unit_id", "decl_ix", F.col("_asm.tok_ix").alias("asm_ix"), "section", "ordinal").agg(name, F.max(F.when(direct & (F.col("cls") == "string"), F.col("src"))).alias("constraint"), joined(value).alias("value"))
     return rows.withColumns({"section": F.col("section").cast("long"), "ordinal": F.col("ordinal").cast("long")})

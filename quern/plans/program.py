@@ -6,13 +6,19 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators import code, declarations, lexing, preprocessor, spans
+from ..operators import code, declarations, inner, lexing, preprocessor, spans
+from ..sources.tables import written
 
 ENGINE = {"name": "quern", "version": "0.1.0", "language": "C23"}
 
 
 class Program:
-    """Relations over units (unit_id, src). Views that only need tokens never build declarations."""
+    """Relations over units (unit_id, src). Views that only need tokens never build declarations.
+
+    A relation that reads its tokens several times reads them from `kept` or `full`, tables written
+    once in the shared folder: the source is lexed once. A unit is one share of work, and its tokens
+    must fit a task's sort, which spills.
+    """
 
     def __init__(self, units: DataFrame, predefined: list[str] = ()):
         self.units, self.predefined = units, list(predefined)
@@ -26,48 +32,69 @@ class Program:
         """Tokens whose identifiers are all ID."""
         return lexing.tokens(self.units)
 
+    @cached_property
+    def kept_tokens(self) -> DataFrame:
+        """raw_tokens, written."""
+        return written(self.raw_tokens, "tokens")
+
     @cached_property
     def directives(self) -> DataFrame:
         return preprocessor.directives(self.raw_tokens)
 
     @cached_property
     def raw_marked(self) -> DataFrame:
+        """Tokens with their declaration, for a relation that reads them once."""
         return declarations.with_declarations(self.raw_tokens)
 
+    @cached_property
+    def kept(self) -> DataFrame:
+        """raw_marked, written."""
+        return written(self.raw_marked, "marked")
+
     @cached_property
     def tokens(self) -> DataFrame:
-        return declarations.classified(self.raw_tokens, self.directives, self.raw_marked, self.predefined)
+        """Tokens whose identifiers are told apart."""
+        kept = self.kept
+        return declarations.classified(kept.select(self.raw_tokens.columns), preprocessor.directives(kept), kept, self.predefined)
 
     @cached_property
     def marked(self) -> DataFrame:
         """Tokens with their declaration; identifiers told apart."""
         return declarations.with_declarations(self.tokens)
 
+    @cached_property
+    def full(self) -> DataFrame:
+        """marked, written."""
+        return written(self.marked, "told-apart")
+
     @cached_property
     def declarations(self) -> DataFrame:
         return declarations.declarations(self.raw_marked)
 
     @cached_property
     def conditional_branches(self) -> DataFrame:
-        return preprocessor.conditional_branches(self.declarations, self.directives)
+        return preprocessor.conditional_branches(declarations.declarations(self.kept), written(preprocessor.directives(self.kept), "directives"))
 
     @cached_property
     def status(self) -> DataFrame:
         return lexing.parse_status(self.units)
 
     def relations(self) -> dict[str, DataFrame]:
-        raw, full = self.raw_marked, self.marked
+        raw, full = self.kept, self.full
+        lines = written(preprocessor.directives(raw), "directives")
         return {
-            "c_lexemes": self.lexemes, "c_tokens": self.tokens, "c_status": self.status,
-            "c_directives": self.directives, "c_defines": preprocessor.defines(self.directives), "c_includes": preprocessor.includes(self.directives),
-            "c_macro_events": preprocessor.macro_events(self.directives), "c_conditionals": preprocessor.conditional_lines(self.directives), "c_branches": self.conditional_branches,
-            "c_declarations": self.declarations, "c_symbols": declarations.symbols(raw).drop("_parens"), "c_typedefs": declarations.typedef_events(raw),
+            "c_lexemes": self.lexemes, "c_tokens": full.select(self.raw_tokens.columns), "c_status": self.status,
+            "c_directives": lines, "c_defines": preprocessor.defines(lines), "c_includes": preprocessor.includes(lines),
+            "c_macro_events": preprocessor.macro_events(lines), "c_conditionals": preprocessor.conditional_lines(lines), "c_branches": self.conditional_branches,
+            "c_declarations": declarations.declarations(raw), "c_symbols": declarations.symbols(raw).drop("_parens"), "c_typedefs": declarations.typedef_events(raw),
             "c_tags": declarations.tags(raw), "c_members": declarations.members(raw), "c_enumerators": declarations.enumerators(raw), "c_parameters": declarations.parameters(raw),
-            "c_functions": code.functions(raw), "c_statements": code.statements(raw), "c_jumps": code.jumps(raw), "c_labels": code.labels(raw), "c_calls": code.calls(full),
-            "c_operators": code.operators(raw), "c_literals": code.literals(raw), "c_attributes": code.attributes(raw), "c_static_asserts": code.static_asserts(raw),
-            "c_initializer_items": code.initializer_items(raw), "c_generic_associations": code.generic_associations(raw), "c_asm": code.asm_blocks(raw),
+            "c_functions": code.functions(raw), "c_statements": code.statements(raw), "c_jumps": code.jumps(raw), "c_labels": code.labels(raw), "c_calls": inner.calls(full),
+            "c_operators": code.operators(raw), "c_literals": code.literals(raw), "c_attributes": code.attributes(raw), "c_static_asserts": inner.static_asserts(raw),
+            "c_initializer_items": code.initializer_items(raw), "c_generic_associations": code.generic_associations(raw), "c_generic_selections": inner.generic_selections(raw), "c_asm": code.asm_blocks(raw),
             "c_conditions": spans.conditions(raw), "c_type_names": spans.type_names(full), "c_array_sizes": spans.array_sizes(raw), "c_specifiers": spans.specifiers(full),
             "c_member_uses": spans.member_uses(raw), "c_asm_operands": spans.asm_operands(raw),
+            "c_local_symbols": inner.local_symbols(full), "c_subscripts": inner.subscripts(full), "c_commas": inner.comma_operators(full), "c_expression_statements": inner.expression_statements(full),
+            "c_statement_expressions": inner.statement_expressions(raw), "c_bit_int_widths": inner.bit_int_widths(raw), "c_pointer_levels": inner.pointer_levels(raw), "c_array_qualifiers": inner.array_qualifiers(raw),
         }
 
     def register(self) -> None:

@@ -5,7 +5,7 @@ import json
 import pytest
 from hypothesis import HealthCheck, given, settings, strategies as st
 
-from quern.operators import code, declarations, preprocessor
+from quern.operators import code, declarations, inner, preprocessor
 from quern.plans.program import Program, engine_info
 from quern.sources.files import read_units, token_json, units_from, write_relations
 from quern.streaming.files import stream_units, token_counts
@@ -53,6 +53,11 @@ def test_lexemes_cover_every_character(spark, sources):
             assert source[r["start"] : r["end"]] == r["src"] and r["line"] == 1 + before.count("\n") and r["col"] == len(before) - before.rfind("\n")
 
 
+def test_sources_that_share_an_id_are_one_unit(spark):
+    p = Program(spark.createDataFrame([(1, "int b; "), (1, "int a; "), (2, "x")], "unit_id long, src string"))
+    assert names(p.raw_tokens.where("unit_id = 1").orderBy("tok_ix"), "src") == ["int", "a", ";", "int", "b", ";"]
+
+
 def test_trivia_goes_to_the_next_token(spark):
     got = {r["src"]: [t["src"] for t in r["leading"]] for r in program(spark, "/*a*/ // b\n int \\\n x; // end").raw_tokens.collect()}
     assert got == {"int": ["/*a*/", "// b"], "x": ["\\\n"], ";": []}
@@ -98,7 +103,7 @@ def test_parameters_and_calls(spark):
     p = program(spark, "int f(void); int g(const char *s, int (*cb)(int q), int a[4], ...); int main(int argc) { return g(h(1), (2, 3), x) + k(); }")
     got = names(declarations.parameters(p.raw_marked).orderBy("decl_ix", "ordinal"), "function", "name", "variadic")
     assert got == [("g", "s", False), ("g", "cb", False), ("g", "a", False), ("g", None, True), ("main", "argc", False)]
-    assert sorted(names(code.calls(p.marked), "caller", "callee", "n_args")) == [("main", "g", 3), ("main", "h", 1), ("main", "k", 0)]
+    assert sorted(names(inner.calls(p.full), "caller", "callee", "n_args")) == [("main", "g", 3), ("main", "h", 1), ("main", "k", 0)]
 
 
 def test_literals_join_adjacent_strings(spark):
@@ -120,6 +125,18 @@ def test_views_sql_and_files(spark, tmp_path):
     assert engine_info(spark).first()["language"] == "C23" and units_from(spark.createDataFrame([(1, None)], "id long, text string"), "id", "text").first()["src"] == ""
 
 
+def test_every_relation_of_a_program(spark):
+    source = """#include <a.h>
+#define M(x) x
+typedef int T;
+static int old(a, b) int a; T *b; { return a; }
+int f(T n) { T u = (T)n, v[2]; for (int i = 0; i < n; i++, n--) v[i] = M(u); if (n) { g(u, 1)(2); } return ({ 1; }); }
+"""
+    found = {n: df.count() for n, df in program(spark, source).relations().items()}
+    want = {"c_includes": 1, "c_defines": 1, "c_declarations": 5, "c_typedefs": 1, "c_functions": 2, "c_calls": 3, "c_local_symbols": 5, "c_subscripts": 1, "c_commas": 1, "c_statement_expressions": 1, "c_parameters": 3}
+    assert {n: found[n] for n in want} == want
+
+
 def test_stream_counts_tokens(spark, tmp_path):
     folder = tmp_path / "stream"
     folder.mkdir()
