@@ -8,6 +8,7 @@ only steps over stretches that could hold a window.
 
 Size bound: items are dealt into slices of about MAX_ITEM_WORDS words, each slice has an automaton
 of its own, and the corpus is scanned once for each slice; only one slice is in memory at a time.
+Between slices nothing but what was found is written.
 
 Cases: null and empty texts have no words; a null item id is written as an empty string; items
 with equal ids count once; repeated rows give repeated results; other columns are kept untouched by
@@ -234,19 +235,35 @@ def _runs_by_text(hit: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 def _with_slices(docs: DataFrame, benchmark: DataFrame, text_col: str, item_col: str, item_text_col: str, carry: list[str], cut: bool, window: int, max_item_words: int) -> DataFrame:
+    """What the slices of items find in `docs`.
+
+    All slices but the last write what they find, by the hash of the text: texts without a hit, and
+    texts themselves, are not written. The last pass merges that in.
+    """
     spark = docs.sparkSession
     items = benchmark.select(F.coalesce(benchmark[item_col].cast("string"), F.lit("")).alias("name"), benchmark[item_text_col].alias("text"))
     size = items.agg(F.sum(F.size(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"), F.lit(0)))).alias("n")).first()["n"] or 0
     slices = max(1, -(-size // max_item_words))
-    docs = docs.withColumns({"_q_spans": F.array().cast("array<struct<first:long,last:long>>"), "_q_items": F.array().cast("array<string>")})
-    for k in range(slices):
+
+    def automaton(k: int):
         part = items.where(F.pmod(F.xxhash64("name", "text"), F.lit(slices)) == k).collect()
-        automaton = spark.sparkContext.broadcast(ItemAutomaton([(r["name"], item_words(r["text"])) for r in part], window))
-        last = k == slices - 1
-        docs = _scanned(docs, text_col, automaton, carry if last else list(dict.fromkeys([*carry, text_col])), cut and last)
-        if not last:
-            docs = written(docs.drop("_q_words"), "decontaminate")
-    return docs
+        return spark.sparkContext.broadcast(ItemAutomaton([(r["name"], item_words(r["text"])) for r in part], window))
+
+    nothing = {"_q_spans": F.array().cast("array<struct<first:long,last:long>>"), "_q_items": F.array().cast("array<string>")}
+    name = F.sha2(F.coalesce(docs[text_col], F.lit("")), 256)
+    found = None
+    for k in range(slices - 1):
+        rows = _scanned(docs.select(name.alias("_q_name"), docs[text_col].alias("_q_whole")).withColumns(nothing), "_q_whole", automaton(k), ["_q_name"], False)
+        # Equal texts have equal hits: one row each is kept, before the shuffle.
+        rows = written(rows.where(F.size("_q_spans") > 0).drop("_q_words").groupBy("_q_name").agg(F.first("_q_spans").alias("_q_spans"), F.first("_q_items").alias("_q_items")), "decontaminate")
+        found = rows if found is None else found.unionByName(rows)
+    if found is None:
+        docs = docs.withColumns(nothing)
+    else:
+        merged = found.groupBy("_q_name").agg(F.flatten(F.collect_list("_q_spans")).alias("_q_spans"), F.flatten(F.collect_list("_q_items")).alias("_q_items"))
+        docs = docs.withColumn("_q_name", name).join(written(merged, "decontaminate"), "_q_name", "left")
+        docs = docs.withColumns({c: F.coalesce(c, empty) for c, empty in nothing.items()})
+    return _scanned(docs, text_col, automaton(slices - 1), carry, cut)
 
 
 def _n_hit():

@@ -133,11 +133,10 @@ def _group(texts: bytes, words: bytes) -> _Group:
 def _dealt(keys: np.ndarray, counts: np.ndarray, shards: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     shard = (keys % np.uint64(shards)).astype(np.int64)
     by = np.lexsort((keys, shard))
-    edges = np.searchsorted(shard[by], np.arange(shards + 1))
-    for k in range(shards):
-        own = by[edges[k] : edges[k + 1]]
-        if len(own):
-            yield k, keys[own], counts[own]
+    edges = np.flatnonzero(np.diff(shard[by], prepend=-1, append=-1))
+    for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+        own = by[a:b]
+        yield int(shard[own[0]]), keys[own], counts[own]
 
 
 def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -320,8 +320,8 @@ def _settled(batches: Iterator[pa.RecordBatch], size: int, anchor: int) -> Itera
     def done(blocks: list[bytes]) -> Iterator[pa.RecordBatch]:
         # A bucket is solved in shares, by minimiser, so that its working arrays stay small.
         shares: list[list] = [[] for _ in range(1 + sum(map(len, blocks)) // SHARE_BYTES)]
-        for block in blocks:
-            ids, tags, starts, sizes, data = _unpacked(spread.decompress(block))
+        while blocks:
+            ids, tags, starts, sizes, data = _unpacked(spread.decompress(blocks.pop()))
             to = np.concatenate([[0], np.cumsum(sizes)])
             share = (tb.mix(_least_grams(data, to[:-1], to[1:], anchor)[0]) % np.uint64(len(shares))).astype(np.int64)
             for k, held in enumerate(shares):

@@ -11,6 +11,7 @@ import pytest
 
 import corpus_pipeline
 from quern.llm import chunks as K
+from quern.llm import lm_score as L
 from quern.llm import packing as P
 from quern.llm import substrings as W
 from quern.llm.components import connected_components
@@ -27,6 +28,14 @@ def test_substring_dedup_against_all_windows(spark):
     assert got == S.removed_windows(rows)
 
 
+def test_substring_dedup_of_very_long_texts(spark):
+    rng = random.Random(6)
+    passage = S.prose(rng, 20_000)
+    rows = [(1, passage), (2, S.prose(rng, 300) + passage[1000:90_000] + S.prose(rng, 300)), (3, "ab" * 60_000), (4, "ab" * 3000 + passage[:49]), (5, "\u6f22" * 30_000)]
+    got = S.rows_of(W.substring_dedup(S.documents(spark, rows)), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    assert got == S.removed_windows(rows)
+
+
 def test_substring_dedup_of_many_small_shares(spark, monkeypatch):
     monkeypatch.setattr(W, "PART_BYTES", 300)
     rng = random.Random(1)
@@ -141,6 +150,40 @@ def test_chunks_of_short_copies_and_repeats_within_a_text(spark):
     assert len(kept) + gone == len(twice) and kept.startswith(passage) and gone > 0.6 * len(passage)
 
 
+@pytest.mark.parametrize("least", [1, K.LEAST])
+def test_chunks_against_brute_force(spark, least):
+    rng = random.Random(12)
+    pool = [S.prose(rng, 40) for _ in range(10)]
+    rows = [(k // 2, " ".join(rng.choice(pool)[rng.randrange(60) :] for _ in range(rng.randrange(1, 6)))) for k in range(40)]
+    rows += [(None, rows[0][1]), (None, rows[0][1] + "!"), (None, pool[1]), (90, None), (91, ""), rows[3], (92, pool[2] * 3), (93, "x"), (94, "x"), (95, S.prose(rng, 30_000))]
+    order = lambda i: K.NO_ID if i is None else i
+    cut, holder, first = {}, {}, {}
+    for key, text in {(order(i), t or "") for i, t in rows}:
+        raw = text.encode()
+        starts, ends = K.chunk_ends(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+        cut[key, text] = [(a, b, hashlib.blake2b(raw[a:b]).digest()) for a, b in zip(starts.tolist(), ends.tolist())]
+        for a, _, d in cut[key, text]:
+            holder[d] = min(key, holder.get(d, key))
+            first[key, text, d] = min(a, first.get((key, text, d), a))
+    want = []
+    for i, t in rows:
+        key, text = order(i), t or ""
+        raw, runs = text.encode(), []
+        for a, b, d in cut[key, text]:
+            if key > holder[d] or a > first[key, text, d]:
+                if runs and runs[-1][1] == a:
+                    runs[-1][1] = b
+                else:
+                    runs.append([a, b])
+        runs = [r for r in runs if r[1] - r[0] >= min(least, len(raw))]
+        gone = [False] * len(raw)
+        for a, b in runs:
+            gone[a:b] = [True] * (b - a)
+        want.append((i, len(raw), sum(gone), len(runs), hashlib.sha256(bytes(x for x, g in zip(raw, gone) if not g)).hexdigest()))
+    got = S.rows_of(K.chunk_dedup(S.documents(spark, rows), least=least), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    assert got == sorted(want, key=repr)
+
+
 def _tokens(text):
     return [*S.words(S.lower(text or "")), None]
 
@@ -157,6 +200,43 @@ def test_lm_base_score_and_counts(spark):
     assert sorted((r["score"] for r in one)) == sorted((r["score"] for r in two))
 
 
+def test_lm_score_against_a_plain_filter(spark):
+    rows = S.texts()
+    held = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 10 == 0
+    coded = []
+    for _, text in rows:
+        raw = (text or "").encode()
+        tokens, first = L._tokens(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+        coded.append((tokens.tolist(), L.pair_hashes(tokens, first[:-1]).tolist()))
+    words, pairs = Counter(), Counter()
+    for (i, _), (tokens, own) in zip(rows, coded):
+        if not held(i):
+            words.update(tokens)
+            pairs.update(own)
+    n, v, n_texts = sum(words.values()), len(words), sum(not held(i) for i, _ in rows)
+    n_bits = int(sum(c.bit_length() for c in pairs.values()) * L.BITS_PER_ENTRY) // 8 * 8 + 8
+    places = lambda key, level: [int(p[0]) for p in Filter.places(np.array([key], np.uint64), level, n_bits)]
+    flags = {p for key, c in pairs.items() for level in range(1, c.bit_length() + 1) for p in places(key, level)}
+
+    def count(key):
+        level = 0
+        while flags.issuperset(places(key, level + 1)):
+            level += 1
+        return (3 * 2 ** (level - 1) - 1) / 2 if level else 0
+
+    want = []
+    for (i, _), (tokens, own) in zip(rows, coded):
+        total, before = 0, n_texts
+        for token, pair in zip(tokens, own):
+            c = words[token]
+            p = (c + 0.1) / (n + 0.1 * (v + 1))
+            total += math.log10((min(count(pair), before) + L.MU * p) / (before + L.MU))
+            before = c
+        want.append((i, round(total, 5)))
+    got = [(r["doc_id"], round(r["score"], 5)) for r in lm_scores(S.documents(spark)).collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+
+
 def test_lm_learns_word_order(spark):
     rng = random.Random(1)
     chain = {w: rng.sample(S.WORDS, 3) for w in S.WORDS}
@@ -257,3 +337,25 @@ def test_pipeline_stages_hold_their_promises(spark, tmp_path):
     assert all("hunter2" not in t for t in steps["secret_scan"].values()) and steps["secret_scan"][5] == clean[5]
     packed = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {r["doc_id"] for r in packed} == set(steps["secret_scan"])
+
+
+def test_pipeline_of_empty_tables_and_awkward_rows(spark, tmp_path):
+    bench = spark.createDataFrame([], "item_id long, text string")
+    S.documents(spark, []).write.parquet(f"{tmp_path}/none/documents.parquet")
+    bench.write.parquet(f"{tmp_path}/none/benchmark.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").collect() == []
+    S.documents(spark).write.parquet(f"{tmp_path}/odd/documents.parquet")
+    bench.write.parquet(f"{tmp_path}/odd/benchmark.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/odd/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, f"{tmp_path}/odd")
+        assert docs.columns == S.documents(spark).columns and docs.count() > 0
+    assert corpus_pipeline.run(spark, f"{tmp_path}/odd").count() >= docs.count()
+
+
+def test_one_of_each_of_rows_that_share_an_id(spark):
+    rng = random.Random(3)
+    a, b = S.prose(rng, 80), S.prose(rng, 80)
+    rows = [(1, a), (1, b), (2, a), (3, b), (4, None), (5, ""), (None, a), (None, "other words of their own here"), (6, b + ""), (1, a)]
+    got = sorted(((r["doc_id"], r["text"]) for r in one_of_each(S.documents(spark, rows)).collect()), key=repr)
+    assert got == sorted([(1, a), (1, b), (4, None), (None, "other words of their own here")], key=repr)

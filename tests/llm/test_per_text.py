@@ -4,6 +4,7 @@ import hashlib
 import json
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -14,7 +15,7 @@ from quern.llm import tree_match as M
 from quern.llm.chat_format import given_pairs, preference_rows, records
 from quern.llm.decontaminate import cleaned, contamination
 from quern.llm.html_extract import extract_main_text
-from quern.llm.secret_scan import RULES, Rule, blob_id, ledger_rows, redacted, scanned, secret_report, unseen
+from quern.llm.secret_scan import RULES, Rule, blob_id, in_two_commits, ledger_rows, redacted, report, scan_commit, scanned, secret_report, unseen
 
 from . import samples as S
 
@@ -56,22 +57,25 @@ NORMAL = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 def _hits(text, items):
     w = NORMAL.findall(S.lower(text or ""))
-    hit, names = set(), set()
+    hit, names, windows = set(), set(), {}
     for name, item in items:
         v = NORMAL.findall(S.lower(item or ""))
         size = min(10, len(v))
         for k in range(len(v) - size + 1 if v else 0):
-            for p in range(len(w) - size + 1):
-                if w[p : p + size] == v[k : k + size]:
-                    hit.update(range(p, p + size))
-                    names.add("" if name is None else str(name))
+            windows.setdefault(tuple(v[k : k + size]), set()).add("" if name is None else str(name))
+    for size in {len(x) for x in windows}:
+        for p in range(len(w) - size + 1):
+            if found := windows.get(tuple(w[p : p + size])):
+                hit.update(range(p, p + size))
+                names |= found
     return len(w), len(hit), sorted(names)
 
 
 @pytest.mark.parametrize("slice_words", [200_000, 40])
 def test_decontamination_against_brute_force(spark, slice_words):
     rng = random.Random(4)
-    rows = [r for r in S.texts() if len(r[1] or "") < 10_000]
+    rows = S.texts()
+    rows.append((65, S.prose(rng, 40_000) + " " + rows[0][1] + " " + S.prose(rng, 40_000)))  # very long
     items = [(1, rows[0][1][:300]), (2, S.prose(rng, 25)), (3, "Alpha, beta!"), (4, None), (5, ""), (None, rows[2][1][:200]), (7, "theta"), (10, S.prose(rng, 12)), (10, S.prose(rng, 11))]
     for k, at in ((1, 10), (7, 12), (8, 0)):
         rows.append((100 + k, S.prose(rng, 20) + " " + items[k][1].upper() + "? " + S.prose(rng, at) if items[k][1] else None))
@@ -132,6 +136,36 @@ def test_secret_ledger_scans_only_what_is_new(spark):
     assert findings.join(first.select(blob_id(first.text).alias("blob")), "blob").count() == 1
 
 
+def test_commits_share_a_ledger_and_rules_have_versions(spark):
+    docs = S.documents(spark, PLANTED)
+    ledger = findings = None
+    for commit in in_two_commits(docs):
+        ledger, findings = scan_commit(commit, ledger, findings)
+    columns = ("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
+    assert S.rows_of(report(docs, findings), *columns) == S.rows_of(secret_report(docs), *columns)
+    assert ledger.count() == ledger.select("blob").distinct().count() == len({t or "" for _, t in PLANTED})
+    # A newer version of a rule is scanned for again, and its older findings no longer count.
+    newer = (*RULES[:2], Rule("hex", r"[0-9a-f]{16,}", 0, 20, version=2), *RULES[3:])
+    again, found = scan_commit(docs, ledger, findings, newer)
+    hexes = {r["doc_id"]: r["n_hex"] for r in report(docs, found, rules=newer).collect()}
+    assert hexes[2] == 0 and hexes[5] == {r["doc_id"]: r["n_hex"] for r in report(docs, findings).collect()}[5] == 2
+    assert unseen(docs, again, newer).count() == 0
+
+
+@pytest.mark.parametrize("text", ["eyJ" * 350_000, "eyJaaaaaaaaaaaa." * 60_000, "token=" * 100_000, "token=abcdefghijklmnop " * 40_000, "AKIA" * 250_000, "0123456789abcdef-" * 60_000])
+def test_very_long_texts_are_scanned_in_time(spark, text):
+    began = time.time()
+    docs = S.documents(spark, [(1, text)])
+    assert secret_report(docs).first()["spans"] is not None and redacted(docs).count() == 1
+    assert time.time() - began < 60
+
+
+def test_copies_in_many_rows_are_redacted_in_shares(spark):
+    docs = S.documents(spark, [(k, "token=abcdefghijkl and more") for k in range(600)] + [(1000, "clean")])
+    got = redacted(docs)
+    assert {r["text"] for r in got.collect()} == {"[SECRET] and more", "clean"} and got.count() == 601
+
+
 def test_redaction_leaves_no_secret(spark):
     docs = S.documents(spark, PLANTED)
     got = redacted(docs)
