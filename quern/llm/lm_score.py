@@ -12,7 +12,9 @@
 
 score is the log10 probability of a text under P(w | u) = (k(u, w) + mu * p(w)) / (c(u) + mu): k is
 the quantised count of the pair, at most c(u); p is the smoothed unigram probability of the base
-score; the first token follows a mark that each training text begins with.
+score; the first token follows a mark that each training text begins with. As k is the middle of a
+level and not the count, and a filter has some false positives, the probabilities after a token sum
+to one only approximately; scores of one corpus compare with one another.
 
 Cases: a null text counts as empty and is one end token; a null id is hashed as an empty string,
 which holds it out; repeated rows are scored and counted each; with no training texts all

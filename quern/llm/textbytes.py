@@ -11,6 +11,8 @@ import numpy as np
 import pyarrow as pa
 
 BLOCK_BYTES = 2 << 20
+#: Texts of a block: their numbers fit 16 bits.
+BLOCK_TEXTS = (1 << 16) - 1
 _BASE = 0x9E3779B97F4A7C15
 _U64 = np.uint64
 
@@ -73,7 +75,7 @@ def text_blocks(column: pa.Array, limit: int = BLOCK_BYTES):
     raw = np.frombuffer(column.buffers()[2] or b"", np.uint8)
     lo = 0
     while lo < len(column):
-        hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + limit, "right")) - 1)
+        hi = min(max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + limit, "right")) - 1), lo + BLOCK_TEXTS)
         yield lo, hi, raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
         lo = hi
 

@@ -417,3 +417,10 @@ def test_word_spans_stay_inside_texts():
     data = np.frombuffer(b"ab cd" + b"ef  g" + b"" + b" ", np.uint8)
     starts, ends, first = tb.word_spans(~tb.SPACE[data], np.array([0, 5, 10, 10, 11]))
     assert list(zip(starts, ends)) == [(0, 2), (3, 5), (5, 7), (9, 10)] and first.tolist() == [0, 2, 4, 4, 4]
+
+
+def test_blocks_hold_few_texts():
+    import pyarrow as pa
+
+    blocks = list(tb.text_blocks(pa.array([""] * 200_000)))
+    assert [b[0] for b in blocks] == [0, 65_535, 131_070, 196_605] and blocks[-1][1] == 200_000
