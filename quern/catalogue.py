@@ -10,6 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from .functions import c_tokens as C
 from .operators import code, declarations, inner, preprocessor, spans
 from .plans.program import Program, engine_info
 from .sources.files import utf8_status
@@ -338,13 +339,23 @@ def parse_status(spark, sf_dir):
     return _units(_table(spark, sf_dir, "part"), "p_partkey", src).status.select("unit_id", "ok", "code")
 
 
-@query("""
-SELECT doc_id AS unit_id, sum(len(regexp_extract_all(text, '[0-9A-Za-z_$]+')))::BIGINT AS words FROM documents WHERE regexp_full_match(text, '[A-Za-z_ \\n.,]+') GROUP BY doc_id""")
+def _plain_pattern() -> str:
+    """The lexeme pattern without raw strings, for engines that know no back references and no possessive repeats."""
+    return "|".join(f"(?:{p})" for name, p in C.CLASSES.items() if name != "raw_string").replace("*+", "*").replace("++", "+").replace("'", "''")
+
+
+@query(f"""
+WITH marked AS (SELECT doc_id, replace(coalesce(text, ''), chr(65535), chr(65535) || chr(65535)) AS t FROM documents),
+headed AS (SELECT doc_id, regexp_replace(t, '((?:#|%:)[ \\t]*(?:include_next|include|embed)[ \\t]*)(<[^>\\n\\r]*>|"[^"\\n\\r]*")', '\\1' || chr(65535) || '\\2', 'g') AS t FROM marked),
+cut AS (SELECT doc_id, unnest(regexp_extract_all(t, '{_plain_pattern()}')) AS x FROM headed),
+counted AS (SELECT doc_id, count(*) AS words FROM cut WHERE regexp_full_match(x, '[A-Za-z_$][A-Za-z0-9_$]*') GROUP BY doc_id)
+SELECT doc_id AS unit_id, CASE WHEN bool_or(contains(coalesce(text, ''), 'R"')) THEN NULL ELSE coalesce(max(words), 0) END AS words FROM documents LEFT JOIN counted USING (doc_id) GROUP BY doc_id""")
 def lex_documents(spark, sf_dir):
-    """Words of plain documents, lexed as if they were source."""
-    docs = _table(spark, sf_dir, "documents").where(F.col("text").rlike(r"^[A-Za-z_ \n.,]+\z"))
-    p = Program(docs.select(F.col("doc_id").alias("unit_id"), F.col("text").alias("src")))
-    return p.lexemes.where("cls = 'word'").groupBy("unit_id").agg(F.count("*").alias("words"))
+    """Words of every document, lexed whole as if it were source; null where a raw string may begin, which SQL can't follow to its end."""
+    docs = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("unit_id"), F.coalesce("text", F.lit("")).alias("src"))
+    found = Program(docs).lexemes.where("cls = 'word'").groupBy("unit_id").agg(F.count("*").alias("words"))
+    raw = docs.groupBy("unit_id").agg(F.max(F.col("src").contains('R"')).alias("raw"))
+    return raw.join(found, "unit_id", "left").select("unit_id", F.when(~F.col("raw"), F.coalesce("words", F.lit(0))).alias("words"))
 
 
 @query("""

@@ -98,7 +98,7 @@ TRIVIA = ("line_cont", "block_comment", "line_comment")
 def mark_headers(source: Column) -> Column:
     """Source text with MARK before each header name, after any number of blanks; a MARK of its own is doubled."""
     doubled = F.replace(source, F.lit(MARK), F.lit(MARK + MARK))
-    return F.regexp_replace(doubled, r"""((?:#|%:)[ \t]*+(?:include_next|include|embed)[ \t]*+)(?=<[^>\n\r]*+>|"[^"\n\r]*+")""", "$1" + MARK)
+    return F.regexp_replace(doubled, r"""((?:#|%:)[ \t]*+(?:include_next|include|embed)[ \t]*+)(<[^>\n\r]*+>|"[^"\n\r]*+")""", f"$1{MARK}$2")
 
 
 def unmarked(lexeme: Column) -> Column:
