@@ -48,14 +48,14 @@ class Program:
 
     @cached_property
     def kept(self) -> DataFrame:
-        """raw_marked, written."""
-        return written(self.raw_marked, "marked")
+        """raw_marked without the trivia, written."""
+        return written(self.raw_marked.drop("leading"), "marked")
 
     @cached_property
     def tokens(self) -> DataFrame:
-        """Tokens whose identifiers are told apart."""
+        """Tokens whose identifiers are told apart; without the trivia before them, which raw_tokens has."""
         kept = self.kept
-        return declarations.classified(kept.select(self.raw_tokens.columns), preprocessor.directives(kept), kept, self.predefined)
+        return declarations.classified(kept.select([c for c in self.raw_tokens.columns if c != "leading"]), preprocessor.directives(kept), kept, self.predefined)
 
     @cached_property
     def marked(self) -> DataFrame:
@@ -83,7 +83,7 @@ class Program:
         raw, full = self.kept, self.full
         lines = written(preprocessor.directives(raw), "directives")
         return {
-            "c_lexemes": self.lexemes, "c_tokens": full.select(self.raw_tokens.columns), "c_status": self.status,
+            "c_lexemes": self.lexemes, "c_tokens": full.select(self.tokens.columns).join(self.raw_tokens.select("unit_id", "tok_ix", "leading"), ["unit_id", "tok_ix"]), "c_status": self.status,
             "c_directives": lines, "c_defines": preprocessor.defines(lines), "c_includes": preprocessor.includes(lines),
             "c_macro_events": preprocessor.macro_events(lines), "c_conditionals": preprocessor.conditional_lines(lines), "c_branches": self.conditional_branches,
             "c_declarations": declarations.declarations(raw), "c_symbols": declarations.symbols(raw).drop("_parens"), "c_typedefs": declarations.typedef_events(raw),
