@@ -20,7 +20,7 @@ page marks its article or main part, the text comes from there; elsewhere all li
 taken, without those that are mostly links, paragraphs and headings excepted.
 
 Counts are made in two steps, by page and by host, each with sums made before the shuffle. Pages move
-once, to the wrapper of their host; both passes read that exchange. A host may hold a third of all
+to the wrapper of their host once for each of the two passes. A host may hold a third of all
 pages: Spark splits its share of the join, as each page needs the wrapper alone.
 
 Cases: null html is an empty text, a null url a host of its own; pages that are alone on their host
@@ -409,7 +409,7 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
     host = F.lower(F.regexp_extract(F.coalesce(pages[url_col], F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#]*)", 1))
     pages = pages.select(host.alias("host"), pages[id_col].cast("long").alias("page_id"), pages[url_col].alias("url"), pages[html_col].alias("html"))
     own = written(wrappers(pages, references), "wrappers")
-    # A merge join in both passes: the exchange of pages is the same, and a host with very many is split.
+    # A merge join in both passes, so that a host with very many pages is split.
     signed = pages.join(own.hint("shuffle_merge"), "host", "left").mapInArrow(_signed, "host string, page long, signs array<long>")
     known = written(templates(signed).join(own, "host", "left"), "templates")
     found = pages.join(known.hint("shuffle_merge"), "host", "left").select("host", "page_id", "url", "html", "wrapper", "n_pages", "template")
