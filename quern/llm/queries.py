@@ -81,6 +81,28 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(table(spark, sf_dir, "documents"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .merkle import manifest
+
+    marked = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    n_chars = F.when(marked, F.col("n_chars").cast("decimal(20,0)") + 1).otherwise(F.col("n_chars"))
+    return manifest(table(spark, sf_dir, "documents"), tampered={"n_chars": n_chars}).withColumnRenamed("id", "doc_id").drop("path")
+
+
+def op12_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .pieces import encoded
+
+    return encoded(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .turn_trie import prefix_trie
+
+    return prefix_trie(table(spark, sf_dir, "conversations")).drop("node")
+
+
 QUERIES: dict[str, Query] = {
     "op1_suffix_array_dedup": op1_suffix_array_dedup,
     "op2_quality_rules": op2_quality_rules,
@@ -92,8 +114,12 @@ QUERIES: dict[str, Query] = {
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
     "op9_content_defined_chunks": op9_content_defined_chunks,
     "op10_best_fit_packing": op10_best_fit_packing,
+    "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_sentencepiece": op12_sentencepiece,
+    "op13_conversation_trie": op13_conversation_trie,
 }
 
+
 def _places_sql() -> str:
     """Places of all matches: lengths of the pieces between them, summed."""
     parts = []
@@ -103,6 +129,21 @@ def _places_sql() -> str:
     return " UNION ALL ".join(parts)
 
 
+def _crc32(text: str) -> str:
+    """SQL of the unsigned CRC-32 of an ASCII text, bit by bit."""
+    bits = f"flatten(list_transform(string_split({text}, ''), lambda ch: list_transform(range(8), lambda b: (ascii(ch) >> b) & 1)))"
+    steps = "lambda c, b: xor(c >> 1, CASE WHEN xor(c, b) & 1 = 1 THEN 3988292384 ELSE 0 END)"
+    return f"xor(list_reduce(list_prepend(4294967295, {bits}), {steps}), 4294967295)"
+
+
+def _field(value: str) -> str:
+    return f"coalesce(strlen(({value})::VARCHAR) || ':' || ({value})::VARCHAR, '-')"
+
+
+def _leaf(n_chars: str) -> str:
+    return f"sha256({' || '.join(map(_field, ('doc_id', 'source', 'lang', n_chars, 'text')))})"
+
+
 ORACLES: dict[str, str] = {
     "op1_suffix_array_dedup": """
 WITH d AS (SELECT doc_id, hex(coalesce(text, '')) AS h FROM documents),
@@ -161,6 +202,36 @@ rolled AS (SELECT doc_id, count(*) FILTER (rank = 0) AS a, count(*) FILTER (rank
     string_agg(span, ',' ORDER BY start, rank) FILTER (rank < 3) AS base, string_agg(span, ',' ORDER BY start, rank) AS spans FROM kept GROUP BY doc_id)
 SELECT doc_id, coalesce(a, 0) AS n_assign, coalesce(b, 0) AS n_access, coalesce(c, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
 FROM docs LEFT JOIN rolled USING (doc_id)""",
+    "op11_merkle_manifest": f"""
+WITH RECURSIVE d AS (SELECT doc_id, coalesce('=' || lang, '') AS part, {_leaf('n_chars')} AS leaf, CASE WHEN {_crc32('doc_id::VARCHAR')} % 7 = 0 THEN {_leaf('n_chars + 1')} ELSE {_leaf('n_chars')} END AS other FROM documents),
+leaves AS (SELECT *, row_number() OVER (PARTITION BY part ORDER BY doc_id NULLS FIRST, leaf, other) - 1 AS ix FROM d),
+low AS (SELECT part, 0 AS height, ix, count(*) OVER (PARTITION BY part) AS n, leaf AS h FROM leaves
+    UNION ALL SELECT part, height + 1, ix // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY ix)) FROM low WHERE n > 1 GROUP BY part, height, ix // 2, n),
+subroots AS (SELECT part, h, row_number() OVER (ORDER BY part) - 1 AS place, count(*) OVER () AS n FROM low WHERE n = 1),
+top AS (SELECT 0 AS height, place AS ix, n, h FROM subroots
+    UNION ALL SELECT height + 1, ix // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY ix)) FROM top WHERE n > 1 GROUP BY height, ix // 2, n),
+walk AS (SELECT doc_id, part, ix AS id, leaf, 0 AS height, ix, other AS acc, '' AS proof FROM leaves
+    UNION ALL SELECT doc_id, w.part, id, leaf, w.height + 1, w.ix // 2, sha256(CASE WHEN w.ix % 2 = 0 THEN acc || coalesce(s.h, '') ELSE s.h || acc END), proof || coalesce(s.h, '')
+        FROM walk w JOIN low o ON o.part = w.part AND o.height = w.height AND o.ix = w.ix AND o.n > 1 LEFT JOIN low s ON s.part = w.part AND s.height = w.height AND s.ix = xor(w.ix, 1)),
+ended AS (SELECT w.*, s.h AS subroot, s.place FROM walk w JOIN low o ON o.part = w.part AND o.height = w.height AND o.ix = w.ix AND o.n = 1 JOIN subroots s ON s.part = w.part),
+climb AS (SELECT doc_id, part, id, leaf, subroot, 0 AS height, place AS ix, acc, proof FROM ended
+    UNION ALL SELECT doc_id, part, id, leaf, subroot, c.height + 1, c.ix // 2, sha256(CASE WHEN c.ix % 2 = 0 THEN acc || coalesce(s.h, '') ELSE s.h || acc END), proof || coalesce(s.h, '')
+        FROM climb c JOIN top o ON o.height = c.height AND o.ix = c.ix AND o.n > 1 LEFT JOIN top s ON s.height = c.height AND s.ix = xor(c.ix, 1))
+SELECT doc_id, leaf, subroot, o.h AS root, sha256(proof) AS proof_sha256, acc AS folded_root, acc = o.h AS verified
+FROM climb c JOIN top o ON o.height = c.height AND o.ix = c.ix AND o.n = 1""",
+    "op13_conversation_trie": f"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+own AS (SELECT conv_id, list({{'role': role, 'text': text}} ORDER BY turn NULLS FIRST, sha256(strlen(role) || ':' || role || text)) AS said FROM t GROUP BY conv_id),
+shared AS (SELECT conv_id, said, {_crc32('conv_id::VARCHAR')} % 9 AS h FROM own),
+built AS (SELECT c.conv_id, list_concat(coalesce(b.said, [])[1:c.h], c.said[c.h + 1:]) AS said FROM shared c LEFT JOIN own b ON b.conv_id = c.conv_id - c.conv_id % 5),
+paths AS (SELECT conv_id, said, unnest(range(0, len(said) + 1)) AS depth FROM built),
+nodes AS (SELECT said[1:depth] AS node, depth, min(conv_id) AS conv_id, count(*) AS n_convs, sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (len(said) = depth), '')) AS ends_sha256 FROM paths GROUP BY 1, 2),
+below AS (SELECT node[1:depth - 1] AS node, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY 1),
+sized AS (SELECT nodes.*, coalesce(n_children, 0) AS n_children, CASE WHEN depth = 0 THEN 0 ELSE (n_convs - 1) * strlen(node[depth].text) END AS saved FROM nodes LEFT JOIN below USING (node)),
+spread AS (SELECT node[1:k] AS node, n_children = 0 AS leaf, saved FROM (SELECT *, unnest(range(0, depth + 1)) AS k FROM sized)),
+sums AS (SELECT node, count(*) FILTER (leaf) AS n_leaves, sum(saved)::BIGINT AS saved_tokens FROM spread GROUP BY node)
+SELECT s.conv_id, s.depth, p.conv_id AS parent_conv_id, s.n_convs, s.n_children, n_leaves, saved_tokens, s.ends_sha256
+FROM sized s JOIN sums USING (node) LEFT JOIN nodes p ON s.depth > 0 AND p.depth = s.depth - 1 AND p.node = s.node[1:s.depth - 1]""",
     "op7_benchmark_decontamination": r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
