@@ -27,6 +27,8 @@ FANOUT = 2
 #: Counts of (range, group) are broadcast up to this size; beyond it they are joined by shuffle.
 BROADCAST_BYTES = 16 << 20
 _KEY_BYTES = 32
+#: Levels of proofs in one plan.
+CUT = 4
 
 
 def hexed(digest: Column) -> Column:
@@ -85,9 +87,9 @@ def _siblings(kids: Column, at: Column) -> Column:
 def proofs(tree: list[DataFrame], tops: DataFrame, group: str, fanout: int) -> DataFrame:
     """The leaves of `tree` with the path of siblings up to the root; tops: (group, path, subroot) of each group's last node.
 
-    Each level's table is dropped once the next is there.
+    A table is written every `CUT` levels and dropped once the next is there.
     """
-    paths = None
+    paths, held = None, None
     for height in range(len(tree) - 1, -1, -1):
         level = tree[height]
         ends = level.where("n = 1").join(tops, group)
@@ -99,10 +101,11 @@ def proofs(tree: list[DataFrame], tops: DataFrame, group: str, fanout: int) -> D
             at = (F.col("ix") % fanout).cast("int")
             found = found.withColumn("path", F.concat(F.array(_siblings(F.col("_kids"), at)), F.col("path"))).drop("_up", "_kids")
             both = ends.unionByName(found)
-        if height:
+        if height and height % CUT == 0:
             both = written(both, "paths")
-            if paths is not None:
-                dropped(paths)
+            if held is not None:
+                dropped(held)
+            held = both
         paths = both
     return paths
 
