@@ -35,7 +35,9 @@ from .textbytes import text_blocks
 
 MARK = "▁"
 #: Bytes of text of a block; more only where a single text is longer.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
+#: Chunks of the texts that are decoded at once.
+GROUP_CHUNKS = 100_000
 #: Distinct chunks of a shard's part of the table.
 SHARD_CHUNKS = 200_000
 
@@ -153,11 +155,11 @@ def _answered(batches: Iterator[pa.RecordBatch], model_path: str) -> Iterator[pa
         yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(0), pa.array(out, pa.binary())], names=["block", "shard", "blob"])
 
 
-def ids_of(texts: pa.Array, shards: int, answers: dict[int, bytes]) -> tuple[list[list[int]], pa.Array]:
-    """The ids of each text, and the same as decimal text joined by commas."""
+def ids_of(texts: pa.Array, shards: int, answers: dict[int, bytes], most: int = GROUP_CHUNKS) -> Iterator[tuple[int, int, list[list[int]], pa.Array]]:
+    """Groups of texts of `most` chunks at most, or one text: the first, one past the last, the ids of each, and the same as decimal text joined by commas."""
     words, before = chunks(texts)
     named = words.dictionary_encode()
-    distinct, at = named.dictionary.to_pylist(), named.indices.to_numpy().astype(np.int64)
+    distinct, at = named.dictionary.to_pylist(), named.indices.to_numpy()
     place, found = _shard(distinct, shards), [b""] * len(distinct)
     order = np.argsort(place, kind="stable")
     edges = np.searchsorted(place[order], np.arange(shards + 1))
@@ -167,13 +169,18 @@ def ids_of(texts: pa.Array, shards: int, answers: dict[int, bytes]) -> tuple[lis
     sizes = np.array([len(f) // 4 for f in found], np.int64)
     flat = np.frombuffer(b"".join(found), "<u4")
     starts = np.concatenate([[0], np.cumsum(sizes)])
-    own = sizes[at]
-    to = np.concatenate([[0], np.cumsum(own)])
-    ids = flat[np.repeat(starts[at] - to[:-1], own) + np.arange(to[-1])]
-    spelled = pa.array([",".join(map(str, flat[a:b].tolist())) for a, b in zip(starts[:-1].tolist(), starts[1:].tolist())], pa.large_string())
-    listed = pa.LargeListArray.from_arrays(pa.array(before), spelled.take(pa.array(at)))
-    edges = to[before].tolist()
-    return [ids[a:b].tolist() for a, b in zip(edges, edges[1:])], pc.binary_join(listed, pa.scalar(",", pa.large_string()))
+    spelled = pa.array([",".join(map(str, np.frombuffer(f, "<u4").tolist())) for f in found], pa.large_string())
+    low = 0
+    while low < len(texts):
+        high = max(low + 1, int(np.searchsorted(before, before[low] + most, "right")) - 1)
+        own = at[before[low] : before[high]].astype(np.int64)
+        to = np.concatenate([[0], np.cumsum(sizes[own])])
+        ids = flat[np.repeat(starts[own] - to[:-1], sizes[own]) + np.arange(to[-1])]
+        edges = before[low : high + 1] - before[low]
+        listed = pa.LargeListArray.from_arrays(pa.array(edges), spelled.take(pa.array(own)))
+        cuts = to[edges].tolist()
+        yield low, high, [ids[a:b].tolist() for a, b in zip(cuts, cuts[1:])], pc.binary_join(listed, pa.scalar(",", pa.large_string()))
+        low = high
 
 
 def _joined(shards: int, model_path: str, keep: bool) -> Callable[[pa.Table, pa.Table], pa.Table]:
@@ -182,11 +189,11 @@ def _joined(shards: int, model_path: str, keep: bool) -> Callable[[pa.Table, pa.
         own, out = processor(model_path), []
         for blob in blocks.column("blob").to_pylist():
             doc_ids, texts = _rows(blob)
-            ids, spelled = ids_of(texts, shards, said)
-            decoded = own.decode(ids, num_threads=1)
-            columns = [pa.array(doc_ids, pa.int64()), pa.array(map(len, ids), pa.int64()), *(pa.array([hashlib.sha256(t.encode()).hexdigest() for t in x], pa.string()) for x in (spelled.to_pylist(), decoded))]
-            columns += [pa.array(ids, pa.list_(pa.int32())), pa.array(decoded, pa.string())] if keep else []
-            out.append(pa.Table.from_arrays(columns, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded"][: len(columns)]))
+            for low, high, ids, spelled in ids_of(texts, shards, said):
+                decoded = own.decode(ids, num_threads=1)
+                columns = [pa.array(doc_ids[low:high], pa.int64()), pa.array(map(len, ids), pa.int64()), *(pa.array([hashlib.sha256(t.encode()).hexdigest() for t in x], pa.string()) for x in (spelled.to_pylist(), decoded))]
+                columns += [pa.array(ids, pa.list_(pa.int32())), pa.array(decoded, pa.string())] if keep else []
+                out.append(pa.Table.from_arrays(columns, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded"][: len(columns)]))
         return pa.concat_tables(out) if out else pa.Table.from_pylist([], pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string()), *([("ids", pa.list_(pa.int32())), ("decoded", pa.string())] if keep else [])]))
 
     return rows
