@@ -68,7 +68,7 @@ def operators(marked: DataFrame) -> DataFrame:
     """(unit_id, decl_ix, part, tok_ix, op, kind, precedence, depth) of each operator in a body or an initialiser, but commas: see comma_operators()."""
     own = marked.where("dir_id IS NULL AND NOT in_attribute").withColumn("_binary", _after_operand()).where("in_body OR in_value")
     strength = F.create_map(*[F.lit(x) for pair in C.PRECEDENCE.items() for x in pair])
-    pure = F.col("src").isin("++", "--", "!", "~", "sizeof")
+    pure = F.col("src").isin("++", "--", "!", "~", "sizeof") | F.col("src").isin("alignof", "_Alignof", "__alignof", "__alignof__") & (F.col("next") != "(")
     binary = F.col("src").isin(*[o for o in C.PRECEDENCE if o != ","]) & F.col("_binary")
     prefix = F.col("src").isin("+", "-", "*", "&") & ~F.col("_binary") | pure
     kind = F.when(F.col("src") == "?", "conditional_expression").when(binary & (strength[F.col("src")] == 2), "assignment_expression").when(binary, "binary_expression").when(F.col("src").isin("++", "--") & F.col("_binary"), "postfix_unary_expression").when(prefix, "unary_expression").when(F.col("src").isin(".", "->") & F.col("_binary"), "member_expression")

@@ -20,6 +20,12 @@ def in_declaration() -> WindowSpec:
     return Window.partitionBy("unit_id", "decl_ix").orderBy("tok_ix")
 
 
+def without_attributes(marked: DataFrame) -> DataFrame:
+    """Tokens of code outside attributes; prev and next are those that are left."""
+    own = marked.where("dir_id IS NULL AND NOT in_attribute")
+    return own.withColumns({"prev": F.coalesce(F.lag("src").over(in_declaration()), F.col("prev")), "next": F.coalesce(F.lead("src").over(in_declaration()), F.col("next"))})
+
+
 def _outside() -> Column:
     return (F.col("braces") == 0) & (F.col("parens") == 0) & (F.col("brackets") == 0)
 
@@ -102,23 +108,23 @@ def _is_name(follow: tuple[str, ...]) -> Column:
 
 
 def _shape() -> Column:
-    """What a declarator declares, from x (its name), stars and what follows; brackets without a star in them change nothing."""
+    """What a declarator declares, from x (its name), stars and what follows; brackets without a star in them change nothing, and a list right after the name makes it a function."""
     starred = F.exists("stars", lambda t: (t["parens"] == F.col("x.parens")) & (t["tok_ix"] < F.col("x.tok_ix"))) & (F.col("x.parens") > 0)
     follow = F.when((F.col("x.parens") > 0) & (F.col("x.next") == ")"), F.col("x.next2")).otherwise(F.col("x.next"))
-    return F.when(starred, "function_pointer").when(follow == "(", "function").when(follow == "[", "array").otherwise("object")
+    return F.when(F.col("x.next") == "(", "function").when(starred, "function_pointer").when(follow == "(", "function").when(follow == "[", "array").otherwise("object")
 
 
 def symbols(marked: DataFrame) -> DataFrame:
     """(unit_id, decl_ix, part, name, tok_ix, ...) of every file-scope declarator: the first name that its part could declare."""
     follow = (";", ",", "=", "[", "(", ")", ":", "{", *C.ATTRIBUTE_OPENERS, *C.ASM_WORDS)
-    own = marked.where("decl_kind <> 'directive' AND NOT in_attribute AND NOT in_value AND NOT in_body AND braces = 0 AND brackets = 0 AND dir_id IS NULL")
+    own = without_attributes(marked).where("decl_kind <> 'directive' AND NOT in_value AND NOT in_body AND braces = 0 AND brackets = 0")
     own = own.withColumn("next2", F.lead("src", 2).over(in_declaration()))
     rows = own.groupBy("unit_id", "decl_ix", "part").agg(
         F.min(F.when(_is_name(follow), F.struct("tok_ix", "src", "next", "next2", "parens", "decl_kind"))).alias("x"),
         F.collect_list(F.when(F.col("src") == "*", F.struct("tok_ix", "parens"))).alias("stars"),
     ).where("x IS NOT NULL")
     pointers = F.size(F.filter("stars", lambda t: t["tok_ix"] < F.col("x.tok_ix")))
-    return rows.select("unit_id", "decl_ix", "part", F.col("x.src").alias("name"), F.col("x.tok_ix").alias("tok_ix"), F.col("x.decl_kind").alias("decl_kind"), _shape().alias("shape"), pointers.alias("pointer_depth"), F.col("x.parens").alias("_parens"))
+    return rows.select("unit_id", "decl_ix", "part", F.col("x.src").alias("name"), F.col("x.tok_ix").alias("tok_ix"), F.col("x.decl_kind").alias("decl_kind"), _shape().alias("shape"), pointers.alias("pointer_depth"), F.col("x.parens").alias("_parens"), F.coalesce(F.col("x.next") == "(", F.lit(False)).alias("_listed"))
 
 
 def typedef_events(marked: DataFrame) -> DataFrame:
@@ -178,8 +184,8 @@ def _ordinal() -> Column:
 
 
 def members(marked: DataFrame) -> DataFrame:
-    """Members of structs and unions: owner tag, name, ordinal, bit_width (text, null where it is no bit-field)."""
-    own = _with_owner(marked.where("dir_id IS NULL AND NOT in_attribute"), "{", "braces")
+    """Members of structs and unions: owner tag, name, ordinal, bit_width (text, null where it is no bit-field). Parameter names of a member are none."""
+    own = _with_owner(without_attributes(marked), "{", "braces")
     is_member = _is_name((";", ",", ":", "[", ")")) & (F.col("brackets") == 0) & F.col("owner_ix").isNotNull()
     field = Window.partitionBy("unit_id", "decl_ix", "owner_ix").orderBy("tok_ix")
     # A width runs from the colon after a name to the comma or semicolon that ends the field.
@@ -187,9 +193,14 @@ def members(marked: DataFrame) -> DataFrame:
     part = Window.partitionBy("unit_id", "decl_ix", "owner_ix", "_first").orderBy("tok_ix").rowsBetween(Window.unboundedPreceding, 0)
     done = F.max((F.col("src").isin(";") | (F.col("src") == ",") & (F.col("parens") == 0)).cast("int")).over(part)
     own = own.withColumn("_wide", F.col("_first").isNotNull() & (done == 0) & (F.col("tok_ix") > F.col("_first") + 1))
-    inner = (F.col("parens") > 0) & (F.col("prev") != "*")
-    # A name inside a width is none; a declarator in brackets is the first name of its line, and parameter names after it are no members.
-    rows = own.where(F.col("_wide") | F.col("_member") & ~inner).groupBy("unit_id", "decl_ix", "owner_ix", F.when(F.col("_wide"), F.col("_first")).otherwise(F.col("tok_ix")).alias("tok_ix")).agg(
+    inner = (F.col("parens") > 0) & ~F.col("prev").isin("*", *C.QUALIFIERS)
+    # Of a declarator the first name counts, and none after its colon: what follows are parameters and widths.
+    ends = F.col("src").isin(";", "{", "}") | (F.col("src") == ",") & (F.col("parens") == 0) & (F.col("brackets") == 0)
+    own = own.withColumn("_part", F.sum(ends.cast("int")).over(field.rowsBetween(Window.unboundedPreceding, -1)))
+    of_part = Window.partitionBy("unit_id", "decl_ix", "owner_ix", "_part").orderBy("tok_ix").rowsBetween(Window.unboundedPreceding, -1)
+    taken = F.max(((F.col("_member") & ~inner) | (F.col("src") == ":")).cast("int")).over(of_part)
+    own = own.withColumn("_taken", F.coalesce(taken, F.lit(0)) == 1)
+    rows = own.where(F.col("_wide") | F.col("_member") & ~inner & ~F.col("_taken")).groupBy("unit_id", "decl_ix", "owner_ix", F.when(F.col("_wide"), F.col("_first")).otherwise(F.col("tok_ix")).alias("tok_ix")).agg(
         F.max(F.when(~F.col("_wide"), F.col("src"))).alias("member_name"), F.array_sort(F.collect_list(F.when(F.col("_wide"), F.struct("tok_ix", "src")))).alias("words")
     )
     held = tags(marked).where("has_body AND kind <> 'enum_specifier'").select("unit_id", "decl_ix", "kind", "tag_name", F.col("body_ix").alias("owner_ix"))
@@ -199,7 +210,7 @@ def members(marked: DataFrame) -> DataFrame:
 
 def enumerators(marked: DataFrame) -> DataFrame:
     """Enumerators: enum tag, name, ordinal, and whether a value is given."""
-    own = _with_owner(marked.where("dir_id IS NULL AND NOT in_attribute"), "{", "braces").withColumn("_follows", F.lead("src").over(in_declaration()))
+    own = _with_owner(without_attributes(marked), "{", "braces").withColumn("_follows", F.lead("src").over(in_declaration()))
     held = tags(marked).where("has_body AND kind = 'enum_specifier'").select("unit_id", "decl_ix", "tag_name", F.col("body_ix").alias("owner_ix"))
     named = own.where(F.col("tname").isin("ID", "TYPEDEF_NAME") & F.col("prev").isin("{", ",") & (F.col("parens") == 0)).join(held, ["unit_id", "decl_ix", "owner_ix"])
     return named.select("unit_id", "decl_ix", "owner_ix", "tag_name", F.col("src").alias("name"), _ordinal().alias("ordinal"), (F.col("_follows") == "=").alias("has_value"))
@@ -207,11 +218,11 @@ def enumerators(marked: DataFrame) -> DataFrame:
 
 def parameters(marked: DataFrame) -> DataFrame:
     """Parameters of file-scope function declarators: function, ordinal, name (null if abstract), text, variadic."""
-    fn = symbols(marked).where("shape IN ('function', 'function_pointer')").select("unit_id", "decl_ix", "part", F.col("name").alias("function"), F.col("tok_ix").alias("name_ix"), "_parens")
-    own = marked.where("dir_id IS NULL AND NOT in_body AND NOT in_attribute AND braces = 0").join(fn, ["unit_id", "decl_ix", "part"])
-    # The list is the first bracket after the name, or after the bracket that holds the name.
-    opens = F.min(F.when((F.col("src") == "(") & (F.col("tok_ix") > F.col("name_ix")) & (F.col("parens") == F.greatest(F.col("_parens") - 1, F.lit(0))), F.col("tok_ix"))).over(Window.partitionBy("unit_id", "decl_ix", "part"))
-    own = own.withColumns({"_open": opens, "_depth": F.greatest(F.col("_parens") - 1, F.lit(0)) + 1})
+    fn = symbols(marked).where("shape IN ('function', 'function_pointer')").select("unit_id", "decl_ix", "part", F.col("name").alias("function"), F.col("tok_ix").alias("name_ix"), F.when(F.col("_listed"), F.col("_parens")).otherwise(F.greatest(F.col("_parens") - 1, F.lit(0))).alias("_around"))
+    own = without_attributes(marked).where("NOT in_body AND braces = 0").join(fn, ["unit_id", "decl_ix", "part"])
+    # The list is the bracket right after the name, or the first one after the bracket that holds the name.
+    opens = F.min(F.when((F.col("src") == "(") & (F.col("tok_ix") > F.col("name_ix")) & (F.col("parens") == F.col("_around")), F.col("tok_ix"))).over(Window.partitionBy("unit_id", "decl_ix", "part"))
+    own = own.withColumns({"_open": opens, "_depth": F.col("_around") + 1})
     closes = F.min(F.when((F.col("src") == ")") & (F.col("tok_ix") > F.col("_open")) & (F.col("parens") == F.col("_depth") - 1), F.col("tok_ix"))).over(Window.partitionBy("unit_id", "decl_ix", "part"))
     own = own.withColumn("_close", closes).where("tok_ix > _open AND tok_ix < _close")
     order = Window.partitionBy("unit_id", "decl_ix", "part").orderBy("tok_ix").rowsBetween(Window.unboundedPreceding, 0)

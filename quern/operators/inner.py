@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
 from ..functions import c_tokens as C
-from .declarations import _is_name, _shape, in_declaration, symbols
+from .declarations import _is_name, _shape, in_declaration, symbols, without_attributes
 
 _CONTROL = ("if", "while", "for", "switch")
 _BOUNDARY = (";", "{", "}")
@@ -38,7 +38,7 @@ def _with_opener(cut: DataFrame, bracket: str, depth: str, name: str) -> DataFra
 
 def _code(marked: DataFrame) -> DataFrame:
     """Tokens of code with prev_t, and before: for a token after a closing parenthesis, what stands around the opening one."""
-    own = marked.where("dir_id IS NULL AND NOT in_attribute").withColumn("prev_t", F.lag("tname").over(in_declaration()))
+    own = without_attributes(marked).withColumn("prev_t", F.lag("tname").over(in_declaration()))
     level = Window.partitionBy("unit_id", "decl_ix", "parens", F.col("src").isin("(", ")")).orderBy("tok_ix")
     inner_type = F.col("next").isin(*C.TYPE_WORDS, *C.QUALIFIERS) | (F.lead("tname").over(in_declaration()) == "TYPEDEF_NAME")
     own = own.withColumn("_typed", F.coalesce(inner_type, F.lit(False)))

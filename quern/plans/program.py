@@ -6,7 +6,7 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators import code, declarations, inner, lexing, preprocessor, spans
+from ..operators import code, declarations, inner, lexing, preprocessor, spans, trees
 from ..sources.tables import written
 
 ENGINE = {"name": "quern", "version": "0.1.0", "language": "C23"}
@@ -86,7 +86,7 @@ class Program:
             "c_lexemes": self.lexemes, "c_tokens": full.select(self.tokens.columns).join(self.raw_tokens.select("unit_id", "tok_ix", "leading"), ["unit_id", "tok_ix"]), "c_status": self.status,
             "c_directives": lines, "c_defines": preprocessor.defines(lines), "c_includes": preprocessor.includes(lines),
             "c_macro_events": preprocessor.macro_events(lines), "c_conditionals": preprocessor.conditional_lines(lines), "c_branches": self.conditional_branches,
-            "c_declarations": declarations.declarations(raw), "c_symbols": declarations.symbols(raw).drop("_parens"), "c_typedefs": declarations.typedef_events(raw),
+            "c_declarations": declarations.declarations(raw), "c_symbols": declarations.symbols(raw).drop("_parens", "_listed"), "c_typedefs": declarations.typedef_events(raw),
             "c_tags": declarations.tags(raw), "c_members": declarations.members(raw), "c_enumerators": declarations.enumerators(raw), "c_parameters": declarations.parameters(raw),
             "c_functions": code.functions(raw), "c_statements": code.statements(raw), "c_jumps": code.jumps(raw), "c_labels": code.labels(raw), "c_calls": inner.calls(full),
             "c_operators": code.operators(raw), "c_literals": code.literals(raw), "c_attributes": code.attributes(raw), "c_static_asserts": inner.static_asserts(raw),
@@ -94,7 +94,7 @@ class Program:
             "c_conditions": spans.conditions(raw), "c_type_names": spans.type_names(full), "c_array_sizes": spans.array_sizes(raw), "c_specifiers": spans.specifiers(full),
             "c_member_uses": spans.member_uses(raw), "c_asm_operands": spans.asm_operands(raw),
             "c_local_symbols": inner.local_symbols(full), "c_subscripts": inner.subscripts(full), "c_commas": inner.comma_operators(full), "c_expression_statements": inner.expression_statements(full),
-            "c_statement_expressions": inner.statement_expressions(raw), "c_bit_int_widths": inner.bit_int_widths(raw), "c_pointer_levels": inner.pointer_levels(raw), "c_array_qualifiers": inner.array_qualifiers(raw),
+            "c_expressions": trees.expressions(full), "c_statement_expressions": inner.statement_expressions(raw), "c_bit_int_widths": inner.bit_int_widths(raw), "c_pointer_levels": inner.pointer_levels(raw), "c_array_qualifiers": inner.array_qualifiers(raw),
         }
 
     def register(self) -> None:
