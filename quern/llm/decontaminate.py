@@ -44,8 +44,7 @@ def item_words(text: str | None) -> list[str]:
 def _hashes(words: list[str]) -> np.ndarray:
     data = [w.encode("utf-8", "surrogatepass") for w in words]
     ends = np.cumsum([len(w) for w in data], dtype=np.int64)
-    sums = tb.prefix_hash(np.frombuffer(b"".join(data), np.uint8))
-    return tb.span_hash(sums, np.concatenate([[0], ends[:-1]]), ends)
+    return tb.text_hash(np.frombuffer(b"".join(data), np.uint8), np.concatenate([[0], ends[:-1]]), ends)
 
 
 class _Set:
@@ -169,7 +168,7 @@ def _scan_block(automaton: ItemAutomaton, data: np.ndarray, offsets: np.ndarray)
     """Hit flags of all words, the items found in each text, and the words' spans."""
     lowered = tb.LOWER[data]
     starts, ends, first = tb.word_spans(tb.ALNUM[lowered], offsets)
-    words = tb.span_hash(tb.prefix_hash(lowered), starts, ends)
+    words = tb.text_hash(lowered, starts, ends)
     hit = np.zeros(len(words), bool)
     items: dict[int, set[str]] = {}
     lows, highs, code = automaton.stretches(words, first)

@@ -74,7 +74,7 @@ def _tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     """Token hashes of a block, the end of each text among them, and the offsets of the texts in it."""
     lowered = tb.LOWER[data]
     starts, ends, first = tb.word_spans(~tb.SPACE[lowered], offsets)
-    words = tb.span_hash(tb.prefix_hash(lowered), starts, ends)
+    words = tb.text_hash(lowered, starts, ends)
     n = len(offsets) - 1
     out = np.full(len(words) + n, END, np.uint64)
     out[np.arange(len(words)) + np.repeat(np.arange(n), np.diff(first))] = words

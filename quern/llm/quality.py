@@ -42,7 +42,7 @@ def _repeated_lines(data: np.ndarray, offsets: np.ndarray, word_starts: np.ndarr
     wordy = np.searchsorted(word_starts, ends) > np.searchsorted(word_starts, starts)
     starts, ends = starts[wordy], ends[wordy]
     text = np.searchsorted(offsets, starts, "right") - 1
-    keys = _in_text(tb.span_hash(sums, starts, ends), text)
+    keys = _in_text(tb.text_hash(data, starts, ends, sums), text)
     _, first = np.unique(keys, return_index=True)
     return np.bincount(text, minlength=n) - np.bincount(text[first], minlength=n)
 
@@ -73,7 +73,7 @@ def measured(data: np.ndarray, offsets: np.ndarray, min_repeat: int, max_covered
     sums = tb.prefix_hash(data)
     is_word = ~tb.SPACE[data]
     starts, ends, first = tb.word_spans(is_word, offsets)
-    words = tb.span_hash(sums, starts, ends)
+    words = tb.text_hash(data, starts, ends, sums)
     n_words = np.diff(first)
     repeat_words = _repeated_words(words, first)
     spans, longest = repeats(data, offsets, min_repeat)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .secret_scan import RULES
+from .secret_scan import RULES, plain_pattern
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -124,7 +124,7 @@ def _places_sql() -> str:
     """Places of all matches: lengths of the pieces between them, summed."""
     parts = []
     for rank, r in enumerate(RULES):
-        pattern = r.pattern.replace("'", "''")
+        pattern = plain_pattern(r).replace("'", "''")
         parts.append(f"""SELECT doc_id, {rank} AS rank, '{r.kind}' AS kind, {r.least} AS least, regexp_extract_all(text, '{pattern}') AS m, regexp_extract_all(text, '{pattern}', {r.group}) AS v, regexp_split_to_array(text, '{pattern}') AS p FROM docs""")
     return " UNION ALL ".join(parts)
 

@@ -18,6 +18,7 @@ redacted rows.
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 from operator import or_
 from typing import NamedTuple
@@ -51,12 +52,19 @@ MORE_RULES = (
     Rule(
         "pem",
         r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----"
-        r"(?:[^-]*(?:-{1,4}[^-]+){0,100}-----END [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----"
-        r"|(?:[ \t\r\n]*[A-Za-z-]+: [^\r\n]*[\r\n]+){0,100}(?:[A-Za-z0-9+/=\\ \t\r\n]*[A-Za-z0-9+/=]{20,})?(?:[ \t]*(?:\r?\n|\\n)[ \t]*[A-Za-z0-9+/]+={0,2}[ \t]*(?:[\r\n]|\\|\z))?)",
-        version=2,
+        r"(?:[^-]*+(?:-{1,4}+[^-]++)*+-----END [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----"
+        r"|(?:[ \t\r\n]*+[A-Za-z][A-Za-z0-9-]*+: [^\r\n]*+[\r\n]++)*+(?:[A-Za-z0-9+/=\\ \t\r\n]*[A-Za-z0-9+/=]{20,})?(?:[ \t]*(?:\r?\n|\\n)[ \t]*[A-Za-z0-9+/]+={0,2}[ \t]*(?:[\r\n]|\\|\z))?)",
+        version=3,
     ),
 )
 RULES = BASE_RULES + MORE_RULES
+
+
+def plain_pattern(rule: Rule) -> str:
+    """The pattern for an engine that never backtracks: without possessive marks, which change no match here."""
+    return re.sub(r"(?<=[*+}])\+", "", rule.pattern)
+
+
 REDACTED = "[SECRET]"
 #: Ids of so many blobs are broadcast at most: 2 MB.
 BROADCAST_BLOBS = 20_000

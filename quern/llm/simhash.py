@@ -6,6 +6,8 @@ index therefore holds, for each half, the four triples of positions: eight posti
 instead of eight lists as long as a 256th of the corpus. Within a posting the shared positional
 bytes of a pair are tallied, pairs with five or more are kept, and their bits are compared.
 
+A long posting is dealt again by further bytes, then by half bytes, so none is compared pair by pair.
+
 Equal fingerprints are merged before anything else, so a group of copies of any size is one entry.
 Within a posting only the links of a spanning forest leave the task, never all pairs.
 
@@ -16,7 +18,7 @@ share a fingerprint.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -35,6 +37,8 @@ SEED = 42
 #: Position triples of which any five of eight positions contain one.
 TRIPLES = [t for half in (range(4), range(4, 8)) for t in combinations(half, 3)]
 _SMALL_POSTING = 64
+#: Entries of a posting beyond which it is dealt over tasks.
+LONG_POSTING = 200_000
 
 
 def _normal_words(data: np.ndarray, offsets: np.ndarray):
@@ -117,32 +121,55 @@ def _forest(fp: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]
                 rest = rest[~near]
 
 
-def _shared_bits(fp: np.ndarray) -> int:
-    """The bytes of a triple in which all entries agree; none where the hashes of two postings are equal by chance."""
-    apart = int(np.bitwise_or.reduce(fp ^ fp[0]))
-    same = {p for p in range(8) if not apart >> (8 * p) & 0xFF}
-    return next((sum(0xFF << (8 * p) for p in t) for t in TRIPLES if same.issuperset(t)), 0)
-
-
-def _long_links(fp: np.ndarray, most: int, fixed: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Links of one long posting whose entries share the `fixed` bits.
-
-    A link shares at least two of the five other bytes, so the posting is dealt once for each two
-    of them into parts that share five bytes. The entries of a part that is still long differ in 24
-    bits at most and are nearly all links of each other.
-    """
-    free = [p for p in range(8) if not fixed >> (8 * p) & 0xFF]
-    for two in combinations(free, 2):
-        mask = np.uint64(sum(0xFF << (8 * p) for p in two))
-        key = fp & mask
+def _parted(fp: np.ndarray, masks: list[int]) -> Iterator[tuple[bool, np.ndarray, np.ndarray]]:
+    """The parts of `fp` whose entries agree in the bits of a mask, for each mask: all short ones together, with their keys, and each long one."""
+    for mask in masks:
+        key = fp & np.uint64(mask)
         order = np.argsort(key, kind="stable")
         key, own = key[order], fp[order]
         edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
         size = np.diff(edge)
         short = np.repeat(size <= _SMALL_POSTING, size)
-        yield from _small_links(key[short], own[short], most)
+        yield True, key[short], own[short]
         for k in np.flatnonzero(size > _SMALL_POSTING):
-            yield from _forest(own[edge[k] : edge[k + 1]], most)
+            yield False, key[edge[k] : edge[k + 1]], own[edge[k] : edge[k + 1]]
+
+
+def _signed(mask: int) -> int:
+    return mask - ((mask >> 63) << 64)
+
+
+def _bits(places: Iterable[int], width: int) -> int:
+    """A mask of the pieces of `width` bits at `places`."""
+    return sum(((1 << width) - 1) << (width * p) for p in places)
+
+
+def _long_links(fp: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Links of one long posting, that is of entries that share a triple of bytes.
+
+    A link shares at least two of the five other bytes, so the posting is dealt once for each two of
+    them into parts that share five bytes. A part that is still long is dealt again, by three of the
+    six half bytes in which its entries may differ: a link shares three of them. What is then still
+    long has twelve bits left, in which nearly every entry is linked with others, so a spanning
+    forest of it takes few comparisons.
+    """
+    masks = [_bits(t, 8) for t in TRIPLES]
+    apart = int(np.bitwise_or.reduce(fp ^ fp[0]))
+    # Two postings whose hashes are equal by chance come apart by all triples.
+    for is_short, key, own in _parted(fp, [m for m in masks if not apart & m][:1] or masks):
+        if is_short:
+            yield from _small_links(key, own, most)
+            continue
+        triple = next(t for t in TRIPLES if len(np.unique(own & np.uint64(_bits(t, 8)))) == 1)
+        rest = [p for p in range(8) if p not in triple]
+        for two in combinations(rest, 2):
+            halves = [h for p in rest if p not in two for h in (2 * p, 2 * p + 1)]
+            for is_short, key, part in _parted(own, [_bits(two, 8)]):
+                if is_short:
+                    yield from _small_links(key, part, most)
+                    continue
+                for is_short, key, dense in _parted(part, [_bits(h, 4) for h in combinations(halves, 3)]):
+                    yield from _small_links(key, dense, most) if is_short else _forest(dense, most)
 
 
 def _posting_links(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
@@ -153,12 +180,16 @@ def _posting_links(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.
         size = np.diff(edge)
         long = np.flatnonzero(size > _SMALL_POSTING)
         short = np.repeat(size <= _SMALL_POSTING, size)
-        found = list(_small_links(key[short], fp[short], most))
+        yield from sent(_small_links(key[short], fp[short], most))
         for k in long:
-            found += _forest(fp[edge[k] : edge[k + 1]], most)
-        if found:
-            a, b = (np.concatenate(side).view(np.int64) for side in zip(*found, strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+            yield from sent(_long_links(fp[edge[k] : edge[k + 1]], most))
+
+    def sent(found: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        """Each link once."""
+        if found := list(found):
+            a, b = (np.concatenate(side) for side in zip(*found, strict=True))
+            pairs = np.unique(np.stack([np.maximum(a, b), np.minimum(a, b)], axis=1), axis=0).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
     held = [(np.zeros(0, np.int64), np.zeros(0, np.uint64))]
     for batch in batches:
@@ -177,17 +208,23 @@ def _posting_links(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.
     yield from links(np.concatenate([k for k, _ in held]), np.concatenate([f for _, f in held]))
 
 
-def near_links(distinct: DataFrame, most: int = MAX_BITS) -> DataFrame:
-    """Links (a, b) that connect the distinct fingerprints `fp` at most `most` (up to 3) bits apart."""
+def near_links(distinct: DataFrame, most: int = MAX_BITS, long_posting: int = LONG_POSTING) -> DataFrame:
+    """Links (a, b) that connect the distinct fingerprints `fp` at most `most` (up to 3) bits apart.
+
+    Postings are counted first. One of over `long_posting` entries is dealt over tasks by each two of
+    the five other bytes, of which a link shares two; so is each of these parts, whatever the size.
+    """
     postings = []
     for number, places in enumerate(TRIPLES):
-        bits = sum(0xFF << (8 * p) for p in places)
-        bits -= (bits >> 63) << 64
-        # The rest of the masked value is spread over 60 bits; the number of the triple takes the others.
-        key = F.xxhash64(F.col("fp").bitwiseAND(F.lit(bits)), F.lit(number))
-        postings.append(F.struct(key.alias("key"), F.col("fp")))
+        # The masked value is spread over 64 bits, with the number of the triple.
+        postings.append(F.struct(F.xxhash64(F.col("fp").bitwiseAND(F.lit(_signed(_bits(places, 8)))), F.lit(number)).alias("key"), F.lit(number).alias("triple"), F.col("fp")))
     index = distinct.select(F.explode(F.array(*postings)).alias("x")).select("x.*")
-    return index.repartition("key").sortWithinPartitions("key").mapInArrow(lambda batches: _posting_links(batches, most), "a long, b long")
+    long = written(index.groupBy("key").count().where(F.col("count") > long_posting).select("key"), "long-postings")
+    if long.limit(1).count():
+        parts = F.array(*(F.array(*(F.xxhash64("key", F.col("fp").bitwiseAND(F.lit(_signed(_bits(two, 8)))), F.lit(n)) for n, two in enumerate(combinations([p for p in range(8) if p not in t], 2)))) for t in TRIPLES))
+        found = index.join(long.withColumn("_long", F.lit(True)), "key", "left")
+        index = found.select(F.explode(F.when(F.col("_long"), parts[F.col("triple")]).otherwise(F.array("key"))).alias("key"), "fp")
+    return index.select("key", "fp").repartition("key").sortWithinPartitions("key").mapInArrow(lambda batches: _posting_links(batches, most), "a long, b long")
 
 
 def _named(distinct: DataFrame, most: int) -> DataFrame:

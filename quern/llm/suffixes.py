@@ -76,12 +76,24 @@ def long_prefixes(data: np.ndarray, offsets: np.ndarray, order: np.ndarray, boun
     room = np.minimum(end[a] - a, end[b] - b)
     fits = (end[a] == end[b]) & (room >= least)
     at, a, b, room = at[fits], a[fits], b[fits], room[fits]
-    same = tb.span_hash(sums, a, a + least) == tb.span_hash(sums, b, b + least)
+    primes: np.ndarray | None = None
+
+    def agree(a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
+        nonlocal primes
+        out = tb.span_hash(sums, a, a + size) == tb.span_hash(sums, b, b + size)
+        long = np.flatnonzero(out & (size >= tb.LONG_SPAN))
+        if len(long):
+            primes = tb.prime_sums(data) if primes is None else primes
+            a, b, size = a[long], b[long], size[long]
+            out[long] = tb.long_span_hash(primes, a, a + size) == tb.long_span_hash(primes, b, b + size)
+        return out
+
+    same = agree(a, b, np.full(len(a), least))
     at, a, b, room = at[same], a[same], b[same], room[same]
     low, high = np.full(len(at), least), room
     while len(at) and (low < high).any():
         middle = (low + high + 1) // 2
-        same = tb.span_hash(sums, a, a + middle) == tb.span_hash(sums, b, b + middle)
+        same = agree(a, b, middle)
         low, high = np.where(same, middle, low), np.where(same, high, middle - 1)
     lcp[at + 1] = low
     return lcp

@@ -66,6 +66,40 @@ def span_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarra
     return mix((sums[end] - sums[start]) * powers(len(sums))[1][start])
 
 
+#: A second modulus for spans so long that texts exist whose hashes modulo 2^64 agree for any base, as those of Thue and Morse.
+_PRIME = (1 << 31) - 1
+_PRIME_BASE = 0x2545F491
+LONG_SPAN = 512
+_prime_powers: dict[str, np.ndarray] = {"up": np.ones(1, _U64), "down": np.ones(1, _U64)}
+
+
+def prime_sums(data: np.ndarray) -> np.ndarray:
+    """Sums from which long_span_hash() gets the hash of any span of `data` modulo a prime."""
+    n = len(data) + 1
+    for name, base in (("up", _PRIME_BASE), ("down", pow(_PRIME_BASE, -1, _PRIME))):
+        have = _prime_powers[name]
+        while len(have) < n:
+            have = np.concatenate([have, have * _U64(pow(base, len(have), _PRIME)) % _U64(_PRIME)])
+        _prime_powers[name] = have
+    sums = np.zeros(n, _U64)
+    np.cumsum((data.astype(_U64) + _U64(1)) * _prime_powers["up"][: n - 1] % _U64(_PRIME), out=sums[1:])
+    return sums
+
+
+def long_span_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Equal for equal byte strings, wherever they are; independent of span_hash()."""
+    return (sums[end] - sums[start]) % _U64(_PRIME) * _prime_powers["down"][start] % _U64(_PRIME)
+
+
+def text_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, sums: np.ndarray | None = None) -> np.ndarray:
+    """span_hash() of words or lines of any length: long ones count with their hash modulo a prime too."""
+    out = span_hash(prefix_hash(data) if sums is None else sums, starts, ends)
+    long = np.flatnonzero(ends - starts >= LONG_SPAN)
+    if len(long):
+        out[long] = mix(out[long] ^ mix(long_span_hash(prime_sums(data), starts[long], ends[long])))
+    return out
+
+
 def text_blocks(column: pa.Array, limit: int = BLOCK_BYTES):
     """Yields (first row, row past the last, bytes, offsets from 0) over a string column; null counts as empty."""
     column = column.cast(pa.large_string()).fill_null("")

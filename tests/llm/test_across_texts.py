@@ -3,16 +3,19 @@
 import hashlib
 import math
 import random
+import time
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
 from quern.llm import chunks as K
 from quern.llm import lm_score as L
 from quern.llm import packing as P
+from quern.llm import simhash as H
 from quern.llm import substrings as W
 from quern.llm.components import connected_components
 from quern.llm.lm_score import Filter, lm_scores
@@ -74,6 +77,57 @@ def test_near_duplicates_against_all_pairs(spark):
     assert got == sorted(((i, signed(f), least.get(root[f])) for i, f in prints), key=repr)
 
 
+def _linked_in_all(prints: np.ndarray, links: list[tuple[np.ndarray, np.ndarray]], rng: random.Random, n: int) -> None:
+    """All links are links, and of `n` entries all linked ones are reached."""
+    pairs = {(int(a), int(b)) for x, y in links for a, b in zip(x, y, strict=True)}
+    assert all((a ^ b).bit_count() <= 3 for a, b in pairs)
+    root: dict[int, int] = {int(f): int(f) for f in prints}
+
+    def find(f: int) -> int:
+        while root[f] != f:
+            root[f] = root[root[f]]
+            f = root[f]
+        return f
+
+    for a, b in pairs:
+        root[find(a)] = find(b)
+    for k in rng.sample(range(len(prints)), n):
+        near = prints[np.bitwise_count(prints ^ prints[k]) <= 3]
+        assert len({find(int(f)) for f in near}) == 1
+
+
+@pytest.mark.parametrize("free", [40, 24, 14])
+def test_a_posting_of_forty_thousand_is_not_compared_pair_by_pair(free):
+    rng = np.random.default_rng(free)
+    values = rng.integers(0, 1 << free, 40_000 if free > 14 else 9_000, np.uint64)
+    prints = np.unique(np.concatenate([values, values[:5000] ^ (np.uint64(1) << rng.integers(0, free, min(5000, len(values)), np.uint64))])) + np.uint64(0xABCDEF << 40)
+    began = time.perf_counter()
+    links = list(H._long_links(prints, 3))
+    assert time.perf_counter() - began < 20
+    _linked_in_all(prints, links, random.Random(1), 300)
+
+
+def test_long_postings_are_dealt_alike(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    values = rng.integers(0, 1 << 40, 3000, np.uint64)
+    prints = np.unique(np.concatenate([values, values[:900] ^ np.uint64(5 << 12)])) + np.uint64(0x123456 << 40)
+    called = []
+    monkeypatch.setattr(H, "_long_links", lambda fp, most, own=H._long_links: called.append(len(fp)) or own(fp, most))
+    batch = pa.RecordBatch.from_arrays([pa.array(np.zeros(len(prints), np.int64)), pa.array(prints.view(np.int64))], names=["key", "fp"])
+    direct = [tuple(r.values()) for b in H._posting_links(iter([batch]), 3) for r in b.to_pylist()]
+    assert called == [len(prints)] and len(set(direct)) == len(direct)
+    monkeypatch.undo()
+    df = spark.createDataFrame([(int(f),) for f in prints.view(np.int64)], "fp long")
+    for long_posting in (10, 1_000_000):
+        got = connected_components(near_links(df, long_posting=long_posting)).collect()
+        want = S.components([int(f) for f in prints])
+        mine = {r["node"] % (1 << 64): r["root"] for r in got}
+        both = defaultdict(set)
+        for f in mine:
+            both[want[f]].add(mine[f])
+        assert all(len(x) == 1 for x in both.values()) and len({min(x) for x in both.values()}) == len(both) and len(mine) == sum(n for n in Counter(want.values()).values() if n > 1)
+
+
 def test_links_connect_what_pairs_connect(spark):
     rng = random.Random(4)
     prints = set()

@@ -424,3 +424,27 @@ def test_blocks_hold_few_texts():
 
     blocks = list(tb.text_blocks(pa.array([""] * 200_000)))
     assert [b[0] for b in blocks] == [0, 65_535, 131_070, 196_605] and blocks[-1][1] == 200_000
+
+
+def test_private_keys_of_any_number_of_dashes_and_fields(spark):
+    begin, end = "-----" + "BEGIN PRIVATE KEY" + "-----", "-----" + "END PRIVATE KEY" + "-----"
+    dashed = lambda n: [f"AbC-dEf--{k:06d}-xYz_{'q' * 40}" for k in range(n)]
+    fields = [f"Header-{k}: value {k}" for k in range(500)]
+    body = [f"{'Qz' * 31}{k:02d}" for k in range(40)]
+    texts = [(k, "\n".join(["before", begin, *dashed(n), end, "after"])) for k, n in enumerate((3, 120, 5000))]
+    texts += [(10, "\n".join(["before", begin, *fields, "", *body, end, "after"])), (11, "\n".join(["before", begin, *fields, "", *body]))]
+    got = {r["doc_id"]: r["text"] for r in redacted(S.documents(spark, texts)).collect()}
+    assert {got[k] for k in (0, 1, 2, 10)} == {"before\n[SECRET]\nafter"} and got[11] == "before\n[SECRET]"
+
+
+def test_lines_whose_polynomial_hashes_agree_are_not_equal(spark):
+    line = "".join("ab"[k.bit_count() % 2] for k in range(4096))
+    other = line.translate(str.maketrans("ab", "ba"))
+    raw = np.frombuffer((line + other).encode(), np.uint8)
+    sums = tb.prefix_hash(raw)
+    ends = np.array([0, 4096]), np.array([4096, 8192])
+    assert len(np.unique(tb.span_hash(sums, *ends))) == 1 and len(np.unique(tb.text_hash(raw, *ends))) == 2
+    text = "one two three four five six seven eight nine ten\n" + line + "\n" + other
+    row = quality.quality_rules(S.documents(spark, [(1, text), (2, line), (3, line + "\n" + line)])).collect()
+    assert {r["doc_id"]: r["n_dup_lines"] for r in row} == {1: 0, 2: 0, 3: 1}
+    assert {r["longest_repeat"] for r in row if r["doc_id"] == 2} == {S.longest_repeats(line.encode(), 50)[1]}
