@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from .functions import c_tokens as C
-from .operators import code, declarations, inner, preprocessor, spans
+from .operators import code, declarations, include_graph, inner, preprocessor, regions, spans, trees
 from .plans.program import Program, engine_info
 from .sources.files import utf8_status
 
@@ -631,6 +631,106 @@ def body_assertions(spark, sf_dir):
     return inner.static_asserts(_units(_table(spark, sf_dir, "part"), "p_partkey", src).raw_marked).select("unit_id", "condition", "message", "in_body")
 
 
+_OPERATORS = "|| && | ^ & == != < <= > >= << >> + - * / %".split()
+_OPERATOR_ROWS = ", ".join(f"({k}, '{op}', {C.PRECEDENCE[op]})" for k, op in enumerate(_OPERATORS))
+
+
+@query(f"""
+WITH o(i, op, s) AS (VALUES {_OPERATOR_ROWS}),
+e AS (SELECT p_partkey AS unit_id, a.op AS o1, a.s AS s1, b.op AS o2, b.s AS s2, c.op AS o3, c.s AS s3 FROM part
+    JOIN o a ON a.i = p_size % 18 JOIN o b ON b.i = p_partkey % 18 JOIN o c ON c.i = (p_size + p_partkey) % 18)
+SELECT unit_id, 1 AS place, o1 AS op, CASE WHEN s2 <= s1 THEN 2 WHEN s3 <= s1 THEN 3 END AS parent, CASE WHEN s2 <= s1 OR s3 <= s1 THEN 'left' END AS side FROM e
+UNION ALL SELECT unit_id, 2, o2, CASE WHEN s1 < s2 AND (s3 > s2 OR s1 >= s3) THEN 1 WHEN s3 <= s2 THEN 3 END, CASE WHEN s1 < s2 AND (s3 > s2 OR s1 >= s3) THEN 'right' WHEN s3 <= s2 THEN 'left' END FROM e
+UNION ALL SELECT unit_id, 3, o3, CASE WHEN s2 < s3 THEN 2 WHEN s1 < s3 THEN 1 END, CASE WHEN s2 < s3 OR s1 < s3 THEN 'right' END FROM e""")
+def expression_trees(spark, sf_dir):
+    """Three binary operators taken from the columns: the parent of each follows from their strengths."""
+    op = lambda k: f"element_at(array({', '.join(repr(o) for o in _OPERATORS)}), int({k} % 18) + 1)"
+    src = f"concat('int v = a ', {op('p_size')}, ' b ', {op('p_partkey')}, ' c ', {op('(p_size + p_partkey)')}, ' d;')"
+    found = trees.expressions(_units(_table(spark, sf_dir, "part"), "p_partkey", src).full).where("kind = 'binary_expression'")
+    place = lambda c: ((F.col(c) - 2) / 2).cast("int")
+    return found.select("unit_id", place("node_ix").alias("place"), "op", place("parent_ix").alias("parent"), "side")
+
+
+@query("""
+SELECT s_suppkey AS unit_id, op, parent_op, side, slot FROM supplier, (VALUES
+    ('=', NULL, NULL, 'statement'), ('+=', '=', 'right', NULL), ('?', '+=', 'right', NULL), (',', '?', 'then', NULL), ('?', '?', 'else', NULL),
+    ('-', NULL, NULL, 'statement'), ('*', '-', 'operand', NULL), ('++', '.', 'object', NULL), ('.', '[', 'object', NULL), ('[', '(', 'callee', NULL), ('+', '[', 'index', NULL), ('(', '*', 'operand', NULL), ('_Alignof', '(', 'argument', NULL)
+) t(op, parent_op, side, slot)""")
+def expression_shapes(spark, sf_dir):
+    """Assignments and conditionals group from the right, prefix operators take all postfix ones, arguments and indexes hang on their brackets."""
+    src = "concat('void f(void) { x = y += ', s_suppkey, ' ? a, b : c ? d : e; -*p++.m[i + 1](q, _Alignof x); }')"
+    found = trees.expressions(_units(_table(spark, sf_dir, "supplier"), "s_suppkey", src).full).where("kind NOT IN ('name', 'literal')")
+    parents = found.select("unit_id", F.col("node_ix").alias("parent_ix"), F.col("op").alias("parent_op"))
+    return found.join(parents, ["unit_id", "parent_ix"], "left").select("unit_id", "op", "parent_op", "side", "slot")
+
+
+@query("""
+SELECT c_custkey AS unit_id, slot, op, n_tokens::BIGINT AS n_tokens FROM customer, (VALUES ('enumerator', '<<', 3), ('enumerator', '|', 3), ('width', '+', 3), ('size', '*', 3), ('assertion', '==', 6), ('item', '-', 2), ('case', '?', 5), ('condition', '<', 3), ('return', 'sizeof', 2)) t(slot, op, n_tokens)""")
+def expression_places(spark, sf_dir):
+    """Expressions outside bodies and initialisers too, with the tokens that they span."""
+    src = """concat('enum E { A = ', c_custkey, ' << 2, B = A | 1 }; struct S { int w : N + 1; }; int z[', c_nationkey, ' * 2] = { [1] = -', c_nationkey, ' }; _Static_assert(sizeof(int) == ', c_custkey, ', "m"); int f(void) { switch (k) { case 1 ? 2 : 3: while (a < b) ; } return sizeof k; }')"""
+    found = trees.expressions(_units(_table(spark, sf_dir, "customer"), "c_custkey", src).full).where("slot IS NOT NULL AND kind NOT IN ('name', 'literal')")
+    return found.select("unit_id", "slot", "op", (F.col("last_ix") - F.col("first_ix") + 1).alias("n_tokens"))
+
+
+@query("""
+SELECT l_orderkey AS unit_id, 'g' || l_linenumber AS callee, CASE WHEN l_linenumber % 3 = 0 THEN 'for' ELSE 'do' END AS loop FROM lineitem WHERE l_linenumber % 3 < 2
+UNION ALL SELECT DISTINCT l_orderkey, 'k', 'while' FROM lineitem""")
+def calls_in_loops_in_branches(spark, sf_dir):
+    """All calls inside loops inside `#if` branches, in SQL over regions and what holds them; loops in other branches and calls outside loops are none."""
+    call = "CASE l_linenumber % 3 WHEN 0 THEN concat('for (;;) if (a) g', l_linenumber, '(); else b = 1; ') WHEN 1 THEN concat('do { { g', l_linenumber, '(); } } while (x); ') ELSE concat('g', l_linenumber, '(); ') END"
+    lines = _table(spark, sf_dir, "lineitem").selectExpr("l_orderkey", f"{call} AS call").groupBy("l_orderkey").agg(F.array_join(F.collect_list("call"), "").alias("calls"))
+    src = "concat('#if A\\nvoid f(void) { ', calls, 'h(); while (y) k(); m(); }\\n#else\\nvoid e(void) { for (;;) z(); }\\n#endif\\nvoid o(void) { while (1) w(); }\\n')"
+    Program(lines.selectExpr("l_orderkey AS unit_id", f"{src} AS src")).regions.createOrReplaceTempView("c_regions_of_orders")
+    regions.ancestors(spark.table("c_regions_of_orders")).createOrReplaceTempView("c_ancestors_of_orders")
+    return spark.sql("""
+        SELECT call.unit_id, call.name AS callee, call.outer_kind AS loop
+        FROM c_ancestors_of_orders call JOIN c_ancestors_of_orders loop ON loop.unit_id = call.unit_id AND loop.first_ix = call.outer_first_ix AND loop.kind = call.outer_kind
+        WHERE call.kind = 'call' AND call.outer_kind IN ('for', 'while', 'do') AND loop.outer_kind = 'branch' AND loop.outer_name = 'if'""")
+
+
+@query("""
+WITH n AS (SELECT n_regionkey AS unit_id, 'n' || n_nationkey AS name, 'ifdef N' || n_nationkey AS own, 'N' || n_nationkey AS c FROM nation)
+SELECT unit_id, name, 0 AS ordinal, 2 AS depth, 'else' AS branch_kind, '' AS condition, 'else' AS path FROM n
+UNION ALL SELECT unit_id, name, 1, 2, 'ifdef', c, 'else / ' || own FROM n
+UNION ALL SELECT r_regionkey, 'r', 0, 1, 'if', 'R > ' || r_regionkey, 'if R > ' || r_regionkey FROM region WHERE r_regionkey IN (SELECT n_regionkey FROM nation)
+UNION ALL SELECT r_regionkey, 'z', 0, 1, 'else', '', 'else' FROM region WHERE r_regionkey IN (SELECT n_regionkey FROM nation)""")
+def branch_membership(spark, sf_dir):
+    """Each declaration with each branch around it, the outermost first, and the way down."""
+    part = "concat('#ifdef N', n_nationkey, '\\nint n', n_nationkey, ';\\n#endif\\n')"
+    parts = _table(spark, sf_dir, "nation").selectExpr("n_regionkey", f"{part} AS part").groupBy("n_regionkey").agg(F.array_join(F.collect_list("part"), "").alias("parts"))
+    src = "concat('int outside;\\n#if R > ', n_regionkey, '\\nint r;\\n#else\\n', parts, 'int z;\\n#endif\\nint after;\\n#if open\\nint o;\\n')"
+    kept = Program(parts.selectExpr("n_regionkey AS unit_id", f"{src} AS src")).kept
+    named = declarations.symbols(kept).select("unit_id", "decl_ix", "name")
+    return regions.branch_members(kept).join(named, ["unit_id", "decl_ix"]).select("unit_id", "name", F.col("ordinal").cast("int").alias("ordinal"), F.col("depth").cast("int").alias("depth"), "branch_kind", "condition", F.array_join("path", " / ").alias("path"))
+
+
+@query("""
+WITH c AS (SELECT 'src/n' || s_nationkey || '/s' || s_suppkey || '.c' AS unit_id, s_nationkey AS n FROM supplier),
+h AS (SELECT 'src/n' || n_nationkey || '/n.h' AS unit_id, n_nationkey AS n, n_regionkey AS r FROM nation)
+SELECT c.unit_id, 'src/n' || n || '/n.h' AS target, 1 AS depth FROM c
+UNION ALL SELECT c.unit_id, 'include/r' || r || '.h', 2 FROM c JOIN h USING (n)
+UNION ALL SELECT c.unit_id, 'include/base.h', 3 FROM c
+UNION ALL SELECT c.unit_id, 'include/r' || r_regionkey || '.h', 4 FROM c JOIN h USING (n), region WHERE r_regionkey <> r
+UNION ALL SELECT unit_id, 'include/r' || r || '.h', 1 FROM h
+UNION ALL SELECT unit_id, 'include/base.h', 2 FROM h
+UNION ALL SELECT unit_id, 'include/r' || r_regionkey || '.h', 3 FROM h, region WHERE r_regionkey <> r
+UNION ALL SELECT 'include/r' || r_regionkey || '.h', 'include/base.h', 1 FROM region
+UNION ALL SELECT 'include/base.h', 'include/r' || r_regionkey || '.h', 1 FROM region
+UNION ALL SELECT 'include/r' || a.r_regionkey || '.h', 'include/r' || b.r_regionkey || '.h', 2 FROM region a, region b
+UNION ALL SELECT 'include/base.h', 'include/base.h', 2""")
+def include_closure(spark, sf_dir):
+    """Sources include their nation's header by folder, that one its region's from a search folder, and those the common one, which includes them all: a cycle."""
+    t = lambda name: _table(spark, sf_dir, name)
+    sources = t("supplier").selectExpr("concat('src/n', s_nationkey, '/s', s_suppkey, '.c') AS unit_id", "'#include \"./n.h\"\\n#include <missing.h>\\nint x;\\n' AS src")
+    headers = t("nation").selectExpr("concat('src/n', n_nationkey, '/n.h') AS unit_id", "concat('#include \"../n', n_nationkey, '/../../include/r', n_regionkey, '.h\"\\n') AS src")
+    shared = t("region").selectExpr("concat('include/r', r_regionkey, '.h') AS unit_id", "'#include <base.h>\\n' AS src")
+    base = t("region").groupBy().agg(F.array_join(F.collect_list(F.concat(F.lit("#include <r"), "r_regionkey", F.lit(".h>\n"))), "").alias("src")).selectExpr("'include/base.h' AS unit_id", "src")
+    units = sources.unionByName(headers).unionByName(shared).unionByName(base)
+    edges = include_graph.include_edges(units, preprocessor.includes(Program(units).directives), ["include"])
+    return include_graph.include_closure(edges)
+
+
 def lex_whole_documents(spark, sf_dir):
     """Every document lexed whole, whatever its characters: how many lexemes of each kind, and the characters they cover."""
     docs = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("unit_id"), F.col("text").alias("src"))

@@ -6,7 +6,7 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators import code, declarations, inner, lexing, preprocessor, spans, trees
+from ..operators import code, declarations, inner, lexing, preprocessor, regions, spans, trees
 from ..sources.tables import written
 
 ENGINE = {"name": "quern", "version": "0.1.0", "language": "C23"}
@@ -75,6 +75,11 @@ class Program:
     def conditional_branches(self) -> DataFrame:
         return preprocessor.conditional_branches(declarations.declarations(self.kept), written(preprocessor.directives(self.kept), "directives"))
 
+    @cached_property
+    def regions(self) -> DataFrame:
+        """Regions of the units, written."""
+        return written(regions.regions(self.full), "regions")
+
     @cached_property
     def status(self) -> DataFrame:
         return lexing.parse_status(self.units)
@@ -94,7 +99,7 @@ class Program:
             "c_conditions": spans.conditions(raw), "c_type_names": spans.type_names(full), "c_array_sizes": spans.array_sizes(raw), "c_specifiers": spans.specifiers(full),
             "c_member_uses": spans.member_uses(raw), "c_asm_operands": spans.asm_operands(raw),
             "c_local_symbols": inner.local_symbols(full), "c_subscripts": inner.subscripts(full), "c_commas": inner.comma_operators(full), "c_expression_statements": inner.expression_statements(full),
-            "c_expressions": trees.expressions(full), "c_statement_expressions": inner.statement_expressions(raw), "c_bit_int_widths": inner.bit_int_widths(raw), "c_pointer_levels": inner.pointer_levels(raw), "c_array_qualifiers": inner.array_qualifiers(raw),
+            "c_regions": self.regions, "c_ancestors": regions.ancestors(self.regions), "c_branch_members": regions.branch_members(raw), "c_expressions": trees.expressions(full), "c_statement_expressions": inner.statement_expressions(raw), "c_bit_int_widths": inner.bit_int_widths(raw), "c_pointer_levels": inner.pointer_levels(raw), "c_array_qualifiers": inner.array_qualifiers(raw),
         }
 
     def register(self) -> None:
