@@ -674,18 +674,18 @@ def expression_places(spark, sf_dir):
 
 
 @query("""
-SELECT l_orderkey AS unit_id, 'g' || l_linenumber AS callee, CASE WHEN l_linenumber % 3 = 0 THEN 'for' ELSE 'do' END AS loop FROM lineitem WHERE l_linenumber % 3 < 2
-UNION ALL SELECT DISTINCT l_orderkey, 'k', 'while' FROM lineitem""")
+SELECT p_size AS unit_id, 'g' || p_partkey AS callee, CASE WHEN p_partkey % 3 = 0 THEN 'for' ELSE 'do' END AS loop FROM part WHERE p_partkey % 3 < 2
+UNION ALL SELECT DISTINCT p_size, 'k', 'while' FROM part""")
 def calls_in_loops_in_branches(spark, sf_dir):
     """All calls inside loops inside `#if` branches, in SQL over regions and what holds them; loops in other branches and calls outside loops are none."""
-    call = "CASE l_linenumber % 3 WHEN 0 THEN concat('for (;;) if (a) g', l_linenumber, '(); else b = 1; ') WHEN 1 THEN concat('do { { g', l_linenumber, '(); } } while (x); ') ELSE concat('g', l_linenumber, '(); ') END"
-    lines = _table(spark, sf_dir, "lineitem").selectExpr("l_orderkey", f"{call} AS call").groupBy("l_orderkey").agg(F.array_join(F.collect_list("call"), "").alias("calls"))
+    call = "CASE p_partkey % 3 WHEN 0 THEN concat('for (;;) if (a) g', p_partkey, '(); else b = 1; ') WHEN 1 THEN concat('do { { g', p_partkey, '(); } } while (x); ') ELSE concat('g', p_partkey, '(); ') END"
+    lines = _table(spark, sf_dir, "part").selectExpr("p_size", f"{call} AS call").groupBy("p_size").agg(F.array_join(F.collect_list("call"), "").alias("calls"))
     src = "concat('#if A\\nvoid f(void) { ', calls, 'h(); while (y) k(); m(); }\\n#else\\nvoid e(void) { for (;;) z(); }\\n#endif\\nvoid o(void) { while (1) w(); }\\n')"
-    Program(lines.selectExpr("l_orderkey AS unit_id", f"{src} AS src")).regions.createOrReplaceTempView("c_regions_of_orders")
-    regions.ancestors(spark.table("c_regions_of_orders")).createOrReplaceTempView("c_ancestors_of_orders")
+    Program(lines.selectExpr("p_size AS unit_id", f"{src} AS src")).regions.createOrReplaceTempView("c_regions_of_parts")
+    regions.ancestors(spark.table("c_regions_of_parts")).createOrReplaceTempView("c_ancestors_of_parts")
     return spark.sql("""
         SELECT call.unit_id, call.name AS callee, call.outer_kind AS loop
-        FROM c_ancestors_of_orders call JOIN c_ancestors_of_orders loop ON loop.unit_id = call.unit_id AND loop.first_ix = call.outer_first_ix AND loop.kind = call.outer_kind
+        FROM c_ancestors_of_parts call JOIN c_ancestors_of_parts loop ON loop.unit_id = call.unit_id AND loop.first_ix = call.outer_first_ix AND loop.kind = call.outer_kind
         WHERE call.kind = 'call' AND call.outer_kind IN ('for', 'while', 'do') AND loop.outer_kind = 'branch' AND loop.outer_name = 'if'""")
 
 
@@ -731,6 +731,22 @@ def include_closure(spark, sf_dir):
     return include_graph.include_closure(edges)
 
 
+@query("""
+WITH u AS (SELECT s_suppkey AS unit_id, s_nationkey AS n, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) = 1 AS first FROM supplier),
+b AS (SELECT unit_id, n, (SELECT min(v.unit_id) FROM u v WHERE v.n = u.n AND v.first) AS home, first FROM u)
+SELECT unit_id, name, scope, target_unit FROM (
+    SELECT unit_id, unnest([{'n': 'x', 's': 'local', 't': unit_id}, {'n': 'x', 's': 'file', 't': unit_id}, {'n': 'p', 's': 'parameter', 't': unit_id}, {'n': 'M', 's': 'macro', 't': unit_id}, {'n': 'i', 's': 'local', 't': unit_id}, {'n': 'i', 's': 'local', 't': unit_id}, {'n': 'i', 's': 'undefined', 't': NULL},
+        {'n': 'E', 's': 'file', 't': unit_id}, {'n': 'own' || unit_id, 's': 'file', 't': unit_id}, {'n': 'home' || n, 's': CASE WHEN first THEN 'file' ELSE 'extern' END, 't': home}, {'n': 'nowhere', 's': 'undefined', 't': NULL}]) AS r FROM b
+), LATERAL (SELECT r.n AS name, r.s AS scope, r.t AS target_unit)""")
+def name_scopes(spark, sf_dir):
+    """Names of one source a supplier: a local hides a file's, a loop's name ends with the loop, and each nation has one unit that defines what the others use."""
+    t = _table(spark, sf_dir, "supplier").withColumn("first", F.row_number().over(Window.partitionBy("s_nationkey").orderBy("s_suppkey")) == 1)
+    src = """concat('#define M 1\\nint x; enum { E }; static int own', s_suppkey, '(void);\\nint home', s_nationkey, if(first, '(void) { return 0; }', '(void);'),
+        '\\nint f', s_suppkey, '(int p) { { int x; x; } x; p; M; for (int i; i; ) i; i; E; own', s_suppkey, '(); home', s_nationkey, '(); nowhere; }\\nstatic int own', s_suppkey, '(void) { }\\n')"""
+    found = Program(t.selectExpr("s_suppkey AS unit_id", f"{src} AS src")).name_uses
+    return found.select("unit_id", "name", "scope", "target_unit")
+
+
 def lex_whole_documents(spark, sf_dir):
     """Every document lexed whole, whatever its characters: how many lexemes of each kind, and the characters they cover."""
     docs = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("unit_id"), F.col("text").alias("src"))

@@ -9,7 +9,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
 from ..functions import c_tokens as C
-from .preprocessor import macro_uses
 
 
 def in_unit() -> WindowSpec:
@@ -102,9 +101,14 @@ def declarations(marked: DataFrame) -> DataFrame:
     return rows.withColumn("is_typedef", F.coalesce("is_typedef", F.lit(False)) & (F.col("decl_kind") == "declaration"))
 
 
-def _is_name(follow: tuple[str, ...]) -> Column:
+#: What may follow the name of a declarator at file scope.
+_NAMED = (";", ",", "=", "[", "(", ")", ":", "{", *C.ATTRIBUTE_OPENERS, *C.ASM_WORDS)
+
+
+def _is_name(follow: tuple[str, ...], prev: Column | None = None, after: Column | None = None) -> Column:
     """An identifier that a declarator could name: by what stands around it."""
-    return F.col("tname").isin("ID", "TYPEDEF_NAME", "MACRO_NAME") & ~F.coalesce(F.col("prev"), F.lit("")).isin("struct", "union", "enum", ".", "->", "goto") & F.coalesce(F.col("next"), F.lit(";")).isin(*follow)
+    prev, after = F.col("prev") if prev is None else prev, F.col("next") if after is None else after
+    return F.col("tname").isin("ID", "TYPEDEF_NAME", "MACRO_NAME") & ~F.coalesce(prev, F.lit("")).isin("struct", "union", "enum", ".", "->", "goto") & F.coalesce(after, F.lit(";")).isin(*follow)
 
 
 def _shape() -> Column:
@@ -116,11 +120,10 @@ def _shape() -> Column:
 
 def symbols(marked: DataFrame) -> DataFrame:
     """(unit_id, decl_ix, part, name, tok_ix, ...) of every file-scope declarator: the first name that its part could declare."""
-    follow = (";", ",", "=", "[", "(", ")", ":", "{", *C.ATTRIBUTE_OPENERS, *C.ASM_WORDS)
     own = without_attributes(marked).where("decl_kind <> 'directive' AND NOT in_value AND NOT in_body AND braces = 0 AND brackets = 0")
     own = own.withColumn("next2", F.lead("src", 2).over(in_declaration()))
     rows = own.groupBy("unit_id", "decl_ix", "part").agg(
-        F.min(F.when(_is_name(follow), F.struct("tok_ix", "src", "next", "next2", "parens", "decl_kind"))).alias("x"),
+        F.min(F.when(_is_name(_NAMED), F.struct("tok_ix", "src", "next", "next2", "parens", "decl_kind"))).alias("x"),
         F.collect_list(F.when(F.col("src") == "*", F.struct("tok_ix", "parens"))).alias("stars"),
     ).where("x IS NOT NULL")
     pointers = F.size(F.filter("stars", lambda t: t["tok_ix"] < F.col("x.tok_ix")))
@@ -133,21 +136,51 @@ def typedef_events(marked: DataFrame) -> DataFrame:
     return symbols(marked).join(made, ["unit_id", "decl_ix"]).groupBy("unit_id", "name").agg(F.min("last_ix").alias("bind_ix"))
 
 
-def classified(tokens: DataFrame, lines: DataFrame, marked: DataFrame, predefined: list[str] = ()) -> DataFrame:
-    """Tokens whose identifiers are told apart: TYPEDEF_NAME, MACRO_NAME or ID. Neither is told inside directives."""
-    known = typedef_events(marked).withColumnRenamed("unit_id", "_unit")
-    uses = macro_uses(tokens, lines).drop("name")
-    joined = tokens.join(known, (tokens["unit_id"] == known["_unit"]) & (tokens["src"] == known["name"]), "left").drop("_unit").join(uses, ["unit_id", "tok_ix"], "left")
+def classified(marked: DataFrame, predefined: list[str] = ()) -> DataFrame:
+    """`marked` with its identifiers told apart: TYPEDEF_NAME, MACRO_NAME or ID. Neither is told inside directives.
+
+    What binds a name stands on the token that spells it, so the last event of a name before a use
+    is a running value over the tokens of that name, without a join or a shuffle beyond the unit's.
+    """
+    kept = F.col("dir_id").isNull() & ~F.col("in_attribute")
+    spelled = F.when(kept, F.col("src"))
+    back = Window.partitionBy("unit_id", "decl_ix").orderBy(F.desc("tok_ix")).rowsBetween(Window.unboundedPreceding, -1)
+    fore = in_declaration().rowsBetween(Window.unboundedPreceding, -1)
+    # The neighbours that count, as without_attributes() has them.
+    own = marked.withColumns({"_next": F.coalesce(F.last(spelled, ignorenulls=True).over(back), F.col("next")), "_prev": F.coalesce(F.last(spelled, ignorenulls=True).over(fore), F.col("prev"))})
+    at_scope = kept & (F.col("decl_kind") != "directive") & ~F.col("in_value") & ~F.col("in_body") & (F.col("braces") == 0) & (F.col("brackets") == 0)
+    name = at_scope & _is_name(_NAMED, F.col("_prev"), F.col("_next"))
+    whole = Window.partitionBy("unit_id", "decl_ix")
+    is_typedef = F.max((F.col("src") == "typedef") & (F.col("braces") == 0) & (F.col("parens") == 0) & (F.col("decl_kind") == "declaration")).over(whole)
+    own = own.withColumns({"_typedef": is_typedef, "_last": F.max(F.when(F.col("tname") != "PP_NEWLINE", F.col("tok_ix"))).over(whole), "_at": F.min(F.when(name, F.col("tok_ix"))).over(Window.partitionBy("unit_id", "decl_ix", "part"))})
+    bound = F.when(F.col("_typedef") & (F.col("tok_ix") == F.col("_at")), F.col("_last"))
+    word, hash_ = F.lag("src").over(in_unit()), F.lag(F.struct("tname", "dir_id"), 2).over(in_unit())
+    event = F.when((F.col("tname") != "PP_NEWLINE") & word.isin("define", "undef") & (hash_["tname"] == "PP_HASH") & (hash_["dir_id"] == F.col("dir_id")), word)
+    own = own.withColumns({"_bound": bound, "_event": event})
+    by_name = Window.partitionBy("unit_id", "src")
+    state = F.last("_event", ignorenulls=True).over(by_name.orderBy("tok_ix").rowsBetween(Window.unboundedPreceding, -1))
+    own = own.withColumns({"_state": state, "_from": F.min("_bound").over(by_name)})
     free = (F.col("tname") == "ID") & F.col("dir_id").isNull()
-    is_type = (F.col("tok_ix") > F.col("bind_ix")) | F.col("src").isin(*predefined) if predefined else F.col("tok_ix") > F.col("bind_ix")
-    return joined.withColumn("tname", F.when(free & F.coalesce(is_type, F.lit(False)), "TYPEDEF_NAME").when(free & F.col("is_macro"), "MACRO_NAME").otherwise(F.col("tname"))).drop("name", "bind_ix", "is_macro")
+    is_type = F.col("tok_ix") > F.col("_from")
+    is_type = is_type | F.col("src").isin(*predefined) if predefined else is_type
+    told = F.when(free & F.coalesce(is_type, F.lit(False)), "TYPEDEF_NAME").when(free & (F.col("_state") == "define"), "MACRO_NAME").otherwise(F.col("tname"))
+    return own.withColumn("tname", told).select(marked.columns)
+
 
+def _with_owner(marked: DataFrame) -> DataFrame:
+    """owner: the brace that directly holds each token, with the struct, union or enum that it belongs to (kind, tag_name), if any.
 
-def _with_owner(marked: DataFrame, bracket: str, depth: str) -> DataFrame:
-    """owner_ix: the token that opens the bracket which directly holds each token."""
+    A brace holds members or enumerators where no other mark stands between it and the word of its tag.
+    """
+    marks = ("struct", "union", "enum", ";", "{", "}", "(", ")", ",", "=")
+    follows = F.lead(F.struct("src", "tname")).over(in_declaration())
+    own = marked.withColumn("_named", F.when(follows["tname"].isin("ID", "TYPEDEF_NAME", "MACRO_NAME"), follows["src"]))
+    head = F.last(F.when(F.col("src").isin(*marks), F.struct("src", "_named")), ignorenulls=True).over(in_declaration().rowsBetween(Window.unboundedPreceding, -1))
+    own = own.withColumn("_head", head).withColumn("_level", F.col("braces") + (F.col("src") == "{").cast("int"))
+    tagged = F.col("_head.src").isin("struct", "union", "enum")
+    opens = F.struct("tok_ix", F.when(tagged, F.col("_head.src")).alias("kind"), F.when(tagged, F.col("_head._named")).alias("tag_name"))
     level = Window.partitionBy("unit_id", "decl_ix", "_level").orderBy("tok_ix").rowsBetween(Window.unboundedPreceding, 0)
-    cut = marked.withColumn("_level", F.col(depth) + (F.col("src") == bracket).cast("int"))
-    return cut.withColumn("owner_ix", F.last(F.when(F.col("src") == bracket, F.col("tok_ix")), ignorenulls=True).over(level)).drop("_level")
+    return own.withColumn("owner", F.last(F.when(F.col("src") == "{", opens), ignorenulls=True).over(level)).withColumn("owner_ix", F.col("owner.tok_ix")).drop("_level", "_head", "_named")
 
 
 def tags(marked: DataFrame) -> DataFrame:
@@ -185,7 +218,7 @@ def _ordinal() -> Column:
 
 def members(marked: DataFrame) -> DataFrame:
     """Members of structs and unions: owner tag, name, ordinal, bit_width (text, null where it is no bit-field). Parameter names of a member are none."""
-    own = _with_owner(without_attributes(marked), "{", "braces")
+    own = _with_owner(without_attributes(marked)).where("owner.kind IN ('struct', 'union')")
     is_member = _is_name((";", ",", ":", "[", ")")) & (F.col("brackets") == 0) & F.col("owner_ix").isNotNull()
     field = Window.partitionBy("unit_id", "decl_ix", "owner_ix").orderBy("tok_ix")
     # A width runs from the colon after a name to the comma or semicolon that ends the field.
@@ -200,20 +233,18 @@ def members(marked: DataFrame) -> DataFrame:
     of_part = Window.partitionBy("unit_id", "decl_ix", "owner_ix", "_part").orderBy("tok_ix").rowsBetween(Window.unboundedPreceding, -1)
     taken = F.max(((F.col("_member") & ~inner) | (F.col("src") == ":")).cast("int")).over(of_part)
     own = own.withColumn("_taken", F.coalesce(taken, F.lit(0)) == 1)
-    rows = own.where(F.col("_wide") | F.col("_member") & ~inner & ~F.col("_taken")).groupBy("unit_id", "decl_ix", "owner_ix", F.when(F.col("_wide"), F.col("_first")).otherwise(F.col("tok_ix")).alias("tok_ix")).agg(
+    rows = own.where(F.col("_wide") | F.col("_member") & ~inner & ~F.col("_taken")).groupBy("unit_id", "decl_ix", "owner_ix", "owner.kind", "owner.tag_name", F.when(F.col("_wide"), F.col("_first")).otherwise(F.col("tok_ix")).alias("tok_ix")).agg(
         F.max(F.when(~F.col("_wide"), F.col("src"))).alias("member_name"), F.array_sort(F.collect_list(F.when(F.col("_wide"), F.struct("tok_ix", "src")))).alias("words")
     )
-    held = tags(marked).where("has_body AND kind <> 'enum_specifier'").select("unit_id", "decl_ix", "kind", "tag_name", F.col("body_ix").alias("owner_ix"))
     width = F.when(F.size("words") > 0, F.array_join(F.transform("words", lambda w: w["src"]), " "))
-    return rows.join(held, ["unit_id", "decl_ix", "owner_ix"]).select("unit_id", "decl_ix", "owner_ix", "kind", "tag_name", "member_name", _ordinal().alias("ordinal"), width.alias("bit_width"))
+    return rows.select("unit_id", "decl_ix", "owner_ix", F.concat("kind", F.lit("_specifier")).alias("kind"), "tag_name", "member_name", _ordinal().alias("ordinal"), width.alias("bit_width"))
 
 
 def enumerators(marked: DataFrame) -> DataFrame:
     """Enumerators: enum tag, name, ordinal, and whether a value is given."""
-    own = _with_owner(without_attributes(marked), "{", "braces").withColumn("_follows", F.lead("src").over(in_declaration()))
-    held = tags(marked).where("has_body AND kind = 'enum_specifier'").select("unit_id", "decl_ix", "tag_name", F.col("body_ix").alias("owner_ix"))
-    named = own.where(F.col("tname").isin("ID", "TYPEDEF_NAME") & F.col("prev").isin("{", ",") & (F.col("parens") == 0)).join(held, ["unit_id", "decl_ix", "owner_ix"])
-    return named.select("unit_id", "decl_ix", "owner_ix", "tag_name", F.col("src").alias("name"), _ordinal().alias("ordinal"), (F.col("_follows") == "=").alias("has_value"))
+    own = _with_owner(without_attributes(marked)).withColumn("_follows", F.lead("src").over(in_declaration()))
+    named = own.where((F.col("owner.kind") == "enum") & F.col("tname").isin("ID", "TYPEDEF_NAME", "MACRO_NAME") & F.col("prev").isin("{", ",") & (F.col("parens") == 0))
+    return named.select("unit_id", "decl_ix", "owner_ix", F.col("owner.tag_name").alias("tag_name"), F.col("src").alias("name"), _ordinal().alias("ordinal"), (F.col("_follows") == "=").alias("has_value"))
 
 
 def parameters(marked: DataFrame) -> DataFrame:

@@ -52,8 +52,10 @@ def with_items(marked: DataFrame) -> DataFrame:
 
     item_ix: its first token, null outside; item_part, item_value as at file scope; at_item: outside
     brackets within it; brace, block: the brace that directly holds a token, and whether it is a block's;
-    in_block: directly in a block, outside other brackets.
+    in_block: directly in a block, outside other brackets. Tokens that have these columns stay as they are.
     """
+    if "item_ix" in marked.columns:
+        return marked
     own = _with_opener(_code(marked), "{", "braces", "brace")
     # After a closing parenthesis a brace is a block where that belongs to a control word, or is the body itself; else it holds a literal.
     is_block = F.col("brace.prev").isin(";", "{", "}", ":", "else", "do", "(") | (F.col("brace.prev") == ")") & (F.col("brace.head").isin(*_CONTROL) | (F.col("brace.braces") == 0))

@@ -13,9 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .declarations import declarations, symbols
-from .inner import with_items
 from .preprocessor import conditional_lines, directives
-from .trees import CONTROL, _declaration, _flag, _upto, _with_brackets
+from .trees import CONTROL, _declaration, _flag, _upto, bracketed
 
 KINDS = ("declaration", "function", "block", "members", "enumerators", "list", "if", "else", "while", "for", "do", "switch", "call", "subscript", "branch")
 
@@ -34,7 +33,7 @@ def code_regions(marked: DataFrame) -> DataFrame:
     A statement goes to the first semicolon or closing brace of a block after it, on its own level,
     that no else follows, and for a do no while that ends one; name is a call's callee.
     """
-    own = _with_brackets(with_items(marked))
+    own = bracketed(marked)
     last = F.last(F.when(F.col("src").isin("do", "while"), F.col("src")), ignorenulls=True).over(_upto(_declaration("in_ix"), -1))
     own = own.withColumn("_tail", _flag((F.col("src") == "while") & (last == "do")))
     body = _flag(F.col("mate.kind") == "block") & _flag(F.col("mate.prev") != "(")
@@ -46,18 +45,20 @@ def code_regions(marked: DataFrame) -> DataFrame:
     word = F.when(F.col("src").isin(*CONTROL, "do", "else") & F.col("in_body") & ~F.col("_tail"), F.col("src"))
     bracket = F.when(F.col("kind").isin("block", "members", "enumerators", "list", "call", "subscript"), F.col("kind"))
     kind = F.coalesce(bracket, word)
+    used = F.when(F.col("in_body"), F.col("item_ix").isNull() | F.col("item_value")).otherwise(F.col("in_value"))
+    own = own.where(~F.col("kind").isin("call", "subscript") | F.col("kind").isNull() | used)
     name = F.when((F.col("kind") == "call") & F.col("prev_t").isin("ID", "MACRO_NAME"), F.col("prev"))
     last_ix = F.when(bracket.isNotNull(), F.col("close_ix")).otherwise(F.col("_end"))
     return own.where(kind.isNotNull()).select("unit_id", kind.alias("kind"), name.alias("name"), F.col("tok_ix").alias("first_ix"), last_ix.alias("last_ix")).where("last_ix IS NOT NULL")
 
 
-def regions(marked: DataFrame) -> DataFrame:
-    """(unit_id, kind, name, first_ix, last_ix) of all regions of the units; brackets that nothing closes have none."""
+def regions(marked: DataFrame, held: DataFrame | None = None) -> DataFrame:
+    """(unit_id, kind, name, first_ix, last_ix) of all regions of the units; brackets that nothing closes have none. held: bracketed(marked), where it is written."""
     columns = ["unit_id", "kind", "name", "first_ix", "last_ix"]
     functions = symbols(marked).where("part = 0").select("unit_id", "decl_ix", F.col("name").alias("name"))
     own = declarations(marked).where("decl_kind <> 'directive'").join(functions, ["unit_id", "decl_ix"], "left")
     whole = own.select("unit_id", F.when(F.col("decl_kind") == "function_definition", "function").otherwise("declaration").alias("kind"), "name", "first_ix", "last_ix")
-    return code_regions(marked).select(columns).unionByName(branch_regions(directives(marked)).select(columns)).unionByName(whole)
+    return code_regions(marked if held is None else held).select(columns).unionByName(branch_regions(directives(marked)).select(columns)).unionByName(whole)
 
 
 def _height(a: Column, b: Column) -> Column:

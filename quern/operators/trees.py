@@ -71,6 +71,11 @@ def _with_brackets(own: DataFrame) -> DataFrame:
     return own.withColumn("holder", F.last(source, ignorenulls=True).over(_upto(_declaration("_place")))).where("NOT _source").drop("_place", "_source", "_opens", "_closes", "_bracket", "_follow").withColumn("in_ix", F.coalesce("holder.tok_ix", F.lit(-1).cast("long")))
 
 
+def bracketed(marked: DataFrame) -> DataFrame:
+    """Tokens of code with their local declarations and brackets, for what reads these several times; tokens that have them stay as they are."""
+    return marked if "in_ix" in marked.columns else _with_brackets(with_items(marked))
+
+
 def _with_branches(own: DataFrame) -> DataFrame:
     """tern_ix: the ? whose middle part holds a token, -1 outside; colon_ix of each ?; loose: a colon that belongs to none."""
     step = F.when(F.col("src") == "?", 1).when(F.col("src") == ":", -1).otherwise(0)
@@ -158,7 +163,7 @@ def expressions(marked: DataFrame) -> DataFrame:
     identifiers told apart. A statement that multiplies two names is an expression unless the first
     is a type known here; words of a type before a colon of _Generic, labels and designators are none.
     """
-    own = _with_roles(_segments(_live(_with_branches(_with_brackets(with_items(marked))))))
+    own = _with_roles(_segments(_live(_with_branches(bracketed(marked)))))
     end = F.when(F.col("src") == "?", F.col("colon_ix")).when(F.col("kind").isin("cast", "call", "subscript"), F.col("close_ix")).otherwise(F.col("tok_ix"))
     op = F.struct("tok_ix", "strength", end.alias("end_ix"), "role", "src")
     own = own.withColumn("_op", F.when(F.col("strength").isNotNull(), op))

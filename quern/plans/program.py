@@ -6,7 +6,7 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators import code, declarations, inner, lexing, preprocessor, regions, spans, trees
+from ..operators import code, declarations, inner, lexing, names, preprocessor, regions, spans, trees
 from ..sources.tables import written
 
 ENGINE = {"name": "quern", "version": "0.1.0", "language": "C23"}
@@ -54,8 +54,9 @@ class Program:
     @cached_property
     def tokens(self) -> DataFrame:
         """Tokens whose identifiers are told apart; without the trivia before them, which raw_tokens has."""
-        kept = self.kept
-        return declarations.classified(kept.select([c for c in self.raw_tokens.columns if c != "leading"]), preprocessor.directives(kept), kept, self.predefined)
+        # From the source itself, unless `kept` is there already.
+        marked = self.__dict__.get("kept", self.raw_marked.drop("leading"))
+        return declarations.classified(marked, self.predefined).select([c for c in self.raw_tokens.columns if c != "leading"])
 
     @cached_property
     def marked(self) -> DataFrame:
@@ -75,10 +76,20 @@ class Program:
     def conditional_branches(self) -> DataFrame:
         return preprocessor.conditional_branches(declarations.declarations(self.kept), written(preprocessor.directives(self.kept), "directives"))
 
+    @cached_property
+    def bracketed(self) -> DataFrame:
+        """Tokens of code with their brackets and local declarations, written."""
+        return written(trees.bracketed(self.full), "bracketed")
+
     @cached_property
     def regions(self) -> DataFrame:
         """Regions of the units, written."""
-        return written(regions.regions(self.full), "regions")
+        return written(regions.regions(self.full, self.bracketed), "regions")
+
+    @cached_property
+    def name_uses(self) -> DataFrame:
+        """Names in expressions and what they refer to, written."""
+        return written(names.resolved(self.full, self.bracketed), "name-uses")
 
     @cached_property
     def status(self) -> DataFrame:
@@ -98,8 +109,8 @@ class Program:
             "c_initializer_items": code.initializer_items(raw), "c_generic_associations": code.generic_associations(raw), "c_generic_selections": inner.generic_selections(raw), "c_asm": code.asm_blocks(raw),
             "c_conditions": spans.conditions(raw), "c_type_names": spans.type_names(full), "c_array_sizes": spans.array_sizes(raw), "c_specifiers": spans.specifiers(full),
             "c_member_uses": spans.member_uses(raw), "c_asm_operands": spans.asm_operands(raw),
-            "c_local_symbols": inner.local_symbols(full), "c_subscripts": inner.subscripts(full), "c_commas": inner.comma_operators(full), "c_expression_statements": inner.expression_statements(full),
-            "c_regions": self.regions, "c_ancestors": regions.ancestors(self.regions), "c_branch_members": regions.branch_members(raw), "c_expressions": trees.expressions(full), "c_statement_expressions": inner.statement_expressions(raw), "c_bit_int_widths": inner.bit_int_widths(raw), "c_pointer_levels": inner.pointer_levels(raw), "c_array_qualifiers": inner.array_qualifiers(raw),
+            "c_local_symbols": inner.local_symbols(self.bracketed), "c_subscripts": inner.subscripts(full), "c_commas": inner.comma_operators(full), "c_expression_statements": inner.expression_statements(full),
+            "c_name_uses": self.name_uses, "c_unused_names": names.unused(full, self.name_uses, self.bracketed), "c_regions": self.regions, "c_ancestors": regions.ancestors(self.regions), "c_branch_members": regions.branch_members(raw), "c_expressions": trees.expressions(self.bracketed), "c_statement_expressions": inner.statement_expressions(raw), "c_bit_int_widths": inner.bit_int_widths(raw), "c_pointer_levels": inner.pointer_levels(raw), "c_array_qualifiers": inner.array_qualifiers(raw),
         }
 
     def register(self) -> None:
