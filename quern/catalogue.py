@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from .functions import c_tokens as C
-from .operators import code, declarations, include_graph, inner, preprocessor, regions, spans, trees
+from .operators import code, declarations, include_graph, inner, preprocessor, regions, spans, trees, typedefs
 from .plans.program import Program, engine_info
 from .sources.files import utf8_status
 
@@ -747,6 +747,15 @@ def name_scopes(spark, sf_dir):
     return found.select("unit_id", "name", "scope", "target_unit")
 
 
+@query("""
+SELECT p_partkey AS unit_id, name || p_partkey AS name FROM part, (VALUES ('U', 0), ('A', 0), ('B', 1), ('C', 0), ('D', 0), ('E', 0)) t(name, even) WHERE even = 0 OR p_size % 2 = 0""")
+def typedef_order(spark, sf_dir):
+    """A typedef of a word that is no type yet binds the word; of one that is, the name: each declaration depends on those before it."""
+    src = "replace(concat(if(p_size % 2 = 0, 'typedef int U_;', ''), 'typedef U_ A_; typedef A_ B_; typedef U_ C_; typedef A_ *D_, E_;'), '_', p_partkey)"
+    kept = _units(_table(spark, sf_dir, "part"), "p_partkey", src).kept
+    return typedefs.ordered_typedefs(typedefs.typedef_parts(kept)).select("unit_id", "name")
+
+
 def lex_whole_documents(spark, sf_dir):
     """Every document lexed whole, whatever its characters: how many lexemes of each kind, and the characters they cover."""
     docs = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("unit_id"), F.col("text").alias("src"))

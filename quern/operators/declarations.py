@@ -136,9 +136,11 @@ def typedef_events(marked: DataFrame) -> DataFrame:
     return symbols(marked).join(made, ["unit_id", "decl_ix"]).groupBy("unit_id", "name").agg(F.min("last_ix").alias("bind_ix"))
 
 
-def classified(marked: DataFrame, predefined: list[str] = ()) -> DataFrame:
+def classified(marked: DataFrame, predefined: list[str] = (), with_typedefs: bool = True) -> DataFrame:
     """`marked` with its identifiers told apart: TYPEDEF_NAME, MACRO_NAME or ID. Neither is told inside directives.
 
+    Without with_typedefs only predefined names are types.
+
     What binds a name stands on the token that spells it, so the last event of a name before a use
     is a running value over the tokens of that name, without a join or a shuffle beyond the unit's.
     """
@@ -161,7 +163,7 @@ def classified(marked: DataFrame, predefined: list[str] = ()) -> DataFrame:
     state = F.last("_event", ignorenulls=True).over(by_name.orderBy("tok_ix").rowsBetween(Window.unboundedPreceding, -1))
     own = own.withColumns({"_state": state, "_from": F.min("_bound").over(by_name)})
     free = (F.col("tname") == "ID") & F.col("dir_id").isNull()
-    is_type = F.col("tok_ix") > F.col("_from")
+    is_type = F.col("tok_ix") > F.col("_from") if with_typedefs else F.lit(False)
     is_type = is_type | F.col("src").isin(*predefined) if predefined else is_type
     told = F.when(free & F.coalesce(is_type, F.lit(False)), "TYPEDEF_NAME").when(free & (F.col("_state") == "define"), "MACRO_NAME").otherwise(F.col("tname"))
     return own.withColumn("tname", told).select(marked.columns)

@@ -6,7 +6,7 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators import code, declarations, inner, lexing, names, preprocessor, regions, spans, trees
+from ..operators import code, declarations, inner, lexing, names, preprocessor, regions, spans, trees, typedefs
 from ..sources.tables import written
 
 ENGINE = {"name": "quern", "version": "0.1.0", "language": "C23"}
@@ -18,10 +18,13 @@ class Program:
     A relation that reads its tokens several times reads them from `kept` or `full`, tables written
     once in the shared folder: the source is lexed once. A unit is one share of work, and its tokens
     must fit a task's sort, which spills.
+
+    predefined names are types from the start. ordered: a typedef of a word that is no type yet binds
+    that word (see operators.typedefs); else it binds the name that it declares.
     """
 
-    def __init__(self, units: DataFrame, predefined: list[str] = ()):
-        self.units, self.predefined = units, list(predefined)
+    def __init__(self, units: DataFrame, predefined: list[str] = (), ordered: bool = False):
+        self.units, self.predefined, self.ordered = units, list(predefined), ordered
 
     @cached_property
     def lexemes(self) -> DataFrame:
@@ -55,8 +58,11 @@ class Program:
     def tokens(self) -> DataFrame:
         """Tokens whose identifiers are told apart; without the trivia before them, which raw_tokens has."""
         # From the source itself, unless `kept` is there already.
-        marked = self.__dict__.get("kept", self.raw_marked.drop("leading"))
-        return declarations.classified(marked, self.predefined).select([c for c in self.raw_tokens.columns if c != "leading"])
+        marked = self.kept if self.ordered else self.__dict__.get("kept", self.raw_marked.drop("leading"))
+        found = declarations.classified(marked, self.predefined, not self.ordered)
+        if self.ordered:
+            found = typedefs.with_typedefs(found, typedefs.ordered_typedefs(typedefs.typedef_parts(self.kept), self.predefined))
+        return found.select([c for c in self.raw_tokens.columns if c != "leading"])
 
     @cached_property
     def marked(self) -> DataFrame:
