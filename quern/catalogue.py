@@ -6,6 +6,7 @@ SQL computes the same facts from the columns alone, without any parsing.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
@@ -14,6 +15,8 @@ from .functions import c_tokens as C
 from .operators import code, declarations, include_graph, inner, preprocessor, regions, spans, trees, typedefs
 from .plans.program import Program, engine_info
 from .sources.files import utf8_status
+from .sources.tables import shared_dir
+from .streaming.incremental import Store
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -756,6 +759,20 @@ def typedef_order(spark, sf_dir):
     return typedefs.ordered_typedefs(typedefs.typedef_parts(kept)).select("unit_id", "name")
 
 
+@query("""
+SELECT s_suppkey AS unit_id, 'g' AS callee, 1::BIGINT AS batch FROM supplier WHERE s_nationkey % 3 = 0
+UNION ALL SELECT s_suppkey, 'f' || s_suppkey, 0 FROM supplier WHERE s_nationkey % 3 > 0 AND s_nationkey % 5 > 0""")
+def incremental_calls(spark, sf_dir):
+    """Three batches over one store: all units, the same again with a third changed, and some deleted; only changed ones are lexed again."""
+    t = _table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("unit_id"), "s_nationkey", F.expr("concat('void h(void) { f', s_suppkey, '(); }')").alias("src"))
+    store = Store(spark, f"{shared_dir(spark)}/store-{uuid.uuid4().hex}", {"calls": lambda p: inner.calls(p.full)})
+    store.apply(t.select("unit_id", "src"), 0)
+    changed = t.withColumn("src", F.expr("if(s_nationkey % 3 = 0, 'void h(void) { g(); }', src)"))
+    store.apply(changed.select("unit_id", "src"), 1)
+    store.apply(changed.where("s_nationkey % 5 = 0 AND s_nationkey % 3 > 0").select("unit_id", F.lit(None).cast("string").alias("src")), 2)
+    return store.relation("calls").join(store.ledger(), "unit_id").select("unit_id", "callee", "batch")
+
+
 def lex_whole_documents(spark, sf_dir):
     """Every document lexed whole, whatever its characters: how many lexemes of each kind, and the characters they cover."""
     docs = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("unit_id"), F.col("text").alias("src"))

@@ -7,7 +7,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators import code, declarations, inner, lexing, names, preprocessor, regions, spans, trees, typedefs
-from ..sources.tables import written
+from ..sources.tables import dropped, written
 
 ENGINE = {"name": "quern", "version": "0.1.0", "language": "C23"}
 
@@ -119,6 +119,13 @@ class Program:
             "c_name_uses": self.name_uses, "c_unused_names": names.unused(full, self.name_uses, self.bracketed), "c_regions": self.regions, "c_ancestors": regions.ancestors(self.regions), "c_branch_members": regions.branch_members(raw), "c_expressions": trees.expressions(self.bracketed), "c_statement_expressions": inner.statement_expressions(raw), "c_bit_int_widths": inner.bit_int_widths(raw), "c_pointer_levels": inner.pointer_levels(raw), "c_array_qualifiers": inner.array_qualifiers(raw),
         }
 
+    def release(self) -> None:
+        """Deletes the tables that this program has written; what reads them can't be run any more."""
+        for name, found in list(self.__dict__.items()):
+            if isinstance(found, DataFrame) and name != "units":
+                dropped(found)
+                del self.__dict__[name]
+
     def register(self) -> None:
         """Makes every relation a temporary view of the session."""
         for name, df in self.relations().items():
