@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from .functions import c_tokens as C
-from .operators import code, declarations, include_graph, inner, preprocessor, regions, spans, trees, typedefs
+from .operators import code, declarations, include_graph, inner, metrics, preprocessor, regions, spans, trees, typedefs
 from .plans.program import Program, engine_info
 from .sources.files import utf8_status
 from .sources.tables import shared_dir
@@ -207,7 +207,7 @@ def struct_members(spark, sf_dir):
     rows = _table(spark, sf_dir, "lineitem").selectExpr("l_orderkey", "struct(l_linenumber, concat('unsigned m', l_linenumber, if(l_linenumber % 2 = 0, concat(' : ', l_linenumber), '[2]'), '; ') AS d) AS x")
     src = rows.groupBy("l_orderkey").agg(F.concat(F.lit("struct O"), F.col("l_orderkey"), F.lit(" { "), F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["d"]), ""), F.lit("} one;")).alias("src"))
     p = Program(src.select(F.col("l_orderkey").alias("unit_id"), "src"))
-    return declarations.members(p.kept).select("unit_id", "tag_name", "member_name", "ordinal", "bit_width")
+    return declarations.members(p.raw_marked).select("unit_id", "tag_name", "member_name", "ordinal", "bit_width")
 
 
 @query("""
@@ -216,7 +216,7 @@ def enum_members(spark, sf_dir):
     rows = _table(spark, sf_dir, "nation").selectExpr("n_regionkey", "struct(n_nationkey, concat('N', n_nationkey, if(n_nationkey % 2 = 0, concat(' = (1, ', n_nationkey, ')'), '')) AS d) AS x")
     src = rows.groupBy("n_regionkey").agg(F.concat(F.lit("enum R"), F.col("n_regionkey"), F.lit(" { "), F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["d"]), ", "), F.lit(" };")).alias("src"))
     p = Program(src.select(F.col("n_regionkey").alias("unit_id"), "src"))
-    return declarations.enumerators(p.kept).select("unit_id", "tag_name", "name", "ordinal", "has_value")
+    return declarations.enumerators(p.raw_marked).select("unit_id", "tag_name", "name", "ordinal", "has_value")
 
 
 @query("""
@@ -773,6 +773,21 @@ def incremental_calls(spark, sf_dir):
     return store.relation("calls").join(store.ledger(), "unit_id").select("unit_id", "callee", "batch")
 
 
+@query("""
+WITH p AS (SELECT p_brand AS folder, p_partkey, 'v' || p_partkey % 20 AS v, 'g' || p_size AS g, CASE WHEN p_size % 5 = 0 THEN 23 ELSE 12 END AS n FROM part),
+d AS (SELECT folder, p_partkey, 'declaration' AS kind, [v] AS names, 3 AS n FROM p UNION ALL SELECT folder, p_partkey, 'function_definition', [g, 'f', 'h'], n FROM p),
+f AS (SELECT coalesce(folder, 'all') AS folder, coalesce(kind, 'all') AS kind, count(DISTINCT p_partkey) AS n_units, count(*) AS n_declarations, sum(n)::BIGINT AS n_tokens, len(list_distinct(flatten(list(names))))::BIGINT AS n_names, quantile_disc(n, 0.5)::BIGINT AS median_size FROM d GROUP BY CUBE (folder, kind))
+SELECT folder, kind, n_units, n_declarations, n_tokens, n_names, CASE WHEN kind = 'all' THEN NULL ELSE median_size END AS median_size FROM f""")
+def metrics_rollup(spark, sf_dir):
+    """Counts, distinct names and median sizes by folder and kind and over all, merged from sketches of units."""
+    src = "concat('int v', p_partkey % 20, '; void f(void) { h(g', p_size, ');', if(p_size % 5 = 0, ' if (1) h(2 + 3);', ''), ' }')"
+    t = _table(spark, sf_dir, "part").selectExpr("concat(p_brand, '/', p_partkey) AS unit_id", f"{src} AS src")
+    found = metrics.unit_metrics(Program(t).kept).withColumn("folder", F.substring_index("unit_id", "/", 1))
+    rows = metrics.rolled_up(found, ["folder", "kind"]).select(F.coalesce("folder", F.lit("all")).alias("folder"), F.coalesce("kind", F.lit("all")).alias("kind"), "n_units", "n_declarations", "n_tokens", "n_names", "median_size")
+    # Over both kinds the median lies between two groups of equal size.
+    return rows.withColumn("median_size", F.when(F.col("kind") != "all", F.col("median_size")))
+
+
 def lex_whole_documents(spark, sf_dir):
     """Every document lexed whole, whatever its characters: how many lexemes of each kind, and the characters they cover."""
     docs = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("unit_id"), F.col("text").alias("src"))

@@ -12,7 +12,7 @@ from ..functions import c_tokens as C
 
 
 def in_unit() -> WindowSpec:
-    return Window.partitionBy("unit_id").orderBy("tok_ix")
+    return Window.partitionBy("unit_id").orderBy("ix")  # as the tokens come
 
 
 def in_declaration() -> WindowSpec:
