@@ -788,6 +788,17 @@ def metrics_rollup(spark, sf_dir):
     return rows.withColumn("median_size", F.when(F.col("kind") != "all", F.col("median_size")))
 
 
+@query("""
+SELECT s_suppkey AS unit_id, what, name || CASE WHEN name = 'get' THEN s_suppkey::VARCHAR ELSE '' END AS name FROM supplier, (VALUES ('member', 'cmp'), ('member', 'w'), ('object', 'pk'), ('function', 'get'), ('function', 'f'), ('parameter', 'a'), ('local', 'u')) t(what, name)""")
+def declarator_corners(spark, sf_dir):
+    """Parameters of a member and widths are no members, a tag after an attribute is no symbol, a list right after a name makes it a function, and a local after an attribute is one."""
+    src = "concat('struct __attribute__((packed)) PK { int (*cmp)(const void *x, const void *y); int : N; unsigned w : N; } pk; int (*get', s_suppkey, '(int a))(double); void f(void) { __attribute__((unused)) int u = 1; }')"
+    p = _units(_table(spark, sf_dir, "supplier"), "s_suppkey", src)
+    named = lambda df, what, name: df.select("unit_id", what.alias("what"), F.col(name).alias("name"))
+    found = named(declarations.members(p.kept), F.lit("member"), "member_name").unionByName(named(declarations.symbols(p.kept), F.col("shape"), "name"))
+    return found.unionByName(named(declarations.parameters(p.kept), F.lit("parameter"), "name")).unionByName(named(inner.local_symbols(p.full), F.lit("local"), "name"))
+
+
 def lex_whole_documents(spark, sf_dir):
     """Every document lexed whole, whatever its characters: how many lexemes of each kind, and the characters they cover."""
     docs = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("unit_id"), F.col("text").alias("src"))
