@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from . import textbytes as tb
 from .components import connected_components
 from .removal import NO_ID, spread, squeezed
+from .shared_shingles import SIMILARITY, shingle_links, shingles, signatures
 from .store import written
 
 SHINGLE = 3
@@ -41,22 +42,12 @@ _SMALL_POSTING = 64
 LONG_POSTING = 200_000
 
 
-def _normal_words(data: np.ndarray, offsets: np.ndarray):
-    """Lower-cased words joined by one space each, with starts and ends of the words, and each text's first word."""
-    lowered = tb.LOWER[data]
-    starts, ends, first = tb.word_spans(~tb.SPACE[lowered], offsets)
-    n = len(starts)
-    sizes = ends - starts + 1
-    to = np.concatenate([[0], np.cumsum(sizes)])
-    source = np.repeat(starts - to[:-1], sizes) + np.arange(to[-1])
-    out = lowered[np.minimum(source, max(len(lowered) - 1, 0))] if n else np.zeros(0, np.uint8)
-    out[to[1:] - 1] = 0x20
-    return out.tobytes(), to[:-1], to[1:] - 1, first
-
-
 def fingerprints(data: np.ndarray, offsets: np.ndarray, shingle: int = SHINGLE) -> np.ndarray:
     """The 64-bit fingerprint of each text of a block."""
-    joined, starts, ends, first = _normal_words(data, offsets)
+    return _fingerprints(*tb.normal_words(data, offsets), shingle)
+
+
+def _fingerprints(joined: bytes, starts: np.ndarray, ends: np.ndarray, first: np.ndarray, shingle: int = SHINGLE) -> np.ndarray:
     n_words = np.diff(first)
     n_shingles = np.where(n_words > 0, np.maximum(n_words - shingle + 1, 1), 0)
     text = np.repeat(np.arange(len(n_words)), n_shingles)
@@ -87,6 +78,21 @@ def with_fingerprints(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(rows, schema)
 
 
+def with_prints(texts: DataFrame) -> DataFrame:
+    """`texts`, whose last column is the text, with `fp` and `sig` in its place: the fingerprint and the signature, null without words."""
+    schema = T.StructType([*texts.schema.fields[:-1], T.StructField("fp", T.LongType()), T.StructField("sig", T.BinaryType())])
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi, data, offsets in tb.text_blocks(batch.columns[-1]):
+                normal = tb.normal_words(data, offsets)
+                hashes, begin = shingles(*normal)
+                sig = [x.tobytes() if n else None for x, n in zip(signatures(hashes, begin), np.diff(begin), strict=True)]
+                yield pa.RecordBatch.from_arrays([*batch.slice(lo, hi - lo).columns[:-1], pa.array(_fingerprints(*normal).view(np.int64)), pa.array(sig, pa.binary())], names=schema.names)
+
+    return texts.mapInArrow(rows, schema)
+
+
 def _linked(a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
     """Which pairs are links: the shared positional bytes are tallied, and pairs with 8 - most of them are verified bit by bit."""
     apart = a ^ b
@@ -227,9 +233,10 @@ def near_links(distinct: DataFrame, most: int = MAX_BITS, long_posting: int = LO
     return index.select("key", "fp").repartition("key").sortWithinPartitions("key").mapInArrow(lambda batches: _posting_links(batches, most), "a long, b long")
 
 
-def _named(distinct: DataFrame, most: int) -> DataFrame:
-    """(fp, first, root) for each distinct fingerprint; equal roots are connected."""
-    roots = connected_components(near_links(distinct.select("fp"), most))
+def _named(distinct: DataFrame, most: int, further: DataFrame | None = None) -> DataFrame:
+    """(fp, first, root) for each distinct fingerprint; equal roots are connected, by `further` links too."""
+    links = near_links(distinct.select("fp"), most)
+    roots = connected_components(links if further is None else links.union(further))
     return distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
 
 
@@ -243,19 +250,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return marked.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = MAX_BITS) -> DataFrame:
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = MAX_BITS, least: float | None = SIMILARITY) -> DataFrame:
     """`docs` with one row of each component, that of the smallest id; null ids come last.
 
-    Fingerprints are written with the id and a hash of the text, without texts; the decisions then
-    meet the texts in one exchange, in which texts travel compressed. Rows of the smallest id that
-    differ in their text: the one with the smallest hash stays. Rows that repeat are one row.
+    Fingerprints at most `most` bits apart are linked, and so are texts that share `least` of their
+    five-word shingles (None: fingerprints alone). Fingerprints are written with the id and a hash of
+    the text, without texts; the decisions then meet the texts in one exchange, in which texts travel
+    compressed. Rows of the smallest id that differ in their text: the one with the smallest hash
+    stays. Rows that repeat are one row.
     """
     key, tag = F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)), F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
-    marked = written(with_fingerprints(docs.select(key.alias("_q_key"), tag.alias("_q_tag"), F.col(text_col))), "fingerprints")
+    keyed = docs.withColumn("_q_key", key).withColumn("_q_tag", tag)
+    marked = written((with_fingerprints if least is None else with_prints)(keyed.select("_q_key", "_q_tag", text_col)), "fingerprints")
     distinct = marked.groupBy("fp").agg(F.min(F.struct("_q_key", "_q_tag")).alias("first"))
-    kept = written(_named(distinct, most).groupBy("root").agg(F.min("first").alias("x")).select("x.*"), "kept")
+    further = None if least is None else shingle_links(keyed, marked, text_col, least)
+    kept = written(_named(distinct, most, further).groupBy("root").agg(F.min("first").alias("x")).select("x.*"), "kept")
     # Both sides are dealt, however small `kept` is, so that the texts of a task are never more than its share.
-    found = squeezed(docs.withColumn("_q_key", key).withColumn("_q_tag", tag), text_col).join(kept.hint("shuffle_merge"), ["_q_key", "_q_tag"], "left_semi")
+    found = squeezed(keyed, text_col).join(kept.hint("shuffle_merge"), ["_q_key", "_q_tag"], "left_semi")
     if marked.groupBy("_q_key", "_q_tag").count().where("count > 1").limit(1).count():
         found = found.dropDuplicates(["_q_key", "_q_tag"])
     return spread(found.select(*docs.columns), text_col)

@@ -131,6 +131,19 @@ def word_spans(is_word: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np
     return starts, ends, np.searchsorted(starts, offsets)
 
 
+def normal_words(data: np.ndarray, offsets: np.ndarray):
+    """Lower-cased words joined by one space each, with starts and ends of the words, and each text's first word."""
+    lowered = LOWER[data]
+    starts, ends, first = word_spans(~SPACE[lowered], offsets)
+    n = len(starts)
+    sizes = ends - starts + 1
+    to = np.concatenate([[0], np.cumsum(sizes)])
+    source = np.repeat(starts - to[:-1], sizes) + np.arange(to[-1])
+    out = lowered[np.minimum(source, max(len(lowered) - 1, 0))] if n else np.zeros(0, np.uint8)
+    out[to[1:] - 1] = 0x20
+    return out.tobytes(), to[:-1], to[1:] - 1, first
+
+
 def per_text(flags: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Sum of `flags` over each text."""
     sums = np.zeros(len(flags) + 1, np.int64)

@@ -10,11 +10,13 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from quern.llm import chunks as K
 from quern.llm import lm_score as L
 from quern.llm import packing as P
+from quern.llm import shared_shingles as N
 from quern.llm import simhash as H
 from quern.llm import substrings as W
 from quern.llm.components import connected_components
@@ -413,3 +415,47 @@ def test_one_of_each_of_rows_that_share_an_id(spark):
     rows = [(1, a), (1, b), (2, a), (3, b), (4, None), (5, ""), (None, a), (None, "other words of their own here"), (6, b + ""), (1, a)]
     got = sorted(((r["doc_id"], r["text"]) for r in one_of_each(S.documents(spark, rows)).collect()), key=repr)
     assert got == sorted([(1, a), (1, b), (4, None), (None, "other words of their own here")], key=repr)
+
+
+def _five_words(text):
+    words = "".join(c.lower() if c.isascii() else c for c in text or "").split()
+    return {tuple(words[i : i + 5]) for i in range(max(len(words) - 4, 1))} if words else set()
+
+
+def test_shingle_links_against_all_pairs(spark, monkeypatch):
+    """One text has 80 near copies, all different, compared in parts of 7; links are right and join all that are similar."""
+    monkeypatch.setattr(N, "PART", 7)
+    rng = random.Random(23)
+    texts = [S.prose(rng, n) for n in (3, 5, 40, 200, 200, 900)]
+    for base in [*texts[2:], *[texts[3]] * 80]:
+        words = base.split()
+        for k in rng.sample(range(len(words)), max(1, len(words) // rng.choice((30, 40, 60, 200)))):
+            words[k] = S.prose(rng, 1) + "x"
+        texts.append(" ".join(words))
+    rows = [*enumerate(texts), (500, None), (501, ""), (502, texts[4].upper()), (503, texts[0] + "\n")]
+    docs = S.documents(spark, rows).withColumn("_q_key", F.col("doc_id")).withColumn("_q_tag", F.xxhash64("text"))
+    marked = H.with_prints(docs.select("_q_key", "_q_tag", "text")).collect()
+    links = {frozenset(r) for r in N.shingle_links(docs, spark.createDataFrame(marked, "_q_key long, _q_tag long, fp long, sig binary"), "text").collect()}
+    fp = {r["_q_key"]: r["fp"] for r in marked}
+    sets = {i: _five_words(t) for i, t in rows}
+    similar = {(i, j) for i, a in sets.items() for j, b in sets.items() if i < j and a and b and len(a & b) >= 0.8 * len(a | b)}
+    assert links <= {frozenset((fp[i], fp[j])) for i, j in similar} and len(similar) > 1000
+    root = {f: f for f in fp.values()}
+    for _ in root:
+        for a, b in map(tuple, links):
+            root[a] = root[b] = min(root[a], root[b])
+    together = sum(root[fp[i]] == root[fp[j]] for i, j in similar)
+    assert together >= 0.99 * len(similar)
+    kept = {r["doc_id"] for r in one_of_each(docs.drop("_q_key", "_q_tag")).collect()}
+    assert {0, 1, 2, 3, 4, 5, 500} <= kept and {501, 502, 503}.isdisjoint(kept)
+
+
+def test_signature_bytes_agree_about_as_often_as_shingles_are_shared():
+    rng = np.random.default_rng(4)
+    for share in (0.2, 0.5, 0.8, 0.95):
+        both, own = int(1000 * share), 1000 - int(1000 * share)
+        h = rng.integers(0, 1 << 64, both + own, np.uint64)
+        a, b = h[: both + own // 2], np.concatenate([h[:both], h[both + own // 2 :]])
+        sig = N.signatures(np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)]))
+        assert abs((sig[0] == sig[1]).mean() - share) < 0.17
+    assert not N.signatures(np.zeros(0, np.uint64), np.array([0, 0])).any() and N.tally_minimum(0.8) == 65
