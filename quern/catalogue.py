@@ -12,7 +12,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from .functions import c_tokens as C
-from .operators import code, declarations, include_graph, inner, metrics, preprocessor, regions, spans, trees, typedefs
+from .functions.tables import register_table_functions
+from .operators import code, declarations, include_graph, inner, metrics, preprocessor, regions, spans, trees, typedefs, versions
 from .plans.program import Program, engine_info
 from .sources.files import utf8_status
 from .sources.tables import shared_dir
@@ -799,6 +800,40 @@ def declarator_corners(spark, sf_dir):
     return found.unionByName(named(declarations.parameters(p.kept), F.lit("parameter"), "name")).unionByName(named(inner.local_symbols(p.full), F.lit("local"), "name"))
 
 
+@query("""
+WITH p AS (SELECT p_partkey::VARCHAR AS u, p_partkey % 6 AS k FROM part)
+SELECT 'changed' AS change, u AS old_unit, u AS new_unit, 'f' || u AS name, 2 AS old_ix, 2 AS new_ix FROM p WHERE k = 1
+UNION ALL SELECT 'moved', u, u, 'a' || u, 1, 3 FROM p WHERE k = 2
+UNION ALL SELECT 'removed', u, NULL, 'a' || u, 1, NULL FROM p WHERE k = 3
+UNION ALL SELECT 'added', NULL, u, 'n' || u, NULL, 3 FROM p WHERE k = 3
+UNION ALL SELECT 'moved_unit', u, 'h' || u, 'a' || u, 1, 0 FROM p WHERE k = 4
+UNION ALL SELECT 'changed', u, u, 'M', 0, 0 FROM p WHERE k = 5
+UNION ALL SELECT 'changed', u, u, 'S', 3, 3 FROM p WHERE k = 5
+UNION ALL SELECT 'added', NULL, u, NULL, NULL, 4 FROM p WHERE k = 5""")
+def version_diff(spark, sf_dir):
+    """Two versions of each part's unit: a body changes, an object moves within the unit or to another one, declarations go and come, a macro and a tag change; what only differs in blanks and comments is the same."""
+    t = _table(spark, sf_dir, "part").selectExpr("CAST(p_partkey AS STRING) AS u", "p_partkey % 6 AS k", "p_size")
+    macro, body, tag = "'#define M ', if(k = 5 AND {n}, '1 + ', ''), p_size, '\\n'", "'void f', u, '(void) { g(', p_size, if(k = 1 AND {n}, ' + 1', ''), '); }'", "'struct S { int x', if(k = 5 AND {n}, ' : 3', ''), '; };'"
+    obj = "'int a', u, ';'"
+    first, last = f"if({{n}} AND k IN (2, 3, 4), '/* gone */', concat({obj}))", f"CASE WHEN NOT {{n}} THEN '' WHEN k = 2 THEN concat({obj}) WHEN k = 3 THEN concat('int n', u, ';') WHEN k = 5 THEN '#pragma once\\n' ELSE '' END"
+    version = lambda n: f"concat({macro}, {first}, if({n}, ' // new\\n', ' '), {body}, {tag}, '\\n', {last})".replace("{n}", n)
+    old, new = (t.selectExpr("u AS unit_id", f"{version(n)} AS src") for n in ("false", "true"))
+    new = new.union(t.where("k = 4").selectExpr("concat('h', u)", f"concat({obj})"))
+    return versions.changes(old, new).select("change", "old_unit", "new_unit", "name", F.col("old_ix").cast("int").alias("old_ix"), F.col("new_ix").cast("int").alias("new_ix"))
+
+
+@query("""
+SELECT c_custkey AS unit_id, k AS nth, tname, CASE k WHEN 2 THEN '<h' || c_custkey || '.h>' WHEN 9 THEN 'y' || c_custkey WHEN 11 THEN '"' || c_name || '"' ELSE lexeme END AS lexeme
+FROM customer, (VALUES (0, 'PUNC_HASH', '#'), (1, 'ID', 'include'), (2, 'LIT_HEADER_NAME', ''), (3, 'KW_FLOAT', 'float'), (4, 'ID', 'x'), (5, 'PUNC_ASSIGN', '='), (6, 'LIT_FLOAT', '1.5f'),
+    (7, 'PUNC_COMMA', ','), (8, 'PUNC_STAR', '*'), (9, 'ID', ''), (10, 'PUNC_ASSIGN', '='), (11, 'LIT_STRING', ''), (12, 'PUNC_SEMI', ';')) t(k, tname, lexeme)""")
+def lateral_tokens(spark, sf_dir):
+    """Tokens in plain SQL: a function that returns a table, joined by LATERAL."""
+    register_table_functions(spark)
+    src = "concat('#include <h', c_custkey, '.h>\\n/* ', c_mktsegment, ' */ float x = 1.5f, *y', c_custkey, ' = \"', c_name, '\"; // ', c_nationkey)"
+    _table(spark, sf_dir, "customer").selectExpr("c_custkey AS unit_id", f"{src} AS src").createOrReplaceTempView("c_sources_of_customers")
+    return spark.sql("SELECT unit_id, row_number() OVER (PARTITION BY unit_id ORDER BY t.ix) - 1 AS nth, t.tname, t.lexeme FROM c_sources_of_customers s, LATERAL c_tokens(s.src) t")
+
+
 def lex_whole_documents(spark, sf_dir):
     """Every document lexed whole, whatever its characters: how many lexemes of each kind, and the characters they cover."""
     docs = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("unit_id"), F.col("text").alias("src"))

@@ -91,6 +91,10 @@ CLASSES = {
 }
 #: One match is one lexeme; together they cover every character.
 LEXEME = "|".join(f"(?:{p})" for p in CLASSES.values())
+#: A directive that names a header, up to the name, and the name.
+HEADER_LINE = r"""((?:#|%:)[ \t]*+(?:include_next|include|embed)[ \t]*+)(<[^>\n\r]*+>|"[^"\n\r]*+")"""
+#: Token names of literals and trivia by class.
+LITERALS = {"int": "LIT_INT", "float": "LIT_FLOAT", "char": "LIT_CHAR", "string": "LIT_STRING", "header": "LIT_HEADER_NAME", "line_cont": "TRIVIA_LINE_CONT", "block_comment": "TRIVIA_BLOCK_COMMENT", "line_comment": "TRIVIA_LINE_COMMENT"}
 BLANK = ("space", "newline")
 TRIVIA = ("line_cont", "block_comment", "line_comment")
 
@@ -98,7 +102,7 @@ TRIVIA = ("line_cont", "block_comment", "line_comment")
 def mark_headers(source: Column) -> Column:
     """Source text with MARK before each header name, after any number of blanks; a MARK of its own is doubled."""
     doubled = F.replace(source, F.lit(MARK), F.lit(MARK + MARK))
-    return F.regexp_replace(doubled, r"""((?:#|%:)[ \t]*+(?:include_next|include|embed)[ \t]*+)(<[^>\n\r]*+>|"[^"\n\r]*+")""", f"$1{MARK}$2")
+    return F.regexp_replace(doubled, HEADER_LINE, f"$1{MARK}$2")
 
 
 def unmarked(lexeme: Column) -> Column:
@@ -107,12 +111,13 @@ def unmarked(lexeme: Column) -> Column:
 
 
 def class_of(lexeme: Column) -> Column:
-    """The class of a lexeme that LEXEME has cut out, from its first characters; numbers alone need an expression."""
+    """The class of a lexeme that LEXEME has cut out of marked text, from its first characters; numbers alone need an expression."""
     first = F.substring(lexeme, 1, 1)
     letter = first.rlike("[A-Za-z_$]")
     quoted = lambda q: lexeme.contains(q)
     return (
-        F.when(first.isin(*" \t\x0b\f"), "space")
+        F.when((first == MARK) & ~lexeme.startswith(MARK * 2), "header")
+        .when(first.isin(*" \t\x0b\f"), "space")
         .when(first.isin("\r", "\n"), "newline")
         .when(lexeme.isin(list(PUNCTUATORS)), "punctuator")
         .when(letter, F.when(quoted('"'), "string").when(quoted("'"), "char").otherwise("word"))
@@ -122,7 +127,6 @@ def class_of(lexeme: Column) -> Column:
         .when(first == "\\", "line_cont")
         .when((first == '"') & (F.length(lexeme) > 1), "string")
         .when((first == "'") & (F.length(lexeme) > 1), "char")
-        .when((first == "<") & lexeme.endswith(">"), "header")
         .otherwise("error")
     )
 
@@ -134,8 +138,7 @@ def keyword_name(word: str) -> str:
 def token_name(lexeme: Column, kind: Column) -> Column:
     """The token name by class and spelling; words that no table knows are ID."""
     punctuators = F.create_map(*[F.lit(x) for pair in PUNCTUATORS.items() for x in pair])
-    literals = {"int": "LIT_INT", "float": "LIT_FLOAT", "char": "LIT_CHAR", "string": "LIT_STRING", "header": "LIT_HEADER_NAME", "line_cont": "TRIVIA_LINE_CONT", "block_comment": "TRIVIA_BLOCK_COMMENT", "line_comment": "TRIVIA_LINE_COMMENT"}
-    named = F.create_map(*[F.lit(x) for pair in literals.items() for x in pair])
+    named = F.create_map(*[F.lit(x) for pair in LITERALS.items() for x in pair])
     return (
         F.when((kind == "word") & lexeme.isin(C23_KEYWORDS + EXTENSION_KEYWORDS), F.concat(F.lit("KW_"), F.upper(lexeme)))
         .when(kind == "word", "ID")

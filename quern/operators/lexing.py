@@ -32,9 +32,9 @@ def lexemes(units: DataFrame) -> DataFrame:
     """
     nth = F.row_number().over(Window.partitionBy("unit_id").orderBy("src")) - 1
     cut = units.select("unit_id", "src", nth.cast("long").alias("_nth")).select("unit_id", "_nth", F.posexplode(F.regexp_extract_all(C.mark_headers(F.col("src")), F.lit(C.LEXEME), F.lit(0))).alias("ix", "src"))
-    cut = cut.select("unit_id", (F.col("_nth") * (1 << 32) + F.col("ix")).alias("ix"), C.unmarked(F.col("src")).alias("src"))
+    cut = cut.select("unit_id", (F.col("_nth") * (1 << 32) + F.col("ix")).alias("ix"), C.unmarked(F.col("src")).alias("src"), C.class_of(F.col("src")).alias("cls"))
     lines = F.length("src") - F.length(F.replace("src", F.lit("\n"), F.lit("")))
-    cut = cut.withColumns({"cls": C.class_of(F.col("src")), "size": F.length("src"), "_lines": lines})
+    cut = cut.withColumns({"size": F.length("src"), "_lines": lines})
     cut = cut.withColumns({"end": F.sum("size").over(_so_far()), "_line": F.sum("_lines").over(_so_far())})
     after_break = F.when(F.col("_lines") > 0, F.col("end") - F.length(F.substring_index("src", "\n", -1)))
     cut = cut.withColumn("_from", F.coalesce(F.max(after_break).over(_before()), F.lit(0)))

@@ -16,7 +16,5 @@ def stream_units(spark: SparkSession, path: str, per_trigger: int = 1000) -> Dat
 def token_counts(units: DataFrame, window: str = "10 minutes", late: str = "10 minutes") -> DataFrame:
     """Tokens by name and event-time window; lexing keeps no state, so only the counts do."""
     cut = units.withWatermark("arrived", late).select("arrived", F.explode(F.regexp_extract_all(C.mark_headers(F.col("src")), F.lit(C.LEXEME), F.lit(0))).alias("src"))
-    cut = cut.withColumn("src", C.unmarked(F.col("src")))
-    kind = C.class_of(F.col("src"))
-    named = cut.select("arrived", C.token_name(F.col("src"), kind).alias("tname")).where("tname IS NOT NULL")
+    named = cut.select("arrived", C.token_name(C.unmarked(F.col("src")), C.class_of(F.col("src"))).alias("tname")).where("tname IS NOT NULL")
     return named.groupBy(F.window("arrived", window), "tname").count()

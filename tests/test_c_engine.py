@@ -32,6 +32,7 @@ def tnames(spark, source):
         ("u8\"a\\\"b\" L'x' R\"d(a)\"b)d\"", ['LIT_STRING u8"a\\"b"', "LIT_CHAR L'x'", 'LIT_STRING R"d(a)"b)d"']),
         ("a+++b>>=c", ["ID a", "PUNC_PLUS_PLUS ++", "PUNC_PLUS +", "ID b", "PUNC_RSHIFT_ASSIGN >>=", "ID c"]),
         ("int inty $x _Generic __asm__", ["KW_INT int", "ID inty", "ID $x", "KW__GENERIC _Generic", "KW___ASM__ __asm__"]),
+        ('#include "a b.h"\n"c"', ["PP_HASH #", "ID include", 'LIT_HEADER_NAME "a b.h"', "PP_NEWLINE \n", 'LIT_STRING "c"']),
         ("#include <a/b.h>\nx<y>z", ["PP_HASH #", "ID include", "LIT_HEADER_NAME <a/b.h>", "PP_NEWLINE \n", "ID x", "PUNC_LT <", "ID y", "PUNC_GT >", "ID z"]),
         ("/* c */ # define A\n", ["PUNC_HASH #", "ID define", "ID A"]),
         ("a\\\n#undef A\n", ["ID a", "PP_HASH #", "ID undef", "ID A", "PP_NEWLINE \n"]),
