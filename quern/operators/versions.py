@@ -17,8 +17,9 @@ tell apart. Null unit_ids are one unit.
 from __future__ import annotations
 
 from bisect import bisect_left
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..plans.program import Program
@@ -63,15 +64,14 @@ def _paired(rows: DataFrame, *by: str | Column) -> DataFrame:
     return keyed.withColumn("_nth", nth).groupBy(*keys, "_nth").agg(*sides).select(*_SIDES)
 
 
-def _heaviest(blocks: pd.DataFrame) -> pd.DataFrame:
-    """The blocks of one unit with `moved`: false for those of the heaviest sequence that rises in both versions.
+def _moved(new_ranks: list[int], weights: list[int]) -> list[bool]:
+    """Which blocks, in order of their old ranks, are outside the heaviest sequence that rises in both versions.
 
-    Blocks go by their old rank; a running maximum over new ranks is kept as two rising lists. Of equally heavy
+    What ends a sequence best is kept as lists that rise in rank and in weight. Of equally heavy
     sequences the one found first stays.
     """
-    blocks = blocks.sort_values("old_rank", ignore_index=True)
     ranks, sums, ends, before = [], [], [], []
-    for k, (rank, weight) in enumerate(zip(blocks["new_rank"].tolist(), blocks["weight"].tolist(), strict=True)):
+    for k, (rank, weight) in enumerate(zip(new_ranks, weights, strict=True)):
         at = bisect_left(ranks, rank)
         before.append(ends[at - 1] if at else -1)
         total = weight + (sums[at - 1] if at else 0)
@@ -79,10 +79,31 @@ def _heaviest(blocks: pd.DataFrame) -> pd.DataFrame:
         while stop < len(sums) and sums[stop] <= total:
             stop += 1
         ranks[at:stop], sums[at:stop], ends[at:stop] = [rank], [total], [k]
-    moved, k = [True] * len(blocks), ends[-1] if ends else -1
+    moved, k = [True] * len(new_ranks), ends[-1] if ends else -1
     while k >= 0:
         moved[k], k = False, before[k]
-    return blocks.assign(moved=moved)
+    return moved
+
+
+def _moved_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(unit_id, block) of the blocks that moved; rows come sorted by unit and old rank, and one unit's blocks are held at a time."""
+    unit, held, schema = None, [], None
+
+    def found() -> pa.RecordBatch:
+        moved = _moved([h[1] for h in held], [h[2] for h in held])
+        out = [h[0] for h, m in zip(held, moved, strict=True) if m]
+        return pa.RecordBatch.from_arrays([pa.array([unit] * len(out), schema.field(0).type), pa.array(out, pa.int64())], names=["_unit", "_moved"])
+
+    for batch in batches:
+        schema = batch.schema
+        for own, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if held and own != unit:
+                yield found()
+                held = []
+            unit = own
+            held.append(row)
+    if held:
+        yield found()
 
 
 def in_order(matched: DataFrame) -> DataFrame:
@@ -97,8 +118,8 @@ def in_order(matched: DataFrame) -> DataFrame:
     ranked = ranked.withColumn("_block", F.when(inner, F.sum(begins.cast("int")).over(by_old)))
     ranked = written(ranked.drop("_first", "_last"), "ranked")
     blocks = ranked.where("_block IS NOT NULL").groupBy("unit_id", "_block").agg(F.min("_old").alias("old_rank"), F.min("_new").alias("new_rank"), F.count("*").alias("weight"))
-    schema = f"unit_id {matched.schema['unit_id'].dataType.simpleString()}, _block long, old_rank long, new_rank long, weight long, moved boolean"
-    found = blocks.groupBy("unit_id").applyInPandas(_heaviest, schema).where("moved").select(F.col("unit_id").alias("_unit"), F.col("_block").alias("_moved"))
+    dealt = blocks.repartition("unit_id").sortWithinPartitions("unit_id", "old_rank").select("unit_id", "_block", "new_rank", "weight")
+    found = dealt.mapInArrow(_moved_blocks, f"_unit {matched.schema['unit_id'].dataType.simpleString()}, _moved long")
     joined = ranked.join(found, F.col("unit_id").eqNullSafe(F.col("_unit")) & (F.col("_block") == F.col("_moved")), "left")
     return joined.select(*matched.columns, F.col("_moved").isNotNull().alias("moved"))
 
@@ -114,13 +135,16 @@ def changes(old: DataFrame, new: DataFrame) -> DataFrame:
     # Both versions are lexed as one set of units.
     both = old.select(F.lit(0).alias("side"), "unit_id", "src").union(new.select(F.lit(1).alias("side"), "unit_id", "src"))
     both = both.join(ids.withColumnRenamed("unit_id", "_unit"), F.col("unit_id").eqNullSafe(F.col("_unit")), "left_semi")
-    program = Program(both.select(F.struct("side", "unit_id").alias("unit_id"), "src"))
-    rows = written(declared(program.kept).withColumns({"side": F.col("unit_id.side"), "unit_id": F.col("unit_id.unit_id")}), "declared")
+    # A plain string as the key, since windows over structs sort slowly: the side, then : and the id where it isn't null.
+    key = F.concat(F.col("side").cast("string"), F.coalesce(F.concat(F.lit(":"), F.col("unit_id").cast("string")), F.lit("")))
+    program = Program(both.select(key.alias("unit_id"), "src"))
+    unit = F.when(F.length("unit_id") > 1, F.expr("substring(unit_id, 3)")).cast(old.schema["unit_id"].dataType)
+    rows = written(declared(program.kept).withColumns({"side": F.substring("unit_id", 1, 1).cast("int"), "unit_id": unit}), "declared")
     program.release()
     pairs = written(_paired(rows, "unit_id", "digest"), "paired")
     is_pair = F.col("old").isNotNull() & F.col("new").isNotNull()
     matched = pairs.where(is_pair).select("old.unit_id", F.col("old.decl_ix").alias("old_ix"), F.col("new.decl_ix").alias("new_ix"), "old.name", "old.decl_kind")
-    moved = in_order(matched).where("moved").select(F.lit("moved").alias("change"), F.col("unit_id").alias("old_unit"), F.col("unit_id").alias("new_unit"), "name", "decl_kind", "old_ix", "new_ix")
+    moved = written(in_order(matched).where("moved"), "moved").select(F.lit("moved").alias("change"), F.col("unit_id").alias("old_unit"), F.col("unit_id").alias("new_unit"), "name", "decl_kind", "old_ix", "new_ix")
     left = pairs.where(~is_pair).select(F.coalesce("old", "new").alias("x")).select("x.*")
     sides_of = [F.max(F.when(F.col("side") == k, F.struct(*rows.columns))).alias(s) for k, s in enumerate(_SIDES)]
     unique = left.groupBy("digest").agg(*sides_of, F.count_if(F.col("side") == 0).alias("n_old"), F.count_if(F.col("side") == 1).alias("n_new")).where("n_old = 1 AND n_new = 1")
