@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from . import textbytes as tb
 from .components import connected_components
 from .removal import NO_ID, spread, squeezed
-from .shared_shingles import SIMILARITY, shingle_links, shingles, signatures
+from .shared_shingles import SIMILARITY, frequencies, remaining_links, set_prints, shingle_links, shingles, signatures
 from .store import written
 
 SHINGLE = 3
@@ -78,9 +78,14 @@ def with_fingerprints(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(rows, schema)
 
 
-def with_prints(texts: DataFrame) -> DataFrame:
-    """`texts`, whose last column is the text, with `fp` and `sig` in its place: the fingerprint and the signature, null without words."""
+def with_prints(texts: DataFrame, frequent: tuple[np.ndarray, np.ndarray] | None = None, least: float = SIMILARITY) -> DataFrame:
+    """`texts`, whose last column is the text, with `fp` and `sig` in its place: the fingerprint and the signature, null without words.
+
+    With `frequent` shingles also node, size, bits and prefix of its set of shingles.
+    """
     schema = T.StructType([*texts.schema.fields[:-1], T.StructField("fp", T.LongType()), T.StructField("sig", T.BinaryType())])
+    if frequent is not None:
+        schema = schema.add("node", T.LongType()).add("size", T.IntegerType()).add("bits", T.BinaryType()).add("prefix", T.ArrayType(T.LongType()))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -88,7 +93,8 @@ def with_prints(texts: DataFrame) -> DataFrame:
                 normal = tb.normal_words(data, offsets)
                 hashes, begin = shingles(*normal)
                 sig = [x.tobytes() if n else None for x, n in zip(signatures(hashes, begin), np.diff(begin), strict=True)]
-                yield pa.RecordBatch.from_arrays([*batch.slice(lo, hi - lo).columns[:-1], pa.array(_fingerprints(*normal).view(np.int64)), pa.array(sig, pa.binary())], names=schema.names)
+                sets = [] if frequent is None else set_prints(hashes, begin, frequent, least)
+                yield pa.RecordBatch.from_arrays([*batch.slice(lo, hi - lo).columns[:-1], pa.array(_fingerprints(*normal).view(np.int64)), pa.array(sig, pa.binary()), *sets], names=schema.names)
 
     return texts.mapInArrow(rows, schema)
 
@@ -233,10 +239,9 @@ def near_links(distinct: DataFrame, most: int = MAX_BITS, long_posting: int = LO
     return index.select("key", "fp").repartition("key").sortWithinPartitions("key").mapInArrow(lambda batches: _posting_links(batches, most), "a long, b long")
 
 
-def _named(distinct: DataFrame, most: int, further: DataFrame | None = None) -> DataFrame:
-    """(fp, first, root) for each distinct fingerprint; equal roots are connected, by `further` links too."""
-    links = near_links(distinct.select("fp"), most)
-    roots = connected_components(links if further is None else links.union(further))
+def _named(distinct: DataFrame, links: DataFrame) -> DataFrame:
+    """(fp, first, root) for each distinct fingerprint; equal roots are connected."""
+    roots = connected_components(links)
     return distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
 
 
@@ -244,7 +249,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """(doc_id, fp, component_id) for each row of `docs`; component_id is the smallest id reachable over links."""
     marked = written(with_fingerprints(docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col])), "fingerprints")
     distinct = marked.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    named = _named(distinct, most)
+    named = _named(distinct, near_links(distinct.select("fp"), most))
     least = named.groupBy("root").agg(F.min("first").alias("component_id"))
     named = named.select("fp", "root").join(least, "root").select("fp", "component_id")
     return marked.join(named, "fp").select("doc_id", "fp", "component_id")
@@ -261,10 +266,15 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     key, tag = F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)), F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
     keyed = docs.withColumn("_q_key", key).withColumn("_q_tag", tag)
-    marked = written((with_fingerprints if least is None else with_prints)(keyed.select("_q_key", "_q_tag", text_col)), "fingerprints")
+    texts = keyed.select("_q_key", "_q_tag", text_col)
+    marked = written(with_fingerprints(texts) if least is None else with_prints(texts, frequencies(texts), least), "fingerprints")
     distinct = marked.groupBy("fp").agg(F.min(F.struct("_q_key", "_q_tag")).alias("first"))
-    further = None if least is None else shingle_links(keyed, marked, text_col, least)
-    kept = written(_named(distinct, most, further).groupBy("root").agg(F.min("first").alias("x")).select("x.*"), "kept")
+    links = near_links(distinct.select("fp"), most)
+    if least is not None:
+        links = written(links.union(shingle_links(keyed, marked, text_col, least)), "first-links")
+        roots = connected_components(links)
+        links = links.union(remaining_links(keyed, marked, roots, text_col, least))
+    kept = written(_named(distinct, links).groupBy("root").agg(F.min("first").alias("x")).select("x.*"), "kept")
     # Both sides are dealt, however small `kept` is, so that the texts of a task are never more than its share.
     found = squeezed(keyed, text_col).join(kept.hint("shuffle_merge"), ["_q_key", "_q_tag"], "left_semi")
     if marked.groupBy("_q_key", "_q_tag").count().where("count > 1").limit(1).count():

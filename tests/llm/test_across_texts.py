@@ -450,6 +450,62 @@ def test_shingle_links_against_all_pairs(spark, monkeypatch):
     assert {0, 1, 2, 3, 4, 5, 500} <= kept and {501, 502, 503}.isdisjoint(kept)
 
 
+def test_one_of_each_loses_no_pair_among_unlike_texts(spark, monkeypatch):
+    """All texts share most of their words, only two of each family 0.8 of their shingles, and neither is an end of a posting as a rule."""
+    monkeypatch.setattr(N, "PART", 40)
+    rng = random.Random(31)
+    head, texts = S.prose(rng, 160), []
+    for _ in range(120):
+        tail = [S.prose(rng, 1) + str(rng.randrange(1000)) for _ in range(40)]
+        near = [w + "x" if k % 9 == 4 and k < 36 else w for k, w in enumerate(tail)]
+        texts += [f"{head} {' '.join(tail)}", f"{head} {' '.join(near)}"]
+    rng.shuffle(texts)
+    sets, fps = [_five_words(t) for t in texts], [S.simhash(t) for t in texts]
+    root = list(range(len(texts)))
+    similar = 0
+    for j in range(len(texts)):
+        for i in range(j):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) or (fps[i] ^ fps[j]).bit_count() <= 3:
+                similar += 1
+                a, b = root[i], root[j]
+                root = [min(a, b) if r in (a, b) else r for r in root]
+    assert 100 <= similar < 1000
+    kept = {r["doc_id"] for r in one_of_each(S.documents(spark, list(enumerate(texts)))).collect()}
+    assert kept == set(root)
+
+
+def test_prefixes_and_parity_bits_lose_no_pair():
+    rng = np.random.default_rng(9)
+    for n in (1, 2, 3, 4, 5, 9, 10, 37, 400, 6000):
+        a = rng.integers(1, 1 << 63, n).astype(np.uint64)
+        for cut in range(n // 9 + 1):
+            b = np.concatenate([a[cut:], rng.integers(1, 1 << 63, cut).astype(np.uint64)])
+            if n > 40 and cut not in (0, 7, n // 9 - 1, n // 9):
+                continue
+            frequent = np.sort(a[: n // 2]), np.arange(n // 2) + 3
+            _, size, bits, prefix = N.set_prints(np.concatenate([a, a[:1], b]), np.array([0, n + 1, 2 * n + 1]), frequent, 0.8)
+            assert size.to_pylist() == [n, n]
+            x, y = (set(p) for p in prefix.to_pylist())
+            if (n - cut) >= 0.8 * (n + cut):
+                assert x & y
+                one, other = (np.frombuffer(v, np.uint8) for v in bits.to_pylist())
+                assert np.bitwise_count(one ^ other).sum() <= 2 * n * 0.2 / 1.8 + 1e-9
+
+
+@pytest.mark.parametrize("held", [1, 3, 1 << 20])
+@pytest.mark.parametrize("rows", [1, 2, 5, 100])
+def test_postings_of_several_roots_pass_whole(monkeypatch, held, rows):
+    monkeypatch.setattr(N, "_HELD", held)
+    rng = random.Random(held + rows)
+    index = sorted((rng.randrange(12), rng.choice((1, 1, 1, 2)), k) for k in range(60))
+    column = lambda k, part: pa.array([r[k] for r in part], pa.int64())
+    batches = [pa.RecordBatch.from_arrays([column(0, p), column(2, p), column(1, p)], names=["key", "node", "root"]) for p in (index[a : a + rows] for a in range(0, 60, rows))]
+    got = {(r["key"], r["node"]) for b in N._several(iter(batches)) for r in b.to_pylist()}
+    several = {k for k, _, _ in index if len({r for q, r, _ in index if q == k}) > 1}
+    assert got >= {(k, n) for k, _, n in index if k in several}
+    assert held < 1 << 20 or got == {(k, n) for k, _, n in index if k in several}
+
+
 def test_signature_bytes_agree_about_as_often_as_shingles_are_shared():
     rng = np.random.default_rng(4)
     for share in (0.2, 0.5, 0.8, 0.95):
