@@ -55,17 +55,16 @@ def _sliding_min(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(low[:n], low[width - span : width - span + n])
 
 
-def _minimisers(data: np.ndarray, size: int, anchor: int) -> np.ndarray:
+def _minimisers(sums: np.ndarray, size: int, anchor: int) -> np.ndarray:
     """The smallest hash of `anchor` bytes in each window of `size` bytes."""
-    if len(data) < size:
+    if len(sums) <= size:
         return np.zeros(0, np.uint64)
-    at = np.arange(len(data) - anchor + 1)
-    return _sliding_min(tb.span_hash(tb.prefix_hash(data), at, at + anchor), size - anchor + 1)
+    return _sliding_min(tb.gram_hash(sums, anchor), size - anchor + 1)
 
 
-def _stretches(data: np.ndarray, offsets: np.ndarray, size: int, anchor: int) -> tuple[np.ndarray, ...]:
+def _stretches(sums: np.ndarray, offsets: np.ndarray, size: int, anchor: int) -> tuple[np.ndarray, ...]:
     """Start, end, text and minimiser of each stretch of windows; at most twice `size` bytes long."""
-    low = _minimisers(data, size, anchor)
+    low = _minimisers(sums, size, anchor)
     if not len(low):
         none = np.zeros(0, np.int64)
         return none, none, none, low
@@ -100,22 +99,27 @@ def _gathered(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[n
     return out, to
 
 
-def _packed(squeeze, ids: np.ndarray, tags: np.ndarray, starts: np.ndarray, sizes: np.ndarray, data: np.ndarray) -> bytes:
+def _share_bytes(low: np.ndarray) -> np.ndarray:
+    """A byte of each minimiser, by which the stretches of a bucket are parted."""
+    return (tb.mix(low) >> np.uint64(56)).astype(np.uint8)
+
+
+def _packed(squeeze, ids: np.ndarray, tags: np.ndarray, starts: np.ndarray, sizes: np.ndarray, shares: np.ndarray, data: np.ndarray) -> bytes:
     """Columns that differ little from row to row, then the bytes."""
     steps = np.diff(ids, prepend=0).astype("<i8")
-    parts = [np.array([len(ids)], "<i8"), steps.view(np.uint8).reshape(-1, 8).T.copy(), tags.astype("<u4"), starts.astype("<i4").view(np.uint8).reshape(-1, 4).T.copy(), sizes.astype(np.uint8), data]
+    parts = [np.array([len(ids)], "<i8"), steps.view(np.uint8).reshape(-1, 8).T.copy(), tags.astype("<u4"), starts.astype("<i4").view(np.uint8).reshape(-1, 4).T.copy(), sizes.astype(np.uint8), shares, data]
     return squeeze.compress(b"".join(p.tobytes() for p in parts))
 
 
 def _unpacked(raw: bytes) -> tuple[np.ndarray, ...]:
     n = int(np.frombuffer(raw, "<i8", 1)[0])
     at, out = 8, []
-    for width in (8, 4, 4, 1):
+    for width in (8, 4, 4, 1, 1):
         out.append(np.frombuffer(raw, np.uint8, n * width, at))
         at += n * width
     ids = np.cumsum(out[0].reshape(8, n).T.copy().view("<i8").ravel())
     starts = out[2].reshape(4, n).T.copy().view("<i4").ravel()
-    return ids, out[1].view("<u4"), starts, out[3].astype(np.int64), np.frombuffer(raw, np.uint8, offset=at)
+    return ids, out[1].view("<u4"), starts, out[3].astype(np.int64), out[4], np.frombuffer(raw, np.uint8, offset=at)
 
 
 _MAPPED = "bucket int, block binary, doc_id long, tag long, start int, size int"
@@ -172,16 +176,17 @@ def _dealt(batches: Iterator[pa.RecordBatch], size: int, anchor: int, buckets: i
         for a, b in zip(edges[:-1], edges[1:], strict=True):
             own = rest[a:b]
             text, _ = _gathered(data, to[own], to[own + 1])
-            yield _mapped_rows([int(bucket[a])], [_packed(squeeze, ids[own], tags[own], starts[own], sizes[own], text)])
+            yield _mapped_rows([int(bucket[a])], [_packed(squeeze, ids[own], tags[own], starts[own], sizes[own], _share_bytes(low[own]), text)])
 
     held, amount = [], 0
     for batch in batches:
         ids = batch.column(0).fill_null(NO_ID).to_numpy()
         tags = batch.column(1).to_numpy()
         for lo, hi, data, offsets in tb.text_blocks(batch.column(2), HASHED_BYTES):
-            starts, ends, text, low = _stretches(data, offsets, size, anchor)
+            sums = tb.prefix_hash(data)
+            starts, ends, text, low = _stretches(sums, offsets, size, anchor)
             if len(starts):
-                whole = tb.span_hash(tb.prefix_hash(data), starts, ends)
+                whole = tb.span_hash(sums, starts, ends)
                 held.append((ids[lo:hi][text], tags[lo:hi][text], starts - offsets[text], low, whole, ends - starts, _gathered(data, starts, ends)[0]))
                 amount += hi - lo and len(data)
             if amount >= BLOCK:
@@ -241,14 +246,15 @@ def _first_holders(strings: np.ndarray, to: np.ndarray, ids: np.ndarray, size: i
 def _solved(ids, tags, starts, sizes, data, size: int, anchor: int):
     """Spans (id, tag, start, end) to remove, from all stretches of one bucket."""
     to = np.concatenate([[0], np.cumsum(sizes)])
-    whole = tb.span_hash(tb.prefix_hash(data), to[:-1], to[1:])
+    sums = tb.prefix_hash(data)
+    whole = tb.span_hash(sums, to[:-1], to[1:])
     by = np.lexsort((ids, whole))
     new = np.concatenate([[True], whole[by][1:] != whole[by][:-1]])
     kind = np.empty(len(ids), np.int64)
     kind[by] = np.cumsum(new) - 1
     sample = by[new]  # a stretch of the smallest id for each kind
     late = ids > ids[sample][kind]
-    shared, group = _candidates(data, to[sample], to[sample + 1], size, anchor)
+    shared, group = _candidates(sums, to[sample], to[sample + 1], size, anchor)
     out = [(ids[late], tags[late], starts[late], starts[late] + sizes[late])]
     if len(shared):
         for part in _parts(shared, group, to[sample + 1] - to[sample]):
@@ -271,22 +277,20 @@ def _solved(ids, tags, starts, sizes, data, size: int, anchor: int):
     return _merged_spans(*(np.concatenate(x) for x in zip(*out, strict=True)))
 
 
-def _least_grams(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, anchor: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _least_grams(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray, anchor: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The minimiser of each string; the hashes of all its short substrings, and where each string's begin."""
-    at = np.arange(len(data) - anchor + 1)
-    grams, edges = _gathered(tb.span_hash(tb.prefix_hash(data), at, at + anchor), starts, ends - anchor + 1)
+    grams, edges = _gathered(tb.gram_hash(sums, anchor), starts, ends - anchor + 1)
     return np.minimum.reduceat(grams, edges[:-1]) if len(starts) else grams, grams, edges
 
 
-def _candidates(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, size: int, anchor: int) -> tuple[np.ndarray, np.ndarray]:
+def _candidates(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray, size: int, anchor: int) -> tuple[np.ndarray, np.ndarray]:
     """The strings that may share a window with another, and a number for each string's minimiser.
 
     A window reaches at least `side` bytes beyond the minimiser on its left or on its right, so
     strings that share one have those bytes, and the minimiser, in common.
     """
     side = (size - anchor + 1) // 2
-    sums = tb.prefix_hash(data)
-    low, grams, edges = _least_grams(data, starts, ends, anchor)
+    low, grams, edges = _least_grams(sums, starts, ends, anchor)
     least = np.flatnonzero(grams == np.repeat(low, np.diff(edges)))
     string = np.searchsorted(edges, least, "right") - 1
     place = starts[string] + least - edges[string]
@@ -321,9 +325,13 @@ def _settled(batches: Iterator[pa.RecordBatch], size: int, anchor: int) -> Itera
         # A bucket is solved in shares, by minimiser, so that its working arrays stay small.
         shares: list[list] = [[] for _ in range(1 + sum(map(len, blocks)) // SHARE_BYTES)]
         while blocks:
-            ids, tags, starts, sizes, data = _unpacked(spread.decompress(blocks.pop()))
+            ids, tags, starts, sizes, share, data = _unpacked(spread.decompress(blocks.pop()))
             to = np.concatenate([[0], np.cumsum(sizes)])
-            share = (tb.mix(_least_grams(data, to[:-1], to[1:], anchor)[0]) % np.uint64(len(shares))).astype(np.int64)
+            if len(shares) > 256:  # more than a byte tells apart
+                low, _, _ = _least_grams(tb.prefix_hash(data), to[:-1], to[1:], anchor)
+                share = (tb.mix(low) % np.uint64(len(shares))).astype(np.int64)
+            else:
+                share = share.astype(np.int64) * len(shares) >> 8
             for k, held in enumerate(shares):
                 own = np.flatnonzero(share == k)
                 held.append((ids[own], tags[own], starts[own], sizes[own], _gathered(data, to[own], to[own + 1])[0]))

@@ -34,9 +34,12 @@ LOWER[0x41:0x5B] += 0x20
 
 def mix(h: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: every input bit reaches every output bit."""
-    h = (h ^ (h >> _U64(33))) * _U64(0xFF51AFD7ED558CCD)
-    h = (h ^ (h >> _U64(33))) * _U64(0xC4CEB9FE1A85EC53)
-    return h ^ (h >> _U64(33))
+    h = h ^ (h >> _U64(33))
+    h *= _U64(0xFF51AFD7ED558CCD)
+    h ^= h >> _U64(33)
+    h *= _U64(0xC4CEB9FE1A85EC53)
+    h ^= h >> _U64(33)
+    return h
 
 
 #: One odd 64-bit value for each byte value.
@@ -66,6 +69,12 @@ def span_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarra
     return mix((sums[end] - sums[start]) * powers(len(sums))[1][start])
 
 
+def gram_hash(sums: np.ndarray, width: int) -> np.ndarray:
+    """span_hash() of each span of `width` bytes."""
+    n = len(sums) - width
+    return mix((sums[width:] - sums[:n]) * powers(len(sums))[1][:n])
+
+
 #: A second modulus for spans so long that texts exist whose hashes modulo 2^64 agree for any base, as those of Thue and Morse.
 _PRIME = (1 << 31) - 1
 _PRIME_BASE = 0x2545F491

@@ -63,6 +63,28 @@ def test_repeated_intervals_are_the_repeated_strings():
     assert sorted(sorted(order[a:b].tolist()) for a, b in zip(low, high)) == sorted(sorted(p) for p in places.values() if len(p) > 1)
 
 
+@pytest.mark.parametrize("share_bytes", [1 << 30, 400, 1])
+def test_shares_of_a_bucket_are_told_without_hashing_it_again(monkeypatch, share_bytes):
+    monkeypatch.setattr(W, "SHARE_BYTES", share_bytes)
+    rng, solved, hashed = random.Random(8), [], []
+    one, other = S.prose(rng, 60), S.prose(rng, 60)
+    texts = [one, other, S.prose(rng, 30) + " " + one, other + " " + S.prose(rng, 30), S.prose(rng, 30) + " " + one[80:]]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(5), pa.int64()), pa.array([0] * 5, pa.int64()), pa.array(texts)], names=["doc_id", "tag", "text"])
+    blocks = list(W._dealt(iter([batch]), 50, 10, 1))
+    solve, least = W._solved, W._least_grams
+    monkeypatch.setattr(W, "_solved", lambda *a: solved.append(1) or solve(*a))
+    monkeypatch.setattr(W, "_least_grams", lambda *a: hashed.append(1) or least(*a))
+    gone = [set() for _ in texts]
+    for r in (r for b in W._settled(iter(blocks), 50, 10) for r in b.to_pylist()):
+        gone[r["key"]] |= set(range(r["start"], r["start"] + r["size"]))
+    wanted = S.removed_windows(list(enumerate(texts)))
+    assert [len(g) for g in gone] == [row[2] for row in wanted]
+    assert share_bytes == 1 or len(hashed) == len(solved)
+    data = np.frombuffer(one.encode(), np.uint8)
+    sums, at = W.tb.prefix_hash(data), np.arange(len(data) - 9)
+    assert (W.tb.gram_hash(sums, 10) == W.tb.span_hash(sums, at, at + 10)).all()
+
+
 def test_near_duplicates_against_all_pairs(spark):
     rows = S.texts()
     rng = random.Random(9)
