@@ -191,36 +191,38 @@ def _without(data: np.ndarray, offsets: np.ndarray, hit: np.ndarray, starts: np.
     return b"".join(parts).decode("utf-8", "replace")
 
 
+def _found(batches: Iterator[pa.RecordBatch], own: ItemAutomaton, n_carry: int, cut: int | None) -> Iterator[pa.RecordBatch]:
+    """Rows of _scanned(); `cut` is the place of the text whose hit stretches go, else the text follows what is carried and goes itself."""
+    for batch in batches:
+        n = batch.num_columns
+        for lo, hi, data, offsets in tb.text_blocks(batch.column(n_carry if cut is None else cut), tb.SMALL_BLOCK_BYTES):
+            before = batch.slice(lo, hi - lo)
+            hit, items, starts, ends, first = _scan_block(own, data, offsets)
+            for row, spans in enumerate(before.column(n - 2).to_pylist()):
+                for span in spans:
+                    hit[first[row] + span["first"] : first[row] + span["last"]] = True
+            names = [sorted(items.get(row, set()).union(old)) for row, old in enumerate(before.column(n - 1).to_pylist())]
+            lows, highs = _runs_by_text(hit, first)
+            text = np.searchsorted(first, lows, "right") - 1
+            bounds = np.searchsorted(text, np.arange(hi - lo + 1))
+            spans = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.StructArray.from_arrays([pa.array(lows - first[text]), pa.array(highs - first[text])], names=["first", "last"]))
+            columns = [before.column(k) for k in range(n_carry)]
+            if cut is not None:
+                texts = before.column(cut).to_pylist()
+                for row in np.unique(text).tolist():
+                    texts[row] = _without(data, offsets, hit, starts, ends, first, row)
+                columns[cut] = pa.array(texts, pa.string())
+            yield pa.RecordBatch.from_arrays([*columns, spans, pa.array(names, pa.list_(pa.string())), pa.array(np.diff(first))], names=[f"c{k}" for k in range(n_carry + 3)])
+
+
 def _scanned(docs: DataFrame, text_col: str, automaton, carry: list[str], cut: bool) -> DataFrame:
     """`carry` columns, spans, items and n_words; what earlier slices found is merged in."""
     fields = [docs.schema[c] for c in carry]
     schema = T.StructType([*fields, *T._parse_datatype_string(_STATE).fields])
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = automaton.value
-        for batch in batches:
-            n = batch.num_columns
-            for lo, hi, data, offsets in tb.text_blocks(batch.column(n - 3)):
-                before = batch.slice(lo, hi - lo)
-                hit, items, starts, ends, first = _scan_block(own, data, offsets)
-                for row, spans in enumerate(before.column(n - 2).to_pylist()):
-                    for span in spans:
-                        hit[first[row] + span["first"] : first[row] + span["last"]] = True
-                names = [sorted(items.get(row, set()).union(old)) for row, old in enumerate(before.column(n - 1).to_pylist())]
-                lows, highs = _runs_by_text(hit, first)
-                text = np.searchsorted(first, lows, "right") - 1
-                bounds = np.searchsorted(text, np.arange(hi - lo + 1))
-                spans = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.StructArray.from_arrays([pa.array(lows - first[text]), pa.array(highs - first[text])], names=["first", "last"]))
-                columns = [before.column(k) for k in range(len(carry))]
-                if cut:
-                    k = carry.index(text_col)
-                    texts = before.column(k).to_pylist()
-                    for row in np.unique(text).tolist():
-                        texts[row] = _without(data, offsets, hit, starts, ends, first, row)
-                    columns[k] = pa.array(texts, pa.string())
-                yield pa.RecordBatch.from_arrays([*columns, spans, pa.array(names, pa.list_(pa.string())), pa.array(np.diff(first))], names=[f"c{k}" for k in range(len(schema))])
-
-    return docs.select(*[docs[c] for c in carry], docs[text_col].alias("_q_text"), "_q_spans", "_q_items").mapInArrow(rows, schema)
+    n_carry, place = len(carry), carry.index(text_col) if cut else None
+    # A text that is carried is not sent twice.
+    text = [] if cut else [docs[text_col].alias("_q_text")]
+    return docs.select(*[docs[c] for c in carry], *text, "_q_spans", "_q_items").mapInArrow(lambda batches: _found(batches, automaton.value, n_carry, place), schema)
 
 
 def _runs_by_text(hit: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

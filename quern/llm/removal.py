@@ -10,6 +10,7 @@ import zstandard
 from pyspark.sql import DataFrame, functions as F
 
 NO_ID = (1 << 63) - 1
+_RECODED = 1 << 20
 
 
 def tagged(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -30,13 +31,25 @@ def _recoded(df: DataFrame, column: str, coder: Callable[[], Callable[[bytes], b
     """`df` with each value of a binary column recoded; nulls stay null."""
     place, schema = df.columns.index(column), df.schema
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        recode = coder()
-        for batch in batches:
-            values = pa.array([None if x is None else recode(x) for x in batch.column(place).to_pylist()], pa.binary())
-            yield pa.RecordBatch.from_arrays([values if k == place else c for k, c in enumerate(batch.columns)], names=schema.names)
+    return df.mapInArrow(lambda batches: _recoded_rows(batches, place, coder(), schema.names), schema)
 
-    return df.mapInArrow(rows, schema)
+
+def _recoded_rows(batches: Iterator[pa.RecordBatch], place: int, recode: Callable[[bytes], bytes], names: list[str]) -> Iterator[pa.RecordBatch]:
+    """Batches of about _RECODED bytes, so that a worker holds little beside the batch that came."""
+
+    def part(values: list[bytes | None], end: int) -> pa.RecordBatch:
+        own = batch.slice(end - len(values), len(values)).columns
+        return pa.RecordBatch.from_arrays([pa.array(values, pa.binary()) if k == place else c for k, c in enumerate(own)], names=names)
+
+    for batch in batches:
+        values, size = [], 0
+        for row, x in enumerate(batch.column(place)):
+            values.append(recode(x.as_py()) if x.is_valid else None)
+            size += len(values[-1] or b"")
+            if size > _RECODED:
+                yield part(values, row + 1)
+                values, size = [], 0
+        yield part(values, batch.num_rows)
 
 
 def squeezed(docs: DataFrame, text_col: str) -> DataFrame:

@@ -87,16 +87,17 @@ def with_prints(texts: DataFrame, frequent: tuple[np.ndarray, np.ndarray] | None
     if frequent is not None:
         schema = schema.add("node", T.LongType()).add("size", T.IntegerType()).add("bits", T.BinaryType()).add("prefix", T.ArrayType(T.LongType()))
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo, hi, data, offsets in tb.text_blocks(batch.columns[-1]):
-                normal = tb.normal_words(data, offsets)
-                hashes, begin = shingles(*normal)
-                sig = [x.tobytes() if n else None for x, n in zip(signatures(hashes, begin), np.diff(begin), strict=True)]
-                sets = [] if frequent is None else set_prints(hashes, begin, frequent, least)
-                yield pa.RecordBatch.from_arrays([*batch.slice(lo, hi - lo).columns[:-1], pa.array(_fingerprints(*normal).view(np.int64)), pa.array(sig, pa.binary()), *sets], names=schema.names)
+    return texts.mapInArrow(lambda batches: _prints(batches, frequent, least, schema.names), schema)
 
-    return texts.mapInArrow(rows, schema)
+
+def _prints(batches: Iterator[pa.RecordBatch], frequent: tuple[np.ndarray, np.ndarray] | None, least: float, names: list[str]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for lo, hi, data, offsets in tb.text_blocks(batch.columns[-1], tb.SMALL_BLOCK_BYTES):
+            normal = tb.normal_words(data, offsets)
+            hashes, begin = shingles(*normal)
+            sig = [x.tobytes() if n else None for x, n in zip(signatures(hashes, begin), np.diff(begin), strict=True)]
+            sets = [] if frequent is None else set_prints(hashes, begin, frequent, least)
+            yield pa.RecordBatch.from_arrays([*batch.slice(lo, hi - lo).columns[:-1], pa.array(_fingerprints(*normal).view(np.int64)), pa.array(sig, pa.binary()), *sets], names=names)
 
 
 def _linked(a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:

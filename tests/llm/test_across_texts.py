@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import time
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -20,7 +21,9 @@ from quern.llm import shared_shingles as N
 from quern.llm import simhash as H
 from quern.llm import substrings as W
 from quern.llm.components import connected_components
+from quern.llm.decontaminate import cleaned
 from quern.llm.lm_score import Filter, lm_scores
+from quern.llm.removal import spread, squeezed
 from quern.llm.simhash import near_duplicates, near_links, one_of_each
 
 from . import samples as S
@@ -537,3 +540,24 @@ def test_signature_bytes_agree_about_as_often_as_shingles_are_shared():
         sig = N.signatures(np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)]))
         assert abs((sig[0] == sig[1]).mean() - share) < 0.17
     assert not N.signatures(np.zeros(0, np.uint64), np.array([0, 0])).any() and N.tally_minimum(0.8) == 65
+
+
+@pytest.mark.parametrize("stage, times", [("prints", 16), ("cleaned", 16), ("squeezed", 0.7), ("spread", 0.7)])
+def test_a_worker_holds_little_beside_the_batch_that_came(spark, monkeypatch, stage, times):
+    rng = random.Random(7)
+    docs = spark.createDataFrame([(k, " ".join(f"{rng.getrandbits(32):x}" for _ in range(230))) for k in range(2000)], "doc_id long, text string").coalesce(1)
+    items = spark.createDataFrame([("a", docs.first()["text"])], "item_id string, text string")
+    tasks = []
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda df, f, schema, *a, real=type(docs).mapInArrow, **b: tasks.append((df, f)) or real(df, f, schema, *a, **b))
+    made = {"prints": lambda: H.with_prints(docs, (np.zeros(0, np.uint64),) * 2), "cleaned": lambda: cleaned(docs, items), "squeezed": lambda: squeezed(docs, "text"), "spread": lambda: spread(squeezed(docs, "text"), "text")}[stage]()
+    came, task = tasks[-1]
+    batch = came.toArrow().combine_chunks().to_batches()[0]
+    size = sum(len(t.encode()) for (t,) in docs.select("text").collect())
+    assert batch.num_rows == 2000 and size > 4_000_000
+    list(task(iter([batch.slice(0, 10)])))  # what is loaded once
+    tracemalloc.start()
+    rows = sum(b.num_rows for b in task(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows == 2000 and made.count() == 2000 - (stage == "cleaned")
+    assert peak < times * size, peak
