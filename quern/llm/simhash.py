@@ -29,8 +29,8 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from . import textbytes as tb
 from .components import connected_components
 from .removal import NO_ID, spread, squeezed
-from .shared_shingles import SIMILARITY, frequencies, remaining_links, set_prints, shingle_links, shingles, signatures
-from .store import written
+from .shared_shingles import SIMILARITY, commonness, frequencies, remaining_links, set_prints, shingle_links, signatures, word_hashes, word_shingles
+from .store import dropped, released_shuffles, written
 
 SHINGLE = 3
 MAX_BITS = 3
@@ -78,25 +78,27 @@ def with_fingerprints(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(rows, schema)
 
 
-def with_prints(texts: DataFrame, frequent: tuple[np.ndarray, np.ndarray] | None = None, least: float = SIMILARITY) -> DataFrame:
+def with_prints(texts: DataFrame, frequent: tuple[np.ndarray, np.ndarray] | None = None, least: float = SIMILARITY, levels: np.ndarray | None = None) -> DataFrame:
     """`texts`, whose last column is the text, with `fp` and `sig` in its place: the fingerprint and the signature, null without words.
 
-    With `frequent` shingles also node, size, bits and prefix of its set of shingles.
+    With `frequent` shingles also node, size, bits and prefix of its set of shingles; `levels` of words order those that are not frequent.
     """
     schema = T.StructType([*texts.schema.fields[:-1], T.StructField("fp", T.LongType()), T.StructField("sig", T.BinaryType())])
     if frequent is not None:
         schema = schema.add("node", T.LongType()).add("size", T.IntegerType()).add("bits", T.BinaryType()).add("prefix", T.ArrayType(T.LongType()))
 
-    return texts.mapInArrow(lambda batches: _prints(batches, frequent, least, schema.names), schema)
+    return texts.mapInArrow(lambda batches: _prints(batches, frequent, least, levels, schema.names), schema)
 
 
-def _prints(batches: Iterator[pa.RecordBatch], frequent: tuple[np.ndarray, np.ndarray] | None, least: float, names: list[str]) -> Iterator[pa.RecordBatch]:
+def _prints(batches: Iterator[pa.RecordBatch], frequent: tuple[np.ndarray, np.ndarray] | None, least: float, levels: np.ndarray | None, names: list[str]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for lo, hi, data, offsets in tb.text_blocks(batch.columns[-1], tb.SMALL_BLOCK_BYTES):
             normal = tb.normal_words(data, offsets)
-            hashes, begin = shingles(*normal)
+            words = word_hashes(*normal[:3])
+            hashes, begin = word_shingles(words, normal[3])
             sig = [x.tobytes() if n else None for x, n in zip(signatures(hashes, begin), np.diff(begin), strict=True)]
-            sets = [] if frequent is None else set_prints(hashes, begin, frequent, least)
+            common = None if levels is None else commonness(words, normal[3], levels)
+            sets = [] if frequent is None else set_prints(hashes, begin, frequent, least, common)
             yield pa.RecordBatch.from_arrays([*batch.slice(lo, hi - lo).columns[:-1], pa.array(_fingerprints(*normal).view(np.int64)), pa.array(sig, pa.binary()), *sets], names=names)
 
 
@@ -267,17 +269,33 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     key, tag = F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)), F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
     keyed = docs.withColumn("_q_key", key).withColumn("_q_tag", tag)
-    texts = keyed.select("_q_key", "_q_tag", text_col)
-    marked = written(with_fingerprints(texts) if least is None else with_prints(texts, frequencies(texts), least), "fingerprints")
-    distinct = marked.groupBy("fp").agg(F.min(F.struct("_q_key", "_q_tag")).alias("first"))
-    links = near_links(distinct.select("fp"), most)
-    if least is not None:
-        links = written(links.union(shingle_links(keyed, marked, text_col, least)), "first-links")
-        roots = connected_components(links)
-        links = links.union(remaining_links(keyed, marked, roots, text_col, least))
-    kept = written(_named(distinct, links).groupBy("root").agg(F.min("first").alias("x")).select("x.*"), "kept")
+    with released_shuffles(docs.sparkSession):
+        kept, repeated = _kept(keyed, text_col, most, least)
     # Both sides are dealt, however small `kept` is, so that the texts of a task are never more than its share.
     found = squeezed(keyed, text_col).join(kept.hint("shuffle_merge"), ["_q_key", "_q_tag"], "left_semi")
-    if marked.groupBy("_q_key", "_q_tag").count().where("count > 1").limit(1).count():
+    if repeated:
         found = found.dropDuplicates(["_q_key", "_q_tag"])
     return spread(found.select(*docs.columns), text_col)
+
+
+def _kept(keyed: DataFrame, text_col: str, most: int, least: float | None) -> tuple[DataFrame, bool]:
+    """The rows (_q_key, _q_tag) of one_of_each(), written, and whether rows of `keyed` share both; other tables go as soon as they are read."""
+    texts = keyed.select("_q_key", "_q_tag", text_col)
+    if least is None:
+        rows = written(with_fingerprints(texts), "fingerprints")
+    else:
+        frequent, levels = frequencies(texts)
+        marked = written(with_prints(texts, frequent, least, levels), "fingerprints")
+        rows = written(marked.select("_q_key", "_q_tag", "fp"), "rows")
+    distinct = rows.groupBy("fp").agg(F.min(F.struct("_q_key", "_q_tag")).alias("first"))
+    links, tables = near_links(distinct.select("fp"), most), [rows]
+    if least is not None:
+        first = written(links.union(shingle_links(keyed, marked, text_col, least)), "first-links")
+        more = remaining_links(keyed, marked, connected_components(first), text_col, least)
+        links = first.union(more)
+        tables += [first, more]
+    kept = written(_named(distinct, links).groupBy("root").agg(F.min("first").alias("x")).select("x.*"), "kept")
+    repeated = rows.groupBy("_q_key", "_q_tag").count().where("count > 1").limit(1).count() > 0
+    for table in tables:
+        dropped(table)
+    return kept, repeated

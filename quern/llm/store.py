@@ -1,5 +1,5 @@
 """Intermediate tables in the folder that driver and executors share."""
 
-from ..sources.tables import dropped, shared_dir, written
+from ..sources.tables import dropped, released_shuffles, shared_dir, written
 
-__all__ = ["dropped", "shared_dir", "written"]
+__all__ = ["dropped", "released_shuffles", "shared_dir", "written"]

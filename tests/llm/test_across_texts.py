@@ -561,3 +561,67 @@ def test_a_worker_holds_little_beside_the_batch_that_came(spark, monkeypatch, st
     tracemalloc.stop()
     assert rows == 2000 and made.count() == 2000 - (stage == "cleaned")
     assert peak < times * size, peak
+
+
+def _shuffle_blocks(spark):
+    return sum("shuffle_" in str(b) for b in spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllBlocks().mkString(" ").split(" "))
+
+
+def test_one_of_each_leaves_no_shuffles_and_tables(spark, tmp_path, monkeypatch):
+    """Shuffle files and tables of the steps go before the result is read; nothing else would bound the disk of a large run."""
+    rng = random.Random(3)
+    texts = [S.prose(rng, 60) for _ in range(40)]
+    docs = S.documents(spark, list(enumerate([*texts, *(f"{t} end" for t in texts)])))
+    monkeypatch.setattr("quern.sources.tables.shared_dir", lambda spark: f"file://{tmp_path}")
+    before = _shuffle_blocks(spark)
+    kept = one_of_each(docs)
+    for _ in range(50):  # files go a little later than the query ends
+        if _shuffle_blocks(spark) <= before:
+            break
+        time.sleep(0.1)
+    assert _shuffle_blocks(spark) <= before
+    assert {p.name.rsplit("-", 1)[0] for p in tmp_path.iterdir()} <= {"kept", "links", "long-postings", "shingle-links"}
+    assert kept.count() == 40
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", None) is None
+
+
+def test_comparisons_go_in_rounds(spark, monkeypatch):
+    """With rounds of few rows no round sends more than its share, and all pairs are found."""
+    monkeypatch.setattr(N, "PART", 9)
+    sets = [(node, node, 100, bytes(128)) for node in range(60)]
+    nodes = spark.createDataFrame(sets, "node long, root long, size int, bits binary")
+    met = spark.createDataFrame([(key, node) for key in range(8) for node in range(60) if key == 0 or node % 8 == key], "key long, node long")
+    sent = []
+    monkeypatch.setattr(N, "written", lambda df, name, real=N.written: (name == "unlike" and sent.append(name)) or real(df, name))
+    tables = N._unlike_pairs(met, nodes, 0.8, 100)
+    n_rows = 60 * math.ceil(60 / 9) + 7 * 8
+    assert len(sent) == len(tables) and n_rows // 100 <= len(sent) <= n_rows // 100 + 1
+    assert max(t.count() for t in tables) < 60 * 59 / 4
+    assert {tuple(r) for t in tables for r in t.collect()} == {(a, b) for a in range(60) for b in range(a)}
+
+
+def test_exact_comparisons_go_in_rounds(spark, monkeypatch):
+    """A round compares its share of the pairs, and all that are similar are found."""
+    rng = random.Random(41)
+    base = S.prose(rng, 300).split()
+    texts = [" ".join(f"{w}{k}" if at == 30 * k + 5 else w for at, w in enumerate(base)) for k in range(8)]
+    docs = spark.createDataFrame([(k, 0, t) for k, t in enumerate([*texts, S.prose(rng, 300)])], "_q_key long, _q_tag long, text string")
+    nodes = docs.select(F.col("_q_key").alias("node"), F.col("_q_key").alias("fp"), "_q_key", "_q_tag", F.lit(296).alias("size"))
+    pairs = spark.createDataFrame([(a, b) for a in range(9) for b in range(a)], "node long, centre long")
+    compared = []
+    monkeypatch.setattr(N, "_compared", lambda docs, nodes, pairs, *a, real=N._compared: compared.append(pairs.count()) or real(docs, nodes, pairs, *a))
+    links = N._compared_in_rounds(docs, nodes, pairs, "text", 0.8, 18_000)
+    assert len(compared) == 3 and sum(compared) == 36 and max(compared) < 24
+    assert {tuple(r) for x in links for r in x.collect()} == {(a, b) for a in range(8) for b in range(a)}
+
+
+def test_texts_that_share_common_words_do_not_meet(spark):
+    """Shingles of common words are shared by chance; the prefixes hold those of rare words instead."""
+    rng = random.Random(17)
+    common = [S.prose(rng, 1) + "q" for _ in range(12)]
+    texts = [" ".join(f"{rng.getrandbits(40):x}" if rng.random() < 0.1 else rng.choice(common) for _ in range(200)) for _ in range(300)]
+    docs = S.documents(spark, list(enumerate(texts))).select(F.col("doc_id").alias("_q_key"), F.xxhash64("text").alias("_q_tag"), "text")
+    frequent, levels = N.frequencies(docs)
+    prefixes = [r["prefix"] for r in H.with_prints(docs, frequent, 0.8, levels).collect()]
+    times = Counter(k for p in prefixes for k in p)
+    assert sum(n for n in times.values() if n > 1) < 0.01 * sum(times.values())
