@@ -11,6 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from .blocks import facade
 from .functions import c_tokens as C
 from .functions.tables import register_table_functions
 from .operators import code, declarations, include_graph, inner, metrics, preprocessor, regions, spans, trees, typedefs, versions
@@ -369,7 +370,7 @@ def branch_conditions(spark, sf_dir):
     """Conditions of branches and loops, and the three parts of a for."""
     src = "concat('void f(void) { if (f(a) > ', o_custkey, ') g((b), c); while (a) ; switch (s) { } for (int i = 0; i < ', o_custkey, '; i++) h(i); }')"
     p = _units(_table(spark, sf_dir, "orders"), "o_orderkey", src)
-    return spans.conditions(p.raw_marked).select("unit_id", "word", "place", "text")
+    return p.by_blocks(lambda p: spans.conditions(p.raw_marked), "word string, place long, text string")
 
 
 @query("""

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame
 
+from ..blocks.facade import F, Window
 from ..functions import c_tokens as C
 from .declarations import in_declaration, symbols
 

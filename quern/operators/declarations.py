@@ -6,8 +6,9 @@ when the next token begins a new one. A directive line at file scope is a declar
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
+from pyspark.sql import Column, DataFrame, WindowSpec
 
+from ..blocks.facade import F, Window
 from ..functions import c_tokens as C
 
 

@@ -8,8 +8,9 @@ names that very many units ask for.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame
 
+from ..blocks.facade import F
 from ..sources.tables import written
 from .declarations import enumerators, parameters, symbols
 from .inner import local_symbols

@@ -10,8 +10,9 @@ nested, not as many as a unit has. Cells of a unit are dealt apart, so a large u
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame
 
+from ..blocks.facade import F, Window
 from .declarations import declarations, symbols
 from .preprocessor import conditional_lines, directives
 from .trees import CONTROL, _declaration, _flag, _upto, bracketed

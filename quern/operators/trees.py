@@ -10,8 +10,9 @@ the operator that takes the bracket.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
+from pyspark.sql import Column, DataFrame, WindowSpec
 
+from ..blocks.facade import F, Window
 from ..functions import c_tokens as C
 from .inner import with_items
 

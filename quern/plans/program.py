@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..blocks.frame import Frame
+from ..blocks.units import LARGE, of_blocks, with_unit
 from ..operators import code, declarations, inner, lexing, names, preprocessor, regions, spans, trees, typedefs
 from ..sources.tables import dropped, written
 
@@ -26,6 +29,31 @@ class Program:
     def __init__(self, units: DataFrame, predefined: list[str] = (), ordered: bool = False):
         self.units, self.predefined, self.ordered = units, list(predefined), ordered
 
+    def by_blocks(self, relation: Callable[[Program], DataFrame], columns: str, large: int = LARGE) -> DataFrame:
+        """relation(self) with unit_id and the given columns, of units apart from each other: blocks of whole units are evaluated in memory.
+
+        `relation` calls operators, which are the same there (see blocks.facade). Units of over
+        `large` characters are evaluated by Spark's windows, whose sorts spill.
+        """
+        schema, predefined, ordered = with_unit(self.units, columns), self.predefined, self.ordered
+        names = schema.names
+
+        def of_block(tokens: Frame) -> Frame:
+            program = Program(tokens, predefined, ordered)
+            program.raw_tokens = tokens
+            return relation(program).select(names)
+
+        sizes = self.units.groupBy("unit_id").agg(F.sum(F.length("src")).alias("n")).where(F.col("n") > large).select("unit_id")
+        sizes = written(sizes, "large-units")
+        if sizes.isEmpty():
+            dropped(sizes)
+            return of_blocks(self.units, of_block, schema)
+        small = self.units.join(sizes.hint("shuffle_merge"), "unit_id", "left_anti")
+        few = Program(self.units.join(sizes.hint("shuffle_merge"), "unit_id", "left_semi"), predefined, ordered)
+        own = relation(few)
+        own = own.select(*(own[f.name].cast(f.dataType).alias(f.name) for f in schema))
+        return of_blocks(small, of_block, schema).union(own)
+
     @cached_property
     def lexemes(self) -> DataFrame:
         return lexing.lexemes(self.units)
