@@ -575,8 +575,8 @@ SELECT p_partkey AS unit_id, depth, n::BIGINT AS n FROM part, (VALUES (0, 1), (1
 def comma_uses(spark, sf_dir):
     """Commas that are operators: not those between arguments, declarators, or items of a list."""
     src = "concat('void f(int p, int q) { int a, b[2] = { 1, 2 }; for (int i = 0, j = 1; i; i++, j--) g(a, b); (a, ', p_size, '); x = 1, y = 2; z = (S){ 3, 4 }; w = t[c, d]; }')"
-    found = inner.comma_operators(_units(_table(spark, sf_dir, "part"), "p_partkey", src).full)
-    return found.groupBy("unit_id", F.col("depth").cast("int").alias("depth")).agg(F.count("*").alias("n"))
+    counted = lambda p: inner.comma_operators(p.full).groupBy("unit_id", "depth").agg(facade.F.count("*").alias("n"))
+    return _units(_table(spark, sf_dir, "part"), "p_partkey", src).by_blocks(counted, "depth int, n long")
 
 
 @query("""
