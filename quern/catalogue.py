@@ -533,7 +533,7 @@ SELECT o_orderkey AS unit_id, label_name FROM (SELECT o_orderkey, unnest(['( A +
 def case_values(spark, sf_dir):
     """Whole values of case labels: expressions, ranges, conditionals."""
     src = "concat('void f(void) { switch (s) { case (A + ', o_custkey, '): g(); case 1 ... ', o_custkey + 1, ': break; case x ? y : ', o_custkey, ': h(); } }')"
-    return code.labels(_units(_table(spark, sf_dir, "orders"), "o_orderkey", src).raw_marked).select("unit_id", "label_name")
+    return _units(_table(spark, sf_dir, "orders"), "o_orderkey", src).by_blocks(lambda p: code.labels(p.raw_marked), "label_name string")
 
 
 @query("""

@@ -35,6 +35,7 @@ RELATIONS = {
 BY_BLOCKS = [
     "branch_conditions",
     "comma_uses",
+    "case_values",
 ]
 
 
