@@ -389,7 +389,7 @@ def array_bounds(spark, sf_dir):
     """Sizes of arrays, in order, empty brackets too."""
     rows = _table(spark, sf_dir, "lineitem").selectExpr("l_orderkey AS unit_id", "struct(l_linenumber, concat('a', l_linenumber, '[', l_linenumber, ' + 1][] = { b[0] }') AS d) AS x")
     src = rows.groupBy("unit_id").agg(F.concat(F.lit("int "), F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["d"]), ", "), F.lit(", plain;")).alias("src"))
-    return spans.array_sizes(Program(src).kept).select("unit_id", "name", "ordinal", "size")
+    return Program(src).by_blocks(lambda p: spans.array_sizes(p.kept), "name string, ordinal long, size string")
 
 
 @query("""
