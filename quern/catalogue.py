@@ -251,9 +251,8 @@ def root_operator(spark, sf_dir):
     value = "CASE l_linenumber % 4 WHEN 0 THEN '-a * b + c' WHEN 1 THEN 'a + b * c - d % (e == f)' WHEN 2 THEN 'a + b << c * d' ELSE 'a | b && c + (d || e)' END"
     rows = _table(spark, sf_dir, "lineitem").selectExpr("l_orderkey AS unit_id", "l_linenumber", f"concat('int v', l_linenumber, ' = ', {value}, ';') AS d")
     src = rows.groupBy("unit_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "d"))), lambda x: x["d"]), "\n").alias("src"))
-    p = Program(src)
-    names = declarations.symbols(p.kept).select("unit_id", "decl_ix", F.expr("bigint(substring(name, 2))").alias("n"))
-    return code.root_operators(p.kept).join(names, ["unit_id", "decl_ix"]).select("unit_id", "n", "op", "kind")
+    named = lambda p: code.root_operators(p.kept).join(declarations.symbols(p.kept).select("unit_id", "decl_ix", "name"), ["unit_id", "decl_ix"])
+    return Program(src).by_blocks(named, "name string, op string, kind string").select("unit_id", F.expr("bigint(substring(name, 2))").alias("n"), "op", "kind")
 
 
 @query("""

@@ -36,6 +36,7 @@ BY_BLOCKS = [
     "branch_conditions",
     "array_bounds",
     "comma_uses",
+    "root_operator",
     "case_values",
 ]
 
