@@ -673,7 +673,8 @@ SELECT c_custkey AS unit_id, slot, op, n_tokens::BIGINT AS n_tokens FROM custome
 def expression_places(spark, sf_dir):
     """Expressions outside bodies and initialisers too, with the tokens that they span."""
     src = """concat('enum E { A = ', c_custkey, ' << 2, B = A | 1 }; struct S { int w : N + 1; }; int z[', c_nationkey, ' * 2] = { [1] = -', c_nationkey, ' }; _Static_assert(sizeof(int) == ', c_custkey, ', "m"); int f(void) { switch (k) { case 1 ? 2 : 3: while (a < b) ; } return sizeof k; }')"""
-    found = trees.expressions(_units(_table(spark, sf_dir, "customer"), "c_custkey", src).full).where("slot IS NOT NULL AND kind NOT IN ('name', 'literal')")
+    rooted = lambda p: trees.expressions(p.full).where("slot IS NOT NULL AND kind NOT IN ('name', 'literal')")
+    found = _units(_table(spark, sf_dir, "customer"), "c_custkey", src).by_blocks(rooted, "slot string, op string, first_ix long, last_ix long")
     return found.select("unit_id", "slot", "op", (F.col("last_ix") - F.col("first_ix") + 1).alias("n_tokens"))
 
 

@@ -35,6 +35,7 @@ RELATIONS = {
 BY_BLOCKS = [
     "branch_conditions",
     "array_bounds",
+    "expression_places",
     "comma_uses",
     "root_operator",
     "case_values",
