@@ -209,7 +209,7 @@ def struct_members(spark, sf_dir):
     rows = _table(spark, sf_dir, "lineitem").selectExpr("l_orderkey", "struct(l_linenumber, concat('unsigned m', l_linenumber, if(l_linenumber % 2 = 0, concat(' : ', l_linenumber), '[2]'), '; ') AS d) AS x")
     src = rows.groupBy("l_orderkey").agg(F.concat(F.lit("struct O"), F.col("l_orderkey"), F.lit(" { "), F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["d"]), ""), F.lit("} one;")).alias("src"))
     p = Program(src.select(F.col("l_orderkey").alias("unit_id"), "src"))
-    return declarations.members(p.raw_marked).select("unit_id", "tag_name", "member_name", "ordinal", "bit_width")
+    return p.by_blocks(lambda p: declarations.members(p.raw_marked), "tag_name string, member_name string, ordinal long, bit_width string")
 
 
 @query("""

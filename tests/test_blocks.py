@@ -38,6 +38,7 @@ BY_BLOCKS = [
     "expression_places",
     "comma_uses",
     "root_operator",
+    "struct_members",
     "case_values",
 ]
 
