@@ -379,7 +379,7 @@ def type_name_uses(spark, sf_dir):
     """Casts, compound literals, sizeof and _Alignof of types; brackets around values are none."""
     src = "concat('typedef int T', p_partkey, ';\nvoid f(int z) { a = (T', p_partkey, ' *) b; c = (d) + e; g = (struct S) { 1 }; h = sizeof(int[', p_size, ']) + sizeof(i) + _Alignof(double); }')"
     p = _units(_table(spark, sf_dir, "part"), "p_partkey", src)
-    return spans.type_names(p.marked).select("unit_id", "kind", "type_name")
+    return p.by_blocks(lambda p: spans.type_names(p.marked), "kind string, type_name string")
 
 
 @query("""

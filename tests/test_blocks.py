@@ -39,6 +39,7 @@ BY_BLOCKS = [
     "comma_uses",
     "root_operator",
     "struct_members",
+    "type_name_uses",
     "case_values",
 ]
 
