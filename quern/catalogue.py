@@ -189,7 +189,8 @@ def declarator_lists(spark, sf_dir):
     rows = _table(spark, sf_dir, "lineitem").selectExpr("l_orderkey", "struct(l_linenumber, concat(repeat('*', l_linenumber), 'v', l_linenumber, ' = ', int(l_quantity)) AS d) AS x")
     src = rows.groupBy("l_orderkey").agg(F.concat(F.lit("static int "), F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["d"]), ", "), F.lit(";")).alias("src"))
     p = Program(src.select(F.col("l_orderkey").alias("unit_id"), "src"))
-    return declarations.symbols(p.raw_marked).groupBy("unit_id").agg(F.count("*").alias("declarators"), F.sum("pointer_depth").alias("pointers"))
+    counted = lambda p: declarations.symbols(p.raw_marked).groupBy("unit_id").agg(facade.F.count("*").alias("declarators"), facade.F.sum("pointer_depth").alias("pointers"))
+    return p.by_blocks(counted, "declarators long, pointers long")
 
 
 @query("""

@@ -40,6 +40,7 @@ BY_BLOCKS = [
     "root_operator",
     "struct_members",
     "type_name_uses",
+    "declarator_lists",
     "case_values",
 ]
 
