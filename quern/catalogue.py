@@ -318,7 +318,7 @@ def initializer_lists(spark, sf_dir):
     item = "concat(CASE l_linenumber % 3 WHEN 0 THEN concat('[', l_linenumber, '] = ') WHEN 1 THEN concat('.m', l_linenumber, ' = ') ELSE '' END, 'f(1, ', l_linenumber, ')')"
     rows = _table(spark, sf_dir, "lineitem").selectExpr("l_orderkey AS unit_id", f"struct(l_linenumber, {item} AS d) AS x")
     src = rows.groupBy("unit_id").agg(F.concat(F.lit("struct S v = { "), F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["d"]), ", "), F.lit(" };")).alias("src"))
-    return code.initializer_items(Program(src).raw_marked).select("unit_id", "ordinal", "designator")
+    return Program(src).by_blocks(lambda p: code.initializer_items(p.raw_marked), "ordinal long, designator string")
 
 
 @query("""

@@ -41,6 +41,7 @@ BY_BLOCKS = [
     "struct_members",
     "type_name_uses",
     "declarator_lists",
+    "initializer_lists",
     "case_values",
 ]
 
