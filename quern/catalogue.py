@@ -515,7 +515,7 @@ SELECT p_partkey AS unit_id, object, idx FROM (SELECT p_partkey, unnest([{'o': '
 def subscript_uses(spark, sf_dir):
     """Subscripts, nested and in a row; sizes of arrays and designators are none."""
     src = "concat('void f(void) { int n[4], m[2][3]; x = a[i + b[', p_size, ']]; y = g(1)[0][j, k]; } int t[2] = { [1] = 5 };')"
-    return inner.subscripts(_units(_table(spark, sf_dir, "part"), "p_partkey", src).full).select("unit_id", "object", F.col("index").alias("idx"))
+    return _units(_table(spark, sf_dir, "part"), "p_partkey", src).by_blocks(lambda p: inner.subscripts(p.full), "object string, index string").withColumnRenamed("index", "idx")
 
 
 @query("""

@@ -42,6 +42,7 @@ BY_BLOCKS = [
     "type_name_uses",
     "declarator_lists",
     "initializer_lists",
+    "subscript_uses",
     "case_values",
 ]
 
