@@ -43,6 +43,7 @@ BY_BLOCKS = [
     "declarator_lists",
     "initializer_lists",
     "subscript_uses",
+    "chained_designators",
     "case_values",
 ]
 
