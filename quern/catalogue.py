@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from .blocks import facade
 from .functions import c_tokens as C
 from .functions.tables import register_table_functions
-from .operators import code, declarations, include_graph, inner, metrics, preprocessor, regions, spans, trees, typedefs, versions
+from .operators import code, declarations, include_graph, inner, metrics, names, preprocessor, regions, spans, trees, typedefs, versions
 from .plans.program import Program, engine_info
 from .sources.files import utf8_status
 from .sources.tables import shared_dir
@@ -749,8 +749,8 @@ def name_scopes(spark, sf_dir):
     t = _table(spark, sf_dir, "supplier").withColumn("first", F.row_number().over(Window.partitionBy("s_nationkey").orderBy("s_suppkey")) == 1)
     src = """concat('#define M 1\\nint x; enum { E }; static int own', s_suppkey, '(void);\\nint home', s_nationkey, if(first, '(void) { return 0; }', '(void);'),
         '\\nint f', s_suppkey, '(int p) { { int x; x; } x; p; M; for (int i; i; ) i; i; E; own', s_suppkey, '(); home', s_nationkey, '(); nowhere; }\\nstatic int own', s_suppkey, '(void) { }\\n')"""
-    found = Program(t.selectExpr("s_suppkey AS unit_id", f"{src} AS src")).name_uses
-    return found.select("unit_id", "name", "scope", "target_unit")
+    own = Program(t.selectExpr("s_suppkey AS unit_id", f"{src} AS src")).by_blocks(lambda p: names.in_units(p.full, p.bracketed), "decl_ix long, tok_ix long, name string, rank int, target long, here boolean")
+    return names.across_units(own).select("unit_id", "name", "scope", "target_unit")
 
 
 @query("""

@@ -47,17 +47,8 @@ def name_uses(marked: DataFrame) -> DataFrame:
     return expressions(marked).where("kind = 'name' AND coalesce(side, '') <> 'member'").select("unit_id", "decl_ix", F.col("node_ix").alias("tok_ix"), F.col("op").alias("name"))
 
 
-def resolved(marked: DataFrame, held: DataFrame | None = None, popular: int = POPULAR, shares: int = SHARES) -> DataFrame:
-    """(unit_id, decl_ix, tok_ix, name, scope, target_unit, target_ix) of each name in an expression.
-
-    scope: macro, local, parameter, file (declared before its use in the same unit, enumerators too),
-    extern (defined with outer linkage in another unit; target_unit is the least such), or undefined.
-    A prototype or extern object of the unit itself that another unit defines is extern too, and so
-    is what a unit, be it the same, defines but its own file has not declared before the use.
-    target_ix: the token that declares the name, null for macros and for undefined names. Of several
-    locals in scope the last one counts, of several declarations in a file the first. held:
-    bracketed(marked), where it is written.
-    """
+def in_units(marked: DataFrame, held: DataFrame | None = None) -> DataFrame:
+    """(unit_id, decl_ix, tok_ix, name, rank, target, here) of each name in an expression, by its own unit alone, and with rank -1 of each outer definition."""
     held = bracketed(marked) if held is None else held
     uses = written(name_uses(held), "uses")
     found = linkage(marked)
@@ -76,9 +67,18 @@ def resolved(marked: DataFrame, held: DataFrame | None = None, popular: int = PO
     every = every.unionByName(uses.select(*key, F.lit(4).alias("rank"), zero.alias("place"), none.alias("target")), allowMissingColumns=True)
     best = every.groupBy(*key).agg(F.min(F.struct("rank", "place", "target", "here")).alias("x"), F.max(F.col("rank") == 4).alias("used")).where("used")
     best = best.select(*key, "x.rank", "x.target", F.coalesce("x.here", F.lit(True)).alias("here"))
+    outer = found.where("defines AND NOT is_static").select(*key, F.lit(-1).alias("rank"), none.alias("target"), F.lit(True).alias("here"))
+    return best.unionByName(outer)
+
+
+def across_units(rows: DataFrame, popular: int = POPULAR, shares: int = SHARES) -> DataFrame:
+    """resolved() from what in_units() gave of all units."""
+    key = ["unit_id", "decl_ix", "tok_ix", "name"]
+    rows = written(rows, "names-in-units")
+    best, found = rows.where("rank >= 0"), rows.where("rank < 0")
     # What the unit doesn't define itself is asked of all units, once a unit and name.
     asked = best.where("rank = 4 OR rank = 3 AND NOT here").select("unit_id", "name").distinct()
-    outer = found.where("defines AND NOT is_static").groupBy("name").agg(F.min(F.struct(F.col("unit_id").alias("unit"), F.col("tok_ix").alias("at"))).alias("outer"))
+    outer = found.groupBy("name").agg(F.min(F.struct(F.col("unit_id").alias("unit"), F.col("tok_ix").alias("at"))).alias("outer"))
     often = asked.groupBy("name").count().where(F.col("count") > popular).select("name", F.lit(True).alias("_often"))
     copies = F.explode(F.when(F.col("_often"), F.sequence(F.lit(0), F.lit(shares - 1))).otherwise(F.array(F.lit(0))))
     outer = outer.join(often, "name", "left").select("name", "outer", copies.alias("_share"))
@@ -92,6 +92,20 @@ def resolved(marked: DataFrame, held: DataFrame | None = None, popular: int = PO
     return rows.select(*key, scope.alias("scope"), target_unit.alias("target_unit"), F.when(other, F.col("outer.at")).otherwise(F.col("target")).alias("target_ix"))
 
 
+def resolved(marked: DataFrame, held: DataFrame | None = None, popular: int = POPULAR, shares: int = SHARES) -> DataFrame:
+    """(unit_id, decl_ix, tok_ix, name, scope, target_unit, target_ix) of each name in an expression.
+
+    scope: macro, local, parameter, file (declared before its use in the same unit, enumerators too),
+    extern (defined with outer linkage in another unit; target_unit is the least such), or undefined.
+    A prototype or extern object of the unit itself that another unit defines is extern too, and so
+    is what a unit, be it the same, defines but its own file has not declared before the use.
+    target_ix: the token that declares the name, null for macros and for undefined names. Of several
+    locals in scope the last one counts, of several declarations in a file the first. held:
+    bracketed(marked), where it is written.
+    """
+    return across_units(in_units(marked, held), popular, shares)
+
+
 def unused(marked: DataFrame, uses: DataFrame, held: DataFrame | None = None) -> DataFrame:
     """(unit_id, name, tok_ix, scope) of what nothing refers to: locals, static functions and objects, and outer definitions that no unit uses (main is used). uses: what resolved() gave."""
     local = local_scopes(marked if held is None else held).select("unit_id", "name", "tok_ix", F.lit("local").alias("scope"))
